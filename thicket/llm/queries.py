@@ -17,6 +17,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm.html_text import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    from thicket.llm.token_counts import section_tokens
+
+    return section_tokens(_table(spark, sf_dir, "documents"), path or tokenizer_path("byte_bpe_50k.tiktoken"), PATTERN)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from thicket.llm.decontaminate import contamination
 
@@ -44,19 +58,43 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    from thicket.llm.token_files import read_token_files, token_folder, write_token_files
+
+    docs = _table(spark, sf_dir, "documents")
+    return read_token_files(write_token_files(docs, token_folder(spark), path or tokenizer_path("byte_bpe_50k.json"), end_id=2))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from thicket.llm.pii import replace_pii
 
     return replace_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: The contract's rules.
+HOST_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm.url_filter import PATTERNS, judge, rule_table
+
+    return judge(_table(spark, sf_dir, "pages").select("page_id", "url"), rule_table(spark, HOST_RULES, PATTERNS)).drop("url")
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm.ann import neighbours
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return neighbours(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {"op3_decontaminate": op3_decontaminate, "op4_bpe_roundtrip": op4_bpe_roundtrip, "op5_simhash": op5_simhash, "op6_langid": op6_langid, "op8_pii": op8_pii, "pipeline": pipeline}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_token_counts, op3_decontaminate, op4_bpe_roundtrip, op5_simhash, op6_langid, op7_token_files, op8_pii, op9_url_filter, op10_ann, pipeline)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLE: dict[str, str] = {
@@ -73,4 +111,15 @@ its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN its ON d.doc_id = its.doc_id""",
+    "op9_url_filter": r"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS u, position('://' IN coalesce(url, '')) AS p FROM pages),
+s AS (SELECT page_id, CASE WHEN p = 0 THEN '' ELSE substr(u, p + 3) END AS rest FROM u),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM s),
+rules(action, rule, rh, rp) AS (VALUES ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'), ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')),
+f AS (SELECT page_id, host, path, arg_min(rule, (-length(rule), rule)) AS rule, arg_min(action, (-length(rule), rule)) AS action
+      FROM h JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id, host, path),
+pats(pattern, re) AS (VALUES ('||ads-', '^(?:[^/]*\.)?ads-'), ('||adult-', '^(?:[^/]*\.)?adult-'), ('||casino-', '^(?:[^/]*\.)?casino-'), ('||cheap-', '^(?:[^/]*\.)?cheap-'), ('||free-', '^(?:[^/]*\.)?free-'), ('||spam-', '^(?:[^/]*\.)?spam-'), ('||tracker-', '^(?:[^/]*\.)?tracker-'), ('||porn-', '^(?:[^/]*\.)?porn-'), ('||ads.', '^(?:[^/]*\.)?ads\.'), ('||adserver.', '^(?:[^/]*\.)?adserver\.')),
+g AS (SELECT page_id, min(pattern) AS pattern FROM h JOIN pats ON regexp_matches(host || path, re) AND host <> '' GROUP BY page_id)
+SELECT h.page_id, h.host, h.path, f.rule, g.pattern, coalesce(f.action, CASE WHEN g.pattern IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM h LEFT JOIN f ON h.page_id = f.page_id LEFT JOIN g ON h.page_id = g.page_id""",
 }
