@@ -11,23 +11,20 @@ from __future__ import annotations
 
 import gc
 import hashlib
-from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm._shared import with_fields
 
 WINDOW, MASK_BITS, LEAST, REACH = 32, 11, 256, 64
 #: Bytes of chunk text that a worker remembers, and of text that it works on at a time.
-MEMO_BYTES, SLICE_BYTES = 12_000_000, 1_000_000
+MEMO_BYTES, SLICE_BYTES = 16_000_000, 500_000
 #: Words that a worker remembers; used only with tokenizers that drop white space, where a word's ids are its own.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 300_000
 
 #: A 32-bit number for each byte, from a multiplicative rule.
 _BYTE = ((np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
@@ -72,18 +69,9 @@ def chunks(data: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *ends], ends)] if data else []
 
 
-def share_key(text: Column) -> Column:
-    """The smallest hash of the text's chunks, as a dealing key; null for texts without any."""
-    @F.pandas_udf("bigint")
-    def smallest(texts):
-        low = [min((xxhash.xxh64_intdigest(c) for c in chunks(t.encode("utf-8", "surrogatepass"))), default=0) if t else 0 for t in texts]
-        return pd.Series(np.array(low, np.uint64).view(np.int64), dtype="int64")
-
-    return smallest(text)
-
-
 class ChunkEncoder:
-    """Encodes texts as a tokenizer of the tokenizers library does, a distinct chunk once."""
+    """Encodes texts as a tokenizer of the tokenizers library does, a distinct chunk once. Ids are raw bytes, of two or
+    four bytes each (kind)."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -91,14 +79,23 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo: dict[bytes, list[int]] = {}
+        size = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.memo: dict[bytes, bytes] = {}
         self.held = 0
-        self.words: dict[bytes, list[int]] = {}
-        self.older: dict[bytes, list[int]] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        # Probes of what the tokenizer leaves out or folds, so that words can stand for themselves.
         self.by_words = self.raw(b" a  b\n") == self.raw(b"a") + self.raw(b"b")
+        self.folds = self.raw(b"ABC Xy") == self.raw(b"abc xy")
+        self.marks = frozenset(m for m in b".,;:!?" if self.raw(b"ab" + bytes([m])) == self.raw(b"ab") + self.raw(bytes([m])) and self.raw(b"a1" + bytes([m])) == self.raw(b"a1") + self.raw(bytes([m])))
+        tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        probe = self.raw(b"ab, cde fgh")
+        plain = self.tokenizer.decode(np.frombuffer(probe, self.kind).tolist(), skip_special_tokens=False) == " ".join(tokens[i] for i in np.frombuffer(probe, self.kind))
+        self.tokens = tokens if plain else None
 
-    def raw(self, data: bytes) -> list[int]:
-        return self.tokenizer.encode(data.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
+    def raw(self, data: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(data.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, self.kind).tobytes()
 
     def _learn(self, parts: list[bytes]) -> None:
         new = [p for p in dict.fromkeys(parts) if p not in self.memo]
@@ -108,42 +105,54 @@ class ChunkEncoder:
         if not self.by_words:
             self.memo.update(zip(new, self._batch(new)))
         else:
-            split = [p.split() for p in new]
+            split = [(p.lower() if self.folds and b"<|" not in p else p).split() for p in new]
             if len(self.words) > MEMO_WORDS:  # words that were met lately stay
                 self.older, self.words = self.words, {}
-            unseen = set().union(*split).difference(self.words)
-            if self.older:
-                again = unseen.intersection(self.older)
-                self.words.update((w, self.older[w]) for w in again)
-                unseen -= again
-            fresh = list(unseen)
-            self.words.update(zip(fresh, self._batch(fresh)))
+            self._learn_words(set().union(*split).difference(self.words))
             ids = self.words.__getitem__
-            self.memo.update((p, list(chain.from_iterable(map(ids, x)))) for p, x in zip(new, split))
+            self.memo.update((p, b"".join(map(ids, x))) for p, x in zip(new, split))
         self.held += sum(map(len, new))
 
-    def _batch(self, parts: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([p.decode("utf-8", "surrogatepass") for p in parts], add_special_tokens=False)]
-
-    def joint(self, before: list[bytes], middle: bytes, after: list[bytes]) -> tuple[int, list[int], int]:
+    def _learn_words(self, unseen: set[bytes]) -> None:
+        """A word with a mark at its end has the ids of the word and those of the mark."""
+        known, marks = self.words, self.marks
+        if self.older:
+            again = unseen.intersection(self.older)
+            known.update((w, self.older[w]) for w in again)
+            unseen = unseen - again
+        marked = [w for w in unseen if w[-1] in marks and w[-2:-1].isalnum()]
+        plain = unseen.difference(marked)
+        plain.update(w[:-1] for w in marked)
+        plain.update(bytes([m]) for m in marks)
+        fresh = list(plain.difference(known))
+        known.update(zip(fresh, self._batch(fresh)))
+        known.update((w, known[w[:-1]] + known[w[-1:]]) for w in marked)
+
+    def _batch(self, parts: list[bytes]) -> list[bytes]:
+        kind = self.kind
+        return [np.array(e.ids, kind).tobytes() for e in self.tokenizer.encode_batch_fast([p.decode("utf-8", "surrogatepass") for p in parts], add_special_tokens=False)]
+
+    def joint(self, before: list[bytes], middle: bytes, after: list[bytes]) -> tuple[int, bytes, int]:
         """(words taken from before, ids, words taken from after): the ids of the words around a joint, when the words
         at both ends of what was encoded agree with their encoding alone."""
         k = 1
         while True:
             left, right = before[-k:], after[:k]
             ids = self.raw(b" ".join([*left, middle, *right]))
-            head, tail = (self.raw(left[0]) if left else []), (self.raw(right[-1]) if right else [])
-            if ids[: len(head)] == head and ids[len(ids) - len(tail) :] == tail:
+            head, tail = (self.raw(left[0]) if left else b""), (self.raw(right[-1]) if right else b"")
+            if ids.startswith(head) and ids.endswith(tail):
                 return len(left), ids, len(right)
             if k >= len(before) and k >= len(after):
                 return len(left), ids, len(right)
             k *= 2
 
-    def encode_all(self, texts: list[str | None]) -> list[list[int]]:
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null and empty texts have none."""
         plan = []
         for t in texts:
-            parts = chunks(t.encode("utf-8", "surrogatepass")) if t else []
+            data = t.encode("utf-8", "surrogatepass") if t else b""
+            # Where white space makes tokens, a joint can't be told from the words around it: the text is one chunk.
+            parts = chunks(data) if self.by_words else [data] if data else []
             if len(parts) < 2:
                 plan.append(parts)
                 continue
@@ -178,25 +187,28 @@ class ChunkEncoder:
         self._learn([x if isinstance(x, bytes) else x[1] for parts in plan for x in parts if isinstance(x, bytes) or x[0] == "body"])
         return [self._assemble(parts) for parts in plan]
 
-    def _assemble(self, parts: list) -> list[int]:
+    def _assemble(self, parts: list) -> bytes:
         if not parts:
-            return []
+            return b""
         if isinstance(parts[0], bytes):
             return self.memo[parts[0]]
-        ids: list[int] = []
+        ids: list[bytes] = []
         for i, (kind, data) in enumerate(parts):
             if kind == "body":
-                ids += self.memo[data]
+                ids.append(self.memo[data])
                 continue
-            before = parts[i - 1][1].split()[-8:] if i else []
-            after = parts[i + 1][1].split()[:8] if i + 1 < len(parts) else []
+            before = parts[i - 1][1][-400:].split()[1:][-8:] if i else []
+            after = parts[i + 1][1][:400].split()[:-1][:8] if i + 1 < len(parts) else []
             a, got, b = self.joint(before, data, after)
             head = len(self.raw(b" ".join(before[len(before) - a :])))
             tail = len(self.raw(b" ".join(after[:b])))
-            ids += got[head : len(got) - tail]
-        return ids
+            ids.append(got[head : len(got) - tail])
+        return b"".join(ids)
 
     def decode(self, ids: list[int]) -> str:
+        """As the tokenizer does; one that has no decoder puts a space between tokens."""
+        if self.tokens is not None:
+            return " ".join([self.tokens[i] for i in ids])
         return self.tokenizer.decode(ids, skip_special_tokens=False)
 
 
@@ -224,22 +236,26 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids: bool = True,
 
     def run(batches):
         own = ChunkEncoder(path)
-        gc.disable()  # a worker makes millions of small lists and no cycles
+        gc.disable()  # a worker makes millions of small objects and no cycles
         names = [str(i) for i in range(own.tokenizer.get_vocab_size())]
         for batch in batches:
             text = batch.column(len(kept))
             for a, b in _slices(text, SLICE_BYTES):
-                got = own.encode_all(text.slice(a, b - a).to_pylist())
-                cols = [batch.column(i).slice(a, b - a) for i in range(len(kept))] + [pa.array([len(g) for g in got], pa.int64())]
+                got = [np.frombuffer(g, own.kind) for g in own.encode_all(text.slice(a, b - a).to_pylist())]
+                sizes = np.array([len(g) for g in got], np.int64)
+                cols = [batch.column(i).slice(a, b - a) for i in range(len(kept))] + [pa.array(sizes)]
                 if ids:
-                    cols.append(pa.array(got, pa.list_(pa.int32())))
+                    flat = np.concatenate([*got, np.zeros(0, own.kind)]).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat)))
                 if digests:
-                    cols.append(pa.array([hashlib.sha256(" ".join([names[i] for i in g]).encode()).hexdigest() for g in got], pa.string()))
-                    cols.append(pa.array([hashlib.sha256(own.decode(g).encode("utf-8", "surrogatepass")).hexdigest() for g in got], pa.string()))
+                    sums = [[], []]
+                    for g in map(np.ndarray.tolist, got):
+                        sums[0].append(hashlib.sha256(" ".join([names[i] for i in g]).encode()).hexdigest())
+                        sums[1].append(hashlib.sha256(own.decode(g).encode("utf-8", "surrogatepass")).hexdigest())
+                    cols += [pa.array(x, pa.string()) for x in sums]
                 yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    dealt = base.withColumn("_text", F.col(text_col).cast("string")).withColumn("_share", share_key(F.col(text_col).cast("string"))).hint("rebalance", "_share").drop("_share")
-    return dealt.select(*kept, "_text").mapInArrow(run, schema)
+    return base.withColumn("_text", F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
