@@ -27,7 +27,7 @@ TRAIN_DOCS_PER_LANG = 2000
 FEATURES_PER_LANG = 20_000
 SWITCH_PENALTY = 12.0
 #: Words whose scores a Python worker remembers, and words that one Viterbi call holds.
-MEMO_WORDS, CALL_WORDS = 300_000, 300_000
+MEMO_WORDS, CALL_WORDS = 600_000, 200_000
 
 # First code points of scripts' ranges and the script that holds from there on (Unicode blocks).
 SCRIPT_STARTS = [
@@ -48,9 +48,9 @@ def script_of(word: str) -> str:
 
 
 def grams(word: str) -> list[str]:
-    """The word's character 1- to 4-grams with its edges marked, and the word itself."""
+    """The word's character trigrams with its edges marked, and the word itself."""
     w = f"<{word}>"
-    return [w, *(w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)), *word]
+    return [w, *[w[i : i + 3] for i in range(len(w) - 2)]]
 
 
 @dataclass
@@ -62,31 +62,30 @@ class Model:
 
     def __post_init__(self):
         self.memo: dict[str, int] = {}
-        self.rows = np.zeros((0, len(self.langs)))
+        self.rows = np.zeros((0, len(self.langs)), np.float32)
 
     def score(self, words: list[str]) -> np.ndarray:
         """A row of scores for each word: 0 for the likeliest language, negative for the others."""
-        get, out = self.memo.get, np.empty(len(words), np.int64)
-        new = [w for w in dict.fromkeys(words) if w not in self.memo]
+        get = self.memo.__getitem__
+        new = list(set(words).difference(self.memo))
         if new:
             if len(self.memo) > MEMO_WORDS:
                 self.memo.clear()
                 self.rows = self.rows[:0]
-                new = list(dict.fromkeys(words))
+                new = list(set(words))
             unseen, find = len(self.weights) - 1, self.index.get
             lists = [[find(g, unseen) for g in grams(w)] for w in new]
             at = np.cumsum([0, *map(len, lists[:-1])])
             scores = np.add.reduceat(self.weights[np.fromiter((i for x in lists for i in x), np.int64)], at, axis=0)
             for k, w in enumerate(new):
-                mask = self.scripts.get(script_of(w))
+                mask = self.scripts.get("Latin" if w.isascii() else script_of(w))
                 if mask is not None:
                     scores[k, ~mask] -= 1000.0
             scores -= scores.max(axis=1, keepdims=True)
             first = len(self.rows)
-            self.rows = np.concatenate([self.rows, scores])
+            self.rows = np.concatenate([self.rows, scores.astype(np.float32)])
             self.memo.update((w, first + k) for k, w in enumerate(new))
-        out[:] = [get(w) for w in words]
-        return self.rows[out]
+        return self.rows[np.fromiter(map(get, words), np.int64, len(words))]
 
 
 def _gram_counts(batches):
