@@ -1 +1 @@
-
+"""Column functions and the small text helpers behind them."""
