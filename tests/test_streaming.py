@@ -33,3 +33,17 @@ def test_windows_on_a_stream(spark, tmp_path):
     q = windowed_cooccurrence(spark.readStream.schema(e.schema).parquet(str(tmp_path / "e")), late="10 minutes").writeStream.format("memory").queryName("pairs").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r.source, r.target) for r in spark.table("pairs").collect()] == [("a", "b")]
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    from thicket.operators.build import build_graph
+    from thicket.sources.relations import append_ledger, manual, read_ledger
+
+    store = GraphStore(spark, str(tmp_path / "wh"))
+    graph = build_graph(manual(spark, [("a", "b", "r")]), proximity=False)
+    for key in ("q1", "q1", "q2"):
+        store.merge(graph, key=key)
+    assert store.load().edges.first().weight == 8.0
+    for ts, h in ((1, "x"), (3, "z"), (2, "y")):
+        append_ledger(spark.createDataFrame([("a", h, 1, 1, ts)], "source string, hash string, chunks_processed long, relations_count long, ts long"), str(tmp_path / "l"))
+    assert [r["hash"] for r in read_ledger(spark, str(tmp_path / "l")).collect()] == ["z"]

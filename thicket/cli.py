@@ -14,13 +14,12 @@ from thicket.operators import algorithms, communities, sinks
 from thicket.operators.build import Graph, build_graph, rebuilt
 from thicket.operators.extract import HttpExtractor, extractor
 from thicket.operators.search import GraphSession, search, search_depth
-from thicket.operators.selection import ledger_upsert
 from thicket.operators.store import GraphStore
 from thicket.plans.ingest import ingest
 from thicket.schema import DEFAULT_TENANT
 from thicket.sources.config import Config, load_config, with_context_file
 from thicket.sources.files import read_documents
-from thicket.sources.relations import manual, read_ledger, read_manual
+from thicket.sources.relations import append_ledger, manual, read_ledger, read_manual
 
 TENANT_VARIABLE = "THICKET_TENANT"
 
@@ -142,9 +141,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             store.merge(graph)
         else:
             store.replace(graph, tenant)
-        from thicket.functions.persist import cut
-
-        cut(ledger_upsert(ledger, entries), "ledger").write.mode("overwrite").parquet(ledger_path)
+        append_ledger(entries, ledger_path)
         print("{} nodes, {} edges".format(*graph.counts()))
         return 0
     if a.verb == "add":

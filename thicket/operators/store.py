@@ -86,10 +86,15 @@ class GraphStore:
         at = jvm.org.apache.hadoop.fs.Path(self.folder)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def _version(self) -> str | None:
+    def _pointers(self) -> list[list[str]]:
+        """[CURRENT, number, version] and perhaps a key, of each version, in order."""
         fs, path = self._files()
-        names = [s.getPath().getName() for s in fs.globStatus(path(f"{self.folder}/CURRENT.*")) or []]
-        return max(names, key=lambda n: int(n.split(".")[1])).split(".")[2] if names else None
+        names = [s.getPath().getName().split(".") for s in fs.globStatus(path(f"{self.folder}/CURRENT.*")) or []]
+        return sorted(names, key=lambda n: int(n[1]))
+
+    def _version(self) -> str | None:
+        pointers = self._pointers()
+        return pointers[-1][2] if pointers else None
 
     def load(self, tenant: str | None = None) -> Graph:
         return fetched(self.tables(), tenant)
@@ -102,21 +107,26 @@ class GraphStore:
         read = lambda name, s: self.spark.read.schema(s).parquet(f"{self.folder}/{version}/{name}")
         return Graph(read("nodes", NODE), read("edges", EDGE))
 
-    def _save(self, graph: Graph) -> None:
+    def _save(self, graph: Graph, key: str | None = None) -> None:
+        """A pointer's number is one more than the last one's, and it is made only if it isn't there: of two writers at
+        a time one fails, and nothing is lost unseen."""
+        number = len(self._pointers())
         version = uuid.uuid4().hex
         for name, df in (("nodes", graph.nodes), ("edges", graph.edges)):
             df.write.partitionBy("tenant").parquet(f"{self.folder}/{version}/{name}")
         fs, path = self._files()
-        n = len(fs.globStatus(path(f"{self.folder}/CURRENT.*")) or [])
-        fs.create(path(f"{self.folder}/CURRENT.{n}.{version}"), False).close()
+        if len(self._pointers()) != number:
+            raise RuntimeError("the store was written meanwhile; read it again")
+        fs.create(path(".".join([f"{self.folder}/CURRENT", str(number), version, *([key] if key else [])])), False).close()
 
     def replace(self, graph: Graph, tenant: str = DEFAULT_TENANT) -> None:
         """STO-01. A graph without nodes leaves the store as it is: an unchanged corpus is no reason to empty it."""
         if graph.nodes.limit(1).count():
             self._save(replace_tenant(self.tables(), graph, tenant))
 
-    def merge(self, graph: Graph, recompute_degree: bool = False, keep_known_types: bool = False) -> None:
-        """STO-02, STO-03."""
-        self._save(merged(self.tables(), graph, recompute_degree, keep_known_types))
+    def merge(self, graph: Graph, recompute_degree: bool = False, keep_known_types: bool = False, key: str | None = None) -> None:
+        """STO-02, STO-03. A key (letters and digits) names what is merged; it is merged once, however often it comes."""
+        if key is None or all(key not in p[3:] for p in self._pointers()):
+            self._save(merged(self.tables(), graph, recompute_degree, keep_known_types), key)
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thicket.operators.build import Graph
-from thicket.schema import DEFAULT_TENANT, LEDGER, MANUAL
+from thicket.operators.selection import ledger_upsert
+from thicket.schema import DEFAULT_TENANT, LEDGER, LEDGER_COLUMNS, MANUAL
 
 
 def as_triples(manual: DataFrame, chunk_id: str = "manual") -> DataFrame:
@@ -29,10 +30,17 @@ def manual(spark: SparkSession, rows: list[tuple]) -> DataFrame:
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-11: the ledger of ingested documents; empty if there is none yet."""
+    """SRC-11: the ledger of ingested documents, each source's latest entry; empty if there is none yet."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-    return spark.read.schema(LEDGER).parquet(path) if there else spark.createDataFrame([], LEDGER)
+    if not there:
+        return spark.createDataFrame([], LEDGER)
+    return ledger_upsert(spark.read.schema(LEDGER).parquet(path), spark.createDataFrame([], LEDGER))
+
+
+def append_ledger(entries: DataFrame, path: str) -> None:
+    """Entries are only ever added; the latest of a source holds."""
+    entries.select(*LEDGER_COLUMNS).write.mode("append").parquet(path)
 
 
 def read_graphml(spark: SparkSession, path: str, tenant: str = DEFAULT_TENANT) -> Graph:

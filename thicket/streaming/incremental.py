@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -12,19 +13,20 @@ from thicket.functions.persist import cut
 from thicket.functions.text import content_hash
 from thicket.operators.build import build_graph
 from thicket.operators.extract import Extractor
-from thicket.operators.selection import ledger_upsert, unseen
+from thicket.operators.selection import unseen
 from thicket.operators.store import GraphStore
 from thicket.plans.ingest import triples_of
 from thicket.schema import DEFAULT_TENANT
-from thicket.sources.relations import read_ledger
+from thicket.sources.relations import append_ledger, read_ledger
 
 
 def documents_to_graph(docs: DataFrame, store: GraphStore, ledger_path: str, checkpoint: str, make: Callable[[], Extractor], tenant: str = DEFAULT_TENANT, once: bool = False, **options) -> StreamingQuery:
     """Merges the triples of a stream of documents (source, text) into a store, a batch at a time.
 
-    The ledger makes batches safe to repeat: it is written after the merge, one folder for each batch, and a document
-    that it has with the same text isn't read again.
+    A batch that is repeated after a failure changes nothing: the store takes a batch's key once, and the ledger, which is
+    added to after the merge, keeps a document with the same text from being read again.
     """
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
@@ -33,10 +35,10 @@ def documents_to_graph(docs: DataFrame, store: GraphStore, ledger_path: str, che
         if not new.limit(1).count():
             return
         triples = cut(triples_of(new.select("source", "text"), make, **options), "triples")
-        store.merge(build_graph(triples, tenant))
+        store.merge(build_graph(triples, tenant), key=f"{name}x{number}")
         counts = triples.groupBy(F.col("seq.source").alias("source")).agg(F.count_distinct("chunk_id").alias("chunks_processed"), F.count(F.lit(1)).alias("relations_count"))
         entries = new.select("source", content_hash("text").alias("hash")).join(counts, "source", "left").select("source", "hash", F.coalesce("chunks_processed", F.lit(0)).alias("chunks_processed"), F.coalesce("relations_count", F.lit(0)).alias("relations_count"), F.lit(number).cast("long").alias("ts"))
-        cut(ledger_upsert(ledger, entries), "ledger").write.mode("overwrite").parquet(ledger_path)
+        append_ledger(entries, ledger_path)
 
     writer = docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
