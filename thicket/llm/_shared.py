@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -42,6 +45,28 @@ def broadcast_if(df: DataFrame, size: int, most: int) -> DataFrame:
     return F.broadcast(df) if size <= most else df
 
 
+def for_python(docs: DataFrame, text_col: str, without: list[str], keep_text: bool = True) -> tuple[DataFrame, int, list[str]]:
+    """(what a task gets, the place of the text in it, the columns that it gives back): docs without some columns, and
+    with the text once; keep_text leaves it out of what comes back."""
+    kept = [c for c in docs.columns if c not in without]
+    given = docs.select(*kept)
+    back = [c for c in kept if keep_text or c != text_col]
+    if text_col in kept and given.schema[text_col].dataType == StringType():
+        return given, kept.index(text_col), back
+    return given.select(*kept, F.col(text_col).cast("string").alias("_text")), len(kept), back
+
+
 def with_fields(df: DataFrame, ddl: str) -> StructType:
     """The schema of df and the fields of ddl after it."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+@contextmanager
+def no_cycles() -> Iterator[None]:
+    """Python's search for cycles rests meanwhile: a task that makes millions of small objects and no cycles needs none."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+        gc.collect()

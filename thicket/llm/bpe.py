@@ -9,8 +9,8 @@ with what the chunks gave.
 
 from __future__ import annotations
 
-import gc
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +18,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm._shared import with_fields
+from thicket.llm._shared import for_python, no_cycles, with_fields
 
 WINDOW, MASK_BITS, LEAST, REACH = 32, 11, 256, 64
 #: Bytes of chunk text that a worker remembers, and of text that it works on at a time.
-MEMO_BYTES, SLICE_BYTES = 16_000_000, 500_000
+MEMO_BYTES, SLICE_BYTES = 8_000_000, 500_000
 #: Words that a worker remembers; used only with tokenizers that drop white space, where a word's ids are its own.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 
 #: A 32-bit number for each byte, from a multiplicative rule.
 _BYTE = ((np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
@@ -129,8 +129,11 @@ class ChunkEncoder:
         known.update((w, known[w[:-1]] + known[w[-1:]]) for w in marked)
 
     def _batch(self, parts: list[bytes]) -> list[bytes]:
-        kind = self.kind
-        return [np.array(e.ids, kind).tobytes() for e in self.tokenizer.encode_batch_fast([p.decode("utf-8", "surrogatepass") for p in parts], add_special_tokens=False)]
+        out: list[bytes] = []
+        for at in range(0, len(parts), 4096):  # encodings are large while they last
+            some = [p.decode("utf-8", "surrogatepass") for p in parts[at : at + 4096]]
+            out += [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        return out
 
     def joint(self, before: list[bytes], middle: bytes, after: list[bytes]) -> tuple[int, bytes, int]:
         """(words taken from before, ids, words taken from after): the ids of the words around a joint, when the words
@@ -212,6 +215,12 @@ class ChunkEncoder:
         return self.tokenizer.decode(ids, skip_special_tokens=False)
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> ChunkEncoder:
+    """A worker's encoder: what it has learnt serves its next task, too."""
+    return ChunkEncoder(path)
+
+
 def _slices(column: pa.Array, most: int):
     """(start, stop) of runs of rows with about so many bytes of text."""
     ends = np.asarray(pc.fill_null(pc.binary_length(column), 0)).cumsum()
@@ -222,47 +231,47 @@ def _slices(column: pa.Array, most: int):
         a = b
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", ids: bool = True, digests: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, text_col: str = "text", ids: bool = True, digests: bool = False, keep_text: bool = True) -> DataFrame:
     """docs with n_tokens (long) and, if asked for, token_ids (array<int>), and digests: ids_sha256 (of the decimal ids,
     joined by a space) and decoded_sha256 (of the text that decoding gives).
 
     Ids are those of Tokenizer.encode(text, add_special_tokens=False) without truncation or padding; null and empty
-    texts have none. Columns of docs with those names are replaced; rows are neither added nor dropped.
+    texts have none. Columns of docs with those names are replaced; rows are neither added nor dropped. Without keep_text
+    the text isn't sent back from Python.
     """
     added = ["n_tokens", *["token_ids"] * ids, *["ids_sha256", "decoded_sha256"] * digests]
-    kept = [c for c in docs.columns if c not in added]
-    base = docs.select(*kept)
-    schema = with_fields(base, "n_tokens bigint" + ", token_ids array<int>" * ids + ", ids_sha256 string, decoded_sha256 string" * digests)
+    given, at, back = for_python(docs, text_col, added, keep_text)
+    schema = with_fields(given.select(*back), "n_tokens bigint" + ", token_ids array<int>" * ids + ", ids_sha256 string, decoded_sha256 string" * digests)
 
     def run(batches):
-        own = ChunkEncoder(path)
-        gc.disable()  # a worker makes millions of small objects and no cycles
+        own = encoder(path)
         names = [str(i) for i in range(own.tokenizer.get_vocab_size())]
-        for batch in batches:
-            text = batch.column(len(kept))
-            for a, b in _slices(text, SLICE_BYTES):
-                got = [np.frombuffer(g, own.kind) for g in own.encode_all(text.slice(a, b - a).to_pylist())]
-                sizes = np.array([len(g) for g in got], np.int64)
-                cols = [batch.column(i).slice(a, b - a) for i in range(len(kept))] + [pa.array(sizes)]
-                if ids:
-                    flat = np.concatenate([*got, np.zeros(0, own.kind)]).astype(np.int32)
-                    cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat)))
-                if digests:
-                    sums = [[], []]
-                    for g in map(np.ndarray.tolist, got):
-                        sums[0].append(hashlib.sha256(" ".join([names[i] for i in g]).encode()).hexdigest())
-                        sums[1].append(hashlib.sha256(own.decode(g).encode("utf-8", "surrogatepass")).hexdigest())
-                    cols += [pa.array(x, pa.string()) for x in sums]
-                yield pa.RecordBatch.from_arrays(cols, schema.names)
-
-    return base.withColumn("_text", F.col(text_col).cast("string")).mapInArrow(run, schema)
+        with no_cycles():
+            for batch in batches:
+                text = batch.column(at)
+                for a, b in _slices(text, SLICE_BYTES):
+                    got = [np.frombuffer(g, own.kind) for g in own.encode_all(text.slice(a, b - a).to_pylist())]
+                    sizes = np.array([len(g) for g in got], np.int64)
+                    cols = [batch.column(c).slice(a, b - a) for c in back] + [pa.array(sizes)]
+                    if ids:
+                        flat = np.concatenate([*got, np.zeros(0, own.kind)]).astype(np.int32)
+                        cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat)))
+                    if digests:
+                        sums = [[], []]
+                        for g in map(np.ndarray.tolist, got):
+                            sums[0].append(hashlib.sha256(" ".join([names[i] for i in g]).encode()).hexdigest())
+                            sums[1].append(hashlib.sha256(own.decode(g).encode("utf-8", "surrogatepass")).hexdigest())
+                        cols += [pa.array(x, pa.string()) for x in sums]
+                    yield pa.RecordBatch.from_arrays(cols, schema.names)
+
+    return given.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
     """encoded with text_col, the text of ids_col (null for null)."""
     @F.pandas_udf("string")
     def text(column):
-        own = ChunkEncoder(path)
+        own = encoder(path)
         return column.map(lambda x: None if x is None else own.decode([int(i) for i in x]))
 
     return encoded.withColumn(text_col, text(F.col(ids_col)))

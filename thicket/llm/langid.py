@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm._shared import staged, with_fields
+from thicket.llm._shared import for_python, staged, with_fields
 
 #: Labelled rows per language that the model is fitted on, at most (about; rows are drawn by a hash of the text).
 TRAIN_DOCS_PER_LANG = 2000
@@ -27,7 +27,7 @@ TRAIN_DOCS_PER_LANG = 2000
 FEATURES_PER_LANG = 20_000
 SWITCH_PENALTY = 12.0
 #: Words whose scores a Python worker remembers, and words that one Viterbi call holds.
-MEMO_WORDS, CALL_WORDS = 600_000, 200_000
+MEMO_WORDS, CALL_WORDS = 300_000, 200_000
 
 # First code points of scripts' ranges and the script that holds from there on (Unicode blocks).
 SCRIPT_STARTS = [
@@ -210,17 +210,17 @@ def _label(model: Model, texts: list[str | None], spans: bool, penalty: float) -
     return out
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = False, penalty: float = SWITCH_PENALTY) -> DataFrame:
+def identify(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = False, penalty: float = SWITCH_PENALTY, keep_text: bool = True) -> DataFrame:
     """docs with lang_pred (a language of the model; 'und' for null and texts without letters), score (the share of
     letters on the best path that are in that language; 0 for 'und') and, if asked for, spans: array of
     (start, end, lang) in characters. Nothing but the text is read. Columns of docs with those names are replaced;
     repeated rows get the same result. Ties go to the language that sorts first.
+    Without keep_text the text isn't sent back from Python.
     """
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.index, model.weights, model.scripts))
     names = ["lang_pred", "score"] + ["spans"] * spans
-    kept = [c for c in docs.columns if c not in names]
-    text_at = len(kept)
-    schema = with_fields(docs.select(*kept), "lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * spans)
+    given, text_at, back = for_python(docs, text_col, names, keep_text)
+    schema = with_fields(given.select(*back), "lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * spans)
     mark = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def run(batches):
@@ -232,13 +232,13 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", spans: bool
             while a < b.num_rows:  # some megabytes of text at a time
                 z = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + 6 * CALL_WORDS, "right")))
                 got = _label(own, texts.slice(a, z - a).to_pylist(), spans, penalty)
-                cols = [b.column(i).slice(a, z - a) for i in range(text_at)] + [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
+                cols = [b.column(c).slice(a, z - a) for c in back] + [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
                 if spans:
                     cols.append(pa.array([g[2] for g in got], mark))
                 yield pa.RecordBatch.from_arrays(cols, schema.names)
                 a = z
 
-    return docs.select(*kept, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    return given.mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -41,7 +41,7 @@ def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str, path: str | None = None)
     from thicket.llm.bpe import encode
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode(docs, path or tokenizer_path("word_bpe_49k.json"), ids=False, digests=True).drop("text")
+    return encode(docs, path or tokenizer_path("word_bpe_49k.json"), ids=False, digests=True, keep_text=False)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents")
     model = fit(docs.where(~held_out()))
-    return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
+    return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model, keep_text=False)
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
