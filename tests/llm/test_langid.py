@@ -60,7 +60,7 @@ def test_spans_of_mixed_text(spark, trained):
 
 def test_odd_rows(spark, trained):
     model = trained[0]
-    rows = [(1, None, "a"), (2, "", "a"), (3, "123 -- !", "a"), (4, "the cat", "a"), (4, "the cat", "a"), (5, "the cat went " * 30_000, "a"), (6, "漢字", "a")]
+    rows = [(1, None, "a"), (2, "", "a"), (3, "123 -- ! ²", "a"), (4, "the cat", "a"), (4, "the cat", "a"), (5, "the cat went " * 30_000, "a"), (6, "漢字", "a")]
     got = {r.doc_id: (r.lang_pred, r.score) for r in identify(spark.createDataFrame(rows, "doc_id long, text string, lang_pred string"), model).collect()}
     assert got[1] == got[2] == got[3] == ("und", 0.0) and got[4][0] == got[5][0] == "en" and got[6][0] in model.langs
     assert identify(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0

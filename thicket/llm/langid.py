@@ -190,6 +190,8 @@ def _label(model: Model, texts: list[str | None], spans: bool, penalty: float) -
         found = iter(found)
         at = [next(found) if t else [] for t in texts]
         words = [[t[a:b].lower() for a, b in x] for t, x in zip(texts, at)]
+    # Roman numerals and the like are word characters, too, but no letters.
+    words = [x if any(c.isalpha() for w in x for c in w) else [] for x in words]
     flat = [w for x in words for w in x]
     out: list[tuple] = []
     path = best_paths(model.score(flat), [len(x) for x in words if x], penalty) if flat and model.langs else None
