@@ -13,12 +13,14 @@ foreign key is told with all but a chance of 2**-32.
 
 from __future__ import annotations
 
-import gc
 import json
 import re
 import struct
 import uuid
 import zlib
+from collections import Counter
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +30,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from thicket.llm._shared import fresh_path, staged
+from thicket.llm._shared import fresh_path, no_cycles, staged
 
 MAGIC = b"THKTOK1\n"
 #: Bytes of ids after which a shard is closed, units that a worker remembers, bytes of text encoded at a time.
-SHARD_BYTES, MEMO_UNITS, SLICE_BYTES = 16_000_000, 300_000, 1_000_000
+SHARD_BYTES, MEMO_UNITS, SLICE_BYTES = 16_000_000, 700_000, 1_000_000
 GAMMA, LEVELS = 1.5, 64
+#: Frequent units that are looked up first, and the calls after which they are chosen anew.
+HOT_UNITS, HOT_AT = 50_000, (1, 4, 16, 64, 256)
 
 
 # --- minimal perfect hash -------------------------------------------------------------------------------------------
@@ -172,8 +176,11 @@ class UnitEncoder:
         self.kind = "<u2" if self.width == 2 else "<u4"
         self.lengths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
         self.end = b"" if end_id is None else np.array([end_id], self.kind).tobytes()
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {}  # of units without their space
+        self.hot: dict[str, bytes] = {}  # those that most texts need, in a small table that stays in the processor's cache
+        self.calls = 0
+        one = lambda text: self.whole([text])[0]
+        self.marks = {m: one(m) for m in ".,;:!?" if one(f" ab{m}") == one(" ab") + one(m) and one(f" a1{m}") == one(" a1") + one(m)}
         spec = json.loads(self.tokenizer.to_str())
         before = spec.get("pre_tokenizer") or {}
         self.by_units = before.get("type") == "ByteLevel" and bool(before.get("use_regex")) and not before.get("add_prefix_space") and spec.get("normalizer") is None
@@ -181,50 +188,69 @@ class UnitEncoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, units: set[str]) -> None:
-        if len(self.memo) > MEMO_UNITS:
-            self.older, self.memo = self.memo, {}
-        new = units.difference(self.memo)
-        if self.older:
-            again = new.intersection(self.older)
-            self.memo.update((u, self.older[u]) for u in again)
-            new -= again
-        spaced = [u for u in new if u[:1] == " "]
-        others = [u for u in new if u[:1] != " "]
-        self.memo.update(zip(others, self.whole(others)))
-        for at in range(0, len(spaced), 5000):  # one call for many units; their bytes tell where each ends
-            some = spaced[at : at + 5000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, np.int64)
+    def _learn(self, new: set[str]) -> None:
+        """Encodes units (without their space). A mark at a unit's end is a piece of its own."""
+        memo, marks = self.memo, self.marks
+        marked = [u for u in new if u[-1] in marks and u[-2:-1].isalnum() and u.isascii()]
+        new.difference_update(marked)
+        new.update([u[:-1] for u in marked if u[:-1] not in memo])
+        plain = list(new)
+        for at in range(0, len(plain), 5000):  # one call for many units; their bytes tell where each ends
+            some = plain[at : at + 5000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.int64)
             ends = np.cumsum(self.lengths[ids])
-            stops = np.cumsum([len(u.encode()) for u in some])
+            stops = np.cumsum(np.fromiter(map(len, map(str.encode, some)), np.int64, len(some)) + 1)
             cut = np.searchsorted(ends, stops)
-            if len(cut) and cut[-1] < len(ends) and (ends[cut] == stops).all():
+            if cut[-1] < len(ends) and (ends[cut] == stops).all():
                 raw, cut = ids.astype(self.kind).tobytes(), ((cut + 1) * self.width).tolist()
-                self.memo.update((u, raw[a:b]) for u, a, b in zip(some, [0, *cut], cut))
+                memo.update(zip(some, [raw[a:b] for a, b in zip([0, *cut], cut)]))
             else:
-                self.memo.update(zip(some, self.whole(some)))
+                memo.update(zip(some, self.whole([" " + u for u in some])))
+        memo.update([(u, memo[u[:-1]] + marks[u[-1]]) for u in marked])
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, with the end id, as raw bytes. Null is the empty text."""
-        split: list[list[str] | None] = []
-        uneven, units = [], set()
+        if len(self.memo) > MEMO_UNITS:
+            self.memo.clear()
+        often, known, out, waiting = self.hot.get, self.memo.get, [], []
+        uneven, firsts, new, seen = [], [], set(), []
         for t in texts:
             if not t:
-                split.append([])
-            elif not self.by_units or "  " in t or "\n " in t or " \n" in t or t[-1] == " " or _UNEVEN.search(t):
-                split.append(None)
+                out.append([])
+            elif not self.by_units or "  " in t or "\n " in t or " \n" in t or t[-1] == " " or t[0] == " " or _UNEVEN.search(t):
+                out.append(None)
                 uneven.append(t)
             else:
-                first, *rest = t.split(" ")
-                parts = [" " + p for p in rest]
-                if first:
-                    parts.insert(0, first)
-                units.update(parts)
-                split.append(parts)
-        if units:
-            self._learn(units)
-        whole, ids = iter(self.whole(uneven)), self.memo.__getitem__
-        return [(next(whole) if parts is None else b"".join(map(ids, parts))) + self.end for parts in split]
+                first, *parts = t.split(" ")
+                firsts.append(first)
+                got = [b"", *map(often, parts)]
+                if None in got:
+                    gaps = [i for i, g in enumerate(got) if g is None]
+                    need = [parts[i - 1] for i in gaps]
+                    found = list(map(known, need))
+                    if None in found:
+                        new.update([u for u, g in zip(need, found) if g is None])
+                    waiting.append((got, gaps, need, found))
+                out.append(got)
+                seen.append(parts)
+        if new:
+            self._learn(new)
+        if waiting:
+            ids = self.memo.__getitem__
+            for got, gaps, need, found in waiting:
+                for i, u, x in zip(gaps, need, found):
+                    got[i] = ids(u) if x is None else x
+        self.calls += 1
+        if self.calls in HOT_AT:
+            self.hot = {u: self.memo.get(u) or self.hot[u] for u, n in Counter(chain.from_iterable(seen)).most_common(HOT_UNITS) if n > 1}
+        whole, begin = iter(self.whole(uneven)), iter(self.whole(firsts))
+        return [(next(whole) if got is None else next(begin) + b"".join(got) if got else b"") + self.end for got in out]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str, end_id: int | None) -> UnitEncoder:
+    """A worker's encoder: what it has learnt serves its next task, too."""
+    return UnitEncoder(path, end_id)
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,8 +267,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int | Non
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        own = UnitEncoder(path, end_id)
-        gc.disable()
+        own = encoder(path, end_id)
         keys, ids, size = [], [], 0
 
         def close():
@@ -256,25 +281,26 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int | Non
             return row
 
         tie = kind = None
-        for batch in batches:
-            kind = batch.column(0).type
-            text = batch.column(2)
-            sizes = np.asarray(pc.fill_null(pc.binary_length(text), 0)).cumsum()
-            a = 0
-            while a < batch.num_rows:
-                b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + SLICE_BYTES, "right")))
-                names, ties = batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist()
-                for k, h, x in zip(names, ties, own.encode_all(text.slice(a, b - a).to_pylist())):
-                    if not keys:
-                        tie = h
-                    keys.append(k)
-                    ids.append(x)
-                    size += len(x)
-                    if size >= SHARD_BYTES:
-                        yield close()
-                a = b
-        if keys:
-            yield close()
+        with no_cycles():
+            for batch in batches:
+                kind = batch.column(0).type
+                text = batch.column(2)
+                sizes = np.asarray(pc.fill_null(pc.binary_length(text), 0)).cumsum()
+                a = 0
+                while a < batch.num_rows:
+                    b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + SLICE_BYTES, "right")))
+                    names, ties = batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist()
+                    for k, h, x in zip(names, ties, own.encode_all(text.slice(a, b - a).to_pylist())):
+                        if not keys:
+                            tie = h
+                        keys.append(k)
+                        ids.append(x)
+                        size += len(x)
+                        if size >= SHARD_BYTES:
+                            yield close()
+                    a = b
+            if keys:
+                yield close()
 
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_tie"), F.col(text_col).cast("string").alias("_text"))
     ordered = rows.repartitionByRange("_id", "_tie").sortWithinPartitions("_id", "_tie")
