@@ -34,10 +34,10 @@ from thicket.llm._shared import fresh_path, no_cycles, staged
 
 MAGIC = b"THKTOK1\n"
 #: Bytes of ids after which a shard is closed, units that a worker remembers, bytes of text encoded at a time.
-SHARD_BYTES, MEMO_UNITS, SLICE_BYTES = 16_000_000, 700_000, 1_000_000
+SHARD_BYTES, MEMO_UNITS, SLICE_BYTES = 16_000_000, 800_000, 1_000_000
 GAMMA, LEVELS = 1.5, 64
 #: Frequent units that are looked up first, and the calls after which they are chosen anew.
-HOT_UNITS, HOT_AT = 50_000, (1, 4, 16, 64, 256)
+HOT_UNITS, HOT_AT = 30_000, (1, 4, 16, 64, 256)
 
 
 # --- minimal perfect hash -------------------------------------------------------------------------------------------
@@ -154,7 +154,8 @@ def read_shard(path: str) -> Shard:
 # --- encoding -------------------------------------------------------------------------------------------------------
 
 #: White space next to a space, or other than a space and a line end: such texts are encoded as a whole.
-_UNEVEN = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+_ASCII_UNEVEN = ["  ", "\n ", " \n", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"]
+_UNEVEN = re.compile(r"[\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 
 
 class UnitEncoder:
@@ -166,7 +167,7 @@ class UnitEncoder:
     """
 
     def __init__(self, path: str, end_id: int | None):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -179,6 +180,12 @@ class UnitEncoder:
         self.memo: dict[str, bytes] = {}  # of units without their space
         self.hot: dict[str, bytes] = {}  # those that most texts need, in a small table that stays in the processor's cache
         self.calls = 0
+        self.met = np.zeros(1 << 24, bool)  # hashes of the units met so far
+        # For units of plain letters, which are one piece each: the same tokenizer, cutting at spaces alone.
+        self.simple = Tokenizer.from_file(path)
+        self.simple.no_truncation()
+        self.simple.no_padding()
+        self.simple.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         one = lambda text: self.whole([text])[0]
         self.marks = {m: one(m) for m in ".,;:!?" if one(f" ab{m}") == one(" ab") + one(m) and one(f" a1{m}") == one(" a1") + one(m)}
         spec = json.loads(self.tokenizer.to_str())
@@ -188,36 +195,54 @@ class UnitEncoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: set[str]) -> None:
-        """Encodes units (without their space). A mark at a unit's end is a piece of its own."""
-        memo, marks = self.memo, self.marks
-        marked = [u for u in new if u[-1] in marks and u[-2:-1].isalnum() and u.isascii()]
-        new.difference_update(marked)
-        new.update([u[:-1] for u in marked if u[:-1] not in memo])
-        plain = list(new)
-        for at in range(0, len(plain), 5000):  # one call for many units; their bytes tell where each ends
-            some = plain[at : at + 5000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+    def _together(self, tokenizer, units: list[str], out: dict[str, bytes]) -> None:
+        """Adds the units' ids to out: one call for many units, whose bytes tell where each ends."""
+        for at in range(0, len(units), 5000):
+            some = units[at : at + 5000]
+            ids = np.array(tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.int64)
             ends = np.cumsum(self.lengths[ids])
             stops = np.cumsum(np.fromiter(map(len, map(str.encode, some)), np.int64, len(some)) + 1)
             cut = np.searchsorted(ends, stops)
             if cut[-1] < len(ends) and (ends[cut] == stops).all():
                 raw, cut = ids.astype(self.kind).tobytes(), ((cut + 1) * self.width).tolist()
-                memo.update(zip(some, [raw[a:b] for a, b in zip([0, *cut], cut)]))
+                out.update(zip(some, [raw[a:b] for a, b in zip([0, *cut], cut)]))
+            else:
+                out.update(zip(some, self.whole([" " + u for u in some])))
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """The ids of units (without their space) that aren't known. Those met for the second time are remembered: most
+        of a language's words are met once. A mark at a unit's end is a piece of its own."""
+        memo, marks, out = self.memo, self.marks, {}
+        if len(memo) > MEMO_UNITS:
+            memo.clear()
+            self.met[:] = False
+        marked = [u for u in new if u[-1] in marks and u[-2:-1].isalnum() and u.isascii()]
+        new.difference_update(marked)
+        for u in marked:
+            if (base := memo.get(u[:-1])) is not None:
+                out[u] = base + marks[u[-1]]
             else:
-                memo.update(zip(some, self.whole([" " + u for u in some])))
-        memo.update([(u, memo[u[:-1]] + marks[u[-1]]) for u in marked])
+                new.add(u[:-1])
+        simple = [u for u in new if u.isalpha() and u.isascii()]
+        self._together(self.simple, simple, out)
+        self._together(self.tokenizer, list(new.difference(simple)), out)
+        for u in marked:
+            if u not in out:
+                out[u] = out[u[:-1]] + marks[u[-1]]
+        found = list(out)
+        places = np.fromiter(map(hash, found), np.int64, len(found)) & (len(self.met) - 1)
+        memo.update([(u, out[u]) for u, twice in zip(found, self.met[places].tolist()) if twice])
+        self.met[places] = True
+        return out
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, with the end id, as raw bytes. Null is the empty text."""
-        if len(self.memo) > MEMO_UNITS:
-            self.memo.clear()
         often, known, out, waiting = self.hot.get, self.memo.get, [], []
         uneven, firsts, new, seen = [], [], set(), []
         for t in texts:
             if not t:
                 out.append([])
-            elif not self.by_units or "  " in t or "\n " in t or " \n" in t or t[-1] == " " or t[0] == " " or _UNEVEN.search(t):
+            elif not self.by_units or t[0] == " " or t[-1] == " " or any(map(t.__contains__, _ASCII_UNEVEN)) or not t.isascii() and _UNEVEN.search(t):
                 out.append(None)
                 uneven.append(t)
             else:
@@ -233,16 +258,16 @@ class UnitEncoder:
                     waiting.append((got, gaps, need, found))
                 out.append(got)
                 seen.append(parts)
-        if new:
-            self._learn(new)
         if waiting:
-            ids = self.memo.__getitem__
+            fresh = self._learn(new)
+            ids = fresh.__getitem__
             for got, gaps, need, found in waiting:
                 for i, u, x in zip(gaps, need, found):
                     got[i] = ids(u) if x is None else x
         self.calls += 1
         if self.calls in HOT_AT:
-            self.hot = {u: self.memo.get(u) or self.hot[u] for u, n in Counter(chain.from_iterable(seen)).most_common(HOT_UNITS) if n > 1}
+            often = Counter(chain.from_iterable(seen)).most_common(HOT_UNITS)
+            self.hot = {u: x for u, n in often if n > 1 and (x := self.memo.get(u) or self.hot.get(u) or (fresh.get(u) if waiting else None))}
         whole, begin = iter(self.whole(uneven)), iter(self.whole(firsts))
         return [(next(whole) if got is None else next(begin) + b"".join(got) if got else b"") + self.end for got in out]
 
