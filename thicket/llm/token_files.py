@@ -34,17 +34,17 @@ from thicket.llm._shared import fresh_path, no_cycles, staged
 
 MAGIC = b"THKTOK1\n"
 #: Bytes of ids after which a shard is closed, units that a worker remembers, bytes of text encoded at a time.
-SHARD_BYTES, MEMO_UNITS, SLICE_BYTES = 16_000_000, 800_000, 1_000_000
+SHARD_BYTES, MEMO_UNITS, SLICE_BYTES = 16_000_000, 800_000, 2_000_000
 GAMMA, LEVELS = 1.5, 64
-#: Frequent units that are looked up first, and the calls after which they are chosen anew.
-HOT_UNITS, HOT_AT = 30_000, (1, 4, 16, 64, 256)
+#: Frequent units that are looked up first, and the calls in which they are counted.
+HOT_UNITS, HOT_CALLS = 60_000, 12
 
 
 # --- minimal perfect hash -------------------------------------------------------------------------------------------
 
 
 def key_hash(key: object, occurrence: int) -> int:
-    return xxhash.xxh64_intdigest(f"{json.dumps(key)}#{occurrence}")
+    return xxhash.xxh64_intdigest(f"{key if type(key) is int else json.dumps(key)}#{occurrence}")
 
 
 def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
@@ -179,12 +179,10 @@ class UnitEncoder:
         self.end = b"" if end_id is None else np.array([end_id], self.kind).tobytes()
         self.memo: dict[str, bytes] = {}  # of units without their space
         self.hot: dict[str, bytes] = {}  # those that most texts need, in a small table that stays in the processor's cache
-        self.calls = 0
-        self.met = np.zeros(1 << 24, bool)  # hashes of the units met so far
+        self.calls, self.counts = 0, Counter()
+        self.met = np.zeros(1 << 25, bool)  # hashes of the units met so far
         # For units of plain letters, which are one piece each: the same tokenizer, cutting at spaces alone.
-        self.simple = Tokenizer.from_file(path)
-        self.simple.no_truncation()
-        self.simple.no_padding()
+        self.simple = Tokenizer(self.tokenizer.model)
         self.simple.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         one = lambda text: self.whole([text])[0]
         self.marks = {m: one(m) for m in ".,;:!?" if one(f" ab{m}") == one(" ab") + one(m) and one(f" a1{m}") == one(" a1") + one(m)}
@@ -215,7 +213,8 @@ class UnitEncoder:
         memo, marks, out = self.memo, self.marks, {}
         if len(memo) > MEMO_UNITS:
             memo.clear()
-            self.met[:] = False
+            if self.met.mean() > 0.5:
+                self.met[:] = False
         marked = [u for u in new if u[-1] in marks and u[-2:-1].isalnum() and u.isascii()]
         new.difference_update(marked)
         for u in marked:
@@ -264,10 +263,14 @@ class UnitEncoder:
             for got, gaps, need, found in waiting:
                 for i, u, x in zip(gaps, need, found):
                     got[i] = ids(u) if x is None else x
-        self.calls += 1
-        if self.calls in HOT_AT:
-            often = Counter(chain.from_iterable(seen)).most_common(HOT_UNITS)
-            self.hot = {u: x for u, n in often if n > 1 and (x := self.memo.get(u) or self.hot.get(u) or (fresh.get(u) if waiting else None))}
+        if self.calls < HOT_CALLS:
+            self.calls += 1
+            self.counts.update(chain.from_iterable(seen))
+            if self.calls in (1, HOT_CALLS):
+                known = self.memo | self.hot | (fresh if waiting else {})
+                self.hot = {u: known[u] for u, _ in self.counts.most_common(HOT_UNITS) if u in known}
+        elif self.counts:
+            self.counts = Counter()
         whole, begin = iter(self.whole(uneven)), iter(self.whole(firsts))
         return [(next(whole) if got is None else next(begin) + b"".join(got) if got else b"") + self.end for got in out]
 
