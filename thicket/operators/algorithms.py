@@ -14,10 +14,11 @@ from thicket.operators.search import both_ways
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 30, directed: str = "lexicographic") -> DataFrame:
     """ALG-01: (id, rank). A fixed number of rounds from 1/n each; what nodes without outgoing edges hold is spread
     over all nodes. Edges count once each, unweighted, from source to target ('both' for both ways)."""
+    nodes = cut(nodes.select("id"), "nodes")  # a graph may be a long plan; it is worked out once
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("rank"))
-    pairs = edges.select("source", "target") if directed == "lexicographic" else both_ways(edges).select(F.col("n").alias("source"), F.col("m").alias("target"))
+    pairs = cut(edges.select("source", "target") if directed == "lexicographic" else both_ways(edges).select(F.col("n").alias("source"), F.col("m").alias("target")), "pairs")
     out = pairs.groupBy("source").agg(F.count(F.lit(1)).alias("out"))
     links = cut(pairs.join(out, "source").select("source", "target", (1.0 / F.col("out")).alias("share")), "links")
     ranks = cut(nodes.select("id", F.lit(1.0 / n).alias("rank")).join(out.select(F.col("source").alias("id"), F.lit(False).alias("sink")), "id", "left").select("id", "rank", F.coalesce("sink", F.lit(True)).alias("sink")), "ranks")
