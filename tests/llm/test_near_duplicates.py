@@ -133,3 +133,77 @@ def test_one_of_each_stays(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert simhash_groups(none).count() == 0 and keep_one_each(none).count() == 0 and fingerprints(none).count() == 0
+
+
+def five_word_groups(texts):
+    """Smallest position that pairs of 5-word similarity 0.8 or more connect, by brute force over the texts' sets."""
+    sets = []
+    for t in texts:
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    up, where = list(range(len(texts))), {}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    def join(i, j):
+        a, b = sorted((top(i), top(j)))
+        up[b] = a
+
+    empty = [i for i, s in enumerate(sets) if not s]
+    for i in empty:
+        join(empty[0], i)
+    for i, s in enumerate(sets):
+        shared: dict = {}
+        for x in s:
+            for j in where.setdefault(x, []):
+                shared[j] = shared.get(j, 0) + 1
+            where[x].append(i)
+        for j, n in shared.items():
+            if n / (len(s) + len(sets[j]) - n) >= 0.8:
+                join(i, j)
+    return [top(i) for i in range(len(texts))]
+
+
+def test_the_stage_keeps_one_at_five_words_and_four_fifths(spark):
+    from corpus_pipeline import near_duplicates
+
+    rng = random.Random(3)
+    texts = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        for edits in (0, 4, 5, 6, 7, 9, 12):  # similarities from about 0.88 to about 0.67
+            near = list(words)
+            for at in rng.sample(range(300), edits):
+                near[at] = "x" + near[at]
+            texts.append(" ".join(near))
+    texts += ["a b c d e f g h i", "A b c d e f g h i", "a b c d e f g h j", "one", "ONE", "two words", "", " \t"]
+    # Of a text's many copies hardly two are alike, but each is like the text.
+    words = [f"v{i}" for i in range(400)]
+    texts += [" ".join("y" + w if i in at else w for i, w in enumerate(words)) for at in [[], *(rng.sample(range(400), 8) for _ in range(150))]]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted(set(five_word_groups(texts)))
+    assert sorted(r.doc_id for r in near_duplicates(spark, docs, "").collect()) == want
+    assert sorted(r.doc_id for r in keep_one_each(docs).collect()) != want
+
+
+def test_the_stage_on_the_documents(spark, sf):
+    from corpus_pipeline import near_duplicates
+
+    docs = spark.read.parquet(f"{sf}/../sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
+    want = sorted({rows[i].doc_id for i in five_word_groups([r.text for r in rows])})
+    got = sorted(r.doc_id for r in near_duplicates(spark, docs, sf).collect())
+    assert got == want
+
+
+def test_the_stage_without_ids_and_texts(spark):
+    from thicket.llm.minhash import keep_one_alike
+
+    a, b = "the same words in the same order over and over", "quite another text about something else entirely"
+    rows = [(3, a), (1, a), (2, b), (2, b), (None, a), (5, None), (4, "")]
+    got = keep_one_alike(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "2", "4", "None"]

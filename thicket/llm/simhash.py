@@ -30,11 +30,11 @@ LEAF = 96
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """SimHash of the text's word shingles, as an unsigned integer. Null and texts without words: 0."""
+def word_shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the text's word shingles, in order; a text of fewer words is one shingle."""
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -43,7 +43,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     else:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """SimHash of the text's word shingles, as an unsigned integer. Null and texts without words: 0."""
+    hashes = word_shingles(text, shingle)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -222,7 +229,12 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows whose id is null take no part and stay.
     """
-    groups = staged(simhash_groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col), "groups")
+    return without_copies(docs, simhash_groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col), id_col)
+
+
+def without_copies(docs: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
+    """docs without the rows that groups (id_col, component_id) puts under another id, and without repeated ids."""
+    groups = staged(groups.select(id_col, "component_id"), "groups")
     gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
     out = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
     n, distinct = groups.agg(F.count(F.lit(1)), F.count_distinct(F.col(id_col))).first()
