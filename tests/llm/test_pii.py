@@ -81,3 +81,17 @@ def test_very_long_text(spark):
 @pytest.mark.parametrize("text", ["1.2.3", "999.1.1.1", "12345", "a@b", "2024-01-02 10:20:30", "M. Le roi", "1,234,567.89"])
 def test_left_alone(spark, text):
     assert run(spark, [text]) == [(text, 0, [])]
+
+
+def test_texts_of_redrawn_entities_are_counted_before_a_broadcast(spark, monkeypatch):
+    from thicket.llm import pii
+
+    texts = [f"page {i} of zoe.77@mail1.example.com" for i in range(40)]
+    first = {re.search(r"\S+@\S+", t)[0] for t, _, _ in run(spark, texts)}
+    monkeypatch.setattr(pii, "redrawn", lambda entities, key: spark.createDataFrame([("email", "zoe.77@mail1.example.com", 1)], "kind string, norm string, tries int"))
+    sizes, given = [], pii.broadcast_if
+    monkeypatch.setattr(pii, "broadcast_if", lambda df, size, most: (sizes.append((size, most)), given(df, size, most))[1])
+    again = {re.search(r"\S+@\S+", t)[0] for t, _, _ in run(spark, texts)}
+    assert sizes == [(40, 2_000)] and len(first) == len(again) == 1 and first != again
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", 39)  # the shuffled join gives the same
+    assert {re.search(r"\S+@\S+", t)[0] for t, _, _ in run(spark, texts)} == again

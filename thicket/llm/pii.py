@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from thicket.llm._shared import broadcast_if, staged
 
 KEY = "thicket"
-#: Redrawn entities that are looked up by a broadcast at most; beyond, Spark shuffles.
-BROADCAST_ROWS = 200_000
+#: Texts with redrawn entities, a row each, that are looked up by a broadcast at most; beyond, Spark shuffles.
+BROADCAST_ROWS = 2_000
 
 # Forms of address by gender and script; given names by gender and script; syllables of family names.
 MALE, FEMALE, EITHER = ["Mr", "Herr", "Herrn", "Señor", "Monsieur", "Don"], ["Mrs", "Ms", "Miss", "Frau", "Señora", "Señorita", "Madame", "Mademoiselle", "Doña"], ["Dr", "Prof", "Professor", "Doctor", "Doktor"]
@@ -152,9 +152,9 @@ def replace_pii(docs: DataFrame, text_col: str = "text", key: str = KEY) -> Data
     # Only texts that have mentions come through here, and only their mentions.
     some = staged(base.select(found.alias("found"), F.xxhash64(text_col).alias("_row")).where("size(found) > 0").select("_row", F.expr(f"explode({_entities('found')})").alias("e")).select("_row", "e.kind", "e.norm").distinct(), "mentions")
     again = staged(redrawn(some.select("kind", "norm").distinct(), key), "redrawn")
-    per_text = some.join(again, ["kind", "norm"]).groupBy("_row").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "norm"), "tries"))).alias("_tries"))
+    per_text = staged(some.join(again, ["kind", "norm"]).groupBy("_row").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "norm"), "tries"))).alias("_tries")), "tries")
     out = base.withColumn("_text", text).withColumn("_row", F.xxhash64(text_col))
-    out = out.join(broadcast_if(per_text.withColumnRenamed("_row", "_again"), again.count(), BROADCAST_ROWS // 100), F.col("_row") == F.col("_again"), "left")
+    out = out.join(broadcast_if(per_text.withColumnRenamed("_row", "_again"), per_text.count(), BROADCAST_ROWS), F.col("_row") == F.col("_again"), "left")
     tries = "if(_tries is null, 0, coalesce(try_element_at(_tries, concat_ws('|', e.kind, e.norm)), 0))"
     done = f"transform(transform({_entities('found')}, e -> named_struct('kind', e.kind, 'mention', e.mention, 'sur', {_surrogate('e.kind', 'e.norm', tries, key)})), e -> named_struct('kind', e.kind, 'to', {_render('e.kind', 'e.mention', 'e.sur')}))"
     gaps = f"split(_text, {_sql(ANY)}, -1)"
