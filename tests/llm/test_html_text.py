@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from thicket.llm.html_text import content_lines, extract, main_text, smoothed
+from thicket.llm.html_text import Line, content_lines, extract, main_text, smoothed
 
 LONG = "The river ran past the mill and nobody in the valley knew how old the wheel was, or who had built it first."
 PAGE = f"""<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body class="has-sidebar">
@@ -31,6 +31,51 @@ def test_main_with_article():
     assert main_text(f"<main><p>Crumbs</p><article><p>{LONG}</p></article></main>") == LONG
 
 
+FLAT = f"<body><a>Home</a><br><p><a>News</a></p><p><a>About us</a></p><h1>Head</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p><p><a>Imprint</a></p><p><a>Terms</a></p></body>"
+
+
+def test_flat_body_is_cut_by_the_clusters():
+    assert main_text(FLAT) == f"Head\n{LONG}\nShort.\n{LONG}"
+
+
+def test_without_clusters_menus_come_out(monkeypatch):
+    import numpy as np
+
+    from thicket.llm import html_text
+
+    many = f"<article><p>{LONG}</p><ul>" + "".join(f"<li><a>Go {i}</a></li>" for i in range(9)) + f"</ul><p>{LONG}</p></article><article><h2><a>Other</a></h2><a>More</a></article>"
+    want = main_text(FLAT), main_text(many)
+    monkeypatch.setattr(html_text, "content_lines", lambda lines, sigma=0: np.ones(len(lines), bool))
+    assert want[1] == f"{LONG}\n{LONG}" and main_text(FLAT) != want[0] and main_text(many) != want[1]
+
+
+@pytest.mark.parametrize("name", ["post has-sidebar", "content no-comments", "article social-share", "with-comments", "content-without-ads", "header-wide"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_class_words_on_the_text_itself(tag, name):
+    assert main_text(f"<body><div class='sidebar'>Most read</div><{tag} class='{name}'><p>{LONG}</p><p>{LONG}</p></{tag}><footer>us</footer></body>") == f"{LONG}\n{LONG}"
+
+
+def test_sibling_parts_stay():
+    parts = f"<div><p>{LONG}</p></div><section><p>{LONG} 2</p></section>"
+    assert main_text(f"<body><div><a>Home</a></div>{parts}<div><a>Imprint</a></div></body>") == f"{LONG}\n{LONG} 2"
+    assert main_text(f"<body><article><p>{LONG}</p></article><article><p>{LONG} 2</p></article></body>") == f"{LONG}\n{LONG} 2"
+
+
+def test_elements_without_their_end():
+    assert main_text(f"<body><nav><a>Home</a><article><p>{LONG}</p></article></body>") == LONG
+    assert main_text(f"<body><form action='x'><div><a>Home</a></div><article><p>{LONG}</p></article></form></body>") == LONG
+    assert main_text(f"<body><form><p>{LONG}</p><p>{LONG} 2</p></form></body>") == f"{LONG}\n{LONG} 2"
+
+
+def test_articles_that_are_comments():
+    assert main_text(f"<main><article><p>{LONG}</p></article><article class='comment'><p>{LONG} I said.</p></article></main>") == LONG
+
+
+def test_clashing_names(spark):
+    rows = spark.createDataFrame([(PAGE, "a", "b")], "html string, _html string, html_ string")
+    assert extract(rows).select("_html", "html_", "text").first() == ("a", "b", WANT)
+
+
 def test_long_page():
     assert main_text("<article>" + f"<p>{LONG}</p>" * 3000 + "</article>").count("\n") == 2999
 
@@ -39,7 +84,7 @@ def test_smoothing_and_clusters():
     import numpy as np
 
     assert np.allclose(smoothed(np.full(9, 3.0)), 3)
-    lines = [("ab", 4, ())] * 5 + [("x" * 200, 1, ())] * 5
+    lines = [Line("ab", 4)] * 5 + [Line("x" * 200, 1)] * 5
     assert content_lines(lines).tolist()[6:] == [True] * 4 and not content_lines(lines)[:4].any()
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir; where that is unset (one machine), one of our own."""
     place = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         place = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(place)
@@ -53,7 +55,15 @@ def for_python(docs: DataFrame, text_col: str, without: list[str], keep_text: bo
     back = [c for c in kept if keep_text or c != text_col]
     if text_col in kept and given.schema[text_col].dataType == StringType():
         return given, kept.index(text_col), back
-    return given.select(*kept, F.col(text_col).cast("string").alias("_text")), len(kept), back
+    return given.select(*kept, F.col(text_col).cast("string").alias(unused("text", kept))), len(kept), back
+
+
+def unused(name: str, taken: Iterable[str]) -> str:
+    """A column name that none of taken has, whatever their case."""
+    taken = {t.lower() for t in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def with_fields(df: DataFrame, ddl: str) -> StructType:

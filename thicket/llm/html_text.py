@@ -1,35 +1,53 @@
 """Main text of HTML pages: parser events, text-to-tag ratios, smoothing, clustering of content regions.
 
 The standard library's parser is fed a page; its events make lines, one for each block, with the characters and the
-tags of each. The ratios of characters to tags are smoothed by a Gaussian and split in two clusters by a threshold that
-settles between the clusters' means. The lines of the upper cluster are content; they vote, by their characters, for
-the container (article, main, section, table cell or div) that holds the page's content, and the text is that
-container's lines. Menus, headers, footers, asides, forms, scripts, and what is marked as an advert, notice, sidebar or
-reader comment take part in neither.
+tags of each. The logarithms of the ratios of characters to tags are smoothed by a Gaussian and split in two clusters by
+a threshold that settles between the clusters' means. The lines of the upper cluster are content, and they select the
+regions of the page that are its text:
+
+* articles (or main) that hold content; a page's only article always;
+* without those, the branches that hold content below the lowest container of all content. Lines that stand in that
+  container itself count from the first content line to the last, with the headings above them, menus of links left out.
+
+A region's short lines are its own, so a brief paragraph or list in it stays; runs of three or more lines below the
+threshold that are links alone are menus and go. Headers, footers, asides, forms, scripts and what is marked as an
+advert, notice, sidebar or reader comment are left out before. A name of which only a part is such a mark (site-header),
+forms and nav are guesses: they are overruled where the element holds most of the page's text and no article is elsewhere.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
+from os.path import commonprefix
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm._shared import with_fields
+from thicket.llm._shared import unused, with_fields
 
 SIGMA = 1.5
-#: A container below another one is preferred while it holds this share of the content.
+#: Articles inside main are its text if they hold this share of main's content.
 NARROW = 0.7
+#: So many lines of links in a row, below the threshold, are a menu.
+MENU = 3
+#: Pages whose smoothed logarithms differ by less than this (a factor of two) have one cluster.
+ALIKE = 0.7
 
 # Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article body div main section td".split())
-DROPPED = frozenset("aside audio button canvas datalist dialog footer form head header iframe map menu nav noscript object script select style svg template textarea title video".split())
+DROPPED = frozenset("aside audio button canvas datalist dialog footer head header iframe map menu noscript object script select style svg template textarea title video".split())
+GUESSED = frozenset(["form", "nav"])
+#: Their end tags end what is open inside, containers too.
+OUTER = DROPPED | GUESSED | {"html", "table", "tr", "tbody", "ul", "ol", "dl"}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Starting one of these ends an open element of the same line.
 ENDS = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "body": frozenset({"head"})}
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -39,55 +57,93 @@ MARKS = frozenset(
     "navigation newsletter notice notices notification outbrain pager pagination paywall popup popover promo promoted promotion recommended related replies respond share sharing shoutbox sidebar signup skip skyscraper social sponsor sponsored "
     "sponsors subscribe subscription taboola teaser toolbar topbar widget widgets".split()
 )
-_WORDS, _SPACE = re.compile(r"[^a-z0-9]+"), re.compile(r"\s+")
+#: Of these, the ones that an article of its own is marked with.
+COMMENTS = frozenset("comment comments commentlist replies".split())
+#: Before a mark they say that the element is something else.
+NEGATIONS = frozenset("has is no not with without".split())
+_PARTS, _SPACE = re.compile(r"[^a-z0-9]+"), re.compile(r"\s+")
 _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
+STAYS, GUESS, GOES = 0, 1, 2
+
 
-def is_boilerplate(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+def named_mark(name: str, marks: frozenset[str] = MARKS) -> int:
+    """What a class or id says: GOES if it is a mark, GUESS if its first or last part is one and no negation is in it."""
+    if name in marks:
+        return GOES
+    parts = [p for p in _PARTS.split(name) if p]
+    if len(parts) < 2 or not NEGATIONS.isdisjoint(parts):
+        return STAYS
+    return GUESS if parts[0] in marks or parts[-1] in marks else STAYS
+
+
+def boilerplate(tag: str, attrs: list[tuple[str, str | None]]) -> int:
+    """Whether an element GOES with all inside, STAYS, or GOES only if the page has its text elsewhere (GUESS)."""
     if tag in DROPPED:
-        return True
+        return GOES
     if tag in ("html", "body", "main") or not attrs:
-        return False
+        return GUESS if tag in GUESSED else STAYS
+    out = GUESS if tag in GUESSED else STAYS
     for name, value in attrs:
         value = (value or "").lower()
-        if name in ("class", "id") and not MARKS.isdisjoint(_WORDS.split(value)):
-            return True
-        if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDES.search(value):
-            return True
-    return False
+        if name in ("class", "id"):
+            marks = COMMENTS if tag == "article" else MARKS
+            out = max([out, *(named_mark(x, marks) for x in (value.split() if name == "class" else [value.strip()]))])
+        hides = name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDES.search(value)
+        if hides or name == "role" and value in ROLES:
+            return GOES
+    return out
+
+
+class Line(NamedTuple):
+    """A block's text, its number of tags, the containers and the guessed elements around it (outermost first), whether
+    it is a heading, and how many of its characters are in links."""
+
+    text: str
+    tags: int
+    chain: tuple[int, ...] = ()
+    guesses: tuple[int, ...] = ()
+    heading: bool = False
+    links: int = 0
 
 
 class _Lines(HTMLParser):
-    """Lines of a page: text pieces, number of tags, chain of containers."""
+    """The lines of a page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []
-        self.skipping = 0
+        self.open: list[tuple[str, int]] = []
+        self.skipping = self.in_link = self.in_heading = 0
         self.pieces: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
         self.chain: tuple[int, ...] = ()
+        self.guesses: tuple[int, ...] = ()
+        self.n_guesses = 0
         self.kinds: list[str] = []
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        self.lines: list[Line] = []
 
     def cut(self) -> None:
         if self.pieces:
             text = _SPACE.sub(" ", "".join(self.pieces)).strip()
             if text:
-                self.lines.append((text, self.tags, self.chain))
+                self.lines.append(Line(text, self.tags, self.chain, self.guesses, self.in_heading > 0, min(self.linked, len(text))))
             self.pieces = []
-        self.tags = 0
+        self.tags = self.linked = 0
 
     def leave(self, at: int) -> None:
         """Ends the elements from position at of the open ones."""
-        for tag, dropped in self.open[at:]:
-            self.skipping -= dropped
-            if tag in CONTAINERS and not dropped:
+        for tag, what in self.open[at:]:
+            self.skipping -= what == GOES
+            self.in_link -= tag == "a"
+            self.in_heading -= tag in HEADINGS
+            if what == GUESS:
+                self.guesses = self.guesses[:-1]
+            if tag in CONTAINERS and what != GOES:
                 self.chain = self.chain[:-1]
         del self.open[at:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in BLOCKS or tag in DROPPED:
+        if tag in BLOCKS or tag in DROPPED or tag in GUESSED:
             self.cut()
         if not self.skipping:
             self.tags += 1
@@ -101,12 +157,21 @@ class _Lines(HTMLParser):
                 break
             if self.open[i][0] in BLOCKS or self.open[i][1]:
                 break
-        dropped = is_boilerplate(tag, attrs)
-        self.open.append((tag, dropped))
-        self.skipping += dropped
-        if dropped:
+        if tag in ("article", "main"):  # no menu holds an article: its end tag is missing
+            menu = next((i for i, (t, _) in enumerate(self.open) if t == "nav"), None)
+            if menu is not None:
+                self.leave(menu)
+        what = boilerplate(tag, attrs)
+        if what != STAYS:
             self.cut()
-        elif tag in CONTAINERS:
+        self.open.append((tag, what))
+        self.in_link += tag == "a"
+        self.in_heading += tag in HEADINGS
+        self.skipping += what == GOES
+        if what == GUESS:
+            self.guesses += (self.n_guesses,)
+            self.n_guesses += 1
+        if what != GOES and tag in CONTAINERS:
             self.kinds.append(tag if ("role", "main") not in attrs else "main")
             self.chain += (len(self.kinds) - 1,)
 
@@ -117,21 +182,25 @@ class _Lines(HTMLParser):
             self.tags += 1
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in BLOCKS or tag in DROPPED:
+        if tag in BLOCKS or tag in DROPPED or tag in GUESSED:
             self.cut()
         for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
+            own = self.open[i][0]
+            if own == tag:
                 if self.open[i][1]:
                     self.cut()
                 self.leave(i)
                 break
             # An inline element doesn't reach out of its block, a block not out of its container.
-            if self.open[i][0] in BLOCKS and tag not in BLOCKS and tag not in DROPPED or self.open[i][0] in CONTAINERS and tag not in CONTAINERS and tag not in DROPPED and tag not in ("html", "table", "tr", "tbody", "ul", "ol", "dl"):
+            inline = tag not in BLOCKS and tag not in DROPPED and tag not in GUESSED
+            if own in BLOCKS and inline or own in CONTAINERS and tag not in CONTAINERS and tag not in OUTER:
                 break
 
     def handle_data(self, data: str) -> None:
         if not self.skipping:
             self.pieces.append(data)
+            if self.in_link:
+                self.linked += len(data)
 
 
 def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -142,20 +211,93 @@ def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return full / np.convolve(np.ones(len(values)), kernel)[reach : reach + len(values)]
 
 
-def content_lines(lines: list[tuple[str, int, tuple[int, ...]]], sigma: float = SIGMA) -> np.ndarray:
-    """Whether each line is in the upper cluster of smoothed ratios."""
-    ratio = smoothed(np.array([len(t) / max(1, n) for t, n, _ in lines], float), sigma)
-    low, high = ratio.min(), ratio.max()
-    if high - low < 1e-9:
-        return np.ones(len(lines), bool)
+def ratios(lines: list[Line]) -> np.ndarray:
+    return np.log1p([len(x.text) / max(1, x.tags) for x in lines])
+
+
+def threshold(values: np.ndarray) -> float:
+    """Halfway between the means of what is above and below it; less than all values if they are alike."""
+    low, high = values.min(), values.max()
+    if high - low < ALIKE:
+        return float(low) - 1.0
     cut = (low + high) / 2
     for _ in range(50):
-        up = ratio > cut
-        new = (ratio[up].mean() + ratio[~up].mean()) / 2 if up.any() and not up.all() else cut
+        up = values > cut
+        new = (values[up].mean() + values[~up].mean()) / 2 if up.any() and not up.all() else cut
         if abs(new - cut) < 1e-9:
             break
         cut = new
-    return ratio > cut
+    return float(cut)
+
+
+def content_lines(lines: list[Line], sigma: float = SIGMA) -> np.ndarray:
+    """Whether each line is in the upper cluster of smoothed ratios."""
+    smooth = smoothed(ratios(lines), sigma)
+    return smooth > threshold(smooth)
+
+
+def _overruled(lines: list[Line], kinds: list[str]) -> set[int]:
+    """The guessed elements that hold most of the page's text, if no article or main stands outside guessed ones."""
+    if any(not x.guesses and any(kinds[c] in ("article", "main") for c in x.chain) for x in lines):
+        return set()
+    mass: Counter[int] = Counter()
+    for x in lines:
+        for g in x.guesses:
+            mass[g] += len(x.text)
+    return {g for g, n in mass.items() if 2 * n > sum(len(x.text) for x in lines)}
+
+
+def _articles(lines: list[Line], content: np.ndarray, kinds: list[str]) -> set[int]:
+    """The articles, or main, that are the page's text; none if the page has none."""
+    mass: Counter[int] = Counter()
+    inner: dict[int, set[int]] = {}
+    for x, good in zip(lines, content):
+        marked = [c for c in x.chain if kinds[c] in ("article", "main")]
+        if marked:
+            inside = inner.setdefault(marked[0], set())
+            for c in marked[:2]:
+                mass[c] += len(x.text) * bool(good)
+            if len(marked) > 1 and kinds[marked[1]] == "article":
+                inside.add(marked[1])
+    mains = [c for c in inner if kinds[c] == "main" and mass[c]]
+    out = set()
+    for c in mains or [c for c in inner if mass[c]] or inner:
+        within = {a for a in inner[c] if mass[a]} if kinds[c] == "main" else set()
+        out |= within if within and sum(mass[a] for a in within) >= NARROW * mass[c] else {c}
+    return out
+
+
+def _without_menus(lines: list[Line], content: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """keep without runs of MENU or more lines that are links alone and not content."""
+    menu = np.array([bool(k) and not c and x.links >= len(x.text) for x, c, k in zip(lines, content, keep)], bool)
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], menu, [0]))))
+    for a, b in zip(edge[::2], edge[1::2]):
+        if b - a >= MENU:
+            keep[a:b] = False
+    return keep
+
+
+def _branches(lines: list[Line], content: np.ndarray, firm: np.ndarray) -> np.ndarray:
+    """Without articles: which lines belong to the regions around the content lines."""
+    chains = [x.chain for x, good in zip(lines, firm) if good]
+    depth = len(commonprefix(chains))
+    around = chains[0][:depth]
+    branch = [x.chain[depth] if len(x.chain) > depth else None for x in lines]
+    good = {b for b, c in zip(branch, firm) if c and b is not None}
+    inside = np.array([x.chain[:depth] == around for x in lines], bool)
+    keep = inside & np.array([bool(c) if b is None else b in good for b, c in zip(branch, content)], bool)
+    for order in (1, -1):
+        for i in np.flatnonzero(keep)[::order]:
+            if branch[i] is not None or firm[i] or lines[i].heading or lines[i].text[-1] in ".!?:;\u2026":
+                break
+            keep[i] = False
+    at = np.flatnonzero(keep)
+    if len(at):
+        for i in range(at[0], at[-1]):
+            keep[i] |= inside[i] and branch[i] is None and 5 * lines[i].links < 4 * len(lines[i].text)
+        for i in range(len(lines) - 2, -1, -1):
+            keep[i] |= inside[i] and lines[i].heading and branch[i] is None and keep[i + 1]
+    return keep
 
 
 def main_text(html: str | None, sigma: float = SIGMA) -> str:
@@ -167,27 +309,22 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     page.close()
     page.cut()
     lines = page.lines
+    if page.n_guesses:
+        stays = _overruled(lines, page.kinds)
+        lines = [x for x in lines if stays.issuperset(x.guesses)]
     if not lines:
         return ""
-    mass: dict[int, int] = {}
-    total = 0
-    for (text, _, chain), content in zip(lines, content_lines(lines, sigma)):
-        if content:
-            total += len(text)
-            for c in chain:
-                mass[c] = mass.get(c, 0) + len(text)
-    inside: tuple[int, ...] | int | None = None
-    marked = [c for c in mass if page.kinds[c] in ("article", "main")]
-    if marked:
-        # The largest; inside it another one only if that holds nearly all of it.
-        top = max(marked, key=lambda c: (mass[c], -c))
-        inner = [c for c in marked if page.kinds[c] == "article" and c > top and mass[c] >= NARROW * mass[top] and page.kinds[top] == "main"]
-        inside = max(inner, key=lambda c: mass[c]) if inner else top
+    content = content_lines(lines, sigma)
+    # A line beside a long one may be up for its neighbour's sake: regions are chosen by lines that are up on their own.
+    firm = content & (ratios(lines) > threshold(smoothed(ratios(lines), sigma)))
+    firm = firm if firm.any() else content
+    articles = _articles(lines, firm, page.kinds)
+    if articles:
+        keep = np.array([not articles.isdisjoint(x.chain) for x in lines], bool)
     else:
-        for c in sorted(mass):
-            if mass[c] >= NARROW * total:
-                inside = c  # containers are numbered as they open: a later one with so much is inside the earlier
-    return "\n".join(t for t, _, chain in lines if inside is None or inside in chain)
+        keep = _branches(lines, content, firm)
+    keep = _without_menus(lines, firm, keep)
+    return "\n".join(x.text for x, k in zip(lines, keep) if k)
 
 
 def extract(pages: DataFrame, html_col: str = "html", sigma: float = SIGMA) -> DataFrame:
@@ -203,6 +340,7 @@ def extract(pages: DataFrame, html_col: str = "html", sigma: float = SIGMA) -> D
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 text = [main_text(x.as_py(), sigma) for x in part.column(len(kept))]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], schema.names)
+                cols = [*part.columns[: len(kept)], pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    return pages.select(*kept, F.col(html_col).cast("string").alias("_html")).mapInArrow(run, schema)
+    return pages.select(*kept, F.col(html_col).cast("string").alias(unused("html", kept))).mapInArrow(run, schema)
