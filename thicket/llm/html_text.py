@@ -317,7 +317,7 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     content = content_lines(lines, sigma)
     # A line beside a long one may be up for its neighbour's sake: regions are chosen by lines that are up on their own.
     firm = content & (ratios(lines) > threshold(smoothed(ratios(lines), sigma)))
-    firm = firm if firm.any() else content
+    firm = firm if firm.any() and not content.all() else content
     articles = _articles(lines, firm, page.kinds)
     if articles:
         keep = np.array([not articles.isdisjoint(x.chain) for x in lines], bool)
