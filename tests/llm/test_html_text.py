@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from thicket.llm.html_text import Line, content_lines, extract, main_text, smoothed
+from thicket.llm.html_text import Line, clusters, extract, main_text, smoothed
 
 LONG = "The river ran past the mill and nobody in the valley knew how old the wheel was, or who had built it first."
 PAGE = f"""<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body class="has-sidebar">
@@ -45,7 +45,7 @@ def test_without_clusters_menus_come_out(monkeypatch):
 
     many = f"<article><p>{LONG}</p><ul>" + "".join(f"<li><a>Go {i}</a></li>" for i in range(9)) + f"</ul><p>{LONG}</p></article><article><h2><a>Other</a></h2><a>More</a></article>"
     want = main_text(FLAT), main_text(many)
-    monkeypatch.setattr(html_text, "content_lines", lambda lines, sigma=0: np.ones(len(lines), bool))
+    monkeypatch.setattr(html_text, "clusters", lambda lines, sigma=0: (np.ones(len(lines), bool),) * 2)
     assert want[1] == f"{LONG}\n{LONG}" and main_text(FLAT) != want[0] and main_text(many) != want[1]
 
 
@@ -85,7 +85,8 @@ def test_smoothing_and_clusters():
 
     assert np.allclose(smoothed(np.full(9, 3.0)), 3)
     lines = [Line("ab", 4)] * 5 + [Line("x" * 200, 1)] * 5
-    assert content_lines(lines).tolist()[6:] == [True] * 4 and not content_lines(lines)[:4].any()
+    content, firm = clusters(lines)
+    assert content.tolist()[6:] == firm.tolist()[6:] == [True] * 4 and not content[:4].any() and not firm[:5].any()
 
 
 def test_extract_rows(spark):

@@ -230,10 +230,15 @@ def threshold(values: np.ndarray) -> float:
     return float(cut)
 
 
-def content_lines(lines: list[Line], sigma: float = SIGMA) -> np.ndarray:
-    """Whether each line is in the upper cluster of smoothed ratios."""
-    smooth = smoothed(ratios(lines), sigma)
-    return smooth > threshold(smooth)
+def clusters(lines: list[Line], sigma: float = SIGMA) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each line is content, in the upper cluster of smoothed ratios; and whether it is so on its own. Regions are
+    chosen by the latter, as a line beside a long one may be up for its neighbour's sake."""
+    raw = ratios(lines)
+    smooth = smoothed(raw, sigma)
+    cut = threshold(smooth)
+    content = smooth > cut
+    firm = content & (raw > cut)
+    return content, firm if firm.any() else content
 
 
 def _overruled(lines: list[Line], kinds: list[str]) -> set[int]:
@@ -314,10 +319,7 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
         lines = [x for x in lines if stays.issuperset(x.guesses)]
     if not lines:
         return ""
-    content = content_lines(lines, sigma)
-    # A line beside a long one may be up for its neighbour's sake: regions are chosen by lines that are up on their own.
-    firm = content & (ratios(lines) > threshold(smoothed(ratios(lines), sigma)))
-    firm = firm if firm.any() and not content.all() else content
+    content, firm = clusters(lines, sigma)
     articles = _articles(lines, firm, page.kinds)
     if articles:
         keep = np.array([not articles.isdisjoint(x.chain) for x in lines], bool)
