@@ -117,3 +117,25 @@ def test_few_or_no_vectors(spark):
     assert neighbours(df.limit(0), df).count() == 0 and neighbours(df, df.limit(0)).count() == 0
     one = df.where("vec_id = 0")
     assert neighbours(one, one).count() == 0
+
+
+def test_lengths_apart(spark):
+    rows = [(i, [float(i % 7 + 1), float(i % 5), 1.0]) for i in range(40)] + [(100 + i, [1.0, 2.0]) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = brute([r for r in rows if len(r[1]) == 3], [0])
+    asked = spark.createDataFrame([(0, rows[0][1]), (100, [1.0, 2.0]), (101, [1.0, 2.0]), (102, [3.0])], "vec_id long, embedding array<float>")
+    got = found(neighbours(df, asked, share=1.0))
+    assert {q: [i for i, _ in g] for q, g in got.items()} == {q: [i for i, _ in w] for q, w in want.items()}
+    assert neighbours(df, asked.where("vec_id > 0")).count() == 0
+
+
+def test_calls_are_bounded(spark, monkeypatch):
+    from thicket.llm import ann
+
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 32)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 8)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.random(4).tolist()) for i in range(500)]
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, slice int, block int")
+    got, want = found(ann.neighbours(df, df.where("vec_id % 10 = 0"), share=1.0)), brute(rows, range(0, 500, 10))
+    assert {q: [i for i, _ in g] for q, g in got.items()} == {q: [i for i, _ in w] for q, w in want.items()}

@@ -23,8 +23,8 @@ SAMPLE_ROWS, ROUNDS, CENTROIDS = 20_000, 12, 64
 #: The share of the vectors whose cells a query visits, and how many it visits at least. Vectors without clusters need
 #: a large share (README has recall figures).
 SHARE, LEAST = 0.5, 2000
-#: Vectors that one ranking step holds.
-BLOCK_ROWS = 4096
+#: A ranking call holds about BLOCK_ROWS vectors (up to twice as many) and QUERY_ROWS queries, whatever the tables' sizes.
+BLOCK_ROWS, QUERY_ROWS = 4096, 2048
 
 
 def codebook(x: np.ndarray, k: int = CENTROIDS, rounds: int = ROUNDS) -> np.ndarray:
@@ -70,15 +70,22 @@ def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, enough: int)
     return out
 
 
-def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, v): ids and vectors that take part: not null, not empty, not zero, all components finite, of the length
-    that most vectors have. Repeated rows count once."""
+def usable(vectors: DataFrame, id_col: str, vec_col: str, size: int | None = None) -> DataFrame:
+    """(vec_id, v): ids and vectors that take part: not null, not empty, not zero, all components finite, of size
+    components (None: as many as most vectors have, fewer on a tie). Repeated rows count once."""
     v = F.col(vec_col).cast("array<double>")
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).alias("vec_id"), v.alias("v"))
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0.0)
     rows = rows.where(good)
-    top = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == (top["n"] if top else 0)).dropDuplicates(["vec_id", "v"])
+    if size is None:
+        top = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+        size = top["n"] if top else 0
+    return rows.where(F.size("v") == size).dropDuplicates(["vec_id", "v"])
+
+
+def _matrix(column, size: int) -> np.ndarray:
+    """An Arrow column of lists of size numbers, as rows."""
+    return np.asarray(column.combine_chunks().flatten(), float).reshape(-1, size)
 
 
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", share: float = SHARE, centroids: int = CENTROIDS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -86,8 +93,9 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
     by Euclidean distance in double precision, its own id left out; ties go to the smaller id.
 
     queries has rows of vectors' columns. Vectors that are null, zero, or hold null or non-finite components take no
-    part, as queries or candidates. Where many ids share one vector, the k + 1 smallest stand for it: no other could be
-    among a query's k nearest. Without vectors or queries the result is empty.
+    part, as queries or candidates; nor do those of another length than most of vectors have. Where many ids share one
+    vector, the k + 1 smallest stand for it: no other could be among a query's k nearest. Without vectors or queries the
+    result is empty. Other columns are ignored, whatever their names.
     """
     spark = vectors.sparkSession
     rows = staged(usable(vectors, id_col, vec_col), "vectors")
@@ -95,8 +103,10 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
     out_schema = "query_id bigint, vec_id bigint, score double"
     if not total:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    size = rows.select(F.size("v")).first()[0]
     part = min(1_000_000, math.ceil(1e6 * sample_rows / total))
-    sample = np.array([r[0] for r in rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < part).select("v").limit(2 * sample_rows).collect()] or [rows.first()["v"]])
+    drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < part).limit(2 * sample_rows)
+    sample = np.concatenate([_matrix(x.select("v").toArrow().column(0), size) for x in (drawn, rows.limit(1))])
     half = sample.shape[1] // 2
     books = [codebook(sample[:, :half], centroids), codebook(sample[:, half:], centroids)] if half else [np.zeros((1, 0)), codebook(sample, centroids)]
     width = len(books[1])
@@ -108,7 +118,8 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
 
     # Ranks are cut in each task before rows are dealt, so a vector that very many ids share is no burden.
     same = Window.partitionBy("v").orderBy("vec_id")
-    rows = rows.withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    rows = rows.withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1)
+    rows = rows.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))  # k + 1 at most
     index = staged(rows.withColumn("cell", cell_of("v")), "multiindex")
     counts = np.zeros(len(books[0]) * width, np.int64)
     for r in index.groupBy("cell").count().collect():  # at most as many as there are cells
@@ -128,7 +139,8 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
         return pd.Series(out)
 
     # Cells in order, cut to blocks of about BLOCK_ROWS; a cell larger than that is dealt to several parts.
-    subs = np.array([max(1, math.ceil(counts[(block_of[b - 1] + 1 if b else 0) : (block_of[b] + 1 if b < blocks - 1 else None)].sum() / (2 * BLOCK_ROWS))) for b in range(blocks)])
+    edges = [0, *(block_of + 1).tolist(), len(counts)]
+    subs = np.array([max(1, math.ceil(counts[a:b].sum() / (2 * BLOCK_ROWS))) for a, b in zip(edges, edges[1:])])
 
     @F.pandas_udf("struct<block:int,sub:int>")
     def dealt(cell: pd.Series, salt: pd.Series) -> pd.DataFrame:
@@ -139,8 +151,14 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
     def parts(block: pd.Series) -> pd.Series:
         return pd.Series([list(range(subs[b])) for b in block])
 
-    left = index.withColumn("at", dealt("cell", F.pmod(F.xxhash64("v"), F.lit(1 << 20)))).select("at.block", "at.sub", "cell", "v", "ids")
-    asked = usable(queries, id_col, vec_col).select(F.col("vec_id").alias("query_id"), "v", F.explode(visits("v")).alias("w")).select("query_id", "v", "w.block", "w.cells").withColumn("sub", F.explode(parts("block")))
+    asked = staged(usable(queries, id_col, vec_col, size).select(F.col("vec_id").alias("query_id"), "v"), "queries")
+    slices = max(1, math.ceil(asked.count() / QUERY_ROWS))
+    # Vectors in blocks against queries in slices; a query goes to the blocks that it visits only.
+    left = index.withColumn("at", dealt("cell", F.pmod(F.xxhash64("v"), F.lit(1 << 20))))
+    left = left.select("at.block", "at.sub", "cell", "v", "ids", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    asked = asked.withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int"))
+    asked = asked.select("query_id", "v", "slice", F.explode(visits("v")).alias("w")).select("query_id", "v", "slice", "w.block", "w.cells")
+    asked = asked.withColumn("sub", F.explode(parts("block")))
 
     def rank(members: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
         got: list[tuple] = []
@@ -158,6 +176,6 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
                 got += [(int(q), d, s) for s, d in heapq.nsmallest(k, close)]
         return pd.DataFrame(got, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    found = left.groupBy("block", "sub").cogroup(asked.groupBy("block", "sub")).applyInPandas(rank, out_schema)
+    found = left.groupBy("block", "sub", "slice").cogroup(asked.groupBy("block", "sub", "slice")).applyInPandas(rank, out_schema)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
