@@ -64,10 +64,26 @@ def test_without_items_or_documents(spark):
 def test_dropping(spark):
     text = "one two three four five six seven eight nine ten eleven"
     docs = [(1, text), (2, "One, two: three four five six seven eight nine ten!"), (3, "one two three four five six seven eight nine"), (None, text), (4, None)]
-    d = spark.createDataFrame(docs, "doc_id long, text string")
+    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'a' AS _row", "'b' AS row", "'c' AS _tag", "'d' AS row_", "'e' AS w")
+    out = drop_contaminated(d, spark.createDataFrame([(9, text)], "item_id long, text string"))
+    assert out.columns == d.columns and {tuple(r)[2:] for r in out.collect()} == {tuple("abcde")}
     assert sorted(r.doc_id for r in drop_contaminated(d, spark.createDataFrame([(9, text)], "item_id long, text string")).collect()) == [3, 4]
 
 
+def test_extra_columns_of_items(spark):
+    text = "one two three four five six seven eight nine ten eleven"
+    d = spark.createDataFrame([(1, text, "x", 5)], "doc_id long, text string, item string, n int")
+    i = spark.createDataFrame([(9, text, "y", 6), (9, text, "z", 7)], "item_id long, text string, gram string, n int")
+    assert [tuple(r)[:4] for r in contamination(d, i).collect()] == [(1, 11, 11, 1)]
+
+
+def test_a_window_that_all_items_share(spark):
+    text = " ".join(f"w{k}" for k in range(10))
+    d = spark.createDataFrame([(k, (text + " x ") * 20) for k in range(3)], "doc_id long, text string")
+    i = spark.createDataFrame([(k, text) for k in range(500)], "item_id long, text string")
+    assert {(r.n_hit, r.n_items) for r in contamination(d, i).collect()} == {(200, 500)}
+
+
 def test_no_python_in_the_plan(spark):
     docs, items = made(1)
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")

@@ -2,7 +2,8 @@
 
 A text's fingerprints: of each window of WINDOW words, the smallest hash among its k-grams, k = (WINDOW + 1) // 2. Two
 texts that share a window of that many words share its fingerprint, so joining the fingerprints finds every document
-that may hold a window of an item. In those documents the windows that gave a hit are then compared word by word.
+that may hold a window of an item. In those documents the windows that gave a hit are then compared word by word, which
+extends a hit to every word of the shared span.
 Items shorter than WINDOW words are one window each, and are winnowed by their own length.
 """
 
@@ -11,13 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm._shared import ascii_lower, broadcast_if, staged
+from thicket.llm._shared import ascii_lower, broadcast_if, staged, unused
 
 WINDOW = 10
 #: Fixed by the contract: what a word is, after A-Z have been lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Item fingerprints, and fingerprints of documents with hits, that are broadcast at most; beyond, Spark shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of fingerprints, windows or document keys that are broadcast at most, measured; beyond, Spark shuffles.
+BROADCAST_BYTES = 16_000_000
 
 
 def words(text: Column) -> Column:
@@ -46,16 +47,23 @@ def _fingerprints(lengths: list[int]) -> str:
 
 
 def _windows(lengths: list[int]) -> str:
-    """SQL: start and length of the windows of the words w whose fingerprint is in hits."""
-    each = [_let(_winnowed(n), "m", f"filter(transform(sequence(0, greatest(size(m) - 1, 0)), i -> named_struct('at', i, 'n', {n})), p -> p.at < size(m) and array_contains(hits, xxhash64(m[p.at], {n})))") for n in lengths]
+    """SQL: start, length and fingerprint of every window of the words w."""
+    each = [f"transform({_winnowed(n)}, (x, i) -> named_struct('at', i, 'n', {n}, 'mark', xxhash64(x, {n})))" for n in lengths]
     return _let("transform(w, x -> xxhash64(x))", "h", f"concat({', '.join(each)})")
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """(n, gram, items): the distinct windows of the items, as text of n words, and the ids of their items, as sorted text."""
+    """(n, gram, item): the distinct windows of each item, as text of n words."""
     w = items.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).where("size(w) > 0")
-    grams = w.select("item", F.expr(f"least(size(w), {window})").alias("n"), F.expr(f"explode(transform(sequence(1, size(w) - least(size(w), {window}) + 1), i -> array_join(slice(w, i, least(size(w), {window})), ' ')))").alias("gram"))
-    return grams.groupBy("n", "gram").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    n = f"least(size(w), {window})"
+    grams = f"explode(transform(sequence(1, size(w) - {n} + 1), i -> array_join(slice(w, i, {n}), ' ')))"
+    return w.select("item", F.expr(n).alias("n"), F.expr(grams).alias("gram")).distinct()
+
+
+def _bytes(df: DataFrame, *texts: str) -> int:
+    """About how much memory df takes: its texts and 32 bytes a row."""
+    each = sum((F.coalesce(F.octet_length(t), F.lit(0)) for t in texts), F.lit(32).cast("long"))
+    return df.agg(F.coalesce(F.sum(each), F.lit(0))).first()[0]
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -65,30 +73,45 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     hits words but isn't counted. Without items nothing is hit. Other columns are ignored, whatever their names.
     """
     own = staged(item_windows(items, item_col, item_text_col, window), "windows")
-    lengths = sorted(r["n"] for r in own.select("n").distinct().collect()) or [window]  # at most window numbers
+    grams = staged(own.select("n", "gram").distinct(), "grams")
+    lengths = sorted(r["n"] for r in grams.select("n").distinct().collect()) or [window]  # at most window numbers
     # The fingerprint of an item's window is that of the window alone.
-    mark = own.select(F.split("gram", " ").alias("w")).select(F.explode(F.expr(_fingerprints(lengths))).alias("mark")).distinct()
-    mark = staged(mark, "marks")
+    mark = staged(grams.select(F.split("gram", " ").alias("w")).select(F.explode(F.expr(_fingerprints(lengths))).alias("mark")).distinct(), "marks")
+    mark = broadcast_if(mark, _bytes(mark), BROADCAST_BYTES)
     key = [F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_key")]
-    seen = staged(docs.select(*key, words(F.col(text_col)).alias("w")).select("_id", "_key", F.size("w").cast("long").alias("n_words"), F.expr(_fingerprints(lengths)).alias("marks")), "winnowed")
-    hits = seen.select("_id", "_key", F.explode("marks").alias("mark")).join(broadcast_if(mark, mark.count(), BROADCAST_ROWS), "mark").groupBy("_id", "_key").agg(F.collect_set("mark").alias("hits"))
-    hits = staged(hits, "hits")
-    size = hits.agg(F.coalesce(F.sum(F.size("hits") + 4), F.lit(0))).first()[0]
-    again = docs.select(*key, F.col(text_col).alias("_text")).alias("d").join(broadcast_if(hits, size, BROADCAST_ROWS).alias("h"), F.col("d._id").eqNullSafe(F.col("h._id")) & (F.col("d._key") == F.col("h._key")))
-    found = again.select("d._id", "d._key", words(F.col("_text")).alias("w"), "hits").select("_id", "_key", "w", F.explode(F.expr(_windows(lengths))).alias("p"))
-    found = found.select("_id", "_key", F.col("p.at").alias("at"), F.col("p.n").alias("n"), F.expr("array_join(slice(w, p.at + 1, p.n), ' ')").alias("gram"))
-    found = found.join(broadcast_if(own, own.count(), BROADCAST_ROWS // 10), ["n", "gram"]).groupBy("_id", "_key").agg(
-        F.array_sort(F.collect_set(F.struct("at", (F.col("at") + F.col("n")).alias("end")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
-    )
+    seen = docs.select(*key, words(F.col(text_col)).alias("w"))
+    seen = staged(seen.select("_id", "_key", F.size("w").cast("long").alias("n_words"), F.expr(_fingerprints(lengths)).alias("marks")), "winnowed")
+    hits = staged(seen.select("_id", "_key", F.explode("marks").alias("mark")).join(mark, "mark", "left_semi").select("_id", "_key").distinct(), "hits")
+    # The documents with hits: their windows with an item's fingerprint, then those windows' words beside the items'.
+    same = lambda a, b: F.col(f"{a}._id").eqNullSafe(F.col(f"{b}._id")) & (F.col(f"{a}._key") == F.col(f"{b}._key"))
+    few = broadcast_if(hits, _bytes(hits.select(F.col("_id").cast("string").alias("t")), "t"), BROADCAST_BYTES)
+    again = docs.select(*key, F.col(text_col).cast("string").alias("_text")).alias("d").join(few.alias("h"), same("d", "h"), "left_semi")
+    again = staged(again.groupBy("_id", "_key").agg(F.first("_text").alias("_text")), "suspects").withColumn("w", words(F.col("_text")))
+    spots = again.select("_id", "_key", F.explode(F.expr(_windows(lengths))).alias("p")).select("_id", "_key", "p.*").join(mark, "mark", "left_semi")
+    spots = staged(spots.groupBy("_id", "_key").agg(F.collect_list(F.struct("at", "n")).alias("spots")), "spots")
+    found = again.alias("d").join(spots.alias("s"), same("d", "s")).select("d._id", "d._key", F.explode(F.expr("transform(spots, p -> named_struct('at', p.at, 'n', p.n, 'gram', array_join(slice(w, p.at + 1, p.n), ' ')))")).alias("p"))
+    found = found.select("_id", "_key", "p.*").join(broadcast_if(grams, _bytes(grams, "gram"), BROADCAST_BYTES), ["n", "gram"], "left_semi")
+    found = staged(found, "found")
+    spans = found.groupBy("_id", "_key").agg(F.array_sort(F.collect_set(F.struct("at", (F.col("at") + F.col("n")).alias("end")))).alias("spans"))
     # Windows in order of their start: each adds the words beyond the furthest end so far.
     n_hit = F.expr("aggregate(spans, named_struct('n', 0L, 'end', 0), (a, s) -> named_struct('n', a.n + greatest(s.end - greatest(s.at, a.end), 0), 'end', greatest(a.end, s.end)), a -> a.n)")
-    found = found.select(F.col("_id").alias("_f"), F.col("_key").alias("_g"), n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
-    out = seen.select("_id", "_key", "n_words").join(found, F.col("_id").eqNullSafe(F.col("_f")) & (F.col("_key") == F.col("_g")), "left")
-    return out.select(F.col("_id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    spans = spans.select("_id", "_key", n_hit.alias("n_hit"))
+    ids = found.select("_id", "_key", "n", "gram").distinct().join(own, ["n", "gram"]).where("item is not null").select("_id", "_key", "item").distinct()
+    ids = ids.groupBy("_id", "_key").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    ids = ids.select("_id", "_key", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    found = spans.alias("s").join(ids.alias("i"), same("s", "i"), "left").select("s._id", "s._key", "n_hit", "n_items", "items_sha256")
+    out = seen.select("_id", "_key", "n_words").alias("d").join(staged(found, "contaminated").alias("f"), same("d", "f"), "left")
+    none = F.lit(0).cast("long")
+    return out.select(
+        F.col("d._id").alias(id_col), "n_words", F.coalesce("n_hit", none).alias("n_hit"), F.coalesce("n_items", none).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_hit", none) > 0).alias("contaminated"),
+    )
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """docs without the rows that hold a window of an item. Rows are told apart by id and text, so a null id is no obstacle."""
-    tagged = docs.withColumn("_row", F.xxhash64(F.col(id_col).cast("string"), text_col))
-    bad = contamination(tagged.select(F.col("_row").alias("_tag"), F.col(text_col).alias("_body")), items, "_tag", "_body", window=window).where("contaminated").select("_tag").distinct()
-    return tagged.join(bad, F.col("_row") == F.col("_tag"), "left_anti").drop("_row")
+    row = unused("row", docs.columns)
+    tagged = docs.withColumn(row, F.xxhash64(F.col(id_col).cast("string"), text_col))
+    own = tagged.select(F.col(row).alias("_tag"), F.col(text_col).alias("_body"))
+    bad = contamination(own, items, "_tag", "_body", window=window).where("contaminated").select(F.col("_tag").alias(row)).distinct()
+    return tagged.join(bad, row, "left_anti").select(*docs.columns)
