@@ -31,6 +31,13 @@ def test_verdicts(spark):
         assert (r.host, r.path, r.rule, r.verdict) == URLS.get(r.url, ("", "", None, "allow"))
 
 
+def test_clashing_names_of_pages(spark):
+    names = ["u", "r", "p", "judged", "url_", "token", "n", "target", "copies"]
+    rows = [(i, u, *names) for i, u in enumerate(URLS)]
+    got = judge(spark.createDataFrame(rows, "page_id long, url string, " + ", ".join(f"{n} string" for n in names)), rule_table(spark, HOST_RULES, PATTERNS)).collect()
+    assert {r.url: (r.host, r.path, r.rule, r.verdict) for r in got} == URLS and all(tuple(r)[2:11] == tuple(names) for r in got)
+
+
 def test_empty_tables(spark):
     pages, rules = spark.createDataFrame([], "page_id long, url string"), rule_table(spark, HOST_RULES, PATTERNS)
     assert judge(pages, rules).count() == 0

@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm._shared import LOWER, UPPER, ascii_lower, broadcast_if
+from thicket.llm._shared import LOWER, UPPER, ascii_lower, broadcast_if, unused
 
 #: Rules that are broadcast at most; beyond, Spark shuffles.
 BROADCAST_ROWS = 200_000
@@ -73,21 +73,34 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     Null urls and urls without :// have an empty host and path, and fit no rule. Repeated rows get the same verdict;
     columns of pages with those names are replaced. Rules of one length go by their text.
     """
-    base = pages.select(*[c for c in pages.columns if c not in ("host", "path", "rule", "pattern", "verdict")])
-    url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
-    urls = base.select(url.alias("u")).distinct().select("u", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"))
+    base = pages.select(*[c for c in pages.columns if c.lower() not in ("host", "path", "rule", "pattern", "verdict")])
+    own = unused("url", base.columns)
+    judged = unused("judged", [*base.columns, own])
+    keyed = base.withColumn(own, F.coalesce(F.col(url_col).cast("string"), F.lit("")))
+    urls = keyed.select(F.col(own).alias("u")).distinct().select("u", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"))
     urls = urls.withColumn("target", F.concat("host", "path"))
     tokens = F.array_distinct(F.split(ascii_lower(F.concat_ws("/", "host", "path")), SEPARATORS))
     n_rules = rules.count()
     literal = rules.select(F.explode("tokens").alias("token")).distinct()
-    counts = urls.select(F.explode(tokens).alias("token")).join(broadcast_if(literal, n_rules, BROADCAST_ROWS // 10), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    counts = urls.select(F.explode(tokens).alias("token")).join(broadcast_if(literal, n_rules, BROADCAST_ROWS // 10), "token", "left_semi")
+    counts = counts.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     # The rarest token of each rule; a token that no URL has is the rarest of all. No token at all: the empty one, which every URL is given.
     spread = rules.select("rule", F.col("host").alias("rh"), F.col("path").alias("rp"), "action", "regex", F.explode_outer("tokens").alias("token"))
-    best = spread.join(counts, "token", "left").groupBy("rule", "rh", "rp", "action", "regex").agg(F.min_by(F.coalesce("token", F.lit("*")), F.struct(F.coalesce("n", F.lit(0)), F.coalesce("token", F.lit("*")))).alias("token"))
-    fetched = urls.select("u", "host", "path", "target", F.explode(F.array_union(tokens, F.array(F.lit("*")))).alias("token")).join(broadcast_if(best, n_rules, BROADCAST_ROWS), "token")
-    fits = F.col("rh").isNotNull() & ((F.col("host") == F.col("rh")) | F.endswith(F.col("host"), F.concat(F.lit("."), "rh"))) & F.startswith(F.col("path"), F.col("rp"))
+    rarity = F.struct(F.coalesce("n", F.lit(0)), F.coalesce("token", F.lit("*")))
+    best = spread.join(counts, "token", "left").groupBy("rule", "rh", "rp", "action", "regex").agg(F.min_by(F.coalesce("token", F.lit("*")), rarity).alias("token"))
+    fetched = urls.select("u", "host", "path", "target", F.explode(F.array_union(tokens, F.array(F.lit("*")))).alias("token"))
+    fetched = fetched.join(broadcast_if(best, n_rules, BROADCAST_ROWS), "token")
+    below = F.endswith(F.col("host"), F.concat(F.lit("."), "rh"))
+    fits = F.col("rh").isNotNull() & ((F.col("host") == F.col("rh")) | below) & F.startswith(F.col("path"), F.col("rp"))
     matches = F.col("regex").isNotNull() & F.expr("target rlike regex")
     order = F.struct((-F.length("rule")).alias("l"), F.col("rule").alias("rule"), F.col("action").alias("action"))
-    found = fetched.where((F.col("host") != "") & (fits | matches)).groupBy("u").agg(F.min(F.when(F.col("rh").isNotNull(), order)).alias("r"), F.min(F.when(F.col("rh").isNull(), F.struct("rule", "action"))).alias("p"))
-    out = base.withColumn("_url", url).join(found, F.col("_url") == F.col("u"), "left")
-    return out.select(*base.columns, host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"), F.col("r.rule").alias("rule"), F.col("p.rule").alias("pattern"), F.coalesce("r.action", "p.action", F.lit(default)).alias("verdict"))
+    found = fetched.where((F.col("host") != "") & (fits | matches)).groupBy("u").agg(
+        F.min(F.when(F.col("rh").isNotNull(), order)).alias("r"), F.min(F.when(F.col("rh").isNull(), F.struct("rule", "action"))).alias("p")
+    )
+    # Pages are joined by their url: one that very many pages have is split by Spark, as it has one row on the other side.
+    out = keyed.join(found.select(F.col("u").alias(own), F.struct("r", "p").alias(judged)), own, "left")
+    verdict = F.coalesce(f"{judged}.r.action", f"{judged}.p.action", F.lit(default))
+    return out.select(
+        *base.columns, host_of(F.col(own)).alias("host"), path_of(F.col(own)).alias("path"),
+        F.col(f"{judged}.r.rule").alias("rule"), F.col(f"{judged}.p.rule").alias("pattern"), verdict.alias("verdict"),
+    )
