@@ -1,165 +1,302 @@
 """Personal data: keyed surrogates of the same type and form, in DataFrame and SQL functions only.
 
-What is found (e-mail addresses, phone numbers, IPv4 and IPv6 addresses, card and other long numbers, IBANs, social
-security numbers, secrets after their keyword, persons after a form of address) is replaced by a surrogate that
-depends on a key, the type and the entity alone: the same entity gets the same surrogate in every document, whatever
-its case or separators. Digits stand for digits and letters for letters, separators and case stay; persons get a first
-name of the gender their form of address tells and names of their script. Surrogates are checked: two entities of one
-type that would share a surrogate, or a surrogate that is itself an entity of the corpus, are drawn again.
+What is found (e-mail addresses, phone numbers, IPv4 and IPv6 addresses, card numbers with a right check digit, IBANs with
+right check digits, social security numbers, secrets after their keyword, persons after a form of address) is replaced by
+a surrogate that depends on a key, the type and the entity alone: the same entity gets the same surrogate in every
+document, whatever its case or separators. Digits stand for digits and letters for letters, separators and case stay,
+check digits are right again.
+
+A person who is named with a form of address is found in the rest of that document without it, too, by full name or
+family name. A family name has one surrogate; so 'Dr. Anna Schmidt', 'Frau Schmidt' and 'Anna Schmidt' stay one person. A
+given name is drawn for the full name, in its script, and in the gender that the forms of address tell, those of the
+family name alone included if the document has one full name with it.
+
+Surrogates are checked: two entities of one type that would share a surrogate, or a surrogate that is itself an entity of
+the corpus, are drawn again. Texts are searched once; only those with mentions go through shuffles.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm._shared import broadcast_if, staged
+from thicket.llm._shared import LOWER, UPPER, staged, unused
 
 KEY = "thicket"
-#: Texts with redrawn entities, a row each, that are looked up by a broadcast at most; beyond, Spark shuffles.
-BROADCAST_ROWS = 2_000
 
-# Forms of address by gender and script; given names by gender and script; syllables of family names.
-MALE, FEMALE, EITHER = ["Mr", "Herr", "Herrn", "Señor", "Monsieur", "Don"], ["Mrs", "Ms", "Miss", "Frau", "Señora", "Señorita", "Madame", "Mademoiselle", "Doña"], ["Dr", "Prof", "Professor", "Doctor", "Doktor"]
-MALE_CYRILLIC, FEMALE_CYRILLIC = ["господин", "Господин"], ["госпожа", "Госпожа"]
+# Forms of address by gender; given names by gender and script; syllables of family names by script.
+MALE = ["Mr", "Herr", "Herrn", "Señor", "Monsieur", "Don", "господин", "Господин", "κύριος", "Κύριος", "պարոն", "Պարոն"]
+FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Señorita", "Madame", "Mademoiselle", "Doña", "госпожа", "Госпожа", "κυρία", "Κυρία", "տիկին", "Տիկին"]
+EITHER = ["Dr", "Prof", "Professor", "Doctor", "Doktor", "доктор", "Доктор"]
 GIVEN = {
     "mL": ["Adam", "Bruno", "Carl", "David", "Erik", "Felix", "Hugo", "Ivan", "Jonas", "Karim", "Leon", "Martin", "Noel", "Oscar", "Peter", "Simon"],
     "fL": ["Alma", "Berta", "Clara", "Diana", "Emma", "Flora", "Greta", "Helena", "Irene", "Julia", "Karla", "Laura", "Maria", "Nora", "Olga", "Sara"],
     "eL": ["Alex", "Robin", "Kim", "Sascha", "Andrea", "Charlie", "Dominique", "Camille"],
     "mC": ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Илья", "Кирилл", "Лев", "Максим", "Олег", "Павел", "Роман", "Сергей", "Тимур", "Фёдор"],
     "fC": ["Алла", "Вера", "Галина", "Дарья", "Ева", "Жанна", "Зоя", "Инна", "Кира", "Лидия", "Мария", "Нина", "Ольга", "Полина", "Софья", "Юлия"],
+    "eC": ["Саша", "Женя", "Валя", "Слава"],
+    "mG": ["Ανδρέας", "Γιάννης", "Δημήτρης", "Ηλίας", "Κώστας", "Λευτέρης", "Μάρκος", "Νίκος"],
+    "fG": ["Άννα", "Βασιλική", "Δέσποινα", "Ελένη", "Ζωή", "Θάλεια", "Κατερίνα", "Μαρία"],
+    "eG": ["Χάρις", "Φώτη"],
+    "mA": ["Արամ", "Գագիկ", "Դավիթ", "Հակոբ", "Կարեն", "Նարեկ", "Սամվել", "Տիգրան"],
+    "fA": ["Անի", "Գայանե", "Եվա", "Լիլիթ", "Մարիամ", "Նարե", "Սոնա", "Տաթև"],
+    "eA": ["Արև", "Հայկազ"],
+}
+SYLLABLES = {
+    "L": ["ba", "den", "fel", "gor", "hal", "kin", "lo", "mar", "nes", "pol", "rin", "sol", "ta", "ver", "win", "zan"],
+    "C": ["ба", "вен", "гор", "дал", "зин", "кар", "ло", "мир", "нес", "пол", "рин", "сол", "та", "фед", "хан", "чер"],
+    "G": ["βα", "γορ", "δα", "ζαν", "θεο", "κα", "λο", "μαρ", "νι", "πα", "ρο", "σολ", "τα", "φι", "χα", "ψα"],
+    "A": ["բա", "գոր", "դա", "զան", "թե", "կա", "լո", "մար", "նի", "պա", "րո", "սոլ", "տա", "ֆի", "խա", "չա"],
 }
-SYLLABLES = {"L": ["ba", "den", "fel", "gor", "hal", "kin", "lo", "mar", "nes", "pol", "rin", "sol", "ta", "ver", "win", "zan"], "C": ["ба", "вен", "гор", "дал", "зин", "кар", "ло", "мир", "нес", "пол", "рин", "сол", "та", "фед", "хан", "чер"]}
+SCRIPTS = {"C": r"\p{IsCyrillic}", "G": r"\p{IsGreek}", "A": r"\p{IsArmenian}"}
+#: Capital words that stand after a name, and small ones that stand inside one.
+NOT_NAMES = "Yesterday Today Tomorrow Now Then Later Meanwhile Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April June July August September October November December The This That These Those He She It They We You I And But Or If When While After Before Who What Gestern Heute Morgen Dann Montag Dienstag Mittwoch Donnerstag Freitag Samstag Sonntag Der Die Das Er Sie Es Und Aber".split()
+PARTICLES = "van von de der den del della di da la le ter zu".split()
 
-_TITLES = "|".join([*MALE, *FEMALE, *EITHER, *MALE_CYRILLIC, *FEMALE_CYRILLIC])
+_TITLES = "|".join([*MALE, *FEMALE, *EITHER])
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-#: What is found, in the order in which it is tried at each place.
+_HEX = "[0-9A-Fa-f]{1,4}"
+_FORM = rf"(?:(?:{_TITLES})\.? {{1,2}})+"
+_TOKEN = rf"(?!(?:{'|'.join(NOT_NAMES)})(?!\p{{L}}))\p{{Lu}}(?:\p{{L}}+|\.|(?=['’]))(?:['’\-]\p{{L}}{{2,}})*"
+_SMALL = rf"(?:(?:{'|'.join(PARTICLES)}) ){{0,2}}"
+#: What is found, in the order in which it is tried at each place. Cards and IBANs count if their check digits are right.
 PATTERNS = {
-    "secret": r"(?<=(?i:token|secret|password|passwd|api_key|api-key|apikey|access_key)[ ]{0,3}[=:][ ]{0,3}[\"']?)[A-Za-z0-9_\-+/.]{8,}",
+    "secret": r"(?<=(?i:token|secret|password|passwd|api_key|api-key|apikey|access_key)[ ]{0,3}[=:][ ]{0,3}[\"']?)(?=[A-Za-z_\-+/.]*[0-9])[A-Za-z0-9_\-+/.]{8,}",
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
-    "ipv6": r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])",
-    "ip": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.\d)",
+    "ipv6": rf"(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|[23fF][0-9A-Fa-f]{{3}}(?::{_HEX}){{0,5}}::(?:{_HEX}(?::{_HEX}){{0,5}})?)(?![\w:])",
+    "ip": rf"(?<![\w.])(?<!(?i:version|release|build|section|ver\.?) ?){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.\d)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\d)",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4}|(?<![.\-/])0\d{2,4}[ /\-](?:\d{5,8}|\d{3,4}[ \-]\d{3,5})(?![\w\-]))(?!\d)",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
-    "card": r"(?<![\w])\d(?:[ \-]?\d){12,18}(?!\w)",
+    "card": r"(?<![\w])(?:\d{13,19}|\d{4}(?: \d{4}){2} \d{1,7}|\d{4}(?:-\d{4}){2}-\d{1,7}|\d{4} \d{6} \d{5})(?!\w)",
+    "person": rf"(?<![\p{{L}}]){_FORM}{_SMALL}{_TOKEN}(?: {_SMALL}{_TOKEN}){{0,2}}",
 }
-#: A form of address is part of what is found, as the gender is read from it.
-PATTERNS["person"] = rf"(?<![\p{{L}}])(?:{_TITLES})\.? {{1,2}}\p{{Lu}}[\p{{L}}'\-]+(?: \p{{Lu}}[\p{{L}}'\-]+){{0,2}}"
 ANY = "|".join(PATTERNS.values())
-#: Every pattern needs a digit, an at sign, a form of address or a keyword: texts without them aren't searched further.
-HINT = rf"[0-9@]|(?<![\p{{L}}])(?:{_TITLES})(?![\p{{L}}])|(?i:token|secret|passw|api_?-?key|access_key)\s{{0,3}}[=:]"
+#: Every pattern needs a digit, an at sign or a form of address: texts without them aren't searched further.
+HINT = rf"[0-9@]|(?<![\p{{L}}])(?:{_TITLES})(?![\p{{L}}])"
 
 
-def _sql(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+# --- forms ----------------------------------------------------------------------------------------------------------
 
 
-def _kind(m: str) -> str:
-    """SQL: the type of the mention m, by its form; what has none of the other forms is a secret."""
-    person = rf"^(?:{_TITLES})\.? {{1,2}}\p{{Lu}}"
-    return (
-        f"case when {m} rlike {_sql(person)} then 'person' when {m} rlike {_sql('^' + PATTERNS['email'] + '$')} then 'email' when {m} rlike {_sql('^' + PATTERNS['ipv6'] + '$')} then 'ipv6' when {m} rlike {_sql('^' + PATTERNS['ip'] + '$')} then 'ip'"
-        f" when {m} rlike {_sql('^' + PATTERNS['phone'] + '$')} then 'phone' when {m} rlike {_sql('^' + PATTERNS['ssn'] + '$')} then 'ssn' when {m} rlike {_sql('^' + PATTERNS['card'] + '$')} then 'card' when {m} rlike {_sql('^' + PATTERNS['iban'] + '$')} then 'iban' else 'secret' end"
-    )
+def _digits(m: Column) -> Column:
+    return F.regexp_replace(m, "[^0-9]", "")
 
 
-def _norm(kind: str, m: str) -> str:
-    """SQL: what the mentions of one entity have in common."""
-    title = _sql(rf"^(?:{_TITLES})\.? {{1,2}}")
-    male, female = "|".join([*MALE, *MALE_CYRILLIC]), "|".join([*FEMALE, *FEMALE_CYRILLIC])
-    gender = f"case when {m} rlike {_sql(rf'^(?:{male})[. ]')} then 'm' when {m} rlike {_sql(rf'^(?:{female})[. ]')} then 'f' else 'e' end"
-    return (
-        f"case when {kind} in ('phone', 'ssn', 'card') then regexp_replace({m}, '[^0-9]', '') when {kind} = 'iban' then replace({m}, ' ', '') when {kind} in ('email', 'ipv6') then lower({m})"
-        f" when {kind} = 'person' then concat({gender}, ':', lower(regexp_replace({m}, {title}, ''))) else {m} end"
-    )
-
-
-def _pick(h: str, at: str, values: list[str]) -> str:
-    """SQL: one of the values, by byte at of the hex digest h."""
-    array = "array(" + ", ".join(map(_sql, values)) + ")"
-    return f"{array}[cast(conv(substr({h}, 1 + 2 * ({at}), 2), 16, 10) as int) % {len(values)}]"
-
-
-def _surrogate(kind: str, norm: str, tries: str, key: str) -> str:
-    """SQL: the surrogate of an entity, in the form of norm."""
-    seed = f"concat_ws('|', {_sql(key)}, {kind}, {norm}, cast({tries} as string))"
-    # Character i stays what it is: a digit, a small or a capital letter, or a separator. A digest has 32 bytes.
-    one = "cast(conv(substr(sha2(concat(s, '#', cast(div(i, 32) as string)), 256), 1 + 2 * (i % 32), 2), 16, 10) as int)".replace("div(i, 32)", "i div 32")
-    def spell(v: str) -> str:
-        each = f"transform(sequence(0, length({v}) - 1), i -> case when substr({v}, i + 1, 1) rlike '[0-9]' then cast({one} % 10 as string) when substr({v}, i + 1, 1) rlike '[a-z]' then substr('abcdefghijklmnopqrstuvwxyz', {one} % 26 + 1, 1) when substr({v}, i + 1, 1) rlike '[A-Z]' then substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', {one} % 26 + 1, 1) else substr({v}, i + 1, 1) end)"
-        return f"array_join({each}, '')"
-    hexed = f"array_join(transform(sequence(0, length({norm}) - 1), i -> if(substr({norm}, i + 1, 1) rlike '[0-9a-fA-F]', substr('0123456789abcdef', {one} % 16 + 1, 1), substr({norm}, i + 1, 1))), '')"
-    octets = "concat_ws('.', " + ", ".join(f"cast(1 + cast(conv(substr(sha2(s, 256), {1 + 2 * j}, 2), 16, 10) as int) % 254 as string)" for j in range(4)) + ")"
-    mail = f"concat({spell(f'''substring_index({norm}, '@', 1)''')}, '@m', substr(sha2(s, 256), 1, 6), '.example.net')"
-    last = {x: "initcap(concat(" + ", ".join(_pick("sha2(s, 256)", str(j), SYLLABLES[x]) for j in (1, 2, 3)) + "))" for x in "LC"}
-    # A further try adds syllables, so the supply of names has no end.
-    longer = {x: f"array_join(transform(sequence(0, {tries}), j -> if(j = 0, '', {_pick('sha2(s, 256)', '(4 + j) % 32', SYLLABLES[x])})), '')" for x in "LC"}
-    cyrillic = f"{norm} rlike '[\\\\u0400-\\\\u04FF]'"
-    gender = f"substr({norm}, 1, 1)"
-    first = f"case {gender} when 'm' then if({cyrillic}, {_pick('sha2(s, 256)', '0', GIVEN['mC'])}, {_pick('sha2(s, 256)', '0', GIVEN['mL'])}) when 'f' then if({cyrillic}, {_pick('sha2(s, 256)', '0', GIVEN['fC'])}, {_pick('sha2(s, 256)', '0', GIVEN['fL'])}) else {_pick('sha2(s, 256)', '0', GIVEN['eL'])} end"
-    family = f"if({cyrillic}, concat({last['C']}, {longer['C']}), concat({last['L']}, {longer['L']}))"
-    # One name is a family name; the first of several is a given name.
-    person = f"if({norm} like '% %', concat({first}, ' ', {family}), {family})"
-    # The country code of a phone number and the country of an IBAN stay.
-    phone = f"concat(substr({norm}, 1, 1), {spell(f'substr({norm}, 2)')})"
-    iban = f"concat(substr({norm}, 1, 2), {spell(f'substr({norm}, 3)')})"
-    body = f"case {kind} when 'ip' then {octets} when 'ipv6' then {hexed} when 'email' then {mail} when 'person' then {person} when 'phone' then {phone} when 'iban' then {iban} when 'secret' then if({norm} rlike '^[0-9a-f]+$', {hexed}, {spell(norm)}) else {spell(norm)} end"
-    return f"transform(array({seed}), s -> {body})[0]"
-
-
-def _render(kind: str, m: str, sur: str) -> str:
-    """SQL: the surrogate in the form of the mention m: its separators, its case, its form of address."""
-    digits = f"array_join(transform(sequence(1, length({m})), i -> if(substr({m}, i, 1) rlike '[0-9A-Z]', substr({sur}, length(regexp_replace(substr({m}, 1, i), '[^0-9A-Z]', '')), 1), substr({m}, i, 1))), '')"
-    title = f"regexp_extract({m}, {_sql(rf'^(?:{_TITLES})[.]? {{1,2}}')}, 0)"
-    return (
-        f"case when {kind} in ('phone', 'ssn', 'card', 'iban') then {digits} when {kind} = 'person' then concat({title}, if(regexp_replace({m}, {_sql(rf'^(?:{_TITLES})[.]? {{1,2}}')}, '') = upper(regexp_replace({m}, {_sql(rf'^(?:{_TITLES})[.]? {{1,2}}')}, '')), upper({sur}), {sur}))"
-        f" when {kind} in ('email', 'ipv6') and {m} = upper({m}) and {m} rlike '[A-Z]' then upper({sur}) else {sur} end"
-    )
+def luhn(digits: Column, doubled: int = 0) -> Column:
+    """The Luhn sum of a string of digits; doubled: the remainder, by 2, of the places from the right that count twice."""
+
+    def add(total, i):
+        d = F.substr(digits, F.length(digits) - i + 1, F.lit(1)).cast("int")
+        return total + F.when(i % 2 != doubled, d).when(d > 4, 2 * d - 9).otherwise(2 * d)
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add)
+
+
+def mod97(text: Column) -> Column:
+    """The remainder by 97 of digits and capital letters, A being 10."""
+
+    def add(rest, i):
+        c = F.ascii(F.substr(text, i, F.lit(1)))
+        return F.when(c < 65, rest * 10 + c - 48).otherwise(rest * 100 + c - 55) % 97
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(text)), F.lit(0), add)
+
+
+def kind_of(m: Column, titled: Column) -> Column:
+    """The type of a mention, by its form; 'none' for what only looks like one. titled: the forms of address before it."""
+    full = {k: m.rlike(f"^(?:{p})$") for k, p in PATTERNS.items()}
+    card = (F.pmod(luhn(_digits(m)), F.lit(10)) == 0) & ~((F.length(_digits(m)) == 13) & _digits(m).rlike("^97[89]"))
+    iban = F.replace(m, F.lit(" "), F.lit(""))
+    iban = mod97(F.concat(F.substr(iban, F.lit(5)), F.substr(iban, F.lit(1), F.lit(4)))) == 1
+    kind = F.when(titled != "", "person").when(full["email"], "email").when(full["ipv6"], "ipv6")
+    kind = kind.when(m.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), "ip").when(full["phone"], "phone").when(full["ssn"], "ssn")
+    kind = kind.when(full["card"], F.when(card, "card").otherwise("none")).when(full["iban"], F.when(iban, "iban").otherwise("none"))
+    return kind.when(~m.rlike("[0-9]"), "name").otherwise("secret")  # a secret holds a digit
+
+
+def norm_of(kind: Column, m: Column) -> Column:
+    """What the mentions of one entity have in common."""
+    norm = F.when(kind.isin("phone", "ssn", "card"), _digits(m)).when(kind == "iban", F.replace(m, F.lit(" "), F.lit("")))
+    return norm.when(kind.isin("email", "ipv6", "family", "given"), F.lower(m)).otherwise(m)
+
+
+# --- surrogates -----------------------------------------------------------------------------------------------------
+
+
+def _byte(seed: Column, i: Column | int) -> Column:
+    """Byte i of an endless digest of seed."""
+    i = i if isinstance(i, Column) else F.lit(i)
+    block = F.sha2(F.concat(seed, F.lit("#"), F.floor(i / 32).cast("string")), 256)
+    return F.conv(F.substr(block, 1 + 2 * (i % 32), F.lit(2)), 16, 10).cast("int")
+
+
+def _each(v: Column, change) -> Column:
+    """v with change(character, its place) for each character."""
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.length(v) - 1, F.lit(0))), lambda i: change(F.substr(v, i + 1, F.lit(1)), i)), "")
+
+
+def _spell(v: Column, seed: Column) -> Column:
+    """Digits for digits, small and capital letters for such; the rest stays."""
 
+    def change(c, i):
+        b = _byte(seed, i)
+        other = F.when(c.rlike("[0-9]"), (b % 10).cast("string"))
+        for some, letters in (("[a-z]", LOWER), ("[A-Z]", UPPER)):
+            other = other.when(c.rlike(some), F.substr(F.lit(letters), b % 26 + 1, F.lit(1)))
+        return other.otherwise(c)
 
-def _entities(found: str) -> str:
-    """SQL: structs of kind, norm and mention for the array found of mentions."""
-    return f"transform(transform({found}, m -> named_struct('m', m, 'kind', {_kind('m')})), t -> named_struct('kind', t.kind, 'norm', {_norm('t.kind', 't.m')}, 'mention', t.m))"
+    return _each(v, change)
 
 
-def redrawn(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, norm, tries): the entities whose surrogate had to be drawn again, and how often.
+def _hexed(v: Column, seed: Column) -> Column:
+    return _each(v, lambda c, i: F.when(c.rlike("[0-9a-fA-F]"), F.substr(F.lit("0123456789abcdef"), _byte(seed, i) % 16 + 1, F.lit(1))).otherwise(c))
 
-    entities has distinct (kind, norm). Of entities that share a surrogate, the one that sorts first keeps it; a
-    surrogate that is an entity itself is never kept. Each round draws only for those that still clash, until none does.
+
+def _pick(seed: Column, i: Column | int, values: list[str]) -> Column:
+    return F.array(*map(F.lit, values))[_byte(seed, i) % len(values)]
+
+
+def _by_script(norm: Column, of) -> Column:
+    """of(script) for the script of norm; Latin stands for all without lists of their own."""
+    out = F.lit(None).cast("string")
+    for script, pattern in SCRIPTS.items():
+        out = F.when(norm.rlike(pattern), of(script)).otherwise(out)
+    return F.coalesce(out, of("L"))
+
+
+def surrogate(kind: Column, norm: Column, gender: Column, tries: Column, key: str) -> Column:
+    """The surrogate of an entity, in the form of norm. Each further try makes names longer, so their supply has no end."""
+    seed = F.concat_ws("|", F.lit(key), kind, norm, tries.cast("string"))
+    rest = F.concat(F.substr(norm, F.lit(1), F.lit(1)), _spell(F.substr(norm, F.lit(2)), seed))
+    octets = F.concat_ws(".", *((1 + _byte(seed, i) % 254).cast("string") for i in range(4)))
+    mail = F.concat(_spell(F.substring_index(norm, "@", 1), seed), F.lit("@m"), F.substr(F.sha2(seed, 256), F.lit(1), F.lit(6)), F.lit(".example.net"))
+    body = F.substr(rest, F.lit(1), F.length(rest) - 1)
+    card = F.concat(body, ((10 - luhn(body, 1) % 10) % 10).cast("string"))
+    bank = _spell(F.substr(norm, F.lit(5)), seed)
+    check = 98 - mod97(F.concat(bank, F.substr(norm, F.lit(1), F.lit(2)), F.lit("00")))
+    iban = F.concat(F.substr(norm, F.lit(1), F.lit(2)), F.lpad(check.cast("string"), 2, "0"), bank)
+    family = _by_script(norm, lambda s: F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), tries + 2), lambda j: _pick(seed, j, SYLLABLES[s])), "")))
+    names = lambda s, g: F.array_join(F.transform(F.sequence(F.lit(0), tries), lambda j: _pick(seed, j, GIVEN[g + s])), "-")
+    given = _by_script(norm, lambda s: F.when(gender == "m", names(s, "m")).when(gender == "f", names(s, "f")).otherwise(names(s, "e")))
+    # The country code of a phone number, the issuer of a card, the beginning of an IPv6 address stay.
+    return (
+        F.when(kind == "ip", octets).when(kind == "ipv6", F.concat(F.substr(norm, F.lit(1), F.lit(1)), _hexed(F.substr(norm, F.lit(2)), seed)))
+        .when(kind == "email", mail).when(kind == "family", family).when(kind == "given", given).when(kind == "phone", rest).when(kind == "card", card)
+        .when(kind == "iban", iban).when((kind == "secret") & norm.rlike("^[0-9a-f]+$"), _hexed(norm, seed)).otherwise(_spell(norm, seed))
+    )
+
+
+def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
+    """(kind, norm, sur) for distinct entities (kind, norm, gender). Given names are distinct within a family name.
+
+    Of entities that share a surrogate, the one that sorts first keeps it; a surrogate that is an entity itself is never
+    kept. Each round draws only for those that still clash, until none does.
     """
-    drawn = staged(entities.select("kind", "norm", F.lit(0).alias("tries")).withColumn("sur", F.expr(_surrogate("kind", "norm", "tries", key))), "drawn")
+    draw = surrogate(F.col("kind"), F.col("norm"), F.col("gender"), F.col("tries"), key)
+    whole = F.lower(F.when(F.col("kind") == "given", F.concat("sur", F.lit(" "), F.substring_index("norm", " ", -1))).otherwise(F.col("sur")))
+    drawn = staged(entities.select("kind", "norm", "gender", F.lit(0).alias("tries")).withColumn("sur", draw), "drawn")
+    taken = entities.select("kind", F.lower("norm").alias("s")).distinct().withColumn("taken", F.lit(True))
     while True:
-        same = drawn.groupBy("kind", F.lower("sur").alias("s")).agg(F.min("norm").alias("keeps"), F.count(F.lit(1)).alias("n"))
-        taken = entities.select(F.col("kind").alias("k2"), F.when(F.col("kind") == "person", F.substring("norm", 3, 10_000)).otherwise(F.lower("norm")).alias("n2")).distinct()
-        marked = drawn.withColumn("s", F.lower("sur")).join(same, ["kind", "s"]).join(taken, (F.col("kind") == F.col("k2")) & (F.col("s") == F.col("n2")), "left")
-        again = ((F.col("n") > 1) & (F.col("norm") != F.col("keeps"))) | F.col("n2").isNotNull()
-        marked = staged(marked.select("kind", "norm", "sur", F.when(again, F.col("tries") + 1).otherwise(F.col("tries")).alias("tries"), again.alias("again")), "drawn")
+        named = drawn.withColumn("s", whole)
+        same = named.groupBy("kind", "s").agg(F.min("norm").alias("keeps"))
+        again = (F.col("norm") != F.col("keeps")) | F.col("taken").isNotNull()
+        marked = named.join(same, ["kind", "s"]).join(taken, ["kind", "s"], "left")
+        marked = staged(marked.select("kind", "norm", "gender", (F.col("tries") + again.cast("int")).alias("tries"), "sur", again.alias("again")), "drawn")
         if not marked.where("again").limit(1).count():
-            return marked.where("tries > 0").select("kind", "norm", "tries")
-        drawn = marked.select("kind", "norm", "tries", F.when(F.col("again"), F.expr(_surrogate("kind", "norm", "tries", key))).otherwise(F.col("sur")).alias("sur"))
+            return marked.select("kind", "norm", "sur")
+        drawn = marked.select("kind", "norm", "gender", "tries", F.when(F.col("again"), draw).otherwise(F.col("sur")).alias("sur"))
+
+
+# --- texts ----------------------------------------------------------------------------------------------------------
+
+
+def _bare(names: Column) -> Column:
+    """A pattern for the names of a document where they stand without a form of address; full names come first."""
+    family = F.transform(names, lambda n: F.substring_index(n, " ", -1))
+    all_ = F.array_sort(F.array_distinct(F.concat(names, family)), lambda a, b: F.length(b) - F.length(a))
+    all_ = F.filter(all_, lambda n: n.rlike(r"\p{L}\p{L}$"))
+    quoted = F.array_join(F.transform(all_, lambda n: F.concat(F.lit(r"\Q"), n, F.lit(r"\E"))), "|")
+    return F.when(quoted == "", ANY).otherwise(F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])(?:"), quoted, F.lit(r")(?![\p{L}\p{N}])")))
+
+
+def _mentions(texts: DataFrame) -> DataFrame:
+    """(key, pos, m, kind, norm, title, pre, gender): the mentions of texts (key, pattern, text). For persons norm is the
+    family name, pre what stands before it, and full says that this holds a given name."""
+    found = texts.select("key", F.posexplode(F.regexp_extract_all("text", F.col("pattern"), F.lit(0))).alias("pos", "m"))
+    title = F.regexp_extract("m", f"^{_FORM}", 0)
+    named = found.withColumn("title", title).withColumn("kind", kind_of(F.col("m"), F.col("title")))
+    name = F.substr(F.col("m"), F.length("title") + 1)
+    family = F.substring_index(name, " ", -1)
+    person = F.col("kind").isin("person", "name")
+    gender = F.when(F.col("title").rlike(rf"(?:^|[ .])(?:{'|'.join(MALE)})[ .]"), "m").when(F.col("title").rlike(rf"(?:^|[ .])(?:{'|'.join(FEMALE)})[ .]"), "f")
+    return named.select(
+        "key", "pos", "m", F.when(person, "family").otherwise(F.col("kind")).alias("kind"), F.when(person, F.lower(family)).otherwise(norm_of(F.col("kind"), F.col("m"))).alias("norm"),
+        F.when(person, F.col("title")).alias("title"), F.when(person, F.trim(F.substr(name, F.lit(1), F.length(name) - F.length(family)))).alias("pre"), gender.alias("gender"),
+    ).withColumn("full", F.when(F.col("pre").rlike(r"\p{Lu}"), F.concat(F.lower("pre"), F.lit(" "), F.col("norm"))))
+
+
+def _entities(found: DataFrame) -> DataFrame:
+    """Distinct (kind, norm, gender) of the mentions; gender is that of all forms of address, 'e' where they tell none or both."""
+    persons = found.where("kind = 'family'")
+    one = persons.groupBy("key", "norm").agg(F.min("full").alias("x"), F.max("full").alias("y")).where("x = y").select("key", "norm", F.col("x").alias("only"))
+    told = persons.join(one, ["key", "norm"], "left").select(F.coalesce("full", "only").alias("norm"), "gender").where("norm is not null")
+    told = told.groupBy("norm").agg(F.min("gender").alias("x"), F.max("gender").alias("y"))
+    given = told.select(F.lit("given").alias("kind"), "norm", F.when(F.col("x") == F.col("y"), F.col("x")).otherwise(F.lit("e")).alias("gender"))
+    return found.where("kind <> 'none'").select("kind", "norm").distinct().select("kind", "norm", F.lit("e").alias("gender")).unionByName(given)
+
+
+def _rendered() -> Column:
+    """The surrogate in the form of the mention: its separators, its case, its form of address."""
+    m, sur = F.col("m"), F.col("sur")
+    kept = lambda i: F.length(F.regexp_replace(F.substr(m, F.lit(1), i + 1), "[^0-9A-Z]", ""))
+    spaced = _each(m, lambda c, i: F.when(c.rlike("[0-9A-Z]"), F.substr(sur, kept(i), F.lit(1))).otherwise(c))
+    name = F.concat_ws(" ", F.coalesce("given", F.when(F.col("pre") != "", F.col("pre"))), sur)
+    loud = F.substr(m, F.length("title") + 1)
+    person = F.concat("title", F.when(loud == F.upper(loud), F.upper(name)).otherwise(name))
+    upper = F.col("kind").isin("email", "ipv6") & (m == F.upper(m)) & m.rlike("[A-Z]")
+    return (
+        F.when(F.col("kind") == "none", m).when(F.col("kind").isin("phone", "ssn", "card", "iban"), spaced)
+        .when(F.col("kind") == "family", person).when(upper, F.upper(sur)).otherwise(sur)
+    )
+
+
+def rewritten(texts: DataFrame, key: str = KEY) -> DataFrame:
+    """(key, new, n, kinds) of distinct texts (key, text)."""
+    titled = F.filter(F.regexp_extract_all("text", F.lit(PATTERNS["person"]), F.lit(0)), lambda m: m != "")
+    names = F.transform(titled, lambda m: F.regexp_replace(F.regexp_replace(m, f"^{_FORM}", ""), f"^{_SMALL}(?=\\p{{Lu}})", ""))
+    texts = staged(texts.withColumn("pattern", F.when(F.size(titled) > 0, _bare(names)).otherwise(F.lit(ANY))), "texts")
+    found = staged(_mentions(texts), "mentions")
+    sur = surrogates(staged(_entities(found), "entities"), key)
+    given = sur.where("kind = 'given'").select(F.col("norm").alias("full"), F.col("sur").alias("given"))
+    made = found.join(sur, ["kind", "norm"], "left")
+    # Most mentions are of no person: they don't take part in the second join.
+    made = made.where("full is null").withColumn("given", F.lit(None).cast("string")).unionByName(made.where("full is not null").join(given, "full", "left"))
+    made = made.select("key", "pos", _rendered().alias("to"), F.when(F.col("kind") == "family", F.lit("person")).when(F.col("kind") != "none", F.col("kind")).alias("kind"))
+    made = made.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "to", "kind"))).alias("done"))
+    gaps = texts.select("key", F.split("text", F.col("pattern"), -1).alias("gaps")).join(made, "key")
+    new = F.array_join(F.transform("gaps", lambda g, i: F.concat(g, F.when(i < F.size("done"), F.col("done")[i]["to"]).otherwise(F.lit("")))), "")
+    kinds = F.filter(F.transform("done", lambda d: d["kind"]), lambda k: k.isNotNull())
+    return gaps.select("key", new.alias("new"), F.size(kinds).cast("long").alias("n"), F.array_sort(F.array_distinct(kinds)).alias("kinds"))
 
 
 def replace_pii(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
     """docs with text_col's personal data replaced, and with columns pii_count (mentions replaced, long) and pii_kinds
     (their distinct types, sorted). Null stays null, with count 0. Everything between mentions stays as it is. Rows are
     neither added nor dropped, repeated rows get the same text; columns of docs with those two names are replaced.
+
+    Not found: persons that no form of address names, given names alone, names in scripts without capital letters.
     """
-    base = docs.select(*[c for c in docs.columns if c not in ("pii_count", "pii_kinds")])
+    base = docs.select(*[c for c in docs.columns if c.lower() not in ("pii_count", "pii_kinds")])
+    hit, own = (unused(n, base.columns) for n in ("hit", "key"))
     text = F.col(text_col).cast("string")
-    found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    # Only texts that have mentions come through here, and only their mentions.
-    some = staged(base.select(found.alias("found"), F.xxhash64(text_col).alias("_row")).where("size(found) > 0").select("_row", F.expr(f"explode({_entities('found')})").alias("e")).select("_row", "e.kind", "e.norm").distinct(), "mentions")
-    again = staged(redrawn(some.select("kind", "norm").distinct(), key), "redrawn")
-    per_text = staged(some.join(again, ["kind", "norm"]).groupBy("_row").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "norm"), "tries"))).alias("_tries")), "tries")
-    out = base.withColumn("_text", text).withColumn("_row", F.xxhash64(text_col))
-    out = out.join(broadcast_if(per_text.withColumnRenamed("_row", "_again"), per_text.count(), BROADCAST_ROWS), F.col("_row") == F.col("_again"), "left")
-    tries = "if(_tries is null, 0, coalesce(try_element_at(_tries, concat_ws('|', e.kind, e.norm)), 0))"
-    done = f"transform(transform({_entities('found')}, e -> named_struct('kind', e.kind, 'mention', e.mention, 'sur', {_surrogate('e.kind', 'e.norm', tries, key)})), e -> named_struct('kind', e.kind, 'to', {_render('e.kind', 'e.mention', 'e.sur')}))"
-    gaps = f"split(_text, {_sql(ANY)}, -1)"
-    joined = f"transform(array(struct({gaps} as gaps, {done} as done)), p -> named_struct('text', array_join(transform(p.gaps, (g, i) -> concat(g, if(i < size(p.done), p.done[i].to, ''))), ''), 'n', size(p.done), 'kinds', array_sort(array_distinct(transform(p.done, d -> d.kind)))))[0]"
-    result = F.when(F.col("_text").rlike(HINT), F.expr(f"transform(array(regexp_extract_all(_text, {_sql(ANY)}, 0)), found -> if(size(found) = 0, null, {joined}))[0]"))
-    out = out.withColumn("_new", result)
-    new = [F.coalesce("_new.text", "_text").alias(text_col) if c == text_col else F.col(c) for c in base.columns]
-    return out.select(*new, F.coalesce(F.col("_new.n").cast("long"), F.lit(0).cast("long")).alias("pii_count"), F.coalesce("_new.kinds", F.array().cast("array<string>")).alias("pii_kinds"))
+    marked = staged(base.withColumn(hit, F.coalesce(text.rlike(HINT) & text.rlike(ANY), F.lit(False))), "searched")
+    some = marked.where(hit).drop(hit).withColumn(own, F.md5(text))
+    texts = some.groupBy(F.col(own).alias("key")).agg(F.first(text).alias("text"))
+    new = staged(rewritten(texts, key), "rewritten").select(F.col("key").alias(own), F.struct("new", "n", "kinds").alias(hit))
+    # A text that very many rows have is split by Spark: it has one row on the other side.
+    done = some.join(new, own)
+    cols = [F.col(f"{hit}.new").alias(c) if c == text_col else F.col(c) for c in base.columns]
+    done = done.select(*cols, F.col(f"{hit}.n").alias("pii_count"), F.col(f"{hit}.kinds").alias("pii_kinds"))
+    rest = marked.where(~F.col(hit)).select(*[text.alias(c) if c == text_col else F.col(c) for c in base.columns], F.lit(0).cast("long").alias("pii_count"), F.array().cast("array<string>").alias("pii_kinds"))
+    return rest.unionByName(done)
