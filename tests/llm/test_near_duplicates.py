@@ -108,6 +108,24 @@ def test_links_of_a_large_shard(spark):
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_hot_shards_by_broadcast_or_shuffle(spark, monkeypatch):
+    from thicket.llm import simhash
+
+    rng = random.Random(8)
+    centre = rng.getrandbits(63)
+    points = sorted({centre ^ sum(1 << b for b in rng.sample(range(24), rng.randrange(10))) for _ in range(900)})
+    monkeypatch.setattr(simhash, "HOT_ROWS", 20)
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 128)
+    for most in (500_000, 0):
+        monkeypatch.setattr(simhash, "BROADCAST_ROWS", most)
+        got = dict(zip(points, points)) | {r.node: r.comp for r in connected(near_links(spark.createDataFrame([(p,) for p in points], "fp long"))).collect()}
+        want = plain_groups(points)
+        groups: dict = {}
+        for p, w in zip(points, want):
+            groups.setdefault(w, set()).add(got[p])
+        assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
+
+
 def test_groups_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").withColumnRenamed("lang", "fp")
     extra = spark.createDataFrame([(-1, None, "x"), (-2, "", "x"), (-3, " \t", None), (-1, None, "x"), (None, "alone in its group by far", "x"), (None, None, "x")], "doc_id long, text string, fp string")
@@ -126,7 +144,8 @@ def test_groups_against_brute_force(spark, sf):
 def test_one_of_each_stays(spark):
     a, b = "the same words in the same order over and over", "quite another text about something else entirely"
     rows = [(3, a), (1, a), (2, b), (2, b), (None, a), (5, None), (4, "")]
-    got = keep_one_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = keep_one_each(spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, _gone string, component_id string")).collect()
+    assert {tuple(r)[2:] for r in got} == {("x", "y")}
     assert sorted(str(r.doc_id) for r in got) == ["1", "2", "4", "None"]
 
 

@@ -20,12 +20,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm._shared import staged
+from thicket.llm._shared import broadcast_if, staged
 
 RADIUS, BLOCKS, SHINGLE, SEED = 4, 6, 4, 42
 #: Fingerprints that one comparing step holds at a time.
 BLOCK_ROWS = 2048
 LEAF = 96
+#: Shards with more rows than HOT_ROWS are hot: what is known of them goes to their rows by a broadcast, of at most
+#: BROADCAST_ROWS hot shards, so that no task gets all rows of one. Beyond that, Spark shuffles, and splits what is skewed.
+HOT_ROWS, BROADCAST_ROWS = 256, 500_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -177,35 +180,64 @@ def _compare(radius: int):
     return run
 
 
+def _with_facts(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with facts, which has a row for each of keys and its number of rows n. Hot keys are not dealt by key."""
+    hot = staged(facts.where(F.col("n") > HOT_ROWS), "hot")
+    if not 0 < hot.count() <= BROADCAST_ROWS:
+        return rows.join(facts, keys)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(facts.where(F.col("n") <= HOT_ROWS), keys)
+    return cold.unionByName(rows.join(F.broadcast(hot), keys))
+
+
 def near_links(uniq: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) that connect exactly what the radius connects."""
-    keys = F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("combo"), F.col("fp").bitwiseAND(F.lit(m)).alias("val")) for i, m in enumerate(block_masks(radius, blocks))]))
-    rows = uniq.select("fp", keys.alias("k")).select("fp", "k.combo", "k.val")
-    shards = rows.groupBy("combo", "val").agg(F.min("fp").alias("root"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = staged(rows.join(shards, ["combo", "val"]).select("combo", "val", "fp", "root", "n", _apart(F.col("fp"), F.col("root")).alias("r")), "shards")
-    links = staged(rows.where((F.col("fp") != F.col("root")) & (F.col("r") <= radius)).select(F.col("fp").alias("a"), F.col("root").alias("b")).distinct(), "rootlinks")
+    masks = [F.struct(F.lit(i).cast("byte").alias("combo"), F.col("fp").bitwiseAND(F.lit(m)).alias("val")) for i, m in enumerate(block_masks(radius, blocks))]
+    rows = uniq.select("fp", F.explode(F.array(*masks)).alias("k")).select("fp", "k.combo", "k.val")
+    facts = staged(rows.groupBy("combo", "val").agg(F.min("fp").alias("root"), F.count(F.lit(1)).alias("n")).where("n > 1"), "facts")
+    rows = _with_facts(rows, facts, ["combo", "val"]).select("combo", "val", "fp", "root", "n", _apart(F.col("fp"), F.col("root")).alias("r"))
+    rows = staged(rows, "shards")
+    near = rows.where((F.col("fp") != F.col("root")) & (F.col("r") <= radius))
+    links = staged(near.select(F.col("fp").alias("a"), F.col("root").alias("b")).distinct(), "rootlinks")
     # The root has been compared with every member. What is left: members that the links so far don't connect.
     comps = connected(links)
-    open_ = rows.where("n > 2 and fp <> root").join(comps, F.col("fp") == F.col("node"), "left").select("combo", "val", "fp", "n", "r", F.coalesce("comp", "fp").alias("comp"))
-    apart = open_.groupBy("combo", "val").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("combo", "val")
-    open_ = staged(open_.join(apart, ["combo", "val"], "left_semi").withColumn("ring", F.when(F.col("n") <= BLOCK_ROWS, F.lit(0)).otherwise(F.col("r"))), "open")
+    open_ = rows.where("n > 2 and fp <> root").join(comps, F.col("fp") == F.col("node"), "left")
+    open_ = staged(open_.select("combo", "val", "fp", "n", "r", F.coalesce("comp", "fp").alias("comp")), "members")
+    apart = open_.groupBy("combo", "val").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y")
+    open_ = staged(_with_facts(open_.drop("n"), apart.select("combo", "val", "n"), ["combo", "val"]), "open")
     if not (left := open_.count()):
         return links
-    rings = open_.groupBy("combo", "val", "ring").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("subs"))
-    parts = rings.select("combo", "val", "ring", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
-    one = parts.select("combo", "val", F.struct("ring", "sub").alias("left"))
-    two = parts.select("combo", "val", F.struct("ring", "sub").alias("right"))
-    pairs = one.join(two, ["combo", "val"]).where((F.col("left") <= F.col("right")) & (F.col("right.ring") - F.col("left.ring") <= radius))
-    sides = F.when(F.col("left") == F.col("right"), F.array(F.struct(F.col("left").alias("part"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("left").alias("part"), F.lit(1).alias("side")), F.struct(F.col("right").alias("part"), F.lit(2).alias("side"))))
-    pairs = pairs.select("combo", "val", F.struct("combo", "val").alias("shard"), "left", "right", F.explode(sides).alias("s")).select("combo", "val", F.xxhash64("shard").alias("shard"), F.xxhash64("left").alias("left"), F.xxhash64("right").alias("right"), "s.part", "s.side")
-    member = open_.join(rings, ["combo", "val", "ring"]).select("combo", "val", "fp", "comp", "n", F.struct("ring", F.pmod(F.xxhash64("fp"), F.col("subs")).cast("int").alias("sub")).alias("part"))
-    # Small shards share a call, so that a call has some thousands of rows; a pair of large blocks has its own.
-    calls = F.when(F.col("n") <= BLOCK_ROWS, F.pmod(F.col("shard"), F.lit(max(16, left // 20_000)))).otherwise(F.xxhash64("shard", "left", "right"))
-    work = member.join(pairs, ["combo", "val", "part"]).select("shard", "left", "right", "side", "fp", "comp", calls.alias("call"))
-    more = work.groupBy("call").applyInPandas(_compare(radius), "a bigint, b bigint")
+    # Small shards are compared whole; they share a call, so that a call has some thousands of rows.
+    shard = F.xxhash64("combo", "val")
+    none = F.lit(0).cast("long")
+    small = open_.where(F.col("n") <= BLOCK_ROWS).select(
+        shard.alias("shard"), none.alias("left"), none.alias("right"), F.lit(0).alias("side"), "fp", "comp", F.pmod(shard, F.lit(max(16, left // 20_000))).alias("call")
+    )
+    more = small.unionByName(_large_shards(open_.where(F.col("n") > BLOCK_ROWS), radius)).groupBy("call").applyInPandas(_compare(radius), "a bigint, b bigint")
     return links.union(staged(more, "treelinks"))
 
 
+def _large_shards(members: DataFrame, radius: int) -> DataFrame:
+    """(shard, left, right, side, fp, comp, call): the pairs of blocks of large shards that are to be compared, a call each.
+
+    A ring holds the members at one distance r from the root; it is cut to blocks of about BLOCK_ROWS. Rings whose
+    distances differ by more than the radius hold no pair within it.
+    """
+    rings = staged(members.groupBy("combo", "val", "r").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("subs")), "rings")
+    parts = rings.select("combo", "val", "r", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
+    parts = parts.select("combo", "val", F.struct("r", "sub").alias("part"))
+    one, two = parts.withColumnRenamed("part", "left"), parts.withColumnRenamed("part", "right")
+    pairs = one.join(two, ["combo", "val"]).where((F.col("left") <= F.col("right")) & (F.col("right.r") - F.col("left.r") <= radius))
+    side = lambda part, n: F.struct(F.col(part).alias("part"), F.lit(n).alias("side"))
+    sides = F.when(F.col("left") == F.col("right"), F.array(side("left", 0))).otherwise(F.array(side("left", 1), side("right", 2)))
+    pairs = pairs.select("combo", "val", "left", "right", F.explode(sides).alias("s")).select("combo", "val", F.xxhash64("left").alias("left"), F.xxhash64("right").alias("right"), "s.part", "s.side")
+    pairs = staged(pairs, "pairs")
+    member = members.join(broadcast_if(rings, rings.count(), BROADCAST_ROWS), ["combo", "val", "r"])
+    member = member.select("combo", "val", "fp", "comp", F.struct("r", F.pmod(F.xxhash64("fp"), F.col("subs")).cast("int").alias("sub")).alias("part"))
+    work = member.join(broadcast_if(pairs, pairs.count(), BROADCAST_ROWS), ["combo", "val", "part"])
+    shard = F.xxhash64("combo", "val")
+    return work.select(shard.alias("shard"), "left", "right", "side", "fp", "comp", F.xxhash64(shard, "left", "right").alias("call"))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """(id_col, fingerprint, component_id): one row for each row of docs, repeated rows included.
 
@@ -235,8 +267,8 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def without_copies(docs: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
     """docs without the rows that groups (id_col, component_id) puts under another id, and without repeated ids."""
     groups = staged(groups.select(id_col, "component_id"), "groups")
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    out = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col)).distinct()
+    out = docs.join(gone, id_col, "left_anti").select(*docs.columns)
     n, distinct = groups.agg(F.count(F.lit(1)), F.count_distinct(F.col(id_col))).first()
     if n == distinct:
         return out
