@@ -44,6 +44,49 @@ def test_chunk_encoder_is_exact(file):
             assert own.decode(ids) == t.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("file,kind", [(WORDS, "words"), (BYTES, "bytes")])
+def test_each_chunk_is_encoded_once(file, kind, monkeypatch):
+    from thicket.llm import bpe
+
+    own, t = ChunkEncoder(file), Tokenizer.from_file(file)
+    assert own.spaces == kind
+    shared = " ".join(f"word{i * 7919 % 9973}" for i in range(4000))
+    some = [f"{'before ' * (i % 5)}{i} {shared} after {i}" for i in range(30)]
+    for _ in range(2):
+        for text, got in zip(some, own.encode_all(some)):
+            assert np.frombuffer(got, own.kind).tolist() == t.encode(text, add_special_tokens=False).ids
+    distinct = {c for x in some for c in chunks(x.encode())}
+    assert own.encoded == len(distinct) < own.met and len(distinct) < 0.2 * sum(len(chunks(x.encode())) for x in some)
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 2000)  # forgets, but stays right
+    for text in some[:6] + texts(30, 5):
+        assert np.frombuffer(own.encode_all([text])[0], own.kind).tolist() == t.encode(text, add_special_tokens=False).ids
+    assert len(own.memo) + len(own.old_memo) <= 2 * len(distinct)
+
+
+def test_joints_that_do_not_agree_make_the_text_whole(monkeypatch):
+    own, t = ChunkEncoder(BYTES), Tokenizer.from_file(BYTES)
+    text = " ".join(f"word{i * 7919 % 9973}" for i in range(2000))
+    monkeypatch.setattr(own, "_compare", lambda pairs: own.joints.update(dict.fromkeys(pairs, False)))
+    assert own.joint(b" ab cd", b" ef gh") is None
+    own.encode_all([text])
+    assert own.encoded == 1
+    seen = []
+    monkeypatch.setattr(own, "_agree", lambda tail, head: seen.append((tail, head)) or len(seen) > 1)
+    assert own.joint(b"xy ab cd", b" ef gh ij") == 2 and seen == [(b" cd", b" ef"), (b" ab cd", b" ef gh")]
+
+
+def test_other_tokenizers_take_texts_whole(tmp_path):
+    from tokenizers import pre_tokenizers
+
+    t = Tokenizer.from_file(BYTES)
+    t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    t.save(str(tmp_path / "other.json"))
+    own = ChunkEncoder(str(tmp_path / "other.json"))
+    assert own.spaces is None
+    for text, got in zip(ODD + texts(20, 6), own.encode_all(ODD + texts(20, 6))):
+        assert np.frombuffer(got, own.kind).tolist() == t.encode(text or "", add_special_tokens=False).ids
+
+
 def test_encode_and_decode_tables(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-i, t) for i, t in enumerate(ODD, 1)] + [(-1, None)], "doc_id long, text string")).withColumn("n_tokens", F.lit("clash"))
     t = Tokenizer.from_file(WORDS)

@@ -1,34 +1,48 @@
 """BPE encoding and decoding with content-defined chunks that are encoded once.
 
 Texts are cut where a rolling hash of the last bytes has a fixed pattern, so a passage that many documents share is cut
-alike in all of them. Texts that share chunks are dealt to the same tasks (by their smallest chunk hash; Spark splits
-what becomes too large), and a task encodes each distinct chunk once. At a joint of two chunks the words on either side
-are encoded again as one, together with a word of each neighbour, and more words are taken in until both ends agree
-with what the chunks gave.
+alike in all of them. A worker keeps the ids of the chunks that it has met, by a 128-bit digest, and encodes a chunk only
+when it is new to it; what it has learnt serves its next task, too. Memory is bounded: when MEMO_BYTES of ids are held,
+chunks that were not met since the last such time are forgotten. (Texts stay where they are read: dealing them to workers
+by their chunks would write the corpus to disk once more.)
+
+At a joint of two chunks the words on either side are encoded again as one piece and compared with what the chunks gave;
+on disagreement more words are taken in, twice as many each time, and a text of which a joint agrees nowhere is encoded
+whole. Cuts are made only before a space between ASCII characters, of which a word or number follows it: there the
+pre-tokenizers of CHUNKED kinds begin a new piece whatever is before. Texts of other tokenizers are one chunk each.
+
+The words of a new chunk are looked up in turn, where the tokenizer drops white space: a smaller unit of the same reuse.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm._shared import for_python, no_cycles, with_fields
 
 WINDOW, MASK_BITS, LEAST, REACH = 32, 11, 256, 64
-#: Bytes of chunk text that a worker remembers, and of text that it works on at a time.
-MEMO_BYTES, SLICE_BYTES = 8_000_000, 500_000
-#: Words that a worker remembers; used only with tokenizers that drop white space, where a word's ids are its own.
-MEMO_WORDS = 150_000
+#: Bytes of ids that a worker remembers (twice as many, just before it forgets), and of text that it works on at a time.
+MEMO_BYTES, SLICE_BYTES = 40_000_000, 500_000
+#: Words and joints that a worker remembers.
+MEMO_WORDS, MEMO_JOINTS = 150_000, 100_000
 
 #: A 32-bit number for each byte, from a multiplicative rule.
 _BYTE = ((np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
-_SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Before and after a space at which a text may be cut.
+_SOLID = np.array([33 <= b < 127 for b in range(256)])
+_WORDS = np.array([bytes([b]).isalnum() for b in range(256)])
+_CLEAN = re.compile(rb"(?<=[!-~]) (?=[0-9A-Za-z])")
 
 
 def rolling_hash(data: np.ndarray) -> np.ndarray:
@@ -43,22 +57,20 @@ def rolling_hash(data: np.ndarray) -> np.ndarray:
 
 
 def cuts(data: bytes) -> list[int]:
-    """Where data (UTF-8) is cut, its end included. A cut moves on to white space if some is near, else to a whole character."""
+    """Where data (UTF-8) is cut, its end included: at the first clean space after a hit of the hash, if it is near."""
     n = len(data)
     if n <= 2 * LEAST:
         return [n]
     b = np.frombuffer(data, np.uint8)
-    h = rolling_hash(b)
-    hits = np.flatnonzero((h >> np.uint32(32 - MASK_BITS)) == 0)
+    hits = np.flatnonzero((rolling_hash(b) >> np.uint32(32 - MASK_BITS)) == 0) + 1
+    clean = np.flatnonzero((b[1:-1] == 32) & _SOLID[b[:-2]] & _WORDS[b[2:]]) + 1
+    if not len(clean) or not len(hits):
+        return [n]
+    at = np.searchsorted(clean, hits)
+    hits, at = hits[at < len(clean)], at[at < len(clean)]
     out, last = [], 0
-    for i in (hits + 1).tolist():
-        if i - last < LEAST or n - i < LEAST:
-            continue
-        near = np.flatnonzero(_SPACES[b[i : i + REACH]])
-        i = i + int(near[0]) if len(near) else i
-        while i < n and (b[i] & 0xC0) == 0x80:
-            i += 1
-        if last < i < n:
+    for i in np.unique(clean[at][clean[at] - hits < REACH]).tolist():
+        if i - last >= LEAST and n - i >= LEAST:
             out.append(i)
             last = i
     return [*out, n]
@@ -69,9 +81,48 @@ def chunks(data: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *ends], ends)] if data else []
 
 
+def _steps(part: dict | None, inner: str) -> list[dict]:
+    """A normalizer or pre-tokenizer of a tokenizer's file, as a list of steps."""
+    return [] if part is None else part[inner] if part["type"] == "Sequence" else [part]
+
+
+def chunked_kind(spec: dict) -> str | None:
+    """How a tokenizer, by its file, treats spaces: 'words' (it drops white space, and no piece crosses it), 'bytes' (a
+    piece begins at a space before a word); None if neither is sure."""
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or not t["content"].strip() or " " in t["content"] for t in spec["added_tokens"]):
+        return None
+    before = _steps(spec["pre_tokenizer"], "pretokenizers")
+    spaces = {"NFC", "NFKC", "NFD", "NFKD", "Lowercase", "Replace", "StripAccents"}
+    steps = _steps(spec["normalizer"], "normalizers")
+    if not before or spec["model"].get("type") != "BPE" or not {x["type"] for x in steps} <= spaces:
+        return None
+    if any(x["type"] == "Replace" and (x["pattern"], x["content"]) != ({"Regex": r"\s+"}, " ") for x in steps):
+        return None
+    first = before[0]
+    if first["type"] in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer"):
+        return "words"
+    if first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"] and "Regex" in first["pattern"]:
+        return None if regex.search(first["pattern"]["Regex"], " \t\r\n\x0b\x0c") else "words"
+    if first["type"] == "ByteLevel" and first["use_regex"] and not first["add_prefix_space"] and not steps and len(before) == 1:
+        return "bytes"
+    return None
+
+
+def spaces(left: bytes, right: bytes) -> tuple[list[int], list[int]]:
+    """The clean spaces near the joint of two chunks, on each side."""
+    base = max(0, len(left) - 8 * REACH)
+    return [base + m.start() for m in _CLEAN.finditer(left[base:])], [m.start() for m in _CLEAN.finditer(right[: 8 * REACH])]
+
+
+def around(left: bytes, right: bytes, k: int = 1, places: tuple[list[int], list[int]] | None = None) -> tuple[bytes, bytes]:
+    """The last k words of left and the first k of right, by clean spaces; all, where there are fewer."""
+    ends, starts = places or spaces(left, right)
+    return left[ends[-k] :] if k <= len(ends) else left, right[: starts[k - 1]] if k <= len(starts) else right
+
+
 class ChunkEncoder:
     """Encodes texts as a tokenizer of the tokenizers library does, a distinct chunk once. Ids are raw bytes, of two or
-    four bytes each (kind)."""
+    four bytes each (kind). encoded counts the chunks that were encoded, met all chunks."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -79,39 +130,56 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        spec = json.loads(self.tokenizer.to_str())
         size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.memo: dict[bytes, bytes] = {}
-        self.held = 0
+        self.old_memo: dict[bytes, bytes] = {}
+        self.held = self.encoded = self.met = 0
+        self.joints: dict[tuple[bytes, bytes], bool] = {}
         self.words: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-        # Probes of what the tokenizer leaves out or folds, so that words can stand for themselves.
-        self.by_words = self.raw(b" a  b\n") == self.raw(b"a") + self.raw(b"b")
-        self.folds = self.raw(b"ABC Xy") == self.raw(b"abc xy")
-        self.marks = frozenset(m for m in b".,;:!?" if self.raw(b"ab" + bytes([m])) == self.raw(b"ab") + self.raw(bytes([m])) and self.raw(b"a1" + bytes([m])) == self.raw(b"a1") + self.raw(bytes([m])))
-        tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
-        probe = self.raw(b"ab, cde fgh")
-        plain = self.tokenizer.decode(np.frombuffer(probe, self.kind).tolist(), skip_special_tokens=False) == " ".join(tokens[i] for i in np.frombuffer(probe, self.kind))
-        self.tokens = tokens if plain else None
+        self.spaces = chunked_kind(spec)
+        self.folds = any(x["type"] == "Lowercase" for x in _steps(spec["normalizer"], "normalizers"))
+        self.marks = frozenset(m for m in b".,;:!?" if self.spaces == "words" and self._stands_alone(chr(m)))
+        # Without a decoder the library puts a space between tokens.
+        self.tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)] if spec["decoder"] is None else None
+
+    def _stands_alone(self, mark: str) -> bool:
+        """Whether mark after a letter or digit is a piece of its own."""
+        cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        return all(cut(f"{x}{mark}")[-1][1] == (2, 3) for x in ("ab", "a1", "11"))
 
     def raw(self, data: bytes) -> bytes:
         return np.array(self.tokenizer.encode(data.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _learn(self, parts: list[bytes]) -> None:
-        new = [p for p in dict.fromkeys(parts) if p not in self.memo]
-        if self.held + sum(map(len, new)) > MEMO_BYTES:
-            self.memo.clear()
-            self.held, new = 0, list(dict.fromkeys(parts))
-        if not self.by_words:
-            self.memo.update(zip(new, self._batch(new)))
-        else:
-            split = [(p.lower() if self.folds and b"<|" not in p else p).split() for p in new]
-            if len(self.words) > MEMO_WORDS:  # words that were met lately stay
-                self.older, self.words = self.words, {}
-            self._learn_words(set().union(*split).difference(self.words))
-            ids = self.words.__getitem__
-            self.memo.update((p, b"".join(map(ids, x))) for p, x in zip(new, split))
-        self.held += sum(map(len, new))
+    def _learn(self, parts: dict[bytes, bytes]) -> None:
+        """Remembers the ids of chunks (digest to bytes)."""
+        self.met += len(parts)
+        if self.held > MEMO_BYTES:
+            self.old_memo, self.memo, self.held = self.memo, {}, 0
+        new = {}
+        for d, p in parts.items():
+            if d not in self.memo:
+                if (ids := self.old_memo.get(d)) is None:
+                    new[d] = p
+                else:
+                    self.memo[d] = ids
+                    self.held += len(ids)
+        self.encoded += len(new)
+        for d, ids in zip(new, self._encode(list(new.values()))):
+            self.memo[d] = ids
+            self.held += len(ids)
+
+    def _encode(self, parts: list[bytes]) -> list[bytes]:
+        if self.spaces != "words":
+            return self._batch(parts)
+        split = [(p.lower() if self.folds and b"<|" not in p else p).split() for p in parts]
+        if len(self.words) > MEMO_WORDS:  # words that were met lately stay
+            self.older, self.words = self.words, {}
+        self._learn_words(set().union(*split).difference(self.words))
+        ids = self.words.__getitem__
+        return [b"".join(map(ids, x)) for x in split]
 
     def _learn_words(self, unseen: set[bytes]) -> None:
         """A word with a mark at its end has the ids of the word and those of the mark."""
@@ -135,78 +203,48 @@ class ChunkEncoder:
             out += [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
         return out
 
-    def joint(self, before: list[bytes], middle: bytes, after: list[bytes]) -> tuple[int, bytes, int]:
-        """(words taken from before, ids, words taken from after): the ids of the words around a joint, when the words
-        at both ends of what was encoded agree with their encoding alone."""
-        k = 1
+    def joint(self, left: bytes, right: bytes, known: bool | None = None) -> int | None:
+        """How many words a side, around the joint of two chunks, have as one piece the ids that both sides have apart;
+        None if no number has. known: whether one word a side has."""
+        k, places = 1, None
         while True:
-            left, right = before[-k:], after[:k]
-            ids = self.raw(b" ".join([*left, middle, *right]))
-            head, tail = (self.raw(left[0]) if left else b""), (self.raw(right[-1]) if right else b"")
-            if ids.startswith(head) and ids.endswith(tail):
-                return len(left), ids, len(right)
-            if k >= len(before) and k >= len(after):
-                return len(left), ids, len(right)
-            k *= 2
+            tail, head = around(left, right, k, places)
+            if self._agree(tail, head) if known is None else known:
+                return k
+            if len(tail) == len(left) and len(head) == len(right):
+                return None
+            k, known = 2 * k, None
+            places = places or spaces(left, right)
+
+    def _agree(self, tail: bytes, head: bytes) -> bool:
+        self._compare([(tail, head)])
+        return self.joints[tail, head]
+
+    def _compare(self, pairs: list[tuple[bytes, bytes]]) -> None:
+        """Remembers for pairs of pieces whether their ids apart are those that they have as one."""
+        if len(self.joints) > MEMO_JOINTS:
+            self.joints.clear()
+        new = [x for x in dict.fromkeys(pairs) if x not in self.joints]
+        apart = list(dict.fromkeys(p for x in new for p in x))
+        ids = dict(zip(apart, self._encode(apart)))
+        self.joints.update((x, one == ids[x[0]] + ids[x[1]]) for x, one in zip(new, self._batch([a + b for a, b in new])))
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null and empty texts have none."""
-        plan = []
-        for t in texts:
-            data = t.encode("utf-8", "surrogatepass") if t else b""
-            # Where white space makes tokens, a joint can't be told from the words around it: the text is one chunk.
-            parts = chunks(data) if self.by_words else [data] if data else []
-            if len(parts) < 2:
-                plan.append(parts)
-                continue
-            # A chunk's words at its ends belong to joints; what is between is encoded once wherever the chunk occurs.
-            cut, pending, split = [], b"", [p.split(None, 1) for p in parts]
-            for i, p in enumerate(parts):
-                if not p.split():
-                    cut.append(("joint", pending)) if pending else None
-                    pending = b""
-                    continue
-                opens, closes = p[:1].isspace(), p[-1:].isspace()
-                if opens and pending:
-                    cut.append(("joint", pending))
-                    pending = b""
-                words = split[i]
-                if len(words) == 1 and not opens and not closes:
-                    pending += p
-                    continue
-                start, end = 0, len(p)
-                if not opens and i:
-                    start = next(k for k in range(len(p)) if p[k : k + 1].isspace())
-                    cut.append(("joint", pending + p[:start]))
-                    pending = b""
-                if not closes and i < len(parts) - 1:
-                    end = len(p) - len(p.rsplit(None, 1)[-1])
-                if start < end and p[start:end].strip():
-                    cut.append(("body", p[start:end]))
-                pending = b"" if closes or i == len(parts) - 1 else p[end:]
-            if pending:
-                cut.append(("joint", pending))
-            plan.append(cut)
-        self._learn([x if isinstance(x, bytes) else x[1] for parts in plan for x in parts if isinstance(x, bytes) or x[0] == "body"])
-        return [self._assemble(parts) for parts in plan]
-
-    def _assemble(self, parts: list) -> bytes:
-        if not parts:
-            return b""
-        if isinstance(parts[0], bytes):
-            return self.memo[parts[0]]
-        ids: list[bytes] = []
-        for i, (kind, data) in enumerate(parts):
-            if kind == "body":
-                ids.append(self.memo[data])
-                continue
-            before = parts[i - 1][1][-400:].split()[1:][-8:] if i else []
-            after = parts[i + 1][1][:400].split()[:-1][:8] if i + 1 < len(parts) else []
-            a, got, b = self.joint(before, data, after)
-            head = len(self.raw(b" ".join(before[len(before) - a :])))
-            tail = len(self.raw(b" ".join(after[:b])))
-            ids.append(got[head : len(got) - tail])
-        return b"".join(ids)
+        datas = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        cut = [chunks(d) if self.spaces else [d] if d else [] for d in datas]
+        ends = [[around(a, b) for a, b in zip(own, own[1:])] for own in cut]
+        self._compare([x for e in ends for x in e])
+        plan, parts = [], {}
+        for data, own, joints in zip(datas, cut, ends):
+            good = (self.joint(a, b, self.joints[x]) for a, b, x in zip(own, own[1:], joints))
+            own = [data] if any(k is None for k in good) else own
+            keys = [xxhash.xxh3_128_digest(p) for p in own]
+            parts.update(zip(keys, own))
+            plan.append(keys)
+        self._learn(parts)
+        ids = self.memo.__getitem__
+        return [b"".join(map(ids, keys)) for keys in plan]
 
     def decode(self, ids: list[int]) -> str:
         """As the tokenizer does; one that has no decoder puts a space between tokens."""
