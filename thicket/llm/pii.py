@@ -153,38 +153,35 @@ def _hexed(v: Column, seed: Column) -> Column:
     return _each(v, lambda c, i: F.when(c.rlike("[0-9a-fA-F]"), F.substr(F.lit("0123456789abcdef"), _byte(seed, i) % 16 + 1, F.lit(1))).otherwise(c))
 
 
-def _pick(seed: Column, i: Column | int, values: list[str]) -> Column:
-    return F.array(*map(F.lit, values))[_byte(seed, i) % len(values)]
-
-
-def _by_script(norm: Column, of) -> Column:
-    """of(script) for the script of norm; Latin stands for all without lists of their own."""
-    out = F.lit(None).cast("string")
-    for script, pattern in SCRIPTS.items():
-        out = F.when(norm.rlike(pattern), of(script)).otherwise(out)
-    return F.coalesce(out, of("L"))
-
-
-def surrogate(kind: Column, norm: Column, gender: Column, tries: Column, key: str) -> Column:
-    """The surrogate of an entity, in the form of norm. Each further try makes names longer, so their supply has no end."""
-    seed = F.concat_ws("|", F.lit(key), kind, norm, tries.cast("string"))
-    rest = F.concat(F.substr(norm, F.lit(1), F.lit(1)), _spell(F.substr(norm, F.lit(2)), seed))
-    octets = F.concat_ws(".", *((1 + _byte(seed, i) % 254).cast("string") for i in range(4)))
-    mail = F.concat(_spell(F.substring_index(norm, "@", 1), seed), F.lit("@m"), F.substr(F.sha2(seed, 256), F.lit(1), F.lit(6)), F.lit(".example.net"))
-    body = F.substr(rest, F.lit(1), F.length(rest) - 1)
-    card = F.concat(body, ((10 - luhn(body, 1) % 10) % 10).cast("string"))
-    bank = _spell(F.substr(norm, F.lit(5)), seed)
-    check = 98 - mod97(F.concat(bank, F.substr(norm, F.lit(1), F.lit(2)), F.lit("00")))
-    iban = F.concat(F.substr(norm, F.lit(1), F.lit(2)), F.lpad(check.cast("string"), 2, "0"), bank)
-    family = _by_script(norm, lambda s: F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), tries + 2), lambda j: _pick(seed, j, SYLLABLES[s])), "")))
-    names = lambda s, g: F.array_join(F.transform(F.sequence(F.lit(0), tries), lambda j: _pick(seed, j, GIVEN[g + s])), "-")
-    given = _by_script(norm, lambda s: F.when(gender == "m", names(s, "m")).when(gender == "f", names(s, "f")).otherwise(names(s, "e")))
-    # The country code of a phone number, the issuer of a card, the beginning of an IPv6 address stay.
-    return (
-        F.when(kind == "ip", octets).when(kind == "ipv6", F.concat(F.substr(norm, F.lit(1), F.lit(1)), _hexed(F.substr(norm, F.lit(2)), seed)))
-        .when(kind == "email", mail).when(kind == "family", family).when(kind == "given", given).when(kind == "phone", rest).when(kind == "card", card)
-        .when(kind == "iban", iban).when((kind == "secret") & norm.rlike("^[0-9a-f]+$"), _hexed(norm, seed)).otherwise(_spell(norm, seed))
-    )
+def _lists(of: dict[str, list[str]]) -> Column:
+    return F.create_map(*(x for k, v in of.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+
+
+def _drawn(entities: DataFrame, key: str) -> DataFrame:
+    """entities (kind, norm, gender, tries) with sur, the surrogate in the form of norm. Names are drawn from lists of the
+    script of norm (Latin for scripts without lists); each further try makes them longer, so their supply has no end."""
+    kind, norm, seed, tries = F.col("kind"), F.col("norm"), F.col("seed"), F.col("tries")
+    script = F.lit("L")
+    for name, pattern in SCRIPTS.items():
+        script = F.when(norm.rlike(pattern), name).otherwise(script)
+    values = F.when(kind == "family", F.element_at(_lists(SYLLABLES), script)).when(kind == "given", F.element_at(_lists(GIVEN), F.concat("gender", script)))
+    rows = entities.withColumn("seed", F.concat_ws("|", F.lit(key), kind, norm, tries.cast("string"))).withColumn("values", values)
+    # The country code of a phone number, the issuer of a card, the country of an IBAN, the beginning of an IPv6 address stay.
+    spelt = _spell(F.when(kind == "email", F.substring_index(norm, "@", 1)).when(kind == "iban", F.substr(norm, F.lit(5))).when(kind.isin("phone", "card"), F.substr(norm, F.lit(2))).otherwise(norm), seed)
+    hexed = _hexed(F.when(kind == "ipv6", F.substr(norm, F.lit(2))).otherwise(norm), seed)
+    names = F.transform(F.sequence(F.lit(0), tries + F.when(kind == "family", 2).otherwise(0)), lambda j: F.col("values")[_byte(seed, j) % F.size("values")])
+    by_hex = (kind == "ipv6") | (kind == "secret") & norm.rlike("^[0-9a-f]+$")
+    made = F.when(kind == "ip", F.concat_ws(".", *((1 + _byte(seed, i) % 254).cast("string") for i in range(4)))).when(by_hex, hexed)
+    made = made.when(kind == "family", F.initcap(F.array_join(names, ""))).when(kind == "given", F.array_join(names, "-")).otherwise(spelt)
+    rows = rows.withColumn("made", made)
+    made, first = F.col("made"), F.substr(norm, F.lit(1), F.lit(1))
+    mail = F.concat(made, F.lit("@m"), F.substr(F.sha2(seed, 256), F.lit(1), F.lit(6)), F.lit(".example.net"))
+    body = F.concat(first, F.substr(made, F.lit(1), F.length(made) - 1))
+    country = F.substr(norm, F.lit(1), F.lit(2))
+    check = (98 - mod97(F.concat(made, country, F.lit("00")))).cast("string")
+    sur = F.when(kind == "email", mail).when(kind.isin("ipv6", "phone"), F.concat(first, made)).when(kind == "iban", F.concat(country, F.lpad(check, 2, "0"), made))
+    sur = sur.when(kind == "card", F.concat(body, ((10 - luhn(body, 1) % 10) % 10).cast("string"))).otherwise(made)
+    return rows.withColumn("sur", sur).drop("seed", "values", "made")
 
 
 def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
@@ -193,9 +190,9 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     Of entities that share a surrogate, the one that sorts first keeps it; a surrogate that is an entity itself is never
     kept. Each round draws only for those that still clash, until none does.
     """
-    draw = surrogate(F.col("kind"), F.col("norm"), F.col("gender"), F.col("tries"), key)
     whole = F.lower(F.when(F.col("kind") == "given", F.concat("sur", F.lit(" "), F.substring_index("norm", " ", -1))).otherwise(F.col("sur")))
-    drawn = staged(entities.select("kind", "norm", "gender", F.lit(0).alias("tries")).withColumn("sur", draw), "drawn")
+    tasks = 2 * entities.sparkSession.sparkContext.defaultParallelism  # drawing is work: it is dealt out however few bytes there are
+    drawn = staged(_drawn(entities.select("kind", "norm", "gender", F.lit(0).alias("tries")).repartition(tasks, "kind", "norm"), key), "drawn")
     taken = entities.select("kind", F.lower("norm").alias("s")).distinct().withColumn("taken", F.lit(True))
     while True:
         named = drawn.withColumn("s", whole)
@@ -203,9 +200,11 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
         again = (F.col("norm") != F.col("keeps")) | F.col("taken").isNotNull()
         marked = named.join(same, ["kind", "s"]).join(taken, ["kind", "s"], "left")
         marked = staged(marked.select("kind", "norm", "gender", (F.col("tries") + again.cast("int")).alias("tries"), "sur", again.alias("again")), "drawn")
-        if not marked.where("again").limit(1).count():
-            return marked.select("kind", "norm", "sur")
-        drawn = marked.select("kind", "norm", "gender", "tries", F.when(F.col("again"), draw).otherwise(F.col("sur")).alias("sur"))
+        kept = marked.where(~F.col("again")).drop("again")
+        clash = marked.where("again")
+        if not clash.limit(1).count():
+            return kept.select("kind", "norm", "sur")
+        drawn = kept.unionByName(staged(_drawn(clash.drop("again", "sur"), key).select(*kept.columns), "drawn"))
 
 
 # --- texts ----------------------------------------------------------------------------------------------------------
