@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from thicket.llm.bpe import ChunkEncoder, chunks, cuts, decode, encode
 from thicket.llm.token_counts import attribute, section_tokens
-from thicket.llm.token_files import Shard, UnitEncoder, build_levels, read_shard, read_token_files, shard_bytes, slots, token_folder, write_token_files
+from thicket.llm.token_files import TokenFolder, UnitEncoder, build_levels, open_shard, packed, read_shard, read_token_files, shard_bytes, shard_of, slots, token_files, token_folder, write_token_files
 
 WORDS, BYTES, RANKS = path("word_bpe_49k.json"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken")
 ALPHABET = "abcde fghij   \n\t'sté漢字😀1234!?.,<|endoftext|> ́ 　É\x1c\x85ABC."
@@ -152,17 +152,51 @@ def test_unit_encoder_is_exact():
 def test_minimal_perfect_hash():
     h = np.unique(np.random.default_rng(0).integers(0, 2**64, 20_000, dtype=np.uint64))
     levels = build_levels(h)
-    assert sorted(slots(h, levels)) == list(range(len(h)))
+    index = [packed(x) for x in levels]
+    got = slots(h, [len(x) for x in levels], lambda k, b: (index[k][0][b], index[k][1][b], int(levels[k].sum())))
+    assert sorted(got) == list(range(len(h)))
     assert build_levels(np.zeros(0, np.uint64)) == []
 
 
 def test_shard_finds_its_keys_and_no_others():
     keys = [None, 1, 1, "x", 5]
-    shard = Shard(shard_bytes(keys, [np.array(x, "<u2").tobytes() for x in ([2], [7, 2], [8, 8, 2], [2], [9, 2])], 2))
+    shard = shard_of(shard_bytes(keys, [np.array(x, "<u2").tobytes() for x in ([2], [7, 2], [8, 8, 2], [2], [9, 2])], 2))
     assert [shard.ids_of(*k).tolist() for k in ((None,), (1, 0), (1, 1), ("x",), (5,))] == [[2], [7, 2], [8, 8, 2], [2], [9, 2]]
     assert all(shard.ids_of(k) is None for k in range(100, 400)) and shard.ids_of(1, 2) is None
     with pytest.raises(ValueError):
-        Shard(b"nothing of the kind")
+        shard_of(b"nothing of the kind")
+
+
+@pytest.mark.parametrize("n", [200, 20_000, 200_000])
+def test_a_lookup_reads_as_much_whatever_the_size(tmp_path, n):
+    ids = np.arange(3, dtype="<u2").tobytes()
+    (tmp_path / "a.ids").write_bytes(shard_bytes(list(range(n)), [ids] * n, 2))
+    shard, read = open_shard(str(tmp_path / "a.ids")), []
+    inner = shard.read
+    shard.read = lambda start, length: read.append(length) or inner(start, length)
+    for key in range(0, n, n // 50):
+        read.clear()
+        assert shard.ids_of(key).tolist() == [0, 1, 2]
+        assert sum(read) < 1500 and len(read) < 40
+    assert shard.ids_of(n + 1) is None
+
+
+def test_a_later_session_finds_keys(spark, monkeypatch):
+    from thicket.llm import token_files as module
+
+    monkeypatch.setattr(module, "SHARD_BYTES", 400)
+    rows = [(i, f"text number {i} of many") for i in range(300)] + [(7, "again")] * 40 + [(None, "no id"), (10**12, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    folder = token_folder(spark)
+    write_token_files(docs, folder, BYTES, 2)
+    t, own = Tokenizer.from_file(BYTES), TokenFolder(folder)
+    enc = lambda x: [*t.encode(x or "", add_special_tokens=False).ids, 2]
+    for i in (0, 1, 42, 299, 10**12):
+        assert own.ids_of(i).tolist() == enc(dict(rows)[i])
+    assert own.ids_of(None).tolist() == enc("no id")
+    sevens = [own.ids_of(7, k) for k in range(42)]
+    assert sevens[41] is None and sorted(x.tolist() for x in sevens[:41]) == sorted([enc("again")] * 40 + [enc("text number 7 of many")])
+    assert own.ids_of(-5) is None and own.ids_of(300) is None and token_files(spark, folder).count() == len(own.paths) > 0
 
 
 def test_files_and_back(spark, sf):

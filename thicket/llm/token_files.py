@@ -1,14 +1,15 @@
 """Token-id files: raw id payloads with a minimal perfect hash index for keyed access.
 
-A shard file has, in this order, all numbers little-endian: the magic b"THKTOK1\\n"; the header's length (uint32) and
-the header (JSON: width in bytes of an id, number of documents and ids, seed and bits of each level of the hash, where
-each part begins); the levels' bit arrays; for each slot of the hash a fingerprint of its key (uint32) and its
-document's number in the shard (uint32); for each document, in order, where its ids begin (uint64, one more for the
-end); the keys, in order, a line each (JSON); the ids, document by document.
-
-A key is a document's id and its occurrence in the shard (0 but for repeated ids). Looking one up reads a bit at each
-level until one is set, ranks it, and compares the fingerprint: constant time, whatever the size of the shard, and a
-foreign key is told with all but a chance of 2**-32.
+A shard file has, in this order, all numbers little-endian: the magic b"THKTOK2\\n"; the header's length (uint32) and
+the header (JSON: width in bytes of an id, number of documents and ids, bits of each level of the hash, where each part
+ends); for each level its bit array, in blocks of 512 bits, and the number of bits set before each block (uint32); for
+each slot of the hash a fingerprint of its key (uint32) and its document's number in the shard (uint32); for each
+document, in order, where its ids begin (uint64, one more for the end); the keys, in order, a line each (JSON); the ids,
+document by document. A folder of shards has a manifest (Parquet, in _manifest): the shards in order, with their first keys.
+
+A key is a document's id and its occurrence in the shard (0 but for repeated ids). Looking one up reads a block of bits
+and its rank at each level until a bit is set, and compares the fingerprint: constant time, some hundred bytes, whatever
+the size of the shard. A foreign key is told with all but a chance of 2**-32. TokenFolder finds the shard by the manifest.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import re
 import struct
 import uuid
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from functools import lru_cache
 from itertools import chain
@@ -26,16 +28,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from thicket.llm._shared import fresh_path, no_cycles, staged
 
-MAGIC = b"THKTOK1\n"
+MAGIC = b"THKTOK2\n"
 #: Bytes of ids after which a shard is closed, units that a worker remembers, bytes of text encoded at a time.
 SHARD_BYTES, MEMO_UNITS, SLICE_BYTES = 16_000_000, 800_000, 2_000_000
 GAMMA, LEVELS = 1.5, 64
+#: Bits of a level that share a stored rank.
+BLOCK = 512
+#: The manifest's name in its folder; shards that a TokenFolder holds open.
+MANIFEST, OPEN_SHARDS = "_manifest", 64
 #: Frequent units that are looked up first, and the calls in which they are counted.
 HOT_UNITS, HOT_CALLS = 60_000, 12
 
@@ -68,18 +74,39 @@ def build_levels(h: np.ndarray) -> list[np.ndarray]:
     return levels
 
 
-def slots(h: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
-    """The slot of each hash; -1 for what no level has."""
+def packed(level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A level's bits in whole blocks (a row of bytes each), and the number of bits set before each block."""
+    bits = np.packbits(np.pad(level, (0, -len(level) % BLOCK)), bitorder="little").reshape(-1, BLOCK // 8)
+    counts = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    return bits, (np.cumsum(counts) - counts).astype("<u4")
+
+
+def bit_and_rank(blocks: np.ndarray, before: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether bit at is set, and how many are set before it; blocks and before are those of each at."""
+    byte, bit = at % BLOCK >> 3, (at & 7).astype(np.uint8)
+    own = blocks[np.arange(len(at)), byte]
+    counts = np.bitwise_count(blocks).astype(np.int64)
+    ahead = (np.cumsum(counts, axis=1) - counts)[np.arange(len(at)), byte]
+    return (own >> bit & 1).astype(bool), before.astype(np.int64) + ahead + np.bitwise_count(own & ((np.uint8(1) << bit) - np.uint8(1)))
+
+
+def slots(h: np.ndarray, sizes: list[int], fetch) -> np.ndarray:
+    """The slot of each hash; -1 for what no level has. sizes: the levels' bits; fetch(level, block numbers) gives the
+    blocks and their ranks, and the bits set in the whole level."""
     out, todo, base = np.full(len(h), -1, np.int64), np.arange(len(h)), 0
-    for k, bits in enumerate(levels):
+    for k, size in enumerate(sizes):
         if not len(todo):
             break
-        at = (_mixed(h[todo], k) % np.uint64(len(bits))).astype(np.int64)
-        rank = np.cumsum(bits) - 1
-        hit = bits[at]
-        out[todo[hit]] = base + rank[at[hit]]
-        base += int(rank[-1]) + 1
-        todo = todo[~hit]
+        at = (_mixed(h[todo], k) % np.uint64(size)).astype(np.int64)
+        left = []
+        for a in range(0, len(todo), 8192):
+            some, places = todo[a : a + 8192], at[a : a + 8192]
+            blocks, before, total = fetch(k, places // BLOCK)
+            hit, rank = bit_and_rank(blocks, before, places)
+            out[some[hit]] = base + rank[hit]
+            left.append(some[~hit])
+        base += total
+        todo = np.concatenate(left)
     return out
 
 
@@ -104,51 +131,118 @@ def shard_bytes(keys: list, ids: list[bytes], width: int) -> bytes:
         named.append((k, seen[k]))
     h = np.array([key_hash(*k) for k in named], np.uint64)
     levels = build_levels(h)
-    at = slots(h, levels)
+    index = [packed(x) for x in levels]
+    totals = [int(x.sum()) for x in levels]
+    at = slots(h, [len(x) for x in levels], lambda k, b: (index[k][0][b], index[k][1][b], totals[k]))
     marks, number = np.zeros(len(h), "<u4"), np.zeros(len(h), "<u4")
     marks[at], number[at] = (h >> np.uint64(32)).astype("<u4"), np.arange(len(h))
     begins = np.concatenate(([0], np.cumsum([len(x) // width for x in ids]))).astype("<u8")
-    parts = [*(np.packbits(x, bitorder="little").tobytes() for x in levels), marks.tobytes(), number.tobytes(), begins.tobytes(), "\n".join(json.dumps(k) for k in keys).encode(), b"".join(ids)]
+    parts = [p.tobytes() for bits_ranks in index for p in bits_ranks]
+    parts += [marks.tobytes(), number.tobytes(), begins.tobytes(), "\n".join(json.dumps(k) for k in keys).encode(), b"".join(ids)]
     ends = np.cumsum([len(p) for p in parts]).tolist()
-    head = json.dumps({"width": width, "docs": len(keys), "ids": int(begins[-1]), "levels": [len(x) for x in levels], "parts": ends}).encode()
+    head = json.dumps({"width": width, "docs": len(keys), "ids": int(begins[-1]), "levels": [len(x) for x in levels], "set": totals, "parts": ends}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(head)), head, *parts])
 
 
 class Shard:
-    """A shard file, read; ids_of gives a document's ids by its key."""
+    """A shard, by a function that reads a range of its bytes; only the header is read at first."""
 
-    def __init__(self, data: bytes):
-        if data[:8] != MAGIC:
+    def __init__(self, read):
+        """read(start, length) gives bytes."""
+        start = read(0, 12)
+        if start[:8] != MAGIC:
             raise ValueError("not a shard of token ids")
-        (n,) = struct.unpack_from("<I", data, 8)
-        self.head = json.loads(data[12 : 12 + n])
-        base, ends, levels = 12 + n, self.head["parts"], self.head["levels"]
-        part = [data[base + a : base + b] for a, b in zip([0, *ends], ends)]
-        self.levels = [np.unpackbits(np.frombuffer(p, np.uint8), count=size, bitorder="little").astype(bool) for p, size in zip(part, levels)]
-        rest = part[len(levels) :]
-        self.marks, self.number, self.begins = np.frombuffer(rest[0], "<u4"), np.frombuffer(rest[1], "<u4"), np.frombuffer(rest[2], "<u8").astype(np.int64)
-        self.keys = [json.loads(x) for x in rest[3].split(b"\n")] if self.head["docs"] else []
-        self.payload = np.frombuffer(rest[4], "<u2" if self.head["width"] == 2 else "<u4")
+        (n,) = struct.unpack_from("<I", start, 8)
+        self.read, self.head = read, json.loads(read(12, n))
+        ends = [12 + n + e for e in self.head["parts"]]
+        self.parts = list(zip([12 + n, *ends], ends))
+        self.marks, self.number, self.begins, self.names, self.ids = self.parts[2 * len(self.head["levels"]) :]
+        self.kind = np.dtype("<u2" if self.head["width"] == 2 else "<u4")
+
+    def whole(self, part: tuple[int, int], kind) -> np.ndarray:
+        return np.frombuffer(self.read(part[0], part[1] - part[0]), kind)
+
+    def items(self, part: tuple[int, int], at: np.ndarray, kind, width: int = 1) -> np.ndarray:
+        """Items at some places of a part, width numbers each. Of many places the whole part is read."""
+        size = np.dtype(kind).itemsize * width
+        if len(at) > 64:
+            return self.whole(part, kind).reshape(-1, width)[at]
+        return np.stack([np.frombuffer(self.read(part[0] + int(a) * size, size), kind) for a in at]) if len(at) else np.zeros((0, width), kind)
+
+    def _fetch(self, level: int, blocks: np.ndarray):
+        bits, ranks = self.parts[2 * level : 2 * level + 2]
+        return self.items(bits, blocks, np.uint8, BLOCK // 8), self.items(ranks, blocks, "<u4")[:, 0], self.head["set"][level]
 
     def find(self, keys: list[tuple[object, int]]) -> np.ndarray:
         """The number in the shard of each (id, occurrence); -1 for those it doesn't have."""
         h = np.array([key_hash(*k) for k in keys], np.uint64)
-        at = slots(h, self.levels)
-        known = at >= 0
-        known[known] = self.marks[at[known]] == (h[known] >> np.uint64(32)).astype("<u4")
-        out = np.full(len(h), -1, np.int64)
-        out[known] = self.number[at[known]]
+        at = slots(h, self.head["levels"], self._fetch)
+        out, known = np.full(len(h), -1, np.int64), np.flatnonzero(at >= 0)
+        same = self.items(self.marks, at[known], "<u4")[:, 0] == (h[known] >> np.uint64(32)).astype("<u4")
+        known = known[same]
+        out[known] = self.items(self.number, at[known], "<u4")[:, 0]
         return out
 
     def ids_of(self, key: object, occurrence: int = 0) -> np.ndarray | None:
         i = int(self.find([(key, occurrence)])[0])
-        return None if i < 0 else self.payload[self.begins[i] : self.begins[i + 1]]
+        if i < 0:
+            return None
+        a, b = np.frombuffer(self.read(self.begins[0] + 8 * i, 16), "<u8").astype(int).tolist()
+        width = self.kind.itemsize
+        return np.frombuffer(self.read(self.ids[0] + a * width, (b - a) * width), self.kind)
+
+    def keys(self) -> list:
+        text = self.read(self.names[0], self.names[1] - self.names[0])
+        return [json.loads(x) for x in text.split(b"\n")] if self.head["docs"] else []
+
+
+def shard_of(data: bytes) -> Shard:
+    """A shard whose bytes are in memory."""
+    return Shard(lambda start, length: data[start : start + length])
 
 
 def read_shard(path: str) -> Shard:
+    """A shard file, read as a whole."""
     place, name = _place(path)
     with place.open_input_file(name) as f:
-        return Shard(f.read())
+        return shard_of(f.read())
+
+
+def open_shard(path: str) -> Shard:
+    """A shard file of which each lookup reads what it needs."""
+    place, name = _place(path)
+    file = place.open_input_file(name)
+    return Shard(lambda start, length: file.read_at(length, start))
+
+
+class TokenFolder:
+    """Keyed access to a folder of shards, in any later session: the manifest tells the shard, its hash the place."""
+
+    def __init__(self, folder: str):
+        import pyarrow.parquet as pq
+
+        place, name = _place(f"{folder}/{MANIFEST}")
+        rows = sorted(pq.read_table(name, filesystem=place).to_pylist(), key=lambda r: r["shard"])
+        self.paths, self.firsts = [r["path"] for r in rows], [(r["first"] is not None, r["first"]) for r in rows]
+        self.shards: dict[str, Shard] = {}
+
+    def ids_of(self, key: object, occurrence: int = 0) -> np.ndarray | None:
+        """The ids of a document; of those with one id, in order. None for a key that no shard has."""
+        mark = (key is not None, key)
+        last = bisect_right(self.firsts, mark) - 1 if key is not None else sum(not known for known, _ in self.firsts)
+        at = max(0, bisect_left(self.firsts, mark) - 1) if key is not None else 0
+        while at <= min(last, len(self.paths) - 1):
+            if self.paths[at] not in self.shards:
+                if len(self.shards) >= OPEN_SHARDS:
+                    self.shards.clear()
+                self.shards[self.paths[at]] = open_shard(self.paths[at])
+            shard, n = self.shards[self.paths[at]], 0
+            while (ids := shard.ids_of(key, n)) is not None:
+                if not occurrence:
+                    return ids
+                occurrence, n = occurrence - 1, n + 1
+            at += 1
+        return None
 
 
 # --- encoding -------------------------------------------------------------------------------------------------------
@@ -283,8 +377,8 @@ def encoder(path: str, end_id: int | None) -> UnitEncoder:
 
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes text_col and writes shard files to folder, in ascending order of id_col over all shards (nulls first;
-    rows of one id by a hash of their text). Returns the shards: (shard long, path, n_docs, n_tokens, start), start being
-    the number of ids in the shards before.
+    rows of one id by a hash of their text). Returns the shards, which are the folder's manifest: (shard long, path, n_docs,
+    n_tokens, start, first), start being the number of ids in the shards before, first the first id.
 
     Null texts are empty ones. A file counts only if its task succeeded and named it, so a lost executor's files are
     left aside. An empty table has no shards.
@@ -304,7 +398,9 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int | Non
             file = f"{uuid.uuid4().hex}.ids"
             with fs.open_output_stream(f"{base}/{file}") as f:
                 f.write(shard_bytes(keys, ids, own.width))
-            row = pa.RecordBatch.from_arrays([pa.array([keys[0]], kind), pa.array([tie], pa.int64()), pa.array([f"{folder}/{file}"]), pa.array([len(keys)], pa.int64()), pa.array([size // own.width], pa.int64())], ["first", "tie", "path", "n_docs", "n_tokens"])
+            values = {"first": pa.array([keys[0]], kind), "tie": pa.array([tie], pa.int64()), "path": pa.array([f"{folder}/{file}"])}
+            values |= {"n_docs": pa.array([len(keys)], pa.int64()), "n_tokens": pa.array([size // own.width], pa.int64())}
+            row = pa.RecordBatch.from_pydict(values)
             keys, ids, size = [], [], 0
             return row
 
@@ -333,8 +429,16 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int | Non
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_tie"), F.col(text_col).cast("string").alias("_text"))
     ordered = rows.repartitionByRange("_id", "_tie").sortWithinPartitions("_id", "_tie")
     shards = staged(ordered.mapInArrow(run, f"first {id_type}, tie bigint, path string, n_docs bigint, n_tokens bigint"), "shards")
-    order = Window.orderBy(F.col("first").asc_nulls_first(), "tie")  # a row for each file
-    return shards.select((F.row_number().over(order) - 1).cast("long").alias("shard"), "path", "n_docs", "n_tokens", (F.sum("n_tokens").over(order) - F.col("n_tokens")).alias("start"))
+    # One task numbers the files: a row for each SHARD_BYTES of ids.
+    order = Window.orderBy(F.col("first").asc_nulls_first(), "tie", "path")
+    shards = shards.select((F.row_number().over(order) - 1).cast("long").alias("shard"), "path", "n_docs", "n_tokens", (F.sum("n_tokens").over(order) - F.col("n_tokens")).alias("start"), "first")
+    shards.write.parquet(f"{folder}/{MANIFEST}")
+    return token_files(spark, folder)
+
+
+def token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The shards of a folder, by its manifest: (shard long, path, n_docs, n_tokens, start, first)."""
+    return spark.read.parquet(f"{folder}/{MANIFEST}")
 
 
 def read_token_files(shards: DataFrame, id_type: str = "bigint", ids: bool = False) -> DataFrame:
@@ -345,25 +449,25 @@ def read_token_files(shards: DataFrame, id_type: str = "bigint", ids: bool = Fal
     schema = StructType.fromDDL(f"doc_id {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * ids)
 
     def run(batches):
-        kind = None
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 shard = read_shard(path)
-                seen: dict = {}
-                named = []
-                for k in shard.keys:
+                keys, seen, named = shard.keys(), {}, []
+                for k in keys:
                     seen[k] = seen.get(k, -1) + 1
                     named.append((k, seen[k]))
                 at = shard.find(named)
                 if (at < 0).any():
                     raise ValueError(f"{path}: its index doesn't have all of its keys")
-                begins, ends = shard.begins[at], shard.begins[at + 1]
+                places, payload = shard.whole(shard.begins, "<u8").astype(np.int64), shard.whole(shard.ids, shard.kind)
+                begins, ends = places[at], places[at + 1]
                 for a in range(0, len(named), 4096):
                     spans = list(zip(begins[a : a + 4096].tolist(), ends[a : a + 4096].tolist()))
-                    crc = [zlib.crc32(shard.payload[x:y].astype("<u4").tobytes()) for x, y in spans]
-                    cols = [pa.array(shard.keys[a : a + 4096], kind or pa.int64() if id_type == "bigint" else None), pa.array([start + x for x, _ in spans], pa.int64()), pa.array([y - x for x, y in spans], pa.int64()), pa.array(crc, pa.int64())]
+                    crc = [zlib.crc32(payload[x:y].astype("<u4").tobytes()) for x, y in spans]
+                    cols = [pa.array(keys[a : a + 4096], pa.int64() if id_type == "bigint" else None)]
+                    cols += [pa.array([start + x for x, _ in spans], pa.int64()), pa.array([y - x for x, y in spans], pa.int64()), pa.array(crc, pa.int64())]
                     if ids:
-                        cols.append(pa.array([shard.payload[x:y].astype(np.int32) for x, y in spans], pa.list_(pa.int32())))
+                        cols.append(pa.array([payload[x:y].astype(np.int32) for x, y in spans], pa.list_(pa.int32())))
                     yield pa.RecordBatch.from_arrays(cols, schema.names)
 
     return shards.select("path", "start").repartition("path").mapInArrow(run, schema)
