@@ -21,10 +21,9 @@ from pyspark.sql import functions as F
 
 from thicket.llm._shared import for_python, staged, with_fields
 
-#: Labelled rows per language that the model is fitted on, at most (about; rows are drawn by a hash of the text).
+#: Labelled rows per language that the model is fitted on, at most (about; rows are drawn by a hash of id and text). It
+#: bounds the model, too, which keeps all n-grams of those rows.
 TRAIN_DOCS_PER_LANG = 2000
-#: The model keeps so many n-grams of each language, the most frequent ones: its size is bounded.
-FEATURES_PER_LANG = 20_000
 SWITCH_PENALTY = 12.0
 #: Words whose scores a Python worker remembers, and words that one Viterbi call holds.
 MEMO_WORDS, CALL_WORDS = 300_000, 200_000
@@ -106,35 +105,37 @@ def _gram_counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], pa.string() if i < 3 else pa.int64()) for i in range(4)], ["lang", "kind", "item", "n"])
 
 
-def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", per_lang: int = TRAIN_DOCS_PER_LANG, features: int = FEATURES_PER_LANG) -> Model:
+def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", per_lang: int = TRAIN_DOCS_PER_LANG, id_col: str = "doc_id") -> Model:
     """A model from labelled rows; rows without text or label are left out. No rows: a model without languages.
 
-    Of each language about per_lang rows are read (all, if there are fewer), chosen by a hash of the text; what comes
-    to the driver is at most features n-grams a language, whatever the size of the table.
+    Of each language about per_lang rows are read (all, if there are fewer), chosen by a hash of text and id (of the text
+    alone, without such a column), so that a text that many rows have counts as often as it is drawn. What comes to the
+    driver is the counts of those rows' n-grams.
     """
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    drawn = F.pmod(F.xxhash64(text_col, *[c for c in labelled.columns if c == id_col]), F.lit(1_000_000))
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), drawn.alias("drawn"))
     totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not totals:
         return Model([], {}, np.zeros((1, 0)), {})
     share = F.lit(0)
     for lang, n in totals.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1_000_000, math.ceil(1e6 * per_lang / n)))).otherwise(share)
-    counts = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).mapInArrow(_gram_counts, "lang string, kind string, item string, n bigint")
+    counts = rows.where(F.col("drawn") < share).select("lang", "text").mapInArrow(_gram_counts, "lang string, kind string, item string, n bigint")
     counts = staged(counts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "grams")
     langs = sorted(totals)
-    top: dict[str, list] = {lang: [r for r in counts.where((F.col("lang") == lang) & (F.col("kind") == "gram")).orderBy(F.desc("n"), "item").limit(features).select("item", "n").collect()] for lang in langs}
     seen: dict[str, dict[str, int]] = {}
     for r in counts.where("kind = 'script'").collect():
         seen.setdefault(r["item"], {})[r["lang"]] = r["n"]
-    index = {g: i for i, g in enumerate(sorted({r["item"] for rows in top.values() for r in rows}))}
-    weights = np.zeros((len(index) + 1, len(langs)))
-    for k, lang in enumerate(langs):
-        column, total = np.full(len(index) + 1, 0.5), 0.5 * len(index)
-        for r in top[lang]:
-            column[index[r["item"]]] += r["n"]
-            total += r["n"]
-        weights[:, k] = np.log(column / total)
-    weights[-1] = weights[-1].max() if len(langs) else 0
+    table = counts.where("kind = 'gram'").select("lang", "item", "n").toArrow()
+    items, names = (table.column(c).combine_chunks().dictionary_encode() for c in ("item", "lang"))
+    index = {g: i for i, g in enumerate(items.dictionary.to_pylist())}
+    place = items.indices.to_numpy()
+    column = np.array([langs.index(x) for x in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()]
+    weights = np.full((len(index) + 1, len(langs)), 0.5)
+    weights[place, column] += table.column("n").to_numpy()
+    weights = np.log(weights / (weights.sum(axis=0) - 0.5))
+    weights[-1] = weights[-1].max()
     words = {lang: sum(c.get(lang, 0) for c in seen.values()) for lang in langs}
     scripts = {s: np.array([c.get(lang, 0) >= 0.01 * max(1, words[lang]) for lang in langs]) for s, c in seen.items()}
     return Model(langs, index, weights, {s: m for s, m in scripts.items() if m.any()})
