@@ -45,6 +45,45 @@ def test_replace_and_merge(spark, tmp_path):
     assert store.load().counts() == (4, 2)
 
 
+def test_of_two_writers_the_second_fails(spark, tmp_path):
+    import pytest
+
+    one, two = GraphStore(spark, str(tmp_path / "w")), GraphStore(spark, str(tmp_path / "w"))
+    one.replace(graph(spark, [("a", "b", "r")]))
+    seen = two.state()
+    one.merge(graph(spark, [("b", "c", "r")]))
+    late = graph(spark, [("x", "y", "r")])
+    with pytest.raises(RuntimeError):
+        two._commit(seen, late, ["default"])
+    assert {r.id for r in one.load().nodes.collect()} == {"a", "b", "c"}
+    # Forced past the look at the folder, the file itself can't be made twice.
+    two._numbers = lambda: [seen.number]
+    with pytest.raises(RuntimeError):
+        two._commit(seen, late, ["default"])
+    assert {r.id for r in one.load().nodes.collect()} == {"a", "b", "c"} and one.state().number == 1
+
+
+def test_a_merge_writes_its_tenant_only(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path / "w"))
+    store.replace(graph(spark, [("a", "b", "r")]))
+    store.replace(graph(spark, [("x", "y", "r")], "other"), "other")
+    before = store.state().tenants
+    store.merge(graph(spark, [("b", "c", "r")]), key="k1")
+    after = store.state()
+    assert after.tenants["other"] == before["other"] and after.tenants["default"] != before["default"]
+    for _ in range(4):
+        store.merge(graph(spark, [("b", "c", "r")]), key="k1")
+    assert store.state() == after
+    for k in range(4):
+        store.merge(graph(spark, [("b", "d", "r")]), key=f"m{k}")
+    folders = {p.name for p in (tmp_path / "w").iterdir() if p.name.startswith("v-")}
+    assert len(folders) <= 4 and set(store.state().tenants.values()) <= folders and store.load("other").counts() == (2, 1)
+    (tmp_path / "w" / "CURRENT.99").write_text("")  # a write that broke off
+    assert store.load().counts() == (6, 4)
+    store.repair()
+    assert not (tmp_path / "w" / "CURRENT.99").exists()
+
+
 def test_merge_options(spark):
     old, new = graph(spark, [("a", "b", "r", "Type", None)]), graph(spark, [("a", "b", "r"), ("a", "b", "q")])
     g = merged(Graph(stored(old.nodes), old.edges), new, recompute_degree=True, keep_known_types=True)
@@ -103,7 +142,9 @@ def test_files(spark, tmp_path):
     assert {(r.id, r.label) for r in back.nodes.collect()} == {(r.id, r.label) for r in g.nodes.collect()} and {(r.source, r.weight) for r in back.edges.collect()} == {("rust", 4.0), ("it's", 0.5)}
     assert whole(tmp_path / "csv.nodes.csv").splitlines()[0] == "id,label,degree,community" and len(whole(tmp_path / "csv.edges.csv").splitlines()) == 3
     assert whole(tmp_path / "cypher").count("CREATE (n:Concept") == 3
-    assert len(json.loads(sinks.json_document(g).first()["json"])["edges"]) == 2
+    text = "\n".join(r.line for r in sinks.json_document(g).orderBy("part", "a", "b", "c").collect())
+    assert len(json.loads(text)["edges"]) == 2 and json.loads(text)["nodes"] == sorted(json.loads(text)["nodes"], key=lambda n: n["id"])
+    assert json.loads("".join(r.line for r in sinks.json_document(Graph(g.nodes.limit(0), g.edges.limit(0))).orderBy("part").collect())) == {"nodes": [], "edges": []}
     assert "Tokio" in sinks.view_page(g) and sinks.view_counts(g.edges).first() == (1, 1)
 
 

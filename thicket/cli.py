@@ -43,6 +43,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--chunk-size", type=int)
     p.add_argument("--chunk-overlap", type=int)
     p.add_argument("--append", action="store_true")
+    p.add_argument("--per-directory", type=int, help="of more than 100 documents, read the best of each directory only")
     p.add_argument("--domain")
     p.add_argument("--context")
     p.add_argument("--context-file")
@@ -131,7 +132,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         provider = a.provider or config.provider
         ledger_path = f"{place}/ledger-{tenant}"
         ledger = read_ledger(spark, ledger_path)
-        graph, entries = ingest(spark, read_documents(spark, a.path), ledger, extractor(provider, a.model, config.models.get(provider), domain), tenant, chunk_size=a.chunk_size or config.chunk_size, overlap=a.chunk_overlap or config.chunk_overlap)
+        make = extractor(provider, a.model, config.models.get(provider), domain)
+        sizes = {"chunk_size": a.chunk_size or config.chunk_size, "overlap": a.chunk_overlap or config.chunk_overlap}
+        graph, entries = ingest(spark, read_documents(spark, a.path), ledger, make, tenant, per_directory=a.per_directory, **sizes)
         if not entries.limit(1).count():
             print("nothing new")
             return 0
@@ -182,7 +185,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif a.verb == "communities":
         g = rebuilt(graph)
         labels = communities.label_propagation(g.nodes, g.edges)
-        render(communities.summary(labels).select("community", "size", F.slice("members", 1, 20).alias("members")))
+        sizes = labels.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
+        render(sizes.join(communities.first_members(labels), "community").orderBy(F.desc("size"), "community"))
         render(communities.type_histogram(graph.nodes, labels).orderBy("community", F.desc("n"), "entity_type"))
     elif a.verb == "export":
         sinks.export(Graph(graph.nodes, graph.edges), a.format, a.output)

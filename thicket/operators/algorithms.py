@@ -11,23 +11,34 @@ from thicket.operators.build import Graph
 from thicket.operators.search import both_ways
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 30, directed: str = "lexicographic") -> DataFrame:
+def pagerank(nodes: DataFrame | None, edges: DataFrame, damping: float = 0.85, iterations: int = 30, directed: str = "lexicographic") -> DataFrame:
     """ALG-01: (id, rank). A fixed number of rounds from 1/n each; what nodes without outgoing edges hold is spread
-    over all nodes. Edges count once each, unweighted, from source to target ('both' for both ways)."""
-    nodes = cut(nodes.select("id"), "nodes")  # a graph may be a long plan; it is worked out once
-    n = nodes.count()
-    if not n:
-        return nodes.select("id", F.lit(0.0).alias("rank"))
-    pairs = cut(edges.select("source", "target") if directed == "lexicographic" else both_ways(edges).select(F.col("n").alias("source"), F.col("m").alias("target")), "pairs")
+    over all nodes. Edges count once each, unweighted, from source to target ('both' for both ways). nodes: those with and
+    without edges; None for the ends of the edges.
+
+    Links are dealt by their source once; each round moves the ranks only. A round's ranks are written, so a lost executor
+    costs a round.
+    """
+    own = edges.select("source", "target")  # a graph may be a long plan; it is worked out once
+    pairs = cut(own if directed == "lexicographic" else both_ways(edges).select(F.col("n").alias("source"), F.col("m").alias("target")), "pairs")
+    ids = pairs.select(F.explode(F.array("source", "target")).alias("id")).distinct() if nodes is None else nodes.select("id")
     out = pairs.groupBy("source").agg(F.count(F.lit(1)).alias("out"))
-    links = cut(pairs.join(out, "source").select("source", "target", (1.0 / F.col("out")).alias("share")), "links")
-    ranks = cut(nodes.select("id", F.lit(1.0 / n).alias("rank")).join(out.select(F.col("source").alias("id"), F.lit(False).alias("sink")), "id", "left").select("id", "rank", F.coalesce("sink", F.lit(True)).alias("sink")), "ranks")
-    for k in range(iterations):
-        given = ranks.join(links, F.col("id") == F.col("source")).groupBy("target").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        lost = ranks.where("sink").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))  # one row
-        ranks = ranks.join(given, F.col("id") == F.col("target"), "left").crossJoin(F.broadcast(lost))
-        ranks = ranks.select("id", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"), "sink")
+    ranks = cut(ids.join(out.select(F.col("source").alias("id"), "out"), "id", "left"), "ranks")
+    n = ranks.count()
+    if not n:
+        return ranks.select("id", F.lit(0.0).alias("rank"))
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = pairs.repartition(tasks, "source").persist()
+    ranks = ranks.select("id", F.lit(1.0 / n).alias("rank"), "out")
+    lost = ranks.where("out is null").agg(F.sum("rank")).first()[0] or 0.0
+    for _ in range(iterations):
+        given = ranks.where("out is not null").select(F.col("id").alias("source"), (F.col("rank") / F.col("out")).alias("share")).join(links, "source")
+        both = given.select(F.col("target").alias("id"), "share").unionByName(ranks.select("id", "out"), allowMissingColumns=True)
+        got = both.groupBy("id").agg(F.sum("share").alias("share"), F.max("out").alias("out"))
+        ranks = got.select("id", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("share", F.lit(0.0))).alias("rank"), "out")
         ranks = cut(ranks, "ranks")
+        lost = ranks.where("out is null").agg(F.sum("rank")).first()[0] or 0.0
+    links.unpersist()
     return ranks.select("id", "rank")
 
 
@@ -119,13 +130,20 @@ def basic_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return one.select("n_nodes", "n_edges", F.when(n > 1, m / (n * (n - 1))).otherwise(0.0).alias("density"), F.when(n > 0, 2 * m / n).otherwise(0.0).alias("avg_degree"), "max_degree")
 
 
-def graph_stats(graph: Graph, k: int = 10) -> dict[str, DataFrame]:
-    """ALG-07: 'summary' (one row), 'top_degree' and 'top_pagerank' (k rows each)."""
+def graph_stats(graph: Graph, k: int = 10, parts: tuple[str, ...] = ("summary", "top_degree", "top_pagerank")) -> dict[str, DataFrame]:
+    """ALG-07: of 'summary' (one row), 'top_degree' and 'top_pagerank' (k rows each), the parts asked for."""
     from thicket.operators.build import degrees
     from thicket.operators.communities import label_propagation
 
-    basic = basic_stats(graph.nodes, graph.edges)
-    comps = components(graph.nodes, graph.edges).agg(F.count_distinct("component").alias("n_components"))
-    comms = label_propagation(graph.nodes, graph.edges).agg(F.count_distinct("community").alias("n_communities"))
-    ranks = pagerank(graph.nodes, graph.edges)
-    return {"summary": basic.crossJoin(F.broadcast(comps)).crossJoin(F.broadcast(comms)), "top_degree": top_degrees(degrees(graph.nodes, graph.edges), k), "top_pagerank": ranks.orderBy(F.desc("rank"), "id").limit(k)}
+    graph = Graph(cut(graph.nodes, "nodes"), cut(graph.edges, "edges"))
+    out = {}
+    if "summary" in parts:
+        basic = basic_stats(graph.nodes, graph.edges)
+        comps = components(graph.nodes, graph.edges).agg(F.count_distinct("component").alias("n_components"))
+        comms = label_propagation(graph.nodes, graph.edges).agg(F.count_distinct("community").alias("n_communities"))
+        out["summary"] = basic.crossJoin(F.broadcast(comps)).crossJoin(F.broadcast(comms))  # a row each
+    if "top_degree" in parts:
+        out["top_degree"] = top_degrees(degrees(graph.nodes, graph.edges), k)
+    if "top_pagerank" in parts:
+        out["top_pagerank"] = pagerank(graph.nodes, graph.edges).orderBy(F.desc("rank"), "id").limit(k)
+    return out

@@ -25,16 +25,18 @@ def first_array(text: Column) -> Column:
     """EXT-10: from the first [ to its match; null if none closes it.
 
     The pieces after the first [ are brackets, strings and the rest; a running count of open brackets over them finds
-    the match. It is a fold over the pieces, in the JVM.
+    the match. It is a fold over the pieces' lengths, in the JVM; the array is cut out once.
     """
-    pieces = F.regexp_extract_all(F.regexp_replace(text, r"(?s)^[^\[]*", ""), F.lit(rf'(?s){_STRING}|[\[\]]|[^"\[\]]+|"'), F.lit(0))
-    start = F.struct(F.lit(0).alias("open"), F.lit("").alias("out"), F.lit(False).alias("done"))
+    rest = F.regexp_replace(text, r"(?s)^[^\[]*", "")
+    pieces = F.regexp_extract_all(rest, F.lit(rf'(?s){_STRING}|[\[\]]|[^"\[\]]+|"'), F.lit(0))
+    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("length"), F.lit(False).alias("done"))
 
     def step(acc: Column, p: Column) -> Column:
         now = acc["open"] + F.when(p == "[", 1).when(p == "]", -1).otherwise(0)
-        return F.when(acc["done"], acc).otherwise(F.struct(now.alias("open"), F.concat(acc["out"], p).alias("out"), (now == 0).alias("done")))
+        return F.when(acc["done"], acc).otherwise(F.struct(now.alias("open"), (acc["length"] + F.char_length(p)).alias("length"), (now == 0).alias("done")))
 
-    return F.aggregate(pieces, start, step, lambda acc: F.when(acc["done"], acc["out"]))
+    length = F.aggregate(pieces, start, step, lambda acc: F.when(acc["done"], acc["length"]))
+    return F.when(length.isNotNull(), F.substr(rest, F.lit(1), length))
 
 
 def _triple():

@@ -11,10 +11,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thicket.functions.persist import cut
 from thicket.functions.text import norm_key
 from thicket.schema import DEFAULT_TENANT, PROXIMITY
 
 EXPLICIT_WEIGHT, SHARED_WEIGHT = 4.0, 1.0
+#: Triples of a chunk whose nodes are paired in one row; larger chunks are paired in blocks of about so many nodes.
+CHUNK_NODES = 256
 
 
 @dataclass
@@ -58,28 +61,56 @@ def shared_chunks(triples: DataFrame, max_nodes_per_chunk: int | None = None) ->
     """BLD-07: (source, target, chunk_id) for each pair of nodes and each chunk that has both.
 
     The pairs of a chunk are what is asked for, so a chunk of k nodes makes k * (k - 1) / 2 of them; max_nodes_per_chunk
-    leaves larger chunks out (none by default).
+    leaves larger chunks out (none by default). A chunk's nodes are gathered once, and paired in the row. Chunks of more
+    than CHUNK_NODES rows are cut to blocks of nodes, and pairs of blocks are dealt out, so no row or task holds a large one.
     """
-    members = incidence(triples)
     if max_nodes_per_chunk is not None:
-        members = members.join(members.groupBy("chunk_id").count().where(F.col("count") <= max_nodes_per_chunk).select("chunk_id"), "chunk_id", "left_semi")
-    one, two = members.select("chunk_id", F.col("id").alias("source")), members.select("chunk_id", F.col("id").alias("target"))
-    return one.join(two, "chunk_id").where("source < target").select("source", "target", "chunk_id")
+        sizes = incidence(triples).groupBy("chunk_id").count().where(F.col("count") <= max_nodes_per_chunk)
+        triples = triples.join(sizes.select("chunk_id"), "chunk_id", "left_semi")
+    rows = triples.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"))
+    large = cut(rows.where(F.col("n") > CHUNK_NODES).select("chunk_id", F.ceil(F.col("n") / CHUNK_NODES).cast("int").alias("blocks")), "large")
+    some = bool(large.limit(1).count())
+    small = triples.join(large, "chunk_id", "left_anti") if some else triples
+    members = small.groupBy("chunk_id").agg(F.array_sort(F.array_union(F.collect_set("a"), F.collect_set("b"))).alias("ids"))
+    after = lambda x, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda y: F.struct(x.alias("source"), y.alias("target")))
+    pairs = members.where("size(ids) > 1").select("chunk_id", F.explode(F.flatten(F.transform("ids", after))).alias("p"))
+    pairs = pairs.select("p.source", "p.target", "chunk_id")
+    return pairs.unionByName(_large_chunks(triples.join(large, "chunk_id"))) if some else pairs
+
+
+def _large_chunks(triples: DataFrame) -> DataFrame:
+    """The pairs of triples (with blocks, the number of blocks of their chunk), block by block."""
+    members = triples.select("chunk_id", "blocks", F.explode(F.array("a", "b")).alias("id")).distinct()
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    held = cut(members.groupBy("chunk_id", "blocks", block.alias("block")).agg(F.collect_list("id").alias("ids")), "blocks")
+    # Each block meets every block that isn't before it; the pairs of two blocks are made where both are.
+    one = held.select("chunk_id", "block", F.col("ids").alias("left"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"))
+    both = one.join(held.select("chunk_id", F.col("block").alias("other"), F.col("ids").alias("right")), ["chunk_id", "other"])
+    x = both.select("chunk_id", F.col("block") == F.col("other"), F.explode("left").alias("x"), "right").toDF("chunk_id", "same", "x", "right")
+    pairs = x.select("chunk_id", "same", "x", F.explode("right").alias("y")).where((~F.col("same") & (F.col("x") != F.col("y"))) | (F.col("x") < F.col("y")))
+    return pairs.select(F.least("x", "y").alias("source"), F.greatest("x", "y").alias("target"), "chunk_id")
 
 
 def _label(edge: str = "edge") -> Column:
-    """BLD-08: the first relation that isn't mere nearness, else nearness."""
+    """BLD-08: the first relation that isn't mere nearness; null if there is none."""
     own = F.when(F.col(edge) != PROXIMITY, F.col("seq"))
-    return F.coalesce(F.min_by(F.when(F.col(edge) != PROXIMITY, F.col(edge)), own), F.lit(PROXIMITY))
+    return F.min_by(F.when(F.col(edge) != PROXIMITY, F.col(edge)), own)
 
 
 def edges(triples: DataFrame, proximity: bool = True, keep_chunks: bool = True, max_nodes_per_chunk: int | None = None) -> DataFrame:
     """BLD-05, BLD-07, BLD-08: (source, target, relation, weight, chunk_ids): 4 for every triple, 1 for every chunk that
-    both ends share. Explicit and shared rows go through one aggregate, with one shuffle on the pair."""
-    explicit = triples.select("source", "target", "chunk_id", "edge", "seq", F.lit(EXPLICIT_WEIGHT).alias("w"))
-    rows = explicit.unionByName(shared_chunks(triples, max_nodes_per_chunk).withColumn("w", F.lit(SHARED_WEIGHT)), allowMissingColumns=True) if proximity else explicit
-    found = [_label().alias("relation"), F.sum("w").alias("weight")]
-    return rows.groupBy("source", "target").agg(*found, *([F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids")] if keep_chunks else []))
+    both ends share. Nearness is summed apart, as only explicit rows have labels to choose from; both meet by pair."""
+    chunks = [F.collect_set("chunk_id").alias("chunk_ids")] if keep_chunks else []
+    explicit = triples.groupBy("source", "target").agg(_label().alias("relation"), (F.count(F.lit(1)) * EXPLICIT_WEIGHT).alias("weight"), *chunks)
+    if not proximity:
+        sorted_ = [F.array_sort("chunk_ids").alias("chunk_ids")] if keep_chunks else []
+        return explicit.select("source", "target", F.coalesce("relation", F.lit(PROXIMITY)).alias("relation"), "weight", *sorted_)
+    near = shared_chunks(triples, max_nodes_per_chunk).groupBy("source", "target").agg((F.count(F.lit(1)) * SHARED_WEIGHT).alias("near"), *[c.alias("near_ids") for c in chunks])
+    both = explicit.join(near, ["source", "target"], "full_outer")
+    weight = F.coalesce("weight", F.lit(0.0)) + F.coalesce("near", F.lit(0.0))
+    none = F.array().cast("array<string>")
+    ids = [F.array_sort(F.array_union(F.coalesce("chunk_ids", none), F.coalesce("near_ids", none))).alias("chunk_ids")] if keep_chunks else []
+    return both.select("source", "target", F.coalesce("relation", F.lit(PROXIMITY)).alias("relation"), weight.alias("weight"), *ids)
 
 
 def degrees(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
@@ -94,7 +125,8 @@ def build_graph(triples: DataFrame, tenant: str = DEFAULT_TENANT, isolated: Data
     rows = normalised(triples)
     if proximity_scope == "run":
         rows = rows.withColumn("chunk_id", F.lit("document"))
-    e = edges(rows, proximity, keep_chunks, max_nodes_per_chunk)
+    rows = cut(rows, "triples")  # worked out once: edges, nearness and nodes read them
+    e = cut(edges(rows, proximity, keep_chunks, max_nodes_per_chunk), "edges")
     n = nodes(rows, isolated)
     n = n.join(degrees(n, e), "id")
     if communities:

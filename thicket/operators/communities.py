@@ -1,89 +1,78 @@
-"""Communities by label propagation (survey ids ALG-05, ALG-06, ALG-09)."""
+"""Communities by label propagation (survey ids ALG-05, ALG-06, ALG-09), as joins and aggregates over the whole table.
+
+Each node asks for the tag that has the most weight around it. In 'async' mode, of nodes that ask for a change only those
+move in a round that come before all neighbours that ask for one, in an order that is drawn by a digest of the id. Two
+neighbours never move at once, so no two swap tags for ever, as they may in 'sync' mode; and the drawn order lets a long
+chain of nodes move in few rounds. One rule holds at every size, and no component, community or neighbourhood meets in a
+task: votes are added up before they are shuffled.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.functions.persist import cut, numbered
-from thicket.operators.algorithms import components, undirected
+from thicket.operators.algorithms import undirected
 
 ROUNDS = 50
-#: Nodes of a component that one task takes in 'async' mode; larger components are propagated in rounds.
-ASYNC_NODES = 100_000
 
 
-def propagated(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
-    """(id, tag): every round, each node takes the tag with the most weight around it (the smaller, if equal)."""
+def _state(tags: DataFrame) -> tuple:
+    return tuple(tags.agg(F.count(F.lit(1)), F.sum(F.xxhash64("id", "tag").cast("decimal(38,0)"))).first())
+
+
+def _best(steps: DataFrame, tags: DataFrame) -> DataFrame:
+    """(n, best): the tag with the most weight around each node; the smaller, if equal."""
+    votes = steps.join(tags.select(F.col("id").alias("m"), "tag"), "m").groupBy("n", "tag").agg(F.sum("w").alias("w"))
+    return votes.groupBy("n").agg(F.min(F.struct((-F.col("w")).alias("w"), "tag")).alias("best")).select("n", F.col("best.tag").alias("best"))
+
+
+def propagated(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(id, tag): every round, each node takes the tag that it asks for. Where tags come back to those of two rounds
+    before, the rest of the rounds is known."""
     steps = cut(undirected(edges), "steps")
     tags = cut(nodes.select("id", F.col("id").alias("tag")), "tags")
-    for _ in range(rounds):
-        votes = steps.join(tags, F.col("m") == F.col("id")).groupBy("n", "tag").agg(F.sum("w").alias("w"))
-        best = votes.groupBy("n").agg(F.min_by("tag", F.struct((-F.col("w")).alias("w"), "tag")).alias("best"))
-        new = cut(tags.join(best, F.col("id") == F.col("n"), "left").select("id", F.coalesce("best", "tag").alias("tag"), (F.col("best") != F.col("tag")).alias("moved")), "tags")
-        tags = new.select("id", "tag")
-        if not new.where("moved").limit(1).count():
+    past, states = [tags], [_state(tags)]
+    for k in range(1, rounds + 1):
+        new = tags.join(_best(steps, tags), F.col("id") == F.col("n"), "left").select("id", F.coalesce("best", "tag").alias("tag"))
+        tags = cut(new, "tags")
+        past, states = [*past[-1:], tags], [*states[-2:], _state(tags)]
+        if states[-1] == states[-2]:
             break
+        if len(states) > 2 and states[-1] == states[-3]:
+            return past[-1] if (rounds - k) % 2 == 0 else past[-2]
     return tags
 
 
-def propagate(ids: list, pairs: list[tuple], rounds: int = ROUNDS) -> dict:
-    """Tags of one component's nodes, visited in order, each change seen at once by those that follow."""
-    around: dict = {i: [] for i in ids}
-    for a, b, w in pairs:
-        around[a].append((b, w))
-        around[b].append((a, w))
-    tag = {i: i for i in ids}
+def settled(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(id, tag): every round, those nodes take the tag that they ask for which come before all neighbours that ask for
+    a change. Ends when none asks for one, or after so many rounds."""
+    steps = cut(undirected(edges).withColumns({"n_order": F.md5("n"), "m_order": F.md5("m")}), "steps")
+    tags = cut(nodes.select("id", F.col("id").alias("tag")), "tags")
     for _ in range(rounds):
-        moved = False
-        for i in sorted(ids):
-            votes: dict = {}
-            for j, w in around[i]:
-                votes[tag[j]] = votes.get(tag[j], 0.0) + w
-            if votes:
-                best = min(votes, key=lambda t: (-votes[t], t))
-                moved |= best != tag[i]
-                tag[i] = best
-        if not moved:
+        asking = tags.join(_best(steps, tags), F.col("id") == F.col("n")).where("best <> tag").select("n", "best")
+        asking = cut(asking, "asking")
+        if not asking.limit(1).count():
             break
-    return tag
-
-
-def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, mode: str = "async", most_nodes: int = ASYNC_NODES) -> DataFrame:
-    """ALG-05: (id, community): numbers from 0 in order of first appearance among the ids in order.
-
-    Tags never leave a component. 'async' takes each component of up to most_nodes nodes in one task, its nodes one after
-    the other; larger ones, and all in 'sync', go by rounds over the whole table. Isolated nodes keep their own tag.
-    """
-    if mode == "sync":
-        tags = propagated(nodes, edges, rounds)
-    else:
-        comps = cut(components(nodes, edges), "components")
-        sizes = cut(comps.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "sizes")
-        pair = edges.where("source <> target").groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.sum("weight").alias("w"))
-        fit = comps.join(sizes.where((F.col("n") > 1) & (F.col("n") <= most_nodes)).select("component"), "component", "left_semi")
-        own = pair.join(fit, F.col("a") == F.col("id")).select("component", "a", "b", "w")
-
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            tag = propagate(list(set(pdf["a"]) | set(pdf["b"])), list(zip(pdf["a"], pdf["b"], pdf["w"])), rounds)
-            return pd.DataFrame({"id": list(tag), "tag": list(tag.values())})
-
-        tags = own.groupBy("component").applyInPandas(run, "id string, tag string")
-        single = comps.join(sizes.where("n = 1").select("component"), "component", "left_semi").select("id", F.col("id").alias("tag"))
-        tags = tags.unionByName(single)
-        large = sizes.where(F.col("n") > most_nodes)
-        if large.limit(1).count():
-            part = comps.join(large.select("component"), "component", "left_semi").select("id")
-            tags = tags.unionByName(propagated(part, edges.join(part.withColumnRenamed("id", "source"), "source", "left_semi"), rounds))
-    tags = cut(tags, "tags")
+        others = steps.where("m_order < n_order").join(asking.select(F.col("n").alias("m")), "m", "left_semi").select("n").distinct()
+        moving = asking.join(others, "n", "left_anti").withColumnRenamed("n", "id")
+        tags = cut(tags.join(moving, "id", "left").select("id", F.coalesce("best", "tag").alias("tag")), "tags")
+    return tags
+
+
+def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, mode: str = "async") -> DataFrame:
+    """ALG-05: (id, community): numbers from 0 in order of first appearance among the ids in order. mode: 'async'
+    (settled) or 'sync' (propagated). Isolated nodes keep their own tag."""
+    tags = cut((propagated if mode == "sync" else settled)(nodes, edges, rounds), "tags")
     ids = numbered(tags.groupBy("tag").agg(F.min("id").alias("first")), "community", "first").select("tag", "community")
     return tags.join(ids, "tag").select("id", "community")
 
 
 def summary(labels: DataFrame) -> DataFrame:
-    """ALG-06: (community, size, members): members in order, largest community first."""
-    return labels.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_list("id")).alias("members")).orderBy(F.desc("size"), "community")
+    """ALG-06: (community, size, id): a row for each member, the largest community first, members in order."""
+    sizes = labels.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
+    return labels.join(sizes, "community").select("community", "size", "id").orderBy(F.desc("size"), "community", "id")
 
 
 def type_histogram(nodes: DataFrame, labels: DataFrame) -> DataFrame:

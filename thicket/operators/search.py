@@ -22,9 +22,13 @@ def search(graph: Graph, term: str, limit: int = MOST_CONCEPTS) -> DataFrame:
     """QRY-01: (concept, related array<struct<related,edge>>): neighbours of the concepts whose label, or an edge of
     theirs, contains the term. The first limit concepts by label."""
     label = graph.nodes.select("id", "label")
-    ends = both_ways(graph.edges).join(label.select(F.col("id").alias("n"), F.col("label").alias("concept")), "n").where(contains_term("concept", term) | contains_term("relation", term))
-    ends = ends.join(label.select(F.col("id").alias("m"), F.col("label").alias("related")), "m")
-    return ends.groupBy("concept").agg(F.array_sort(F.collect_list(F.struct("related", F.col("relation").alias("edge")))).alias("related")).orderBy("concept").limit(limit)
+    own = label.select(F.col("id").alias("n"), F.col("label").alias("concept"))
+    found = both_ways(graph.edges).join(own, "n").where(contains_term("concept", term) | contains_term("relation", term))
+    # The concepts are chosen before their neighbours are gathered: a hub that isn't shown is no burden.
+    shown = found.select("concept").distinct().orderBy("concept").limit(limit)
+    ends = found.join(F.broadcast(shown), "concept", "left_semi").join(label.select(F.col("id").alias("m"), F.col("label").alias("related")), "m")
+    rows = F.array_sort(F.collect_list(F.struct("related", F.col("relation").alias("edge")))).alias("related")
+    return ends.groupBy("concept").agg(rows).orderBy("concept")
 
 
 def reach(seeds: DataFrame, edges: DataFrame, steps: int) -> DataFrame:

@@ -97,10 +97,21 @@ def export(graph: Graph, fmt: str, path: str) -> None:
 
 
 def json_document(graph: Graph) -> DataFrame:
-    """SNK-01: one row with a small graph as one JSON document; larger ones go by export(), a line for each row."""
-    n = graph.nodes.agg(F.array_sort(F.collect_list(F.struct("id", "label", "community", "degree", "entity_type", "tenant"))).alias("nodes"))
-    e = graph.edges.agg(F.array_sort(F.collect_list(F.struct("source", "target", "relation", "weight"))).alias("edges"))
-    return n.crossJoin(e).select(F.to_json(F.struct("nodes", "edges"), {"pretty": "true"}).alias("json"))
+    """SNK-01: (part, a, b, c, line): in this order, the lines of one JSON document of nodes and edges, a row each, so that
+    no row holds the graph. export() writes the rows alone."""
+    spark = graph.nodes.sparkSession
+
+    def lines(df: DataFrame, part: int, order: list[str]) -> DataFrame:
+        keys = [F.coalesce(F.col(c), F.lit("")) for c in order] + [F.lit("")] * (3 - len(order))
+        rows = df.select(F.lit(part).alias("part"), *[k.alias(n) for k, n in zip(keys, "abc")], F.to_json(F.struct("*")).alias("line"))
+        first = rows.agg(F.min(F.struct("a", "b", "c")).alias("first"))  # one row
+        comma = F.when(F.struct("a", "b", "c") == F.col("first"), "").otherwise(",")
+        return rows.crossJoin(F.broadcast(first)).select("part", "a", "b", "c", F.concat(comma, "line").alias("line"))
+
+    fixed = spark.createDataFrame([(0, "", "", "", '{"nodes": ['), (2, "", "", "", '], "edges": ['), (4, "", "", "", "]}")], "part int, a string, b string, c string, line string")
+    n = lines(graph.nodes.select("id", "label", "community", "degree", "entity_type", "tenant"), 1, ["id", "tenant"])
+    e = lines(graph.edges.select("source", "target", "relation", "weight"), 3, ["source", "target", "relation"])
+    return fixed.unionByName(n).unionByName(e)
 
 
 def view_nodes(nodes: DataFrame) -> DataFrame:

@@ -1,13 +1,17 @@
 """Stored graphs: tenants replaced and merged (survey ids STO, SRC-08).
 
-merge_* and replace_* are functions from tables to tables; GraphStore keeps them as Parquet, partitioned by tenant, in a
-folder for each version, and moves a pointer last, so readers see the old graph or the new one.
+merge_* and replace_* are functions from tables to tables; GraphStore keeps them as Parquet, partitioned by tenant. A write
+makes a folder with the tenants it changed, then a state that names the folder of each tenant, so readers see the old graph
+or the new one, and other tenants' data stay where they are.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +19,8 @@ from thicket.operators.build import Graph
 from thicket.schema import DEFAULT_TENANT, EDGE, NODE
 
 DEFAULT_TYPE = "concept"
+#: States whose folders are kept for readers that began before the last writes; keys of merges that are remembered.
+KEEP_STATES, KEEP_KEYS = 3, 10_000
 
 
 def stored(nodes: DataFrame) -> DataFrame:
@@ -75,8 +81,21 @@ def store_counts(graph: Graph) -> DataFrame:
     return graph.nodes.agg(F.count(F.lit(1)).alias("n_nodes")).crossJoin(F.broadcast(graph.edges.agg(F.count(F.lit(1)).alias("n_edges"))))
 
 
+@dataclass
+class State:
+    """What a store holds: the number of the write that made it, the folder of each tenant, the keys merged last."""
+
+    number: int = -1
+    tenants: dict[str, str] = field(default_factory=dict)
+    keys: list[str] = field(default_factory=list)
+
+
 class GraphStore:
-    """A graph in a folder. STO-04: partitions by tenant stand for the index; a tenant's rows are read alone."""
+    """A graph in a folder. STO-04: partitions by tenant stand for the index; a tenant's rows are read alone.
+
+    State n is the file CURRENT.n, which only one writer can create: of two that began from the same state the second
+    fails, and nothing is lost unseen. A file without its whole content is a write under way or broken off.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -86,47 +105,93 @@ class GraphStore:
         at = jvm.org.apache.hadoop.fs.Path(self.folder)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def _pointers(self) -> list[list[str]]:
-        """[CURRENT, number, version] and perhaps a key, of each version, in order."""
+    def _numbers(self) -> list[int]:
         fs, path = self._files()
-        names = [s.getPath().getName().split(".") for s in fs.globStatus(path(f"{self.folder}/CURRENT.*")) or []]
-        return sorted(names, key=lambda n: int(n[1]))
+        return sorted(int(s.getPath().getName().split(".")[1]) for s in fs.globStatus(path(f"{self.folder}/CURRENT.*")) or [])
+
+    def _read(self, number: int) -> State | None:
+        """A state; None if its file isn't whole."""
+        rows = self.spark.read.text(f"{self.folder}/CURRENT.{number}", wholetext=True).collect()
+        try:
+            return State(number, **json.loads(rows[0][0] if rows else ""))
+        except ValueError:
+            return None
 
-    def _version(self) -> str | None:
-        pointers = self._pointers()
-        return pointers[-1][2] if pointers else None
+    def state(self) -> State:
+        """The last whole state."""
+        return next((s for n in reversed(self._numbers()) if (s := self._read(n))), State())
 
     def load(self, tenant: str | None = None) -> Graph:
-        return fetched(self.tables(), tenant)
-
-    def tables(self) -> Graph:
-        version = self._version()
-        if version is None:
-            empty = lambda s: self.spark.createDataFrame([], s)
-            return Graph(empty(NODE), empty(EDGE))
-        read = lambda name, s: self.spark.read.schema(s).parquet(f"{self.folder}/{version}/{name}")
-        return Graph(read("nodes", NODE), read("edges", EDGE))
-
-    def _save(self, graph: Graph, key: str | None = None) -> None:
-        """A pointer's number is one more than the last one's, and it is made only if it isn't there: of two writers at
-        a time one fails, and nothing is lost unseen."""
-        number = len(self._pointers())
-        version = uuid.uuid4().hex
+        return fetched(self.tables(None if tenant is None else [tenant]), tenant)
+
+    def tables(self, tenants: list[str] | None = None, state: State | None = None) -> Graph:
+        """The stored rows of some tenants, or of all."""
+        state = state or self.state()
+        held: dict[str, list[str]] = {}
+        for tenant, version in state.tenants.items():
+            if tenants is None or tenant in tenants:
+                held.setdefault(version, []).append(tenant)
+        out = {}
+        for name, schema in (("nodes", NODE), ("edges", EDGE)):
+            df = self.spark.createDataFrame([], schema)
+            for version, own in held.items():
+                df = df.unionByName(self.spark.read.schema(schema).parquet(f"{self.folder}/{version}/{name}").where(F.col("tenant").isin(own)))
+            out[name] = df
+        return Graph(out["nodes"], out["edges"])
+
+    def _commit(self, seen: State, graph: Graph, tenants: list[str], key: str | None = None) -> None:
+        """Writes the tenants' rows of graph, and the state after seen."""
+        version = f"v-{uuid.uuid4().hex}"
         for name, df in (("nodes", graph.nodes), ("edges", graph.edges)):
-            df.write.partitionBy("tenant").parquet(f"{self.folder}/{version}/{name}")
+            df.where(F.col("tenant").isin(tenants)).write.partitionBy("tenant").parquet(f"{self.folder}/{version}/{name}")
+        content = {"tenants": seen.tenants | dict.fromkeys(tenants, version), "keys": [*seen.keys, *([key] if key else [])][-KEEP_KEYS:]}
+        fs, path = self._files()
+        numbers = self._numbers()
+        try:
+            if numbers and numbers[-1] != seen.number:
+                raise RuntimeError("the store was written meanwhile, or is being written; read it again")
+            try:
+                out = fs.create(path(f"{self.folder}/CURRENT.{seen.number + 1}"), False)
+            except Py4JJavaError as e:
+                raise RuntimeError("the store was written meanwhile; read it again") from e
+        except RuntimeError:
+            fs.delete(path(f"{self.folder}/{version}"), True)
+            raise
+        out.write(bytearray(json.dumps(content).encode()))
+        out.close()
+        self._forget(seen.number + 1)
+
+    def _forget(self, last: int) -> None:
+        """Deletes the states before the last KEEP_STATES, and the folders that only those name."""
+        fs, path = self._files()
+        old = [n for n in self._numbers() if n <= last - KEEP_STATES]
+        kept = {v for n in self._numbers() if n not in old and (s := self._read(n)) for v in s.tenants.values()}
+        for n in old:
+            gone = self._read(n)
+            for version in set(gone.tenants.values()) - kept if gone else ():
+                fs.delete(path(f"{self.folder}/{version}"), True)
+            fs.delete(path(f"{self.folder}/CURRENT.{n}"), False)
+
+    def repair(self) -> None:
+        """Removes states that a broken write left without their content. For when no writer is at work."""
         fs, path = self._files()
-        if len(self._pointers()) != number:
-            raise RuntimeError("the store was written meanwhile; read it again")
-        fs.create(path(".".join([f"{self.folder}/CURRENT", str(number), version, *([key] if key else [])])), False).close()
+        for n in self._numbers():
+            if self._read(n) is None:
+                fs.delete(path(f"{self.folder}/CURRENT.{n}"), False)
 
     def replace(self, graph: Graph, tenant: str = DEFAULT_TENANT) -> None:
         """STO-01. A graph without nodes leaves the store as it is: an unchanged corpus is no reason to empty it."""
         if graph.nodes.limit(1).count():
-            self._save(replace_tenant(self.tables(), graph, tenant))
+            seen, tenants = self.state(), sorted({tenant, *_tenants(graph)})
+            self._commit(seen, replace_tenant(self.tables(tenants, seen), graph, tenant), tenants)
 
     def merge(self, graph: Graph, recompute_degree: bool = False, keep_known_types: bool = False, key: str | None = None) -> None:
-        """STO-02, STO-03. A key (letters and digits) names what is merged; it is merged once, however often it comes."""
-        if key is None or all(key not in p[3:] for p in self._pointers()):
-            self._save(merged(self.tables(), graph, recompute_degree, keep_known_types), key)
+        """STO-02, STO-03. A key names what is merged; it is merged once, however often it comes."""
+        seen = self.state()
+        if (key is None or key not in seen.keys) and (tenants := _tenants(graph)):
+            self._commit(seen, merged(self.tables(tenants, seen), graph, recompute_degree, keep_known_types), tenants, key)
 
 
+def _tenants(graph: Graph) -> list[str]:
+    """The tenants that a graph has rows of."""
+    return sorted(r[0] for r in graph.nodes.select("tenant").union(graph.edges.select("tenant")).distinct().collect() if r[0] is not None)

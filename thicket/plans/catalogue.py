@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from thicket.functions import chunking, text
+from thicket.functions.persist import cut
 from thicket.operators import algorithms, communities, selection, sinks, store
 from thicket.operators.answers import first_array, parse_answers, without_fence
 from thicket.operators.build import Graph, build_graph, degrees, edges, incidence, nodes, normalised, rebuilt, shared_chunks
@@ -170,9 +171,8 @@ _PAGERANK = f"WITH RECURSIVE {_GRAPH}{_RANK}"
 
 
 def _ranks(spark, sf_dir) -> DataFrame:
-    g = orders_graph(spark, sf_dir)
-    e = g.edges.select("source", "target")
-    return algorithms.pagerank(g.nodes.select("id"), e)
+    """Every node of this graph has an edge."""
+    return algorithms.pagerank(None, edges(cut(normalised(relations.orders_triples(spark, sf_dir)), "triples"), keep_chunks=False))
 
 
 @query(f"{_PAGERANK} SELECT id, round(r, 9) AS rank FROM pr WHERE i = 30")
@@ -185,25 +185,25 @@ def kg_pagerank_top10(spark, sf_dir):
     return _ranks(spark, sf_dir).select("id", F.round("rank", 9).alias("rank")).orderBy(F.desc("rank"), "id").limit(10)
 
 
-_PARITY = "t2 AS (SELECT CAST(c_nationkey AS VARCHAR) AS a, CAST(c_nationkey + 25 * (1 + c_custkey % 40) AS VARCHAR) AS b FROM customer)"
+_CHAIN = "SELECT 'order ' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS id, o_custkey FROM orders"
 
 
-def _islands(spark, sf_dir) -> Graph:
-    """A graph of many components: a nation's customers by the remainder of their numbers."""
-    c = table(spark, sf_dir, "customer")
-    e = c.select(F.col("c_nationkey").cast("string").alias("source"), (F.col("c_nationkey") + 25 * (1 + F.col("c_custkey") % 40)).cast("string").alias("target")).withColumn("weight", F.lit(1.0))
-    return Graph(e.select(F.col("source").alias("id")).union(e.select("target")).distinct(), e)
+def _order_chains(spark, sf_dir) -> Graph:
+    """All orders; each is linked to the customer's next one. Chains, as long as a customer has orders."""
+    name = F.concat(F.lit("order "), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))
+    own = table(spark, sf_dir, "orders").select(name.alias("id"), F.lag(name).over(Window.partitionBy("o_custkey").orderBy(name)).alias("before"))
+    return Graph(own.select("id"), own.where("before is not null").select(F.col("before").alias("source"), F.col("id").alias("target"), F.lit(1.0).alias("weight")))
 
 
-@query(f"WITH RECURSIVE {_PARITY}, w AS (SELECT DISTINCT a AS n, b AS m FROM t2 UNION SELECT b, a FROM t2), r(id, c) AS (SELECT n, n FROM w UNION SELECT r.id, w.m FROM r JOIN w ON r.c = w.n) SELECT id, min(c) AS component FROM r GROUP BY 1")
+@query(f"SELECT id, min(id) OVER (PARTITION BY o_custkey) AS component FROM ({_CHAIN})")
 def kg_components(spark, sf_dir):
-    g = _islands(spark, sf_dir)
+    g = _order_chains(spark, sf_dir)
     return algorithms.components(g.nodes, g.edges)
 
 
-@query(f"WITH RECURSIVE {_PARITY}, w AS (SELECT DISTINCT a AS n, b AS m FROM t2 UNION SELECT b, a FROM t2), r(id, c) AS (SELECT n, n FROM w UNION SELECT r.id, w.m FROM r JOIN w ON r.c = w.n) SELECT component, count(*) AS size FROM (SELECT id, min(c) AS component FROM r GROUP BY 1) GROUP BY 1")
+@query(f"SELECT min(id) AS component, count(*) AS size FROM ({_CHAIN}) GROUP BY o_custkey")
 def kg_component_sizes(spark, sf_dir):
-    g = _islands(spark, sf_dir)
+    g = _order_chains(spark, sf_dir)
     return algorithms.components(g.nodes, g.edges).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
 
 
@@ -242,11 +242,11 @@ def kg_path_annotated(spark, sf_dir):
   SELECT 0, id, id FROM v
   UNION ALL
   SELECT i + 1, n, tag FROM (
-    SELECT i, n, tag, row_number() OVER (PARTITION BY n ORDER BY s DESC, tag) AS k FROM (SELECT lp.i, w.n, lp.tag, sum(w.weight) AS s FROM lp JOIN w ON w.m = lp.id GROUP BY 1, 2, 3)) WHERE k = 1 AND i < 5)
-SELECT id, tag FROM lp WHERE i = 5""")
+    SELECT i, n, tag, row_number() OVER (PARTITION BY n ORDER BY s DESC, tag) AS k FROM (SELECT lp.i, w.n, lp.tag, sum(w.weight) AS s FROM lp JOIN w ON w.m = lp.id GROUP BY 1, 2, 3)) WHERE k = 1 AND i < 50)
+SELECT id, tag FROM lp WHERE i = 50""")
 def kg_lpa_sync(spark, sf_dir):
     g = geo_graph(spark, sf_dir)
-    return communities.propagated(g.nodes, g.edges, 5)
+    return communities.propagated(g.nodes, g.edges)
 
 
 def _communities(spark, sf_dir) -> tuple[DataFrame, Graph]:
@@ -254,27 +254,54 @@ def _communities(spark, sf_dir) -> tuple[DataFrame, Graph]:
     return communities.label_propagation(g.nodes, g.edges), g
 
 
-@query()
+_SETTLED = f"""WITH RECURSIVE {_GEO}, lp(i, id, tag) AS (
+  SELECT 0, id, id FROM v
+  UNION ALL
+  SELECT lp.i + 1, lp.id, CASE WHEN b.best <> lp.tag AND k.n IS NULL THEN b.best ELSE lp.tag END
+  FROM lp
+  LEFT JOIN (SELECT n, arg_min(tag, (-s, tag)) AS best FROM (SELECT w.n, l.tag, sum(w.weight) AS s FROM lp l JOIN w ON w.m = l.id GROUP BY 1, 2) GROUP BY 1) b ON b.n = lp.id
+  LEFT JOIN (
+    SELECT DISTINCT w.n FROM w JOIN (
+      SELECT l.id FROM lp l JOIN (SELECT n, arg_min(tag, (-s, tag)) AS best FROM (SELECT w.n, l.tag, sum(w.weight) AS s FROM lp l JOIN w ON w.m = l.id GROUP BY 1, 2) GROUP BY 1) x ON x.n = l.id WHERE x.best <> l.tag
+    ) a ON a.id = w.m WHERE md5(w.m) < md5(w.n)) k ON k.n = lp.id
+  WHERE lp.i < 50),
+lt AS (SELECT id, tag FROM lp WHERE i = 50),
+co AS (SELECT id, community FROM lt JOIN (SELECT tag, row_number() OVER (ORDER BY min(id)) - 1 AS community FROM lt GROUP BY 1) USING (tag))"""
+
+
+@query(f"{_SETTLED} SELECT id, community FROM co")
 def kg_communities_async(spark, sf_dir):
     return _communities(spark, sf_dir)[0]
 
 
-@query()
+@query(f"{_SETTLED} SELECT community, count(*) OVER (PARTITION BY community) AS size, id FROM co")
 def kg_community_summary(spark, sf_dir):
-    s = communities.summary(_communities(spark, sf_dir)[0])
-    return s.select("community", "size", F.array_join("members", ",").alias("members"))
+    return communities.summary(_communities(spark, sf_dir)[0])
 
 
-@query()
+@query(f"{_SETTLED} SELECT community, array_to_string(list_slice(list_sort(list(id)), 1, 20), ',') AS members FROM co GROUP BY 1")
+def kg_community_first_members(spark, sf_dir):
+    return communities.first_members(_communities(spark, sf_dir)[0]).select("community", F.array_join("members", ",").alias("members"))
+
+
+@query(f"{_SETTLED}, ty AS (SELECT a AS id, ty FROM t UNION SELECT b, CASE WHEN ty = 'nation' THEN 'region' ELSE 'nation' END FROM t) SELECT community, ty AS entity_type, count(*) AS n FROM co JOIN ty USING (id) GROUP BY 1, 2")
 def kg_community_types(spark, sf_dir):
     labels, g = _communities(spark, sf_dir)
     return communities.type_histogram(g.nodes, labels)
 
 
-@query()
+@query(f"""{_SETTLED}, r(id, c) AS (SELECT n, n FROM w UNION SELECT r.id, w.m FROM r JOIN w ON r.c = w.n), k AS (SELECT (SELECT count(*) FROM v) AS n, (SELECT count(*) FROM e) AS m)
+SELECT n AS n_nodes, m AS n_edges, round(m / (n * (n - 1)), 12) AS density, round(2 * m / n, 9) AS avg_degree, (SELECT max(d) FROM (SELECT count(*) AS d FROM w GROUP BY n)) AS max_degree,
+  (SELECT count(DISTINCT c) FROM (SELECT min(c) AS c FROM r GROUP BY id)) AS n_components, (SELECT count(DISTINCT community) FROM co) AS n_communities FROM k""")
 def kg_graph_stats(spark, sf_dir):
-    g = geo_graph(spark, sf_dir)
-    return algorithms.graph_stats(g)["summary"]
+    s = algorithms.graph_stats(geo_graph(spark, sf_dir), parts=("summary",))["summary"]
+    return s.withColumns({"density": F.round("density", 12), "avg_degree": F.round("avg_degree", 9)})
+
+
+@query(f"WITH {_GRAPH}, k AS (SELECT (SELECT count(*) FROM v) AS n, (SELECT count(*) FROM e) AS m) SELECT round(m / (n * (n - 1)), 12) AS density FROM k")
+def kg_density(spark, sf_dir):
+    g = orders_graph(spark, sf_dir)
+    return algorithms.basic_stats(g.nodes, g.edges).select(F.round("density", 12).alias("density"))
 
 
 # --- search ---------------------------------------------------------------------------------------------------------
@@ -608,6 +635,12 @@ def docs_hierarchy(spark, sf_dir):
     return selection.hierarchy(_pieces(spark, sf_dir)).select("node_1", "node_2", "edge")
 
 
+@query(r"""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title_raw, length(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title_chars FROM pages""")
+def pages_title_stats(spark, sf_dir):
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    return table(spark, sf_dir, "pages").select("page_id", title.alias("title_raw"), F.length(title).cast("long").alias("title_chars"))
+
+
 @query()
 def pages_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", files.html_text(F.col("html")).alias("text"))
@@ -661,6 +694,11 @@ def events_sessions(spark, sf_dir):
     return sessions(table(spark, sf_dir, "events"))
 
 
-@query()
+@query("""WITH t AS (SELECT 'user ' || user_id AS a, trim(lower('k ' || CAST(json_extract_string(props, '$.k') AS VARCHAR))) AS b, event_type AS edge, user_id || '|' || strftime(ts, '%Y-%m-%d') AS chunk_id, event_id AS seq FROM events),
+n AS (SELECT *, least(a, b) AS source, greatest(a, b) AS target FROM t WHERE b IS NOT NULL AND a <> b),
+inc AS (SELECT DISTINCT chunk_id, id FROM (SELECT chunk_id, a AS id FROM n UNION ALL SELECT chunk_id, b FROM n)),
+near AS (SELECT x.id AS source, y.id AS target, count(*) AS shared FROM inc x JOIN inc y ON x.chunk_id = y.chunk_id AND x.id < y.id GROUP BY 1, 2),
+expl AS (SELECT source, target, count(*) AS triples, arg_min(edge, seq) AS relation FROM n GROUP BY 1, 2)
+SELECT coalesce(expl.source, near.source) AS source, coalesce(expl.target, near.target) AS target, coalesce(relation, '""" + PROXIMITY + """') AS relation, CAST(4.0 * coalesce(triples, 0) + coalesce(shared, 0) AS DOUBLE) AS weight FROM expl FULL JOIN near ON expl.source = near.source AND expl.target = near.target""")
 def events_triples_graph(spark, sf_dir):
     return build_graph(relations.events_triples(spark, sf_dir), keep_chunks=False).edges.select("source", "target", "relation", "weight")

@@ -30,9 +30,13 @@ def triples_of(docs: DataFrame, make: Callable[[], Extractor], chunk_size: int =
     return rows.select("node_1", "node_1_type", "node_2", "node_2_type", "edge", chunk_id("source", F.col("batch")).alias("chunk_id"), F.struct("source", "batch", "part", "pos").alias("seq"))
 
 
-def ingest(spark: SparkSession, docs: DataFrame, ledger: DataFrame, make: Callable[[], Extractor], tenant: str = DEFAULT_TENANT, communities: str | None = "async", **options) -> tuple[Graph, DataFrame]:
-    """(graph of the documents that are new or changed, their ledger entries)."""
-    new = cut(unseen(representative(docs), ledger), "unseen")
+def ingest(spark: SparkSession, docs: DataFrame, ledger: DataFrame, make: Callable[[], Extractor], tenant: str = DEFAULT_TENANT, communities: str | None = "async", per_directory: int | None = None, gate: int = 100, **options) -> tuple[Graph, DataFrame]:
+    """(graph of the documents that are new or changed, their ledger entries).
+
+    All documents are read, unless per_directory is given: then, of more than gate documents, that many of each directory.
+    """
+    some = docs if per_directory is None else representative(docs, per_directory, gate)
+    new = cut(unseen(some, ledger), "unseen")
     triples = cut(triples_of(new.select("source", "text"), make, **options), "triples")
     per_source = triples.groupBy(F.col("seq.source").alias("source")).agg(F.count(F.lit(1)).alias("relations_count"), F.count_distinct("chunk_id").alias("chunks_processed"))
     now = F.unix_timestamp(F.current_timestamp())
