@@ -6,11 +6,18 @@ import re
 import zlib
 from html.parser import HTMLParser
 
+#: A run of marks opens emphasis if no space follows it, and closes it if none stands before it.
 _INLINE = [
     (re.compile(r"`+([^`]+)`+"), r"\1"), (re.compile(r"!\[([^\]]*)\]\([^)]*\)"), r"\1"), (re.compile(r"\[([^\]]*)\]\([^)]*\)"), r"\1"), (re.compile(r"\[([^\]]*)\]\[[^\]]*\]"), r"\1"), (re.compile(r"<(https?://[^>\s]+)>"), r"\1"), (re.compile(r"</?[A-Za-z][^>]*>"), ""),
-    (re.compile(r"(\*\*\*|___)(?=\S)(.+?)(?<=\S)\1"), r"\2"), (re.compile(r"(\*\*|__)(?=\S)(.+?)(?<=\S)\1"), r"\2"), (re.compile(r"(?<![\w*])\*(?=\S)([^*]+?)(?<=\S)\*(?!\*)"), r"\1"), (re.compile(r"(?<!\w)_(?=\S)([^_]+?)(?<=\S)_(?!\w)"), r"\1"), (re.compile(r"\\([\\`*_{}\[\]()#+\-.!<>])"), r"\1"),
+    (re.compile(r"(?<!\*)\*\*\*(?![\s*])(.+?)(?<![\s*])\*\*\*(?!\*)"), r"\1"), (re.compile(r"(?<!\w)___(?![\s_])(.+?)(?<![\s_])___(?!\w)"), r"\1"),
+    (re.compile(r"(?<!\*)\*\*(?![\s*])(.+?)(?<![\s*])\*\*(?!\*)"), r"\1"), (re.compile(r"(?<!\w)__(?![\s_])(.+?)(?<![\s_])__(?!\w)"), r"\1"),
+    (re.compile(r"(?<![\w*])\*(?![\s*])([^*]+?)(?<!\s)\*(?!\*)"), r"\1"), (re.compile(r"(?<!\w)_(?=\S)([^_]+?)(?<=\S)_(?!\w)"), r"\1"), (re.compile(r"\\([\\`*_{}\[\]()#+\-.!<>])"), r"\1"),
 ]
-_HEAD, _RULE, _ITEM, _FENCE, _UNDER = re.compile(r" {0,3}#{1,6}(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$"), re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$"), re.compile(r"[ \t]*(?:[-*+]|\d{1,9}[.)])[ \t]+(.*)$"), re.compile(r" {0,3}(`{3,}|~{3,})"), re.compile(r" {0,3}(?:=+|-+)[ \t]*$")
+_HEAD = re.compile(r" {0,3}#{1,6}(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
+_RULE = re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
+_ITEM = re.compile(r"[ \t]*(?:[-*+]|\d{1,9}[.)])[ \t]+(.*)$")
+_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
+_UNDER = re.compile(r" {0,3}(?:=+|-+)[ \t]*$")
 
 
 def _inline(text: str) -> str:

@@ -641,7 +641,8 @@ def pages_title_stats(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", title.alias("title_raw"), F.length(title).cast("long").alias("title_chars"))
 
 
-@query()
+@query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]+>', ' ', 'g') AS x FROM pages)
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM a""")
 def pages_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", files.html_text(F.col("html")).alias("text"))
 
@@ -651,7 +652,7 @@ def pdf_clean_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.clean_pdf("text").alias("text"))
 
 
-@query()
+@query(r"""SELECT doc_id, 'Title' || chr(10) || chr(10) || array_to_string(list_transform(string_split(replace(text, chr(13), ''), chr(10)), lambda x: trim(x)), chr(10)) || chr(10) || chr(10) || '- a' || chr(10) || '- b' AS text FROM documents""")
 def markdown_text(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", files.markdown_text(F.concat(F.lit("# Title\n\n"), "text", F.lit("\n\n- **a**\n- `b`\n"))).alias("text"))
