@@ -5,16 +5,18 @@ The SQL here and the DataFrame code are written apart from each other: each is t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from thicket.functions import chunking, text
-from thicket.functions.persist import cut
+from thicket.functions.persist import cut, shared_dir
 from thicket.operators import algorithms, communities, selection, sinks, store
 from thicket.operators.answers import first_array, parse_answers, without_fence
 from thicket.operators.build import Graph, build_graph, degrees, edges, incidence, nodes, normalised, rebuilt, shared_chunks
+from thicket.operators.extract import extract
 from thicket.operators.search import GraphSession, filter_labels, neighbours, search, search_depth
 from thicket.plans import relations
 from thicket.plans.relations import table
@@ -641,12 +643,67 @@ def pages_title_stats(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", title.alias("title_raw"), F.length(title).cast("long").alias("title_chars"))
 
 
-@query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]+>', ' ', 'g') AS x FROM pages)
-SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM a""")
+#: The text of pages with one article and nothing but inline marks in its blocks, as all of this table are.
+_PAGE_TEXT = r"""WITH a AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]+>', ' ', 'g') AS x FROM pages)
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM a"""
+
+
+@query(_PAGE_TEXT)
 def pages_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", files.html_text(F.col("html")).alias("text"))
 
 
+@query(f"""SELECT 'd/' || doc_id || '.txt' AS source, md5(text) AS text FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT 'p/' || page_id || '.HTML', md5(text) FROM ({_PAGE_TEXT}) UNION ALL SELECT 'm/' || doc_id || '.md', md5('a' || chr(10) || chr(10) || '- ' || source) FROM documents""")
+def source_dispatch(spark, sf_dir):
+    """Each reader by its extension: plain text, HTML, Markdown."""
+    d, p = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    name = lambda at, key, ext: F.concat(F.lit(f"{at}/"), F.col(key).cast("string"), F.lit(ext)).alias("source")
+    rows = d.where("text is not null").select(name("d", "doc_id", ".txt"), F.encode("text", "UTF-8").alias("content"))
+    rows = rows.unionByName(p.select(name("p", "page_id", ".HTML"), F.encode("html", "UTF-8").alias("content")))
+    rows = rows.unionByName(d.select(name("m", "doc_id", ".md"), F.encode(F.concat(F.lit("## a\n\n* "), F.col("source")), "UTF-8").alias("content")))
+    return files.parsed(rows).select("source", F.md5("text").alias("text"))
+
+
+@query("SELECT least(lower(n_name), lower(r_name)) AS source, greatest(lower(n_name), lower(r_name)) AS target, 'part of' AS relation, 4.0::DOUBLE AS weight FROM nation JOIN region ON n_regionkey = r_regionkey")
+def kg_manual_file(spark, sf_dir):
+    """Relations from a JSON file, which holds one array: as many as there are nations."""
+    from thicket.sources.relations import read_manual
+
+    pair = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = pair.select(F.struct(F.col("n_name").alias("node1"), F.col("r_name").alias("node2"), F.lit("part of").alias("relation"), F.lit("nation").alias("type1")).alias("r"))
+    path = f"{shared_dir(spark)}/manual-{uuid.uuid4().hex}"
+    rows.agg(F.to_json(F.collect_list("r")).alias("value")).write.text(path)
+    return build_graph(read_manual(spark, path), proximity=False).edges.select("source", "target", "relation", "weight")
+
+
+@query(f"WITH {_GRAPH} SELECT source, target, relation, weight, ds.degree AS source_degree FROM e JOIN d ds ON ds.id = source")
+def kg_graphml_roundtrip(spark, sf_dir):
+    """Written as GraphML, read back."""
+    from thicket.sources.relations import read_graphml
+
+    path = f"{shared_dir(spark)}/graphml-{uuid.uuid4().hex}"
+    sinks.export(orders_graph(spark, sf_dir), "graphml", path)
+    g = read_graphml(spark, f"{path}/*", parts=True)
+    return g.edges.join(g.nodes.select(F.col("id").alias("source"), F.col("degree").alias("source_degree")), "source").select("source", "target", "relation", "weight", "source_degree")
+
+
+class _Picky:
+    """Fails on what was put together for a batch, and on texts whose length is a multiple of 7."""
+
+    def __call__(self, text: str) -> str:
+        if "===CHUNK_SEPARATOR===" in text or len(text) % 7 == 0:
+            raise ValueError("bad gateway")
+        return str(len(text))
+
+
+@query(f"WITH {_PIECES} SELECT source, CAST(floor(chunk_index / 5) AS BIGINT) AS batch, CAST(chunk_index % 5 AS INTEGER) AS part, CASE WHEN length(text) % 7 = 0 THEN NULL ELSE CAST(length(text) AS VARCHAR) END AS answer, CASE WHEN length(text) % 7 = 0 THEN 'error' ELSE 'ok' END AS status FROM p")
+def docs_extract_fallback(spark, sf_dir):
+    """Batches that fail are tried chunk by chunk."""
+    b = selection.batches(_pieces(spark, sf_dir))
+    return extract(selection.batch_payload(b).join(b, ["source", "batch"]), _Picky).select("source", "batch", "part", "answer", "status")
+
+
 @query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), chr(10)).replace('  ', ' ') AS text FROM documents")
 def pdf_clean_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.clean_pdf("text").alias("text"))

@@ -43,11 +43,27 @@ def append_ledger(entries: DataFrame, path: str) -> None:
     entries.select(*LEDGER_COLUMNS).write.mode("append").parquet(path)
 
 
-def read_graphml(spark: SparkSession, path: str, tenant: str = DEFAULT_TENANT) -> Graph:
-    """SRC-14: a graph of a GraphML file with node data label and degree and edge data relation and weight."""
+def read_graphml(spark: SparkSession, path: str, tenant: str = DEFAULT_TENANT, parts: bool = False) -> Graph:
+    """SRC-14: a graph of a GraphML file with node data label and degree and edge data relation and weight.
+
+    parts: path has the part files of an export (a folder's glob), which make a document only when put together; they
+    are read element by element, so a large file is split among tasks.
+    """
     data = "data array<struct<_key:string,_VALUE:string>>"
-    xml = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    node, edge = f"_id string, {data}", f"_id string, _source string, _target string, {data}"
+
+    def xml(tag: str, schema: str) -> DataFrame:
+        if not parts:
+            return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+        end = f"</{tag}>"
+        rows = spark.read.option("lineSep", end).text(path).select(F.regexp_extract("value", rf"(?s)(<{tag} .*)", 1).alias("x")).where("x <> ''")
+        return rows.select(F.from_xml(F.concat("x", F.lit(end)), schema).alias("x")).select("x.*")
+
     get = lambda k: F.element_at(F.filter("data", lambda d: d["_key"] == k), 1)["_VALUE"]
-    n = xml("node", f"_id string, {data}").select(F.col("_id").alias("id"), F.coalesce(get("label"), "_id").alias("label"), F.lit(None).cast("long").alias("community"), get("degree").cast("long").alias("degree"), F.lit(None).cast("string").alias("entity_type"), F.lit(tenant).alias("tenant"))
-    e = xml("edge", f"_id string, _source string, _target string, {data}").select(F.col("_source").alias("source"), F.col("_target").alias("target"), get("relation").alias("relation"), get("weight").cast("double").alias("weight"), F.lit(None).cast("array<string>").alias("chunk_ids"), F.lit(tenant).alias("tenant"))
+    n = xml("node", node).select(
+        F.col("_id").alias("id"), F.coalesce(get("label"), "_id").alias("label"), F.lit(None).cast("long").alias("community"), get("degree").cast("long").alias("degree"), F.lit(None).cast("string").alias("entity_type"), F.lit(tenant).alias("tenant")
+    )
+    e = xml("edge", edge).select(
+        F.col("_source").alias("source"), F.col("_target").alias("target"), get("relation").alias("relation"), get("weight").cast("double").alias("weight"), F.lit(None).cast("array<string>").alias("chunk_ids"), F.lit(tenant).alias("tenant")
+    )
     return Graph(n, e)
