@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (spark.checkpoint.dir); on one machine, where it is unset, one of our own."""
     place = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not place and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (place or f"/tmp/checkpoints/{spark.sparkContext.applicationId}").rstrip("/")
 
 
