@@ -67,5 +67,9 @@ def parse_answers(answers: DataFrame, answer_col: str = "answer", strict: bool =
     kept = F.when(F.size(items) == F.size("_items"), items) if strict else items
     rows = parsed.select(*[c for c in answers.columns if c != answer_col], F.posexplode(kept).alias("pos", "_item"))
     get = lambda k: F.try_variant_get("_item", f"$.{k}", "string")
-    out = rows.select(*[c for c in answers.columns if c != answer_col], "pos", norm_key(get("node_1")).alias("node_1"), get("node_1_type").alias("node_1_type"), norm_key(get("node_2")).alias("node_2"), get("node_2_type").alias("node_2_type"), trimmed(get("edge")).alias("edge"))
+    out = rows.select(
+        *[c for c in answers.columns if c != answer_col], "pos",
+        norm_key(get("node_1")).alias("node_1"), get("node_1_type").alias("node_1_type"),
+        norm_key(get("node_2")).alias("node_2"), get("node_2_type").alias("node_2_type"), trimmed(get("edge")).alias("edge"),
+    )
     return out.where("node_1 <> '' and node_2 <> '' and node_1 <> node_2")

@@ -15,7 +15,9 @@ MOST_CONCEPTS, MOST_DEPTH = 20, 10
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """(n, m, relation, weight): every edge in both directions."""
-    return edges.select(F.explode(F.array(F.struct(F.col("source").alias("n"), F.col("target").alias("m")), F.struct(F.col("target").alias("n"), F.col("source").alias("m")))).alias("e"), "relation", "weight").select("e.n", "e.m", "relation", "weight")
+    way = lambda n, m: F.struct(F.col(n).alias("n"), F.col(m).alias("m"))
+    both = F.explode(F.array(way("source", "target"), way("target", "source")))
+    return edges.select(both.alias("e"), "relation", "weight").select("e.n", "e.m", "relation", "weight")
 
 
 def search(graph: Graph, term: str, limit: int = MOST_CONCEPTS) -> DataFrame:

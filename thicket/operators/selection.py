@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thicket.functions.text import content_hash, priority, skippable
@@ -57,6 +57,11 @@ def hierarchy(chunks: DataFrame, batch_size: int = 5) -> DataFrame:
     batch = F.floor(F.col("chunk_index") / max(1, batch_size)).cast("long")
     name = lambda b: F.concat("source", F.lit("_batch_"), b.cast("string"))
     own = chunks.select("source", "chunk_index", batch.alias("batch"))
-    inside = own.select(name(F.col("batch")).alias("node_1"), F.lit("BatchSummary").alias("node_1_type"), F.concat("source", F.lit("_chunk_"), F.col("chunk_index").cast("string")).alias("node_2"), F.lit("Chunk").alias("node_2_type"), F.lit("contains").alias("edge"))
+
+    def triple(one: Column, two: Column, kind: str, edge: str) -> list[Column]:
+        return [one.alias("node_1"), F.lit("BatchSummary").alias("node_1_type"), two.alias("node_2"), F.lit(kind).alias("node_2_type"), F.lit(edge).alias("edge")]
+
+    chunk = F.concat("source", F.lit("_chunk_"), F.col("chunk_index").cast("string"))
+    inside = own.select(*triple(name(F.col("batch")), chunk, "Chunk", "contains"))
     following = own.select("source", "batch").distinct().withColumn("next", F.lead("batch").over(Window.partitionBy("source").orderBy("batch"))).where("next is not null")
-    return inside.unionByName(following.select(name(F.col("batch")).alias("node_1"), F.lit("BatchSummary").alias("node_1_type"), name(F.col("next")).alias("node_2"), F.lit("BatchSummary").alias("node_2_type"), F.lit("followed_by").alias("edge")))
+    return inside.unionByName(following.select(*triple(name(F.col("batch")), name(F.col("next")), "BatchSummary", "followed_by")))

@@ -41,7 +41,11 @@ def graphml_nodes(nodes: DataFrame) -> DataFrame:
 def graphml_edges(edges: DataFrame) -> DataFrame:
     """SNK-03: (edge_no, line): an edge's element; ids count up in order of source, target, relation."""
     e = numbered(edges.select("source", "target", "relation", "weight"), "edge_no", *_EDGE_ORDER)
-    lines = F.concat(F.lit('    <edge id="e'), F.col("edge_no").cast("string"), F.lit('" source="'), escape_xml("source"), F.lit('" target="'), escape_xml("target"), F.lit('">\n      <data key="relation">'), escape_xml("relation"), F.lit('</data>\n      <data key="weight">'), plain_number("weight"), F.lit("</data>\n    </edge>"))
+    lines = F.concat(
+        F.lit('    <edge id="e'), F.col("edge_no").cast("string"), F.lit('" source="'), escape_xml("source"), F.lit('" target="'), escape_xml("target"),
+        F.lit('">\n      <data key="relation">'), escape_xml("relation"), F.lit('</data>\n      <data key="weight">'), plain_number("weight"),
+        F.lit("</data>\n    </edge>"),
+    )
     return e.select("edge_no", lines.alias("line"))
 
 
@@ -62,12 +66,16 @@ def _text(c: str) -> Column:
 
 def cypher_nodes(nodes: DataFrame) -> DataFrame:
     """SNK-04: (id, line)."""
-    return nodes.select("id", F.concat(F.lit("CREATE (n:Concept {id: "), _text("id"), F.lit(", label: "), _text("label"), F.lit(", degree: "), _count("degree"), F.lit("});")).alias("line"))
+    line = F.concat(F.lit("CREATE (n:Concept {id: "), _text("id"), F.lit(", label: "), _text("label"), F.lit(", degree: "), _count("degree"), F.lit("});"))
+    return nodes.select("id", line.alias("line"))
 
 
 def cypher_edges(edges: DataFrame) -> DataFrame:
     """SNK-04: (source, target, relation, line)."""
-    line = F.concat(F.lit("MATCH (a:Concept {id: "), _text("source"), F.lit("}), (b:Concept {id: "), _text("target"), F.lit("}) CREATE (a)-[:RELATES_TO {relation: "), _text("relation"), F.lit(", weight: "), plain_number("weight"), F.lit("}]->(b);"))
+    line = F.concat(
+        F.lit("MATCH (a:Concept {id: "), _text("source"), F.lit("}), (b:Concept {id: "), _text("target"),
+        F.lit("}) CREATE (a)-[:RELATES_TO {relation: "), _text("relation"), F.lit(", weight: "), plain_number("weight"), F.lit("}]->(b);"),
+    )
     return edges.select("source", "target", "relation", line.alias("line"))
 
 
@@ -116,14 +124,16 @@ def json_document(graph: Graph) -> DataFrame:
 
 def view_nodes(nodes: DataFrame) -> DataFrame:
     """SNK-07."""
-    return nodes.select("id", "label", F.coalesce("community", F.lit(0)).cast("long").alias("community"), F.coalesce("degree", F.lit(1)).cast("long").alias("degree"), F.coalesce("entity_type", F.lit("concept")).alias("entityType"))
+    number = lambda c, default: F.coalesce(c, F.lit(default)).cast("long").alias(c)
+    return nodes.select("id", "label", number("community", 0), number("degree", 1), F.coalesce("entity_type", F.lit("concept")).alias("entityType"))
 
 
 def view_edges(edges: DataFrame) -> DataFrame:
     """SNK-07, VIZ-04: with the width an edge is drawn in."""
     near = F.col("relation") == PROXIMITY
     return edges.select(
-        F.col("source").alias("from"), F.col("target").alias("to"), F.when(near, F.lit("")).otherwise(F.col("relation")).alias("label"), F.col("relation").alias("fullLabel"), F.col("weight").alias("value"), near.alias("isProximity"),
+        F.col("source").alias("from"), F.col("target").alias("to"), F.when(near, F.lit("")).otherwise(F.col("relation")).alias("label"),
+        F.col("relation").alias("fullLabel"), F.col("weight").alias("value"), near.alias("isProximity"),
         F.when(near, F.lit(0.5)).otherwise(F.least(F.greatest(F.col("weight") / 2, F.lit(1.5)), F.lit(5.0))).alias("width"),
     )
 

@@ -35,8 +35,12 @@ def fetched(graph: Graph, tenant: str | None = None) -> Graph:
     if tenant is not None:
         n, e = n.where(F.col("tenant") == tenant), e.where(F.col("tenant") == tenant)
         e = e.join(n.select(F.col("id").alias("source")), "source", "left_semi").join(n.select(F.col("id").alias("target")), "target", "left_semi")
-    n = n.select("id", F.coalesce("label", "id").alias("label"), F.when(F.col("community") >= 0, F.col("community")).alias("community"), F.coalesce("degree", F.lit(0)).cast("long").alias("degree"), "entity_type", F.coalesce("tenant", F.lit(DEFAULT_TENANT)).alias("tenant"))
-    return Graph(n, e.select("source", "target", F.coalesce("relation", F.lit("related")).alias("relation"), F.coalesce("weight", F.lit(1.0)).alias("weight"), *[c for c in ("chunk_ids", "tenant") if c in e.columns]))
+    n = n.select(
+        "id", F.coalesce("label", "id").alias("label"), F.when(F.col("community") >= 0, F.col("community")).alias("community"),
+        F.coalesce("degree", F.lit(0)).cast("long").alias("degree"), "entity_type", F.coalesce("tenant", F.lit(DEFAULT_TENANT)).alias("tenant"),
+    )
+    more = [c for c in ("chunk_ids", "tenant") if c in e.columns]
+    return Graph(n, e.select("source", "target", F.coalesce("relation", F.lit("related")).alias("relation"), F.coalesce("weight", F.lit(1.0)).alias("weight"), *more))
 
 
 def replace_tenant(old: Graph, new: Graph, tenant: str) -> Graph:

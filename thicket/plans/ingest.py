@@ -40,5 +40,7 @@ def ingest(spark: SparkSession, docs: DataFrame, ledger: DataFrame, make: Callab
     triples = cut(triples_of(new.select("source", "text"), make, **options), "triples")
     per_source = triples.groupBy(F.col("seq.source").alias("source")).agg(F.count(F.lit(1)).alias("relations_count"), F.count_distinct("chunk_id").alias("chunks_processed"))
     now = F.unix_timestamp(F.current_timestamp())
-    entries = new.select("source", content_hash("text").alias("hash")).join(per_source, "source", "left").select("source", "hash", F.coalesce("chunks_processed", F.lit(0)).cast("long").alias("chunks_processed"), F.coalesce("relations_count", F.lit(0)).cast("long").alias("relations_count"), now.cast("long").alias("ts"))
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    entries = new.select("source", content_hash("text").alias("hash")).join(per_source, "source", "left")
+    entries = entries.select("source", "hash", count("chunks_processed"), count("relations_count"), now.cast("long").alias("ts"))
     return build_graph(triples, tenant, communities=communities), entries.select(*LEDGER_COLUMNS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,37 +10,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _triple(one: Column, one_type: str, two: Column, two_type: str, edge: Column, chunk: Column, seq: Column) -> list[Column]:
+    return [
+        one.alias("node_1"), F.lit(one_type).alias("node_1_type"), two.alias("node_2"), F.lit(two_type).alias("node_2_type"),
+        edge.alias("edge"), chunk.alias("chunk_id"), seq.alias("seq"),
+    ]
+
+
 def orders_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer and a part's brand, by the order's priority; an order is a chunk."""
     t = lambda n: table(spark, sf_dir, n)
-    rows = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
-    return rows.select(F.col("c_name").alias("node_1"), F.lit("customer").alias("node_1_type"), F.col("p_brand").alias("node_2"), F.lit("brand").alias("node_2_type"), F.col("o_orderpriority").alias("edge"), F.col("l_orderkey").cast("string").alias("chunk_id"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate").alias("seq"))
+    rows = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = rows.join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    seq = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    return rows.select(*_triple(F.col("c_name"), "customer", F.col("p_brand"), "brand", F.col("o_orderpriority"), F.col("l_orderkey").cast("string"), seq))
 
 
 def geo_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers and suppliers are located in nations, nations are part of regions."""
     t = lambda n: table(spark, sf_dir, n)
     nation = t("nation")
+    seq = lambda rank, key: F.struct(F.lit(rank).alias("k"), F.col(key).cast("long").alias("id"))
+    chunk = lambda mark, key: F.concat(F.lit(mark), F.col(key).cast("string"))
 
     def located(df: DataFrame, name: str, key: str, kind: str, rank: int, at: str) -> DataFrame:
-        return df.join(nation, F.col(at) == F.col("n_nationkey")).select(F.col(name).alias("node_1"), F.lit(kind).alias("node_1_type"), F.col("n_name").alias("node_2"), F.lit("nation").alias("node_2_type"), F.lit("located in").alias("edge"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("chunk_id"), F.struct(F.lit(rank).alias("k"), F.col(key).cast("long").alias("id")).alias("seq"))
+        cols = _triple(F.col(name), kind, F.col("n_name"), "nation", F.lit("located in"), chunk("n", "n_nationkey"), seq(rank, key))
+        return df.join(nation, F.col(at) == F.col("n_nationkey")).select(*cols)
 
-    part_of = nation.join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("node_1"), F.lit("nation").alias("node_1_type"), F.col("r_name").alias("node_2"), F.lit("region").alias("node_2_type"), F.lit("part of").alias("edge"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("chunk_id"), F.struct(F.lit(2).alias("k"), F.col("n_nationkey").cast("long").alias("id")).alias("seq"))
-    return located(t("customer"), "c_name", "c_custkey", "customer", 0, "c_nationkey").unionByName(located(t("supplier"), "s_name", "s_suppkey", "supplier", 1, "s_nationkey")).unionByName(part_of)
+    cols = _triple(F.col("n_name"), "nation", F.col("r_name"), "region", F.lit("part of"), chunk("r", "r_regionkey"), seq(2, "n_nationkey"))
+    part_of = nation.join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(*cols)
+    customers = located(t("customer"), "c_name", "c_custkey", "customer", 0, "c_nationkey")
+    return customers.unionByName(located(t("supplier"), "s_name", "s_suppkey", "supplier", 1, "s_nationkey")).unionByName(part_of)
 
 
 def events_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user and a key, by the event's type; a user's day is a chunk."""
-    e = table(spark, sf_dir, "events")
-    return e.select(F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("node_1"), F.lit("user").alias("node_1_type"), F.concat(F.lit("k "), F.get_json_object("props", "$.k")).alias("node_2"), F.lit("key").alias("node_2_type"), F.col("event_type").alias("edge"), F.concat_ws("|", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("chunk_id"), F.col("event_id").alias("seq"))
+    user, key = F.concat(F.lit("user "), F.col("user_id").cast("string")), F.concat(F.lit("k "), F.get_json_object("props", "$.k"))
+    day = F.concat_ws("|", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
+    return table(spark, sf_dir, "events").select(*_triple(user, "user", key, "key", F.col("event_type"), day, F.col("event_id")))
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(order, answer): what a model might answer about each order: a JSON array bare, fenced, amid prose, with an
     element that isn't whole, or none, by the order's number."""
     rows = orders_triples(spark, sf_dir).select("seq", F.to_json(F.struct("node_1", "node_1_type", "node_2", "node_2_type", "edge")).alias("j"))
-    arrays = rows.groupBy(F.col("seq.l_orderkey").alias("order")).agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "j"))), lambda x: x["j"]), ","), F.lit("]")).alias("a"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("seq", "j"))), lambda x: x["j"])
+    arrays = rows.groupBy(F.col("seq.l_orderkey").alias("order")).agg(F.concat(F.lit("["), F.array_join(lines, ","), F.lit("]")).alias("a"))
     bad = F.concat(F.expr("substr(a, 1, length(a) - 1)"), F.lit(',{"node_1":"only"}]'))
     kind = F.col("order") % 5
-    text = F.when(kind == 0, F.col("a")).when(kind == 1, F.concat(F.lit("```json\n"), "a", F.lit("\n```"))).when(kind == 2, F.concat(F.lit("Here they are: "), "a", F.lit(" Is that [all] right?"))).when(kind == 3, bad).otherwise(F.lit("I found nothing."))
-    return arrays.select("order", text.alias("answer"))
+    text = F.when(kind == 0, F.col("a")).when(kind == 1, F.concat(F.lit("```json\n"), "a", F.lit("\n```")))
+    text = text.when(kind == 2, F.concat(F.lit("Here they are: "), "a", F.lit(" Is that [all] right?"))).when(kind == 3, bad)
+    return arrays.select("order", text.otherwise(F.lit("I found nothing.")).alias("answer"))

@@ -37,7 +37,9 @@ def documents_to_graph(docs: DataFrame, store: GraphStore, ledger_path: str, che
         triples = cut(triples_of(new.select("source", "text"), make, **options), "triples")
         store.merge(build_graph(triples, tenant), key=f"{name}x{number}")
         counts = triples.groupBy(F.col("seq.source").alias("source")).agg(F.count_distinct("chunk_id").alias("chunks_processed"), F.count(F.lit(1)).alias("relations_count"))
-        entries = new.select("source", content_hash("text").alias("hash")).join(counts, "source", "left").select("source", "hash", F.coalesce("chunks_processed", F.lit(0)).alias("chunks_processed"), F.coalesce("relations_count", F.lit(0)).alias("relations_count"), F.lit(number).cast("long").alias("ts"))
+        count = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+        entries = new.select("source", content_hash("text").alias("hash")).join(counts, "source", "left")
+        entries = entries.select("source", "hash", count("chunks_processed"), count("relations_count"), F.lit(number).cast("long").alias("ts"))
         append_ledger(entries, ledger_path)
 
     writer = docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
@@ -52,10 +54,13 @@ def windowed_cooccurrence(events: DataFrame, length: str = "1 hour", slide: str
     """
     rows = events.withWatermark("ts", late) if late else events
     per_user = rows.groupBy(F.window("ts", length, slide).alias("w"), "user_id").agg(F.array_sort(F.collect_set("event_type")).alias("types"))
-    pairs = F.filter(F.flatten(F.transform("types", lambda a: F.transform("types", lambda b: F.struct(a.alias("source"), b.alias("target"))))), lambda p: p["source"] < p["target"])
-    return per_user.select(F.col("w.start").alias("start"), F.explode(pairs).alias("p")).select("start", "p.source", "p.target") if late else per_user.select(F.col("w.start").alias("start"), F.explode(pairs).alias("p")).groupBy("start", "p.source", "p.target").agg(F.count(F.lit(1)).alias("n"))
+    each = F.transform("types", lambda a: F.transform("types", lambda b: F.struct(a.alias("source"), b.alias("target"))))
+    pairs = F.filter(F.flatten(each), lambda p: p["source"] < p["target"])
+    rows = per_user.select(F.col("w.start").alias("start"), F.explode(pairs).alias("p")).select("start", "p.source", "p.target")
+    return rows if late else rows.groupBy("start", "source", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """(user_id, start, stop, n): a user's events with no longer pause than gap between them."""
-    return events.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("stop"), "n")
+    found = events.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    return found.select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("stop"), "n")
