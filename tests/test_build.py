@@ -36,6 +36,22 @@ def test_proximity(spark):
     assert build_graph(triples(spark, [("c1", "c2", "k"), ("c1", "c3", "k")]), max_nodes_per_chunk=2).counts() == (3, 2)
 
 
+@pytest.mark.parametrize("size", [1, 3, 256])
+def test_large_chunks_are_paired_in_blocks(spark, monkeypatch, size):
+    from itertools import combinations
+
+    from thicket.operators import build
+
+    monkeypatch.setattr(build, "CHUNK_NODES", size)
+    rows = [(f"n{i}", f"n{i * 7 % 20}", chunk) for chunk, n in (("big", 20), ("small", 3), ("one", 1), (None, 4)) for i in range(n)]
+    members: dict = {}
+    for a, b, c in rows:
+        if c is not None and a != b:
+            members.setdefault(c, set()).update((a, b))
+    want = sorted((a, b, c) for c, m in members.items() for a, b in combinations(sorted(m), 2))
+    assert sorted(map(tuple, build.shared_chunks(normalised(triples(spark, rows))).collect())) == want
+
+
 def test_labels_types_chunks_degrees(spark):
     rows = [("a", "b", "k1", "X", None, PROXIMITY), ("a", "b", "k2", " Thing ", "", "first"), ("b", "a", "k2", None, None, "second"), ("hub", "s1", "k3"), ("hub", "s2", "k4"), ("hub", "s3", "k5")]
     g = build_graph(triples(spark, rows), proximity=False, tenant="t", communities="async")

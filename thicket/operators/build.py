@@ -63,7 +63,9 @@ def shared_chunks(triples: DataFrame, max_nodes_per_chunk: int | None = None) ->
     The pairs of a chunk are what is asked for, so a chunk of k nodes makes k * (k - 1) / 2 of them; max_nodes_per_chunk
     leaves larger chunks out (none by default). A chunk's nodes are gathered once, and paired in the row. Chunks of more
     than CHUNK_NODES rows are cut to blocks of nodes, and pairs of blocks are dealt out, so no row or task holds a large one.
+    Triples without a chunk are near to none.
     """
+    triples = triples.where(F.col("chunk_id").isNotNull())
     if max_nodes_per_chunk is not None:
         sizes = incidence(triples).groupBy("chunk_id").count().where(F.col("count") <= max_nodes_per_chunk)
         triples = triples.join(sizes.select("chunk_id"), "chunk_id", "left_semi")

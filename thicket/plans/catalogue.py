@@ -67,6 +67,11 @@ def orders_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return build_graph(relations.orders_triples(spark, sf_dir), keep_chunks=False)
 
 
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised triples, worked out once."""
+    return cut(normalised(relations.orders_triples(spark, sf_dir)), "triples")
+
+
 def geo_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return build_graph(relations.geo_triples(spark, sf_dir), proximity=False, keep_chunks=False)
 
@@ -86,7 +91,7 @@ def kg_edges_explicit(spark, sf_dir):
 
 @query(f"WITH {_TRIPLES} SELECT source, target, shared FROM near")
 def kg_edges_proximity(spark, sf_dir):
-    return shared_chunks(normalised(relations.orders_triples(spark, sf_dir))).groupBy("source", "target").agg(F.count(F.lit(1)).alias("shared"))
+    return shared_chunks(_orders(spark, sf_dir)).groupBy("source", "target").agg(F.count(F.lit(1)).alias("shared"))
 
 
 @query(f"WITH {_GRAPH} SELECT source, target, relation, weight FROM e")
@@ -154,7 +159,7 @@ def kg_basic_stats(spark, sf_dir):
 @query(f"WITH {_GRAPH} SELECT id, degree, sum(weight) AS strength FROM (SELECT source AS id, weight FROM e UNION ALL SELECT target, weight FROM e) JOIN d USING (id) GROUP BY 1, 2 ORDER BY strength DESC, id LIMIT 10")
 def kg_top_concepts(spark, sf_dir):
     """The flagship: the ten concepts of greatest weighted degree."""
-    e = edges(normalised(relations.orders_triples(spark, sf_dir)), keep_chunks=False)
+    e = edges(_orders(spark, sf_dir), keep_chunks=False)
     ends = e.select(F.explode(F.array("source", "target")).alias("id"), "weight")
     return ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"), F.sum("weight").alias("strength")).orderBy(F.desc("strength"), "id").limit(10)
 
@@ -174,7 +179,7 @@ _PAGERANK = f"WITH RECURSIVE {_GRAPH}{_RANK}"
 
 def _ranks(spark, sf_dir) -> DataFrame:
     """Every node of this graph has an edge."""
-    return algorithms.pagerank(None, edges(cut(normalised(relations.orders_triples(spark, sf_dir)), "triples"), keep_chunks=False))
+    return algorithms.pagerank(None, edges(_orders(spark, sf_dir), keep_chunks=False))
 
 
 @query(f"{_PAGERANK} SELECT id, round(r, 9) AS rank FROM pr WHERE i = 30")
