@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
@@ -71,6 +73,19 @@ def with_fields(df: DataFrame, ddl: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
 
 
+@contextmanager
+def memory_returned() -> Iterator[None]:
+    """At the end, what a task has freed goes back to the system: its worker lives on, idle while other stages run."""
+    try:
+        yield
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
+
+
 @contextmanager
 def no_cycles() -> Iterator[None]:
     """Python's search for cycles rests meanwhile: a task that makes millions of small objects and no cycles needs none."""

@@ -33,9 +33,9 @@ from thicket.llm._shared import for_python, no_cycles, with_fields
 
 WINDOW, MASK_BITS, LEAST, REACH = 32, 11, 256, 64
 #: Bytes of ids that a worker remembers (twice as many, just before it forgets), and of text that it works on at a time.
-MEMO_BYTES, SLICE_BYTES = 40_000_000, 500_000
+MEMO_BYTES, SLICE_BYTES = 12_000_000, 500_000
 #: Words and joints that a worker remembers.
-MEMO_WORDS, MEMO_JOINTS = 150_000, 100_000
+MEMO_WORDS, MEMO_JOINTS = 150_000, 20_000
 
 #: A 32-bit number for each byte, from a multiplicative rule.
 _BYTE = ((np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)

@@ -19,14 +19,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm._shared import for_python, staged, with_fields
+from thicket.llm._shared import for_python, memory_returned, staged, with_fields
 
 #: Labelled rows per language that the model is fitted on, at most (about; rows are drawn by a hash of id and text). It
 #: bounds the model, too, which keeps all n-grams of those rows.
 TRAIN_DOCS_PER_LANG = 2000
 SWITCH_PENALTY = 12.0
 #: Words whose scores a Python worker remembers, and words that one Viterbi call holds.
-MEMO_WORDS, CALL_WORDS = 300_000, 200_000
+MEMO_WORDS, CALL_WORDS = 150_000, 100_000
 
 # First code points of scripts' ranges and the script that holds from there on (Unicode blocks).
 SCRIPT_STARTS = [
@@ -227,6 +227,10 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", spans: bool
     mark = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def run(batches):
+        with memory_returned():
+            yield from labelled(batches)
+
+    def labelled(batches):
         own = Model(*sent.value)
         for b in batches:
             texts = b.column(text_at)
