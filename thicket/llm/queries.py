@@ -88,13 +88,19 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm.conversation_trie import prefix_trie, rerooted, turn_arrays
+
+    return prefix_trie(rerooted(turn_arrays(_table(spark, sf_dir, "conversations"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_token_counts, op3_decontaminate, op4_bpe_roundtrip, op5_simhash, op6_langid, op7_token_files, op8_pii, op9_url_filter, op10_ann, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_token_counts, op3_decontaminate, op4_bpe_roundtrip, op5_simhash, op6_langid, op7_token_files, op8_pii, op9_url_filter, op10_ann, op13_conversation_trie, pipeline)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLE: dict[str, str] = {
@@ -122,4 +128,18 @@ pats(pattern, re) AS (VALUES ('||ads-', '^(?:[^/]*\.)?ads-'), ('||adult-', '^(?:
 g AS (SELECT page_id, min(pattern) AS pattern FROM h JOIN pats ON regexp_matches(host || path, re) AND host <> '' GROUP BY page_id)
 SELECT h.page_id, h.host, h.path, f.rule, g.pattern, coalesce(f.action, CASE WHEN g.pattern IS NULL THEN 'allow' ELSE 'block' END) AS verdict
 FROM h LEFT JOIN f ON h.page_id = f.page_id LEFT JOIN g ON h.page_id = g.page_id""",
+    "op13_conversation_trie": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({'r': r, 'x': x} ORDER BY turn NULLS FIRST, r, sha256(length(r) || ':' || r || x)) AS t FROM t GROUP BY conv_id),
+crc AS (SELECT conv_id, list_reduce(flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: [CAST(ascii(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+               lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END, 4294967295) AS crc FROM c),
+b AS (SELECT c.conv_id, list_concat(coalesce(base.t[1:xor(crc, 4294967295) % 4], []), c.t[xor(crc, 4294967295) % 4 + 1:]) AS t
+      FROM c JOIN crc ON c.conv_id = crc.conv_id LEFT JOIN c AS base ON base.conv_id = c.conv_id - c.conv_id % 20),
+p AS (SELECT conv_id, d, t[1:d] AS k, len(t) = d AS ended FROM b, unnest(range(0, len(t) + 1)) AS u(d)),
+n AS (SELECT k, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ended), '') AS ends FROM p GROUP BY k, d),
+kids AS (SELECT k[1:depth - 1] AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+w AS (SELECT n.k, depth, n_children IS NULL AS leaf, (n_convs - 1) * CASE WHEN depth > 0 THEN len(regexp_extract_all(n.k[depth].x, '[^\x20\x09-\x0D]+')) ELSE 0 END AS saved FROM n LEFT JOIN kids ON n.k = kids.k),
+sub AS (SELECT k[1:a] AS k, count(*) FILTER (leaf) AS n_leaves, sum(saved) AS saved FROM w, unnest(range(0, depth + 1)) AS u(a) GROUP BY ALL)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(sub.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN sub ON n.k = sub.k LEFT JOIN kids ON n.k = kids.k LEFT JOIN n AS up ON up.depth = n.depth - 1 AND up.k = n.k[1:n.depth - 1]""",
 }
