@@ -88,6 +88,12 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm.vector_codes import compress
+
+    return compress(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from thicket.llm.conversation_trie import prefix_trie, rerooted, turn_arrays
 
@@ -100,10 +106,33 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_token_counts, op3_decontaminate, op4_bpe_roundtrip, op5_simhash, op6_langid, op7_token_files, op8_pii, op9_url_filter, op10_ann, op13_conversation_trie, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_token_counts, op3_decontaminate, op4_bpe_roundtrip, op5_simhash, op6_langid, op7_token_files, op8_pii, op9_url_filter, op10_ann, op12_vector_codes, op13_conversation_trie, pipeline)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _vector_codes_sql(rounds: int = 6) -> str:
+    """Every round as a table of nearest entries and one of moved entries."""
+    near = """
+near{r} AS MATERIALIZED (SELECT vec_id, k, arg_min({{'e': e, 'far': far}}, {{'far': far, 'e': e}}) AS best
+    FROM (SELECT p.vec_id, k, e, list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS far FROM parts AS p JOIN book{r} AS b USING (k)) GROUP BY vec_id, k),"""
+    move = """
+mean{q} AS (SELECT k, e, list(m ORDER BY i) AS x FROM (SELECT k, best.e AS e, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS m FROM near{r} JOIN parts USING (vec_id, k), unnest(range(1, len(x) + 1)) AS u(i) GROUP BY ALL) GROUP BY k, e),
+book{q} AS MATERIALIZED (SELECT b.k, b.e, coalesce(mean{q}.x, b.x) AS x FROM book{r} AS b LEFT JOIN mean{q} USING (k, e)),"""
+    chain = "".join(near.format(r=r) + move.format(r=r, q=r + 1) for r in range(rounds)) + near.format(r=rounds)
+    return f"""
+WITH kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(4096 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+    FROM embeddings WHERE len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, k, x[k * len(x) // 8 + 1:(k + 1) * len(x) // 8] AS x FROM kept, unnest(range(8)) AS u(k)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < 16),
+book0 AS MATERIALIZED (SELECT k, e, x FROM first JOIN parts USING (vec_id)),{chain}
+sha AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY k, e)) AS s FROM book{rounds}),
+coded AS (SELECT vec_id, string_agg(format('{{:02x}}', best.e), '' ORDER BY k) AS code, CAST(sum(best.far) AS BIGINT) AS error FROM near{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, s AS codebooks_sha256 FROM coded JOIN kept USING (vec_id), sha"""
+
+
 ORACLE: dict[str, str] = {
+    "op12_vector_codes": _vector_codes_sql(),
     "op3_decontaminate": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
