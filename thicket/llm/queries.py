@@ -88,6 +88,15 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm.toxicity import fit, held_out, score
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels")
+    model = fit(docs, labels.where(~held_out()))
+    return score(docs.withColumn("held_out", held_out()), model, keep_text=False)
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from thicket.llm.vector_codes import compress
 
@@ -106,7 +115,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_token_counts, op3_decontaminate, op4_bpe_roundtrip, op5_simhash, op6_langid, op7_token_files, op8_pii, op9_url_filter, op10_ann, op12_vector_codes, op13_conversation_trie, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_token_counts, op3_decontaminate, op4_bpe_roundtrip, op5_simhash, op6_langid, op7_token_files, op8_pii, op9_url_filter, op10_ann, op11_toxicity, op12_vector_codes, op13_conversation_trie, pipeline)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
