@@ -43,6 +43,51 @@ def test_parts(spark):
     assert get(first_array, 'x [1, "]", [2]] y]') == '[1, "]", [2]]' and get(first_array, "[1") is None and get(first_array, "none") is None
 
 
+def plain_array(text):
+    """From the first [ to its match, a character at a time."""
+    at, depth, inside, escaped = text.find("["), 0, False, False
+    for i, c in enumerate(text[at:] if at >= 0 else "", at):
+        if escaped:
+            escaped = False
+        elif inside and c == "\\":
+            escaped = True
+        elif c == '"':
+            inside = not inside
+        elif not inside and c in "[]":
+            depth += 1 if c == "[" else -1
+            if not depth:
+                return text[at : i + 1]
+    return None
+
+
+def test_arrays_of_drawn_texts(spark):
+    import random
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choices('[]"\\a\n é', [5, 5, 3, 2, 3, 1, 1, 1], k=rng.randrange(40))) for _ in range(3000)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", first_array(F.col("t")).alias("a")).collect()
+    assert [(r.t, r.a) for r in got] == [(t, plain_array(t)) for t in texts] and sum(r.a is not None for r in got) > 300
+
+
+MEGA = 1_000_000
+LONG = {
+    "a long name": (json.dumps([item("n" * MEGA), item("x", "y")]), 2), "a long name amid prose": ("So: " + json.dumps([item("n" * MEGA), item("x", "y")]) + " [end]", 2), "escapes": ("See " + json.dumps([item('"\\' * (MEGA // 4))]) + " there", 1),
+    "an open quote": ('[1, "' + "n" * MEGA, 0), "an open quote after brackets": ('[] ["' + "n] " * (MEGA // 4), 0), "brackets": ("[" * 50_000 + "]" * 50_000 + " x", 0), "open brackets": ("[" * 100_000, 0), "pairs": ("[" + "[]," * 100_000 + "1] x", 0),
+    "quotes": ('["' + '""' * (MEGA // 2), 0), "backslashes": ('["' + "\\" * MEGA, 0), "blanks": ("[1," + " " * MEGA + "x", 0), "a fence": ("```json\n" + json.dumps([item("n" * MEGA)]) + "\n```", 1), "fences": ("```\n" + "`" * MEGA, 0),
+}
+
+
+@pytest.mark.parametrize("case", LONG)
+def test_long_answers_neither_end_the_jvm_nor_take_long(spark, case):
+    import time
+
+    text, n = LONG[case]
+    began = time.time()
+    assert parse_answers(spark.createDataFrame([(text,)], "answer string"), strict=False).count() == n
+    assert spark.createDataFrame([(text,)], "answer string").select(first_array(F.col("answer")).alias("a")).first().a == plain_array(text)
+    assert time.time() - began < 60
+
+
 # --- extractors
 
 

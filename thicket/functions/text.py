@@ -22,8 +22,8 @@ def _col(c: Column | str) -> Column:
 
 
 def trimmed(c: Column | str) -> Column:
-    """Without white space (Unicode's) at either end."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    """Without white space (Unicode's) at either end. Inner runs of it are looked at once, from their start."""
+    return F.regexp_replace(_col(c), r"(?U)^\s++|\s(?<!\s\s)\s*+$", "")
 
 
 def norm_key(c: Column | str) -> Column:
