@@ -58,7 +58,15 @@ def test_labels_types_chunks_degrees(spark):
     n = {r.id: r for r in g.nodes.collect()}
     assert (n["a"].entity_type, n["b"].entity_type, n["hub"].degree, n["a"].tenant) == ("thing", None, 3, "t")
     e = {(r.source, r.target): r for r in g.edges.collect()}
-    assert e["a", "b"].relation == "first" and e["a", "b"].chunk_ids == ["k1", "k2"] and n["a"].community == n["b"].community != n["hub"].community
+    assert e["a", "b"].relation == "first" and {tuple(r) for r in g.chunks.collect() if r.source == "a"} == {("a", "b", "k1", "t"), ("a", "b", "k2", "t")} and n["a"].community == n["b"].community != n["hub"].community
+
+
+def test_a_pair_in_very_many_chunks_is_many_small_rows(spark):
+    rows = [("a", "b", f"k{i}") for i in range(20_000)] + [("a", "c", "k1"), ("a", "c", None)]
+    g = build_graph(triples(spark, rows))
+    assert {(r.source, r.target): r.weight for r in g.edges.collect()} == {("a", "b"): 100_000.0, ("a", "c"): 9.0, ("b", "c"): 1.0}
+    assert {r.source + r.target: r["count"] for r in g.chunks.groupBy("source", "target").count().collect()} == {"ab": 20_000, "ac": 1, "bc": 1}
+    assert not any("array" in kind for _, kind in g.edges.dtypes + g.chunks.dtypes) and build_graph(triples(spark, rows), keep_chunks=False).chunks is None
 
 
 def test_isolated_nodes(spark):

@@ -23,7 +23,7 @@ def graph(spark, rows, tenant="default"):
 
 def sample(spark):
     nodes = [("rust", 'Ru"st', None, 3, "technology", "default"), ("tokio", "Tokio <&>", 1, None, None, "default"), ("it's", "it's", 2, 1, None, "default")]
-    edges = [("rust", "tokio", 'uses "async"', 4.0, ["c"], "default"), ("it's", "rust", PROXIMITY, 0.5, ["c"], "default")]
+    edges = [("rust", "tokio", 'uses "async"', 4.0, "default"), ("it's", "rust", PROXIMITY, 0.5, "default")]
     return Graph(spark.createDataFrame(nodes, NODE), spark.createDataFrame(edges, EDGE))
 
 
@@ -52,36 +52,92 @@ def test_of_two_writers_the_second_fails(spark, tmp_path):
     one.replace(graph(spark, [("a", "b", "r")]))
     seen = two.state()
     one.merge(graph(spark, [("b", "c", "r")]))
-    late = graph(spark, [("x", "y", "r")])
-    with pytest.raises(RuntimeError):
-        two._commit(seen, late, ["default"])
-    assert {r.id for r in one.load().nodes.collect()} == {"a", "b", "c"}
-    # Forced past the look at the folder, the file itself can't be made twice.
-    two._numbers = lambda: [seen.number]
-    with pytest.raises(RuntimeError):
-        two._commit(seen, late, ["default"])
-    assert {r.id for r in one.load().nodes.collect()} == {"a", "b", "c"} and one.state().number == 1
-
-
-def test_a_merge_writes_its_tenant_only(spark, tmp_path):
+    number = one.state().number
+    # The second, forced past the look at the folder, can't rename its state over the first one's.
+    for look in (two._numbers, lambda: [seen.number]):
+        two._numbers = look
+        late = two._written(graph(spark, [("x", "y", "r")]), [])
+        with pytest.raises(RuntimeError):
+            two._commit(seen, [*seen.segments, late], late)
+        assert not (tmp_path / "w" / late.name).exists() and not list((tmp_path / "w").glob("draft-*"))
+    assert {r.id for r in one.load().nodes.collect()} == {"a", "b", "c"} and one.state().number == number
+
+
+def size_of(folder, names):
+    return sum(p.stat().st_size for n in names for p in (folder / n).rglob("*") if p.is_file())
+
+
+def test_a_merge_writes_what_it_brings(spark, tmp_path):
+    """However large the tenant is. Segments stay few, and other tenants' rows stay where they are."""
+    store, folder = GraphStore(spark, str(tmp_path / "w")), tmp_path / "w"
+    many = spark.range(60_000).select(F.concat(F.lit("node "), F.sha2(F.col("id").cast("string"), 256)).alias("node1"), F.concat(F.lit("end "), F.md5(F.col("id").cast("string"))).alias("node2"), F.lit("r").alias("relation"), F.lit(None).cast("string").alias("type1"), F.lit(None).cast("string").alias("type2"))
+    store.replace(build_graph(as_triples(many), proximity=False))
+    first = {s.name for s in store.state().segments}
+    large = size_of(folder, first)
+    written = 0
+    for k in range(12):
+        store.merge(graph(spark, [("b", f"c{k}", "r")], "other" if k % 3 else "default"), key=f"m{k}")
+        state = store.state()
+        assert first <= {s.name for s in state.segments} and len(state.segments) <= 5
+        written += size_of(folder, {s.name for s in state.segments} - first)
+    assert written < large / 4
+    assert store.load("other").counts() == (9, 8) and store.load().counts() == (120_000 + 5 + 9, 60_000 + 12)
+    store.compact()
+    assert len(store.state().segments) == 1 and store.load().counts() == (120_000 + 5 + 9, 60_000 + 12)
+
+
+def test_keys_are_merged_once(spark, tmp_path):
     store = GraphStore(spark, str(tmp_path / "w"))
+    small = graph(spark, [("a", "b", "r")])
+    for key in ("k1", "k1", ("s", 0), ("s", 1), ("s", 0), ("s", 1), ("t", 0), "k1"):
+        store.merge(small, key=key)
+    assert store.load().edges.first().weight == 4.0 * 4 and store.state().batches == {"s": 1, "t": 0}
+
+
+def test_segments_add_up_to_what_merging_in_turn_gives(spark, tmp_path):
+    import random
+
+    from thicket.operators.store import replace_tenant
+
+    rng = random.Random(4)
+    store, plain = GraphStore(spark, str(tmp_path / "w")), None
+    for k in range(14):
+        rows = [(rng.choice("abcdef"), rng.choice("abcdefgh"), rng.choice("rs"), rng.choice([None, "t", "u"]), rng.choice([None, "concept", "v"])) for _ in range(4)]
+        g = graph(spark, rows, rng.choice(["x", "y"]))
+        foreign = spark.createDataFrame([("a", "zz", "r", 1.0, "x"), ("a", "b", "q", 2.0, "y")], EDGE)
+        g = Graph(g.nodes, g.edges.unionByName(foreign) if k % 4 == 1 else g.edges, g.chunks)
+        if plain is None or k in (5, 9):
+            tenant = "x"
+            g = Graph(g.nodes.withColumn("tenant", F.lit(tenant)), g.edges.withColumn("tenant", F.lit(tenant)), g.chunks.withColumn("tenant", F.lit(tenant)))
+            store.replace(g, tenant)
+            plain = replace_tenant(plain, g, tenant) if plain else Graph(stored(g.nodes), g.edges, g.chunks)
+        else:
+            keep, recount = rng.random() < 0.5, k in (3, 11)
+            store.merge(g, recount, keep)
+            own = [r[0] for r in g.nodes.select("tenant").union(g.edges.select("tenant")).distinct().collect()]
+            part = lambda x, inside: Graph(*[t.where(F.col("tenant").isin(own) == inside) for t in (x.nodes, x.edges, x.chunks)])
+            rest, new = part(plain, False), merged(part(plain, True), g, recount, keep)
+            plain = Graph(rest.nodes.unionByName(new.nodes), rest.edges.unionByName(new.edges), rest.chunks.unionByName(new.chunks))
+        plain = Graph(*[spark.createDataFrame(t.collect(), t.schema) for t in (plain.nodes, plain.edges, plain.chunks)])
+        if k % 3 == 2 or k > 11:
+            got = store.tables()
+            for a, b in ((got.nodes, plain.nodes), (got.edges, plain.edges), (got.chunks, plain.chunks)):
+                assert sorted(map(str, a.select(*sorted(a.columns)).collect())) == sorted(map(str, b.select(*sorted(b.columns)).collect())), k
+
+
+def test_what_a_dead_writer_leaves_is_no_hindrance(spark, tmp_path):
+    store, folder = GraphStore(spark, str(tmp_path / "w")), tmp_path / "w"
     store.replace(graph(spark, [("a", "b", "r")]))
-    store.replace(graph(spark, [("x", "y", "r")], "other"), "other")
-    before = store.state().tenants
-    store.merge(graph(spark, [("b", "c", "r")]), key="k1")
-    after = store.state()
-    assert after.tenants["other"] == before["other"] and after.tenants["default"] != before["default"]
-    for _ in range(4):
-        store.merge(graph(spark, [("b", "c", "r")]), key="k1")
-    assert store.state() == after
-    for k in range(4):
-        store.merge(graph(spark, [("b", "d", "r")]), key=f"m{k}")
-    folders = {p.name for p in (tmp_path / "w").iterdir() if p.name.startswith("v-")}
-    assert len(folders) <= 4 and set(store.state().tenants.values()) <= folders and store.load("other").counts() == (2, 1)
-    (tmp_path / "w" / "CURRENT.99").write_text("")  # a write that broke off
-    assert store.load().counts() == (6, 4)
+    store._written(graph(spark, [("x", "y", "r")]), [])  # written, but never committed
+    (folder / "draft-x").write_text('{"segm')
+    store.merge(graph(spark, [("b", "c", "r")]))
+    assert store.load().counts() == (3, 2)
     store.repair()
-    assert not (tmp_path / "w" / "CURRENT.99").exists()
+    assert store.load().counts() == (3, 2) and not (folder / "draft-x").exists()
+    assert {p.name for p in folder.glob("s-*")} == {s.name for n in store._numbers() for s in store._read(n).segments}
+    for k in range(5):
+        store.merge(graph(spark, [("b", f"d{k}", "r")]))
+    assert len(list(folder.glob("CURRENT.*"))) <= 3 and store.load().counts() == (8, 7)
 
 
 def test_merge_options(spark):
@@ -92,7 +148,7 @@ def test_merge_options(spark):
 
 
 def test_fetch_defaults(spark):
-    g = Graph(spark.createDataFrame([("a", None, -1, None, None, None)], NODE), spark.createDataFrame([("a", "zz", None, None, None, "t")], EDGE))
+    g = Graph(spark.createDataFrame([("a", None, -1, None, None, None)], NODE), spark.createDataFrame([("a", "zz", None, None, "t")], EDGE))
     r, e = fetched(g).nodes.first(), fetched(g).edges.first()
     assert (r.label, r.community, r.degree, r.tenant) == ("a", None, 0, "default") and (e.relation, e.weight) == ("related", 1.0)
     assert fetched(g, "t").edges.count() == 0

@@ -22,11 +22,13 @@ CHUNK_NODES = 256
 
 @dataclass
 class Graph:
-    """BLD-11: nodes (id, label, degree, community, entity_type, tenant) and edges (source, target, relation, weight,
-    chunk_ids, tenant), each pair of nodes once with source < target."""
+    """BLD-11: nodes (id, label, degree, community, entity_type, tenant), edges (source, target, relation, weight, tenant),
+    each pair of nodes once with source < target, and, if they were asked for, the chunks of edges (source, target,
+    chunk_id, tenant), a row for each, so that no edge has a row that grows with the corpus."""
 
     nodes: DataFrame
     edges: DataFrame
+    chunks: DataFrame | None = None
 
     def counts(self) -> tuple[int, int]:
         """BLD-13."""
@@ -99,20 +101,24 @@ def _label(edge: str = "edge") -> Column:
     return F.min_by(F.when(F.col(edge) != PROXIMITY, F.col(edge)), own)
 
 
-def edges(triples: DataFrame, proximity: bool = True, keep_chunks: bool = True, max_nodes_per_chunk: int | None = None) -> DataFrame:
-    """BLD-05, BLD-07, BLD-08: (source, target, relation, weight, chunk_ids): 4 for every triple, 1 for every chunk that
-    both ends share. Nearness is summed apart, as only explicit rows have labels to choose from; both meet by pair."""
-    chunks = [F.collect_set("chunk_id").alias("chunk_ids")] if keep_chunks else []
-    explicit = triples.groupBy("source", "target").agg(_label().alias("relation"), (F.count(F.lit(1)) * EXPLICIT_WEIGHT).alias("weight"), *chunks)
+def edges(triples: DataFrame, proximity: bool = True, max_nodes_per_chunk: int | None = None, near: DataFrame | None = None) -> DataFrame:
+    """BLD-05, BLD-07, BLD-08: (source, target, relation, weight): 4 for every triple, 1 for every chunk that both ends
+    share. Nearness is summed apart, as only explicit rows have labels to choose from; both meet by pair. near is
+    shared_chunks(), where that has been worked out already."""
+    explicit = triples.groupBy("source", "target").agg(_label().alias("relation"), (F.count(F.lit(1)) * EXPLICIT_WEIGHT).alias("weight"))
     if not proximity:
-        sorted_ = [F.array_sort("chunk_ids").alias("chunk_ids")] if keep_chunks else []
-        return explicit.select("source", "target", F.coalesce("relation", F.lit(PROXIMITY)).alias("relation"), "weight", *sorted_)
-    near = shared_chunks(triples, max_nodes_per_chunk).groupBy("source", "target").agg((F.count(F.lit(1)) * SHARED_WEIGHT).alias("near"), *[c.alias("near_ids") for c in chunks])
-    both = explicit.join(near, ["source", "target"], "full_outer")
+        return explicit.select("source", "target", F.coalesce("relation", F.lit(PROXIMITY)).alias("relation"), "weight")
+    near = shared_chunks(triples, max_nodes_per_chunk) if near is None else near
+    both = explicit.join(near.groupBy("source", "target").agg((F.count(F.lit(1)) * SHARED_WEIGHT).alias("near")), ["source", "target"], "full_outer")
     weight = F.coalesce("weight", F.lit(0.0)) + F.coalesce("near", F.lit(0.0))
-    none = F.array().cast("array<string>")
-    ids = [F.array_sort(F.array_union(F.coalesce("chunk_ids", none), F.coalesce("near_ids", none))).alias("chunk_ids")] if keep_chunks else []
-    return both.select("source", "target", F.coalesce("relation", F.lit(PROXIMITY)).alias("relation"), weight.alias("weight"), *ids)
+    return both.select("source", "target", F.coalesce("relation", F.lit(PROXIMITY)).alias("relation"), weight.alias("weight"))
+
+
+def edge_chunks(triples: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """BLD-05: (source, target, chunk_id): the chunks of each edge, a row each: those of its triples and, with near
+    (shared_chunks()), those that both ends share."""
+    own = triples.where(F.col("chunk_id").isNotNull()).select("source", "target", "chunk_id")
+    return (own if near is None else own.unionByName(near)).distinct()
 
 
 def degrees(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
@@ -128,7 +134,9 @@ def build_graph(triples: DataFrame, tenant: str = DEFAULT_TENANT, isolated: Data
     if proximity_scope == "run":
         rows = rows.withColumn("chunk_id", F.lit("document"))
     rows = cut(rows, "triples")  # worked out once: edges, nearness and nodes read them
-    e = cut(edges(rows, proximity, keep_chunks, max_nodes_per_chunk), "edges")
+    near = cut(shared_chunks(rows, max_nodes_per_chunk), "near") if proximity and keep_chunks else None
+    e = cut(edges(rows, proximity, max_nodes_per_chunk, near), "edges")
+    chunks = edge_chunks(rows, near).withColumn("tenant", F.lit(tenant)) if keep_chunks else None
     n = nodes(rows, isolated)
     n = n.join(degrees(n, e), "id")
     if communities:
@@ -137,7 +145,7 @@ def build_graph(triples: DataFrame, tenant: str = DEFAULT_TENANT, isolated: Data
         n = n.join(label_propagation(n, e, mode=communities), "id")
     else:
         n = n.withColumn("community", F.lit(None).cast("long"))
-    return Graph(n.select("id", "label", "degree", "community", "entity_type", F.lit(tenant).alias("tenant")), e.withColumn("tenant", F.lit(tenant)))
+    return Graph(n.select("id", "label", "degree", "community", "entity_type", F.lit(tenant).alias("tenant")), e.withColumn("tenant", F.lit(tenant)), chunks)
 
 
 def rebuilt(graph: Graph, weights: str = "uniform") -> Graph:

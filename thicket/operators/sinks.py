@@ -88,10 +88,10 @@ def _write(spark, parts: list[tuple[DataFrame | str, list[str]]], path: str) ->
 
 def export(graph: Graph, fmt: str, path: str) -> None:
     """SNK-01 to SNK-06: json, csv, graphml or cypher under the folder path: in each, numbered folders of text files
-    that make the whole when put together in order (cat path/*/part-*)."""
+    that make the whole when put together in order (cat path/*/part-*). json has the chunks of edges, too, if there are any."""
     spark, n, e = graph.nodes.sparkSession, graph.nodes, graph.edges
     if fmt == "json":
-        for name, df in (("nodes", n), ("edges", e.drop("chunk_ids"))):
+        for name, df in (("nodes", n), ("edges", e), *((("chunks", graph.chunks),) if graph.chunks is not None else ())):
             df.write.mode("overwrite").json(f"{path}/{name}")
     elif fmt == "csv":
         _write(spark, [("id,label,degree,community", []), (csv_nodes(n), _NODE_ORDER)], f"{path}.nodes.csv")

@@ -15,7 +15,7 @@ from thicket.functions import chunking, text
 from thicket.functions.persist import cut, shared_dir
 from thicket.operators import algorithms, communities, selection, sinks, store
 from thicket.operators.answers import first_array, parse_answers, without_fence
-from thicket.operators.build import Graph, build_graph, degrees, edges, incidence, nodes, normalised, rebuilt, shared_chunks
+from thicket.operators.build import Graph, build_graph, degrees, edge_chunks, edges, incidence, nodes, normalised, rebuilt, shared_chunks
 from thicket.operators.extract import extract
 from thicket.operators.search import GraphSession, filter_labels, neighbours, search, search_depth
 from thicket.plans import relations
@@ -86,7 +86,7 @@ def kg_nodes(spark, sf_dir):
 
 @query(f"WITH {_TRIPLES} SELECT source, target, relation, CAST(4.0 * triples AS DOUBLE) AS weight FROM expl")
 def kg_edges_explicit(spark, sf_dir):
-    return edges(normalised(relations.orders_triples(spark, sf_dir)), proximity=False, keep_chunks=False)
+    return edges(normalised(relations.orders_triples(spark, sf_dir)), proximity=False)
 
 
 @query(f"WITH {_TRIPLES} SELECT source, target, shared FROM near")
@@ -99,15 +99,16 @@ def kg_edges_full(spark, sf_dir):
     return orders_graph(spark, sf_dir).edges.select("source", "target", "relation", "weight")
 
 
-@query(f"WITH {_TRIPLES} SELECT source, target, array_to_string(list_sort(list(DISTINCT chunk_id)), ',') AS chunks FROM n GROUP BY 1, 2")
+@query(f"WITH {_TRIPLES} SELECT DISTINCT source, target, chunk_id FROM n UNION SELECT x.id, y.id, x.chunk_id FROM inc x JOIN inc y ON x.chunk_id = y.chunk_id AND x.id < y.id")
 def kg_edge_chunks(spark, sf_dir):
-    e = edges(normalised(relations.orders_triples(spark, sf_dir)), proximity=False)
-    return e.select("source", "target", F.array_join("chunk_ids", ",").alias("chunks"))
+    """A row for each edge and chunk, explicit and near."""
+    t = _orders(spark, sf_dir)
+    return edge_chunks(t, shared_chunks(t))
 
 
 @query(f"WITH {_TRIPLES} SELECT source, target, relation FROM expl")
 def kg_edge_label_first_explicit(spark, sf_dir):
-    return edges(normalised(relations.orders_triples(spark, sf_dir)), proximity=False, keep_chunks=False).select("source", "target", "relation")
+    return edges(normalised(relations.orders_triples(spark, sf_dir)), proximity=False).select("source", "target", "relation")
 
 
 @query(f"WITH {_TRIPLES} SELECT id, arg_max(ty, seq) AS entity_type FROM (SELECT a AS id, CASE WHEN (seq).l_linenumber % 3 = 0 THEN NULL ELSE 'line ' || (seq).l_linenumber END AS ty, seq FROM (SELECT a, struct_pack(l_orderkey := l_orderkey, l_linenumber := l_linenumber, l_partkey := l_partkey, l_suppkey := l_suppkey, l_shipdate := l_shipdate) AS seq FROM (SELECT {_KEY.format('c_name')} AS a, lineitem.* FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey))) WHERE ty IS NOT NULL GROUP BY 1")
@@ -159,7 +160,7 @@ def kg_basic_stats(spark, sf_dir):
 @query(f"WITH {_GRAPH} SELECT id, degree, sum(weight) AS strength FROM (SELECT source AS id, weight FROM e UNION ALL SELECT target, weight FROM e) JOIN d USING (id) GROUP BY 1, 2 ORDER BY strength DESC, id LIMIT 10")
 def kg_top_concepts(spark, sf_dir):
     """The flagship: the ten concepts of greatest weighted degree."""
-    e = edges(_orders(spark, sf_dir), keep_chunks=False)
+    e = edges(_orders(spark, sf_dir))
     ends = e.select(F.explode(F.array("source", "target")).alias("id"), "weight")
     return ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"), F.sum("weight").alias("strength")).orderBy(F.desc("strength"), "id").limit(10)
 
@@ -179,7 +180,7 @@ _PAGERANK = f"WITH RECURSIVE {_GRAPH}{_RANK}"
 
 def _ranks(spark, sf_dir) -> DataFrame:
     """Every node of this graph has an edge."""
-    return algorithms.pagerank(None, edges(_orders(spark, sf_dir), keep_chunks=False))
+    return algorithms.pagerank(None, edges(_orders(spark, sf_dir)))
 
 
 @query(f"{_PAGERANK} SELECT id, round(r, 9) AS rank FROM pr WHERE i = 30")

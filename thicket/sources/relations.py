@@ -64,6 +64,6 @@ def read_graphml(spark: SparkSession, path: str, tenant: str = DEFAULT_TENANT, p
         F.col("_id").alias("id"), F.coalesce(get("label"), "_id").alias("label"), F.lit(None).cast("long").alias("community"), get("degree").cast("long").alias("degree"), F.lit(None).cast("string").alias("entity_type"), F.lit(tenant).alias("tenant")
     )
     e = xml("edge", edge).select(
-        F.col("_source").alias("source"), F.col("_target").alias("target"), get("relation").alias("relation"), get("weight").cast("double").alias("weight"), F.lit(None).cast("array<string>").alias("chunk_ids"), F.lit(tenant).alias("tenant")
+        F.col("_source").alias("source"), F.col("_target").alias("target"), get("relation").alias("relation"), get("weight").cast("double").alias("weight"), F.lit(tenant).alias("tenant")
     )
     return Graph(n, e)

@@ -35,7 +35,7 @@ def documents_to_graph(docs: DataFrame, store: GraphStore, ledger_path: str, che
         if not new.limit(1).count():
             return
         triples = cut(triples_of(new.select("source", "text"), make, **options), "triples")
-        store.merge(build_graph(triples, tenant), key=f"{name}x{number}")
+        store.merge(build_graph(triples, tenant), key=(name, number))
         counts = triples.groupBy(F.col("seq.source").alias("source")).agg(F.count_distinct("chunk_id").alias("chunks_processed"), F.count(F.lit(1)).alias("relations_count"))
         count = lambda c: F.coalesce(c, F.lit(0)).alias(c)
         entries = new.select("source", content_hash("text").alias("hash")).join(counts, "source", "left")
