@@ -43,7 +43,7 @@ def test_without_clusters_menus_come_out(monkeypatch):
 
     from thicket.llm import html_text
 
-    many = f"<article><p>{LONG}</p><ul>" + "".join(f"<li><a>Go {i}</a></li>" for i in range(9)) + f"</ul><p>{LONG}</p></article><article><h2><a>Other</a></h2><a>More</a></article>"
+    many = f"<main><p>{LONG}</p><ul>" + "".join(f"<li><a>Go {i}</a></li>" for i in range(9)) + f"</ul><p>{LONG}</p></main>"
     want = main_text(FLAT), main_text(many)
     monkeypatch.setattr(html_text, "clusters", lambda lines, sigma=0: (np.ones(len(lines), bool),) * 2)
     assert want[1] == f"{LONG}\n{LONG}" and main_text(FLAT) != want[0] and main_text(many) != want[1]
@@ -55,6 +55,46 @@ def test_class_words_on_the_text_itself(tag, name):
     assert main_text(f"<body><div class='sidebar'>Most read</div><{tag} class='{name}'><p>{LONG}</p><p>{LONG}</p></{tag}><footer>us</footer></body>") == f"{LONG}\n{LONG}"
 
 
+def test_what_stands_inside_a_line_leaves_no_break():
+    inner = ["<script>x()</script>", "<button>Go</button>", "<svg><text>1</text></svg>", "<span class='ad'>Buy</span>", "<style>p{}</style>", "<span hidden>no</span>", "<iframe>old</iframe>"]
+    for x in inner:
+        assert main_text(f"<article><p>before {x}after</p><p>{LONG}</p></article>") == f"before after\n{LONG}", x
+    assert main_text(f"<article><p>before <span class='share-me'>and</span> after</p><p>{LONG}</p></article>") == f"before and after\n{LONG}"
+    assert main_text(f"<article><p>before</p><div class='ad'>Buy</div>after<aside>x</aside>end<p>{LONG}</p></article>") == f"before\nafter\nend\n{LONG}"
+
+
+def test_title_and_intro_stay_without_an_article():
+    for intro in ("<p>Short intro.</p>", "<p>By nobody</p><p>Short intro.</p>", ""):
+        lines = [x for x in re.split("</?p>", intro) if x]
+        body = f"<h1>Title</h1>{intro}<p>{LONG}</p><p>{LONG}</p><h2>So</h2><p>Brief end.</p>"
+        assert main_text(f"<body><div><a>Home</a></div><div id=content>{body}</div><div><a>z</a></div></body>") == "\n".join(["Title", *lines, LONG, LONG, "So", "Brief end."])
+        assert main_text(f"<body><p><a>Home</a></p>{body}<p><a>Imprint</a></p></body>") == "\n".join(["Title", *lines, LONG, LONG, "So", "Brief end."])
+
+
+@pytest.mark.parametrize("mark", ["ol class='comment-list'", "div class='user-comments'", "div id='comments-area'", "section class='comments'", "div class='x replies'"])
+def test_comments_longer_than_the_post_go(mark):
+    tag = mark.split()[0]
+    assert main_text(f"<body><div class='post'><h1>Title</h1><p>{LONG}</p></div><{mark}>" + f"<p>Reader: {LONG} {LONG}</p>" * 5 + f"</{tag}></body>") == f"Title\n{LONG}"
+
+
+def test_names_that_only_speak_of_comments():
+    for name in ("single comments-open", "no-comments", "with-comments"):
+        assert main_text(f"<body><div class='{name}'><p>{LONG}</p><p>{LONG}</p></div></body>") == f"{LONG}\n{LONG}"
+
+
+def test_lists_of_links_inside_an_article_stay():
+    links = "".join(f"<li><a href='{i}'>Work {i}</a></li>" for i in range(6))
+    assert main_text(f"<article><p>{LONG}</p><ul>{links}</ul><nav><a>Next</a></nav><ul class='menu'><li>x</li></ul></article>") == "\n".join([LONG, *(f"Work {i}" for i in range(6))])
+
+
+def test_pages_give_the_same_text_without_their_article_element():
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    same = sum(main_text(h) == main_text(h.replace("<article", "<div").replace("</article", "</div")) for h in pages)
+    assert len(pages) == 250 and same >= 240
+
+
 def test_sibling_parts_stay():
     parts = f"<div><p>{LONG}</p></div><section><p>{LONG} 2</p></section>"
     assert main_text(f"<body><div><a>Home</a></div>{parts}<div><a>Imprint</a></div></body>") == f"{LONG}\n{LONG} 2"

@@ -66,6 +66,16 @@ def test_odd_rows(spark, trained):
     assert identify(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
 
 
+def test_more_languages_than_a_byte_counts(spark):
+    word = lambda k: "".join(chr(97 + (k // 26**i) % 26) * 2 for i in range(3))
+    rows = [(k * 2 + i, " ".join([word(k), word(k) + "q", word(k)]), f"l{k:03d}") for k in range(300) for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = identify(docs, fit(docs), spans=True).collect()
+    assert sum(r.lang == r.lang_pred for r in got) > 590 and {r.lang_pred for r in got} >= {"l299", "l256", "l001"}
+    mixed = identify(spark.createDataFrame([(1, (word(299) + " ") * 30 + (word(3) + " ") * 20)], "doc_id long, text string"), fit(docs), spans=True).first()
+    assert [s.lang for s in mixed.spans] == ["l299", "l003"]
+
+
 def test_nothing_to_learn_from(spark):
     none = fit(spark.createDataFrame([], "text string, lang string"))
     assert none.langs == [] and identify(spark.createDataFrame([("a b",)], "text string"), none).first().lang_pred == "und"

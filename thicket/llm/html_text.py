@@ -7,12 +7,14 @@ regions of the page that are its text:
 
 * articles (or main) that hold content; a page's only article always;
 * without those, the branches that hold content below the lowest container of all content. Lines that stand in that
-  container itself count from the first content line to the last, with the headings above them, menus of links left out.
-
-A region's short lines are its own, so a brief paragraph or list in it stays; runs of three or more lines below the
-threshold that are links alone are menus and go. Headers, footers, asides, forms, scripts and what is marked as an
-advert, notice, sidebar or reader comment are left out before. A name of which only a part is such a mark (site-header),
-forms and nav are guesses: they are overruled where the element holds most of the page's text and no article is elsewhere.
+  container itself count from the first content line to the last, with the title and the plain lines above them and the
+  sentences below them, menus of links left out.
+
+A region's short lines are its own, so a brief paragraph or list in it stays. Outside articles, runs of three or more
+lines below the threshold that are links alone are menus and go. Headers, footers, asides, forms, scripts and what is
+marked as an advert, notice, sidebar or reader comment are left out before; inside a line they leave no break. A name of
+which only a part is such a mark (site-header), forms and nav are guesses: they are overruled where the element holds most
+of the page's text and no article is elsewhere. Reader comments (comment-list, user-comments) are never overruled.
 """
 
 from __future__ import annotations
@@ -45,6 +47,10 @@ BLOCKS = frozenset("address article blockquote body caption center dd details di
 CONTAINERS = frozenset("article body div main section td".split())
 DROPPED = frozenset("aside audio button canvas datalist dialog footer head header iframe map menu noscript object script select style svg template textarea title video".split())
 GUESSED = frozenset(["form", "nav"])
+#: Of these, the ones that stand inside a line.
+INLINE = frozenset("audio button canvas datalist iframe map noscript object script select style svg template textarea title video".split())
+#: What begins a line of its own.
+BREAKS = (BLOCKS | DROPPED | GUESSED) - INLINE
 #: Their end tags end what is open inside, containers too.
 OUTER = DROPPED | GUESSED | {"html", "table", "tr", "tbody", "ul", "ol", "dl"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
@@ -57,10 +63,13 @@ MARKS = frozenset(
     "navigation newsletter notice notices notification outbrain pager pagination paywall popup popover promo promoted promotion recommended related replies respond share sharing shoutbox sidebar signup skip skyscraper social sponsor sponsored "
     "sponsors subscribe subscription taboola teaser toolbar topbar widget widgets".split()
 )
-#: Of these, the ones that an article of its own is marked with.
-COMMENTS = frozenset("comment comments commentlist replies".split())
+#: Of these, the ones of readers' comments, which an article of its own may be marked with; and words beside them that
+#: say something of the page.
+COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
+STATES = frozenset("allowed closed disabled enabled off on open".split())
 #: Before a mark they say that the element is something else.
 NEGATIONS = frozenset("has is no not with without".split())
+_STOPS = ".!?:;\u2026\"')\u201d\u00bb"
 _PARTS, _SPACE = re.compile(r"[^a-z0-9]+"), re.compile(r"\s+")
 _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
@@ -68,13 +77,17 @@ STAYS, GUESS, GOES = 0, 1, 2
 
 
 def named_mark(name: str, marks: frozenset[str] = MARKS) -> int:
-    """What a class or id says: GOES if it is a mark, GUESS if its first or last part is one and no negation is in it."""
+    """What a class or id says: GOES if it is a mark or its first or last part one of comments, GUESS if that part is
+    another mark; STAYS if a negation is in it. Of marks of articles, parts are guesses."""
     if name in marks:
         return GOES
     parts = [p for p in _PARTS.split(name) if p]
     if len(parts) < 2 or not NEGATIONS.isdisjoint(parts):
         return STAYS
-    return GUESS if parts[0] in marks or parts[-1] in marks else STAYS
+    ends = {parts[0], parts[-1]}
+    if not COMMENTS.isdisjoint(ends) and marks is MARKS:
+        return GOES if STATES.isdisjoint(parts) else STAYS
+    return STAYS if marks.isdisjoint(ends) else GUESS
 
 
 def boilerplate(tag: str, attrs: list[tuple[str, str | None]]) -> int:
@@ -96,14 +109,14 @@ def boilerplate(tag: str, attrs: list[tuple[str, str | None]]) -> int:
 
 
 class Line(NamedTuple):
-    """A block's text, its number of tags, the containers and the guessed elements around it (outermost first), whether
-    it is a heading, and how many of its characters are in links."""
+    """A block's text, its number of tags, the containers and the guessed elements around it (outermost first), its level
+    as a heading (0 for none), and how many of its characters are in links."""
 
     text: str
     tags: int
     chain: tuple[int, ...] = ()
     guesses: tuple[int, ...] = ()
-    heading: bool = False
+    heading: int = 0
     links: int = 0
 
 
@@ -113,8 +126,9 @@ class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int]] = []
-        self.skipping = self.in_link = self.in_heading = 0
-        self.pieces: list[str] = []
+        self.skipping = self.in_link = 0
+        self.headings: list[int] = []
+        self.pieces: list[tuple[str, tuple[int, ...]]] = []
         self.tags = self.linked = 0
         self.chain: tuple[int, ...] = ()
         self.guesses: tuple[int, ...] = ()
@@ -124,9 +138,10 @@ class _Lines(HTMLParser):
 
     def cut(self) -> None:
         if self.pieces:
-            text = _SPACE.sub(" ", "".join(self.pieces)).strip()
-            if text:
-                self.lines.append(Line(text, self.tags, self.chain, self.guesses, self.in_heading > 0, min(self.linked, len(text))))
+            text = _SPACE.sub(" ", "".join(t for t, _ in self.pieces)).strip()
+            if text:  # a guessed element inside a line counts if it is the whole line
+                guesses = commonprefix([g for t, g in self.pieces if not t.isspace()])
+                self.lines.append(Line(text, self.tags, self.chain, tuple(guesses), self.headings[0] if self.headings else 0, min(self.linked, len(text))))
             self.pieces = []
         self.tags = self.linked = 0
 
@@ -135,7 +150,8 @@ class _Lines(HTMLParser):
         for tag, what in self.open[at:]:
             self.skipping -= what == GOES
             self.in_link -= tag == "a"
-            self.in_heading -= tag in HEADINGS
+            if tag in HEADINGS:
+                self.headings.pop()
             if what == GUESS:
                 self.guesses = self.guesses[:-1]
             if tag in CONTAINERS and what != GOES:
@@ -143,13 +159,13 @@ class _Lines(HTMLParser):
         del self.open[at:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in BLOCKS or tag in DROPPED or tag in GUESSED:
+        if tag in BREAKS:
             self.cut()
         if not self.skipping:
             self.tags += 1
         if tag in VOID:
             if tag == "br" and not self.skipping:
-                self.pieces.append(" ")
+                self.pieces.append((" ", self.guesses))
             return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] in ENDS.get(tag, ()):
@@ -162,11 +178,10 @@ class _Lines(HTMLParser):
             if menu is not None:
                 self.leave(menu)
         what = boilerplate(tag, attrs)
-        if what != STAYS:
-            self.cut()
         self.open.append((tag, what))
         self.in_link += tag == "a"
-        self.in_heading += tag in HEADINGS
+        if tag in HEADINGS:
+            self.headings.append(1 if tag == "hgroup" else int(tag[1]))
         self.skipping += what == GOES
         if what == GUESS:
             self.guesses += (self.n_guesses,)
@@ -182,13 +197,11 @@ class _Lines(HTMLParser):
             self.tags += 1
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in BLOCKS or tag in DROPPED or tag in GUESSED:
+        if tag in BREAKS:
             self.cut()
         for i in range(len(self.open) - 1, -1, -1):
             own = self.open[i][0]
             if own == tag:
-                if self.open[i][1]:
-                    self.cut()
                 self.leave(i)
                 break
             # An inline element doesn't reach out of its block, a block not out of its container.
@@ -198,7 +211,7 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.skipping:
-            self.pieces.append(data)
+            self.pieces.append((data, self.guesses))
             if self.in_link:
                 self.linked += len(data)
 
@@ -272,9 +285,9 @@ def _articles(lines: list[Line], content: np.ndarray, kinds: list[str]) -> set[i
     return out
 
 
-def _without_menus(lines: list[Line], content: np.ndarray, keep: np.ndarray) -> np.ndarray:
-    """keep without runs of MENU or more lines that are links alone and not content."""
-    menu = np.array([bool(k) and not c and x.links >= len(x.text) for x, c, k in zip(lines, content, keep)], bool)
+def _without_menus(lines: list[Line], content: np.ndarray, keep: np.ndarray, articles: set[int]) -> np.ndarray:
+    """keep without runs of MENU or more lines outside these articles that are links alone and not content."""
+    menu = np.array([bool(k) and not c and x.links >= len(x.text) and articles.isdisjoint(x.chain) for x, c, k in zip(lines, content, keep)], bool)
     edge = np.flatnonzero(np.diff(np.concatenate(([0], menu, [0]))))
     for a, b in zip(edge[::2], edge[1::2]):
         if b - a >= MENU:
@@ -293,15 +306,25 @@ def _branches(lines: list[Line], content: np.ndarray, firm: np.ndarray) -> np.nd
     keep = inside & np.array([bool(c) if b is None else b in good for b, c in zip(branch, content)], bool)
     for order in (1, -1):
         for i in np.flatnonzero(keep)[::order]:
-            if branch[i] is not None or firm[i] or lines[i].heading or lines[i].text[-1] in ".!?:;\u2026":
+            if branch[i] is not None or firm[i] or lines[i].heading or lines[i].text[-1] in _STOPS:
                 break
             keep[i] = False
     at = np.flatnonzero(keep)
-    if len(at):
-        for i in range(at[0], at[-1]):
-            keep[i] |= inside[i] and branch[i] is None and 5 * lines[i].links < 4 * len(lines[i].text)
-        for i in range(len(lines) - 2, -1, -1):
-            keep[i] |= inside[i] and lines[i].heading and branch[i] is None and keep[i + 1]
+    if not len(at):
+        return keep
+    first, last = int(at[0]), int(at[-1])
+    plain = [inside[i] and branch[i] is None and 5 * x.links < 4 * len(x.text) for i, x in enumerate(lines)]
+    for i in range(first, last):
+        keep[i] |= plain[i]
+    # Above: plain lines and headings up to the title. Below: sentences, and headings with sentences below them.
+    while first and lines[first].heading != 1 and (plain[first - 1] or inside[first - 1] and lines[first - 1].heading and not lines[first - 1].links):
+        first -= 1
+        keep[first] = True
+    for i in range(last + 1, len(lines)):
+        if not plain[i] or not lines[i].heading and lines[i].text[-1] not in _STOPS:
+            break
+        last = i if not lines[i].heading else last
+    keep[at[-1] : last + 1] |= np.array(plain[at[-1] : last + 1], bool)
     return keep
 
 
@@ -325,7 +348,7 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
         keep = np.array([not articles.isdisjoint(x.chain) for x in lines], bool)
     else:
         keep = _branches(lines, content, firm)
-    keep = _without_menus(lines, firm, keep)
+    keep = _without_menus(lines, firm, keep, {c for c in articles if page.kinds[c] == "article"})
     return "\n".join(x.text for x, k in zip(lines, keep) if k)
 
 

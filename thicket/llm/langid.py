@@ -118,10 +118,8 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", per
     totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not totals:
         return Model([], {}, np.zeros((1, 0)), {})
-    share = F.lit(0)
-    for lang, n in totals.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1_000_000, math.ceil(1e6 * per_lang / n)))).otherwise(share)
-    counts = rows.where(F.col("drawn") < share).select("lang", "text").mapInArrow(_gram_counts, "lang string, kind string, item string, n bigint")
+    share = F.create_map(*(F.lit(x) for lang, n in totals.items() for x in (lang, min(1_000_000, math.ceil(1e6 * per_lang / n)))))
+    counts = rows.where(F.col("drawn") < F.element_at(share, F.col("lang"))).select("lang", "text").mapInArrow(_gram_counts, "lang string, kind string, item string, n bigint")
     counts = staged(counts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "grams")
     langs = sorted(totals)
     seen: dict[str, dict[str, int]] = {}
@@ -149,7 +147,8 @@ def best_paths(scores: np.ndarray, lengths: list[int], penalty: float = SWITCH_P
     """
     ends = np.cumsum(lengths)
     starts = ends - lengths
-    path = np.zeros(len(scores), np.uint8)
+    kind = np.min_scalar_type(max(1, scores.shape[1] - 1))  # holds the number of any language
+    path = np.zeros(len(scores), kind)
     walk = []
     for a, b in zip(starts.tolist(), ends.tolist()):
         s = scores[a:b]
@@ -164,9 +163,9 @@ def best_paths(scores: np.ndarray, lengths: list[int], penalty: float = SWITCH_P
     walk.sort(key=lambda x: x[0] - x[1])
     first, length = np.array([a for a, _ in walk]), np.array([b - a for a, b in walk])
     at = np.concatenate(([0], np.cumsum(length)))[:-1]
-    came = np.zeros((int(length.sum()), scores.shape[1]), np.uint8)
+    came = np.zeros((int(length.sum()), scores.shape[1]), kind)
     value = scores[first].copy()
-    own = np.arange(scores.shape[1], dtype=np.uint8)
+    own = np.arange(scores.shape[1], dtype=kind)
     for t in range(1, int(length[0])):
         n = int(np.searchsorted(-length, -t, "left"))
         v = value[:n]
@@ -207,7 +206,7 @@ def _label(model: Model, texts: list[str | None], spans: bool, penalty: float) -
         best = int(letters.argmax())
         marks: list = []
         if spans:
-            cut = [0, *(np.flatnonzero(np.diff(p.astype(np.int16))) + 1).tolist(), len(p)]
+            cut = [0, *(np.flatnonzero(np.diff(p.astype(np.int64))) + 1).tolist(), len(p)]
             marks = [{"start": at[i][a][0], "end": at[i][b - 1][1], "lang": model.langs[p[a]]} for a, b in zip(cut, cut[1:])]
         out.append((model.langs[best], float(letters[best] / letters.sum()), marks))
     return out

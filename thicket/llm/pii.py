@@ -56,13 +56,15 @@ PARTICLES = "van von de der den del della di da la le ter zu".split()
 _TITLES = "|".join([*MALE, *FEMALE, *EITHER])
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _HEX = "[0-9A-Fa-f]{1,4}"
-_FORM = rf"(?:(?:{_TITLES})\.? {{1,2}})+"
-_TOKEN = rf"(?!(?:{'|'.join(NOT_NAMES)})(?!\p{{L}}))\p{{Lu}}(?:\p{{L}}+|\.|(?=['’]))(?:['’\-]\p{{L}}{{2,}})*"
+# Groups repeat a bounded number of times everywhere: the matcher takes stack for each turn of an unbounded one.
+_FORM = rf"(?:(?:{_TITLES})\.? {{1,2}}){{1,4}}"
+_TOKEN = rf"(?!(?:{'|'.join(NOT_NAMES)}|{_TITLES})(?!\p{{L}}))\p{{Lu}}(?:\p{{L}}+|\.|(?=['’]))(?:['’\-]\p{{L}}{{2,}}){{0,3}}"
 _SMALL = rf"(?:(?:{'|'.join(PARTICLES)}) ){{0,2}}"
 #: What is found, in the order in which it is tried at each place. Cards and IBANs count if their check digits are right.
 PATTERNS = {
-    "secret": r"(?<=(?i:token|secret|password|passwd|api_key|api-key|apikey|access_key)[ ]{0,3}[=:][ ]{0,3}[\"']?)(?=[A-Za-z_\-+/.]*[0-9])[A-Za-z0-9_\-+/.]{8,}",
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    "secret": r"(?<=(?i:token|secret|api_key|api-key|apikey|access_key)[ ]{0,3}[=:][ ]{0,3}[\"']?)(?=[A-Za-z_\-+/.]*+[0-9])[A-Za-z0-9_\-+/.]{8,}"
+    r"|(?<=(?i:password|passwd|passphrase|(?<![a-z])pwd?)[ ]{0,3}[=:][ ]{0,3}[\"']?)(?=[A-Za-z_\-+/.]*+[0-9])[A-Za-z0-9_\-+/.]{6,}",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9\-]+){0,126}\.[A-Za-z]{2,}",
     "ipv6": rf"(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|[23fF][0-9A-Fa-f]{{3}}(?::{_HEX}){{0,5}}::(?:{_HEX}(?::{_HEX}){{0,5}})?)(?![\w:])",
     "ip": rf"(?<![\w.])(?<!(?i:version|release|build|section|ver\.?) ?){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.\d)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
@@ -133,7 +135,7 @@ def _byte(seed: Column, i: Column | int) -> Column:
 
 def _each(v: Column, change) -> Column:
     """v with change(character, its place) for each character."""
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.length(v) - 1, F.lit(0))), lambda i: change(F.substr(v, i + 1, F.lit(1)), i)), "")
+    return F.array_join(F.transform(F.regexp_extract_all(v, F.lit("(?s)."), F.lit(0)), change), "")
 
 
 def _spell(v: Column, seed: Column) -> Column:
@@ -165,21 +167,29 @@ def _drawn(entities: DataFrame, key: str) -> DataFrame:
     for name, pattern in SCRIPTS.items():
         script = F.when(norm.rlike(pattern), name).otherwise(script)
     values = F.when(kind == "family", F.element_at(_lists(SYLLABLES), script)).when(kind == "given", F.element_at(_lists(GIVEN), F.concat("gender", script)))
-    rows = entities.withColumn("seed", F.concat_ws("|", F.lit(key), kind, norm, tries.cast("string"))).withColumn("values", values)
+    rows = entities.withColumn("seed", F.sha2(F.concat_ws("|", F.lit(key), kind, norm, tries.cast("string")), 256)).withColumn("values", values)
     # The country code of a phone number, the issuer of a card, the country of an IBAN, the beginning of an IPv6 address stay.
     spelt = _spell(F.when(kind == "email", F.substring_index(norm, "@", 1)).when(kind == "iban", F.substr(norm, F.lit(5))).when(kind.isin("phone", "card"), F.substr(norm, F.lit(2))).otherwise(norm), seed)
-    hexed = _hexed(F.when(kind == "ipv6", F.substr(norm, F.lit(2))).otherwise(norm), seed)
-    names = F.transform(F.sequence(F.lit(0), tries + F.when(kind == "family", 2).otherwise(0)), lambda j: F.col("values")[_byte(seed, j) % F.size("values")])
+    # Private addresses stay private, as long as their range has enough of them; link-local ones stay link-local.
+    head = F.when(kind == "ipv6", F.when(norm.rlike("^fe[89ab]"), 4).when(norm.rlike("^f[cd]"), 2).otherwise(1)).otherwise(0)
+    hexed = _hexed(F.substr(norm, head + 1), seed)
+    wide = F.regexp_extract(norm, r"^(?:10|127|192\.168|172\.(?:1[6-9]|2\d|3[01]))\.", 0)
+    octets = lambda n: F.concat_ws(".", *((1 + _byte(seed, i) % 254).cast("string") for i in range(n)))
+    two = F.length(F.regexp_replace(wide, "[^.]", "")) == 2
+    ip = F.when((wide == "") | (tries >= 9), octets(4)).when(two & (tries < 4), F.concat(wide, octets(2))).when(two, F.concat(F.lit("10."), octets(3))).otherwise(F.concat(wide, octets(3)))
+    double = (kind == "family") & F.contains(norm, F.lit("-"))
+    names = F.transform(F.sequence(F.lit(0), tries + F.when(double, 3).when(kind == "family", 2).otherwise(0)), lambda j: F.col("values")[_byte(seed, j) % F.size("values")])
     by_hex = (kind == "ipv6") | (kind == "secret") & norm.rlike("^[0-9a-f]+$")
-    made = F.when(kind == "ip", F.concat_ws(".", *((1 + _byte(seed, i) % 254).cast("string") for i in range(4)))).when(by_hex, hexed)
-    made = made.when(kind == "family", F.initcap(F.array_join(names, ""))).when(kind == "given", F.array_join(names, "-")).otherwise(spelt)
+    made = F.when(kind == "ip", ip).when(by_hex, hexed)
+    halves = (F.initcap(F.array_join(x, "")) for x in (F.slice(names, 1, 2), F.slice(names, F.lit(3), F.greatest(F.size(names) - 2, F.lit(0)))))
+    made = made.when(double, F.concat_ws("-", *halves)).when(kind == "family", F.initcap(F.array_join(names, ""))).when(kind == "given", F.array_join(names, "-")).otherwise(spelt)
     rows = rows.withColumn("made", made)
     made, first = F.col("made"), F.substr(norm, F.lit(1), F.lit(1))
     mail = F.concat(made, F.lit("@m"), F.substr(F.sha2(seed, 256), F.lit(1), F.lit(6)), F.lit(".example.net"))
     body = F.concat(first, F.substr(made, F.lit(1), F.length(made) - 1))
     country = F.substr(norm, F.lit(1), F.lit(2))
     check = (98 - mod97(F.concat(made, country, F.lit("00")))).cast("string")
-    sur = F.when(kind == "email", mail).when(kind.isin("ipv6", "phone"), F.concat(first, made)).when(kind == "iban", F.concat(country, F.lpad(check, 2, "0"), made))
+    sur = F.when(kind == "email", mail).when(kind == "ipv6", F.concat(F.substr(norm, F.lit(1), head), made)).when(kind == "phone", F.concat(first, made)).when(kind == "iban", F.concat(country, F.lpad(check, 2, "0"), made))
     sur = sur.when(kind == "card", F.concat(body, ((10 - luhn(body, 1) % 10) % 10).cast("string"))).otherwise(made)
     return rows.withColumn("sur", sur).drop("seed", "values", "made")
 
@@ -213,10 +223,16 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
 def _bare(names: Column) -> Column:
     """A pattern for the names of a document where they stand without a form of address; full names come first."""
     family = F.transform(names, lambda n: F.substring_index(n, " ", -1))
-    all_ = F.array_sort(F.array_distinct(F.concat(names, family)), lambda a, b: F.length(b) - F.length(a))
-    all_ = F.filter(all_, lambda n: n.rlike(r"\p{L}\p{L}$"))
-    quoted = F.array_join(F.transform(all_, lambda n: F.concat(F.lit(r"\Q"), n, F.lit(r"\E"))), "|")
-    return F.when(quoted == "", ANY).otherwise(F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])(?:"), quoted, F.lit(r")(?![\p{L}\p{N}])")))
+    all_ = F.filter(F.array_distinct(F.concat(names, family)), lambda n: n.rlike(r"\p{L}\p{L}$"))
+    # In groups by their first two letters, so that a word is held against the names that begin like it, however many
+    # there are; in a group the longest comes first.
+    keyed = F.array_sort(F.transform(all_, lambda n: F.struct(F.substr(n, F.lit(1), F.lit(2)).alias("begin"), (-F.length(n)).alias("size"), n.alias("n"))))
+    quoted = lambda x: F.concat(F.lit(r"\Q"), x, F.lit(r"\E"))
+    group = lambda k: F.concat(F.lit("(?="), quoted(k["begin"]), F.lit(")(?:"), quoted(k["n"]))
+    before = F.concat(F.array(F.lit("")), F.transform(keyed, lambda k: k["begin"]))  # one longer: its last pair gives null
+    piece = lambda k, b: F.when(k["begin"] == b, F.concat(F.lit("|"), quoted(k["n"]))).otherwise(F.concat(F.when(b == "", "").otherwise(")|"), group(k)))
+    rule = F.array_join(F.zip_with(keyed, before, piece), "")
+    return F.when(F.size(keyed) == 0, ANY).otherwise(F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])(?:"), rule, F.lit(r"))(?![\p{L}\p{N}])")))
 
 
 def _mentions(texts: DataFrame) -> DataFrame:
