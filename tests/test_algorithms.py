@@ -56,7 +56,24 @@ def test_costs_against_dijkstra(spark):
             cost[n] = c
             for m, w in around.get(n, []):
                 heapq.heappush(heap, (c + w, m))
-    assert {r.id: r.cost for r in A.path_costs(g.nodes, g.edges, "N00").collect()} == pytest.approx(cost)
+    for width in (None, 0.3, 100.0):
+        assert {r.id: r.cost for r in A.path_costs(g.nodes, g.edges, "N00", width).collect()} == pytest.approx(cost)
+    far = max(cost, key=lambda i: (cost[i], i))
+    path = sorted((r.step, r.id, r.cost) for r in A.shortest_path(g.nodes, g.edges, "n00", far.upper()).collect())
+    assert path[0][1:] == ("n00", 0.0) and path[-1][1] == far and path[-1][2] == pytest.approx(cost[far])
+    assert all(min(w for m, w in around[a] if m == b) == pytest.approx(d - c) for (_, a, c), (_, b, d) in zip(path, path[1:]))
+
+
+def test_costs_along_a_chain_move_the_frontier_only(spark, monkeypatch):
+    """Rounds are as many as buckets ask for, and none joins more than the nodes just met and what is known of them."""
+    n = 40
+    g = graph(spark, [(f"n{i:03d}", f"n{i + 1:03d}", 1 + i % 3) for i in range(n)])
+    written = []
+    cut = A.cut
+    monkeypatch.setattr(A, "cut", lambda df, label="cut": (lambda out: written.append((label, out.count())) or out)(cut(df, label)))
+    got = {r.id: r.cost for r in A.path_costs(g.nodes, g.edges, "n000").collect()}
+    assert len(got) == n + 1 and got["n003"] == pytest.approx(1 + 1 / 2 + 1 / 3)
+    assert all(k <= 4 for label, k in written if label == "met")
 
 
 def test_components_and_stats(spark):
@@ -145,3 +162,35 @@ def test_components_of_a_deep_chain_in_shuffled_order(spark):
     names = [f"n{i:04d}" for i in rng.sample(range(3000), 400)]
     g = graph(spark, list(zip(names, names[1:], [1] * 399)))
     assert {r.component for r in A.components(g.nodes, g.edges).collect()} == {min(names)}
+
+
+def one_by_one(ids, edges, rounds=50):
+    """Label propagation as a single process does it: by id, each node at once takes the tag that it asks for."""
+    around = {i: {} for i in ids}
+    for a, b, w in edges:
+        around[a][b] = around[a].get(b, 0) + w
+        around[b][a] = around[b].get(a, 0) + w
+    tag = {i: i for i in ids}
+    for _ in range(rounds):
+        moved = False
+        for i in sorted(ids):
+            votes = {}
+            for j, w in around[i].items():
+                votes[tag[j]] = votes.get(tag[j], 0) + w
+            if votes and (best := min(votes, key=lambda t: (-votes[t], t))) != tag[i]:
+                tag[i], moved = best, True
+        if not moved:
+            break
+    return tag
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ordered_communities_are_those_of_one_process(spark, seed):
+    rng = random.Random(seed)
+    ids = [f"n{i:02d}" for i in range(24)]
+    edges = list({(a, b): (a, b, rng.randrange(1, 4)) for a, b in (sorted(rng.sample(ids, 2)) for _ in range(30))}.values())
+    g = graph(spark, edges, ids)
+    assert {r.id: r.tag for r in C.visited(g.nodes, g.edges).collect()} == one_by_one(ids, edges)
+    level = {r.id: r.level for r in C.levels(C.undirected(g.edges), g.nodes).collect()}
+    assert len(level) == 24 and all(level[b] > level[a] for a, b, _ in edges)
+    assert C.label_propagation(g.nodes.limit(0), g.edges.limit(0), mode="ordered").count() == 0

@@ -86,3 +86,23 @@ def test_rebuilt(spark):
 def test_empty(spark):
     t = triples(spark, [("a", "b", "k")]).limit(0)
     assert normalised(t).count() == 0 and build_graph(t, communities="async").counts() == (0, 0)
+
+
+def test_a_run_without_its_list_of_pairs(spark, monkeypatch):
+    """Against the graph that lists them."""
+    from thicket.operators import algorithms, complete
+
+    monkeypatch.setattr(complete, "BLOCK", 3)
+    rows = [("d", "b", "k1"), ("a", "d", "k2"), ("D", "b", "k3"), ("e", "c", "k1"), ("f", "a", "k9"), ("f", "g", "k9"), ("h", "h", "k1")]
+    listed, g = build_graph(triples(spark, rows), proximity_scope="run", keep_chunks=False), complete.run_graph(triples(spark, rows))
+    pairs = {(r.source, r.target): (r.relation, r.weight) for r in listed.edges.collect()}
+    assert len(pairs) == 21 and {r.id: r.degree for r in complete.degrees(g).collect()} == {r.id: r.degree for r in listed.nodes.collect()}
+    got = complete.weights(g, listed.edges.select("source", "target")).collect()
+    assert {(r.source, r.target): (r.relation or PROXIMITY, r.weight) for r in got} == pairs
+    want = algorithms.basic_stats(listed.nodes, listed.edges).first().asDict() | {"n_components": 1}
+    assert complete.stats(g).first().asDict() == want and {r.component for r in complete.components(g).collect()} == {"a"}
+    value = lambda df: {r[0]: r[1] for r in df.collect()}
+    assert value(complete.pagerank(g)) == pytest.approx(value(algorithms.pagerank(listed.nodes, listed.edges)))
+    assert value(complete.path_costs(g, "B")) == pytest.approx(value(algorithms.path_costs(listed.nodes, listed.edges, "b"))) and complete.path_costs(g, "none").count() == 0
+    none = complete.run_graph(triples(spark, rows).limit(0))
+    assert complete.pagerank(none).count() == complete.degrees(none).count() == 0 and complete.stats(none).first().n_edges == 0

@@ -8,7 +8,7 @@ from thicket.cli import main
 from thicket.functions.persist import numbered
 from thicket.operators import sinks
 from thicket.operators.build import Graph, build_graph
-from thicket.operators.search import GraphSession, filter_labels, neighbours, reach, search, search_depth
+from thicket.operators.search import GraphSession, filter_labels, neighbours, reach, search, search_depth, search_depth_rows
 from thicket.operators.selection import ledger_stats, ledger_upsert, representative, unseen
 from thicket.operators.store import GraphStore, fetched, merged, stored
 from thicket.schema import EDGE, LEDGER, NODE, PROXIMITY
@@ -164,7 +164,39 @@ def test_search(spark):
     assert [r.concept for r in search(g, "", limit=2).collect()] == ["disk", "io"] and search(g, ".*").count() == 0
     deep = {r.concept: {x.edge for x in r.related} for r in search_depth(g, "rust", 2).collect()}
     assert deep == {"rust": {"uses", "does"}} and {x.edge for x in search_depth(g, "rust", 99).first().related} == {"uses", "does", "needs"}
-    assert {(r.node, r.hops) for r in reach(spark.createDataFrame([("io",)], "seed string"), g.edges, 1).collect()} == {("io", 0), ("disk", 1), ("tokio", 1)}
+    assert {(r.node, r.word, r.bits) for r in reach(spark.createDataFrame([("io", 0), ("x", 65)], "node string, seed long"), g.edges, 1).collect()} == {("io", 0, 1), ("disk", 0, 1), ("tokio", 0, 1), ("x", 1, 8), ("y", 1, 8)}
+
+
+def test_depth_search_against_plain_walks(spark):
+    """More seeds than a number has bits, cycles, nodes without edges and a term that every label holds."""
+    import random
+
+    rng = random.Random(3)
+    links = sorted({tuple(sorted(rng.sample([f"n{i:02d}" for i in range(60)], 2))) for _ in range(70)})
+    g = graph(spark, [(a, b, rng.choice("rs")) for a, b in links])
+    lone = spark.createDataFrame([("a lone n", "a lone n", None, 0, None, "default")], NODE)
+    g = Graph(g.nodes.unionByName(lone), g.edges)
+    edges = [(r.source, r.target, r.relation) for r in g.edges.collect()]
+    ids = sorted({x for e in edges for x in e[:2]})
+    for depth, limit, term in ((4, 20, "n"), (2, 70, "N"), (3, 5, "n1"), (1, 3, "")):
+        want = set()
+        for seed in [i for i in ids if term.lower() in i][:limit]:
+            near = {seed}
+            for _ in range(depth - 1):
+                near |= {x for a, b, _ in edges if a in near or b in near for x in (a, b)}
+            want |= {(seed, b, r) for a, b, r in edges if a in near or b in near}
+        got = [tuple(r) for r in search_depth_rows(g, term, depth, limit).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_only_the_seeds_that_are_shown_walk(spark, monkeypatch):
+    from thicket.operators import search as module
+
+    walked = []
+    monkeypatch.setattr(module, "reach", lambda seeds, edges, steps: walked.append(seeds.count()) or reach(seeds, edges, steps))
+    g = graph(spark, [(f"item {i:04d}", f"item {i + 1:04d}", "next") for i in range(300)])
+    rows = search_depth_rows(g, "item", 10)
+    assert walked == [20] and rows.select("concept").distinct().count() == 20 and rows.count() == sum(min(i + 10, 20) for i in range(20))
 
 
 def test_session_and_views(spark):

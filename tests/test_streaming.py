@@ -35,6 +35,27 @@ def test_windows_on_a_stream(spark, tmp_path):
     assert [(r.source, r.target) for r in spark.table("pairs").collect()] == [("a", "b")]
 
 
+def test_stream_and_table_count_alike(spark, tmp_path):
+    """Over several batches, with events that come late, but in time, and overlapping windows."""
+    import random
+
+    rng = random.Random(2)
+    minute = lambda m: f"2024-01-01 {m // 60:02d}:{m % 60:02d}:{rng.randrange(60):02d}"
+    for length, slide in (("1 hour", None), ("1 hour", "30 minutes")):
+        folder = str(tmp_path / f"e{slide}")
+        parts = [[(minute(max(0, 60 * k + rng.randrange(60) - (40 if rng.random() < 0.3 else 0))), rng.randrange(6), rng.choice("abc")) for _ in range(40)] for k in range(4)]
+        for rows in [*parts, [("2024-01-02 00:00:00", 1, "a")], [("2024-01-02 06:00:00", 1, "a")]]:
+            e = spark.createDataFrame(rows, "ts string, user_id long, event_type string").selectExpr("cast(ts as timestamp) ts", "user_id", "event_type")
+            e.coalesce(1).write.mode("append").parquet(folder)
+            name = f"alike_{slide or 'none'}".replace(" ", "_")
+            stream = windowed_cooccurrence(spark.readStream.schema(e.schema).parquet(folder), length, slide, late="2 hours")
+            q = stream.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"c{name}")).outputMode("append").trigger(availableNow=True).start()
+            q.awaitTermination()
+        table = windowed_cooccurrence(spark.read.parquet(folder), length, slide)
+        got = sorted(map(str, spark.read.parquet(str(tmp_path / name)).select("start", "source", "target", "n").collect()))
+        assert got == sorted(map(str, table.collect())) and len(got) > 10
+
+
 def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     from thicket.operators.build import build_graph
     from thicket.sources.relations import append_ledger, manual, read_ledger

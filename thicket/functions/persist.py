@@ -23,6 +23,12 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sent(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df (as cut() gives it: counting it is cheap) with a hint to send it to all tasks if it has so few rows; else as it
+    is, and Spark shuffles."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
     """df with name: 0, 1, 2, ... in the order given (which must tell all rows apart).
 

@@ -3,10 +3,12 @@ a round at most and plans stay short."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.functions.persist import cut
+from thicket.functions.persist import cut, sent
 from thicket.operators.build import Graph
 from thicket.operators.search import both_ways
 
@@ -70,37 +72,87 @@ def undirected(edges: DataFrame) -> DataFrame:
     return both_ways(pair.withColumn("relation", F.lit(""))).select("n", "m", F.col("weight").alias("w"))
 
 
-def path_costs(nodes: DataFrame, edges: DataFrame, start: str) -> DataFrame:
-    """ALG-03: (id, cost) of the nodes that start reaches; an edge costs 1 / max(weight, 0.001). start is found whatever
-    its case. Rounds of relaxing from the nodes that got cheaper, until none did."""
-    steps = cut(undirected(edges).select("n", "m", (1.0 / F.greatest("w", F.lit(0.001))).alias("c")), "steps")
-    costs = cut(nodes.where(F.lower("id") == start.lower()).select("id", F.lit(0.0).alias("cost"), F.lit(True).alias("new")), "costs")
-    while costs.where("new").limit(1).count():
-        found = costs.where("new").join(steps, F.col("id") == F.col("n")).groupBy(F.col("m").alias("id")).agg(F.min(F.col("cost") + F.col("c")).alias("now"))
-        both = costs.join(found, "id", "full_outer")
-        costs = cut(both.select("id", F.least("cost", "now").alias("cost"), F.coalesce(F.col("now") < F.col("cost"), F.col("cost").isNull()).alias("new")), "costs")
-    return costs.select("id", "cost")
+#: Logs of costs are put together when there are so many.
+MOST_LOGS = 12
 
 
-def shortest_path(nodes: DataFrame, edges: DataFrame, start: str, end: str) -> DataFrame:
-    """ALG-03: (step int, id, cost): the cheapest path from start to end; no rows if there is none. Of equally cheap
-    predecessors the one nearer to the start goes, then the one that sorts first."""
-    costs = path_costs(nodes, edges, start)
-    steps = undirected(edges).select("n", "m", (1.0 / F.greatest("w", F.lit(0.001))).alias("c"))
-    back = costs.join(steps, F.col("id") == F.col("n")).select("m", F.col("id").alias("before"), F.col("cost").alias("before_cost"), "c")
-    back = back.join(costs, F.col("m") == F.col("id")).where((F.abs(F.col("before_cost") + F.col("c") - F.col("cost")) < 1e-6) & (F.col("before_cost") < F.col("cost")))
-    back = cut(back.groupBy(F.col("m").alias("at")).agg(F.min_by("before", F.struct("before_cost", "before")).alias("before")), "back")
-    here = costs.where(F.lower("id") == end.lower()).select("id", "cost", F.lit(0).alias("back"))
-    path = cut(here, "path")
-    hop = 0
+def _steps(edges: DataFrame) -> DataFrame:
+    """(n, m, c): both ways, what it costs to go from n to m: 1 / max(weight, 0.001)."""
+    return undirected(edges).select("n", "m", (1.0 / F.greatest("w", F.lit(0.001))).alias("c"))
+
+
+def path_costs(nodes: DataFrame, edges: DataFrame, start: str, width: float | None = None, until: str | None = None, steps: DataFrame | None = None) -> DataFrame:
+    """ALG-03: (id, cost) of the nodes that start reaches. start is found whatever its case; of until, too, if it is given:
+    then the walk ends when its cost is settled, and dearer nodes may be missing or too dear. steps is _steps(edges), where
+    that is at hand.
+
+    Costs are settled in buckets of this width (by default twice the mean cost of a step): nodes of the bucket at hand are
+    relaxed until it gets no new ones, the others wait. A round moves the nodes that got cheaper and their neighbours; what
+    is known is a log of costs, of which only the rows of nodes just met are looked up.
+    """
+    steps = cut(_steps(edges), "steps") if steps is None else steps
+    if width is None:
+        width = 2 * (steps.agg(F.avg("c")).first()[0] or 1.0)
+    first = cut(nodes.where(F.lower("id") == start.lower()).select("id", F.lit(0.0).alias("cost")), "costs")
+    log, waiting, end = [first], [], width
+    frontier = first
+    goal = until.lower() if until is not None else None
+
+    def known(rows: DataFrame) -> DataFrame:
+        """(id, known): the least costs so far of the nodes in rows."""
+        return reduce(DataFrame.unionByName, log).join(sent(rows.select("id")), "id", "left_semi").groupBy("id").agg(F.min("cost").alias("known"))
+
     while True:
-        last = path.where(F.col("back") == hop)
-        new = last.join(back, F.col("id") == F.col("at")).select(F.col("before").alias("id")).join(costs, "id").select("id", "cost", F.lit(hop + 1).alias("back"))
-        grown = cut(path.unionByName(new), "path")
-        if grown.count() == path.count():
+        while frontier is not None:
+            met = sent(frontier).join(steps, F.col("id") == F.col("n")).groupBy(F.col("m").alias("id")).agg(F.min(F.col("cost") + F.col("c")).alias("cost"))
+            met = cut(met, "met")
+            cheaper = cut(met.join(known(met), "id", "left").where("known IS NULL OR cost < known").select("id", "cost"), "costs")
+            near, far = cheaper.agg(F.count_if(F.col("cost") < end), F.count_if(F.col("cost") >= end)).first()
+            if near or far:
+                log.append(cheaper)
+            if far:
+                waiting.append(cheaper.where(F.col("cost") >= end))
+            frontier = cheaper.where(F.col("cost") < end) if near else None
+            if len(log) >= MOST_LOGS:
+                log = [cut(reduce(DataFrame.unionByName, log).groupBy("id").agg(F.min("cost").alias("cost")), "costs")]
+        if goal is not None and reduce(DataFrame.unionByName, log).where(F.lower("id") == goal).where(F.col("cost") < end).limit(1).count():
             break
-        path, hop = grown, hop + 1
-    return path.select((F.lit(hop) - F.col("back")).cast("int").alias("step"), "id", "cost")
+        while waiting and frontier is None:  # the next bucket that has a node whose cost still holds
+            late = reduce(DataFrame.unionByName, waiting).where(F.col("cost") >= end)
+            least = late.agg(F.min("cost")).first()[0]
+            if least is None:
+                waiting = []
+                break
+            end = (least // width + 1) * width
+            end = end if end > least else end + width
+            late = cut(late, "late")
+            ready = cut(late.where(F.col("cost") < end), "ready")
+            ready = cut(ready.join(known(ready), "id").where("cost = known").select("id", "cost").distinct(), "ready")
+            waiting = [late.where(F.col("cost") >= end)]
+            frontier = ready if ready.limit(1).count() else None
+        if frontier is None:
+            break
+    return reduce(DataFrame.unionByName, log).groupBy("id").agg(F.min("cost").alias("cost"))
+
+
+def shortest_path(nodes: DataFrame, edges: DataFrame, start: str, end: str) -> DataFrame:
+    """ALG-03: (step int, id, cost): the cheapest path from start to end; no rows if there is none. Of equally cheap
+    predecessors the one nearer to the start goes, then the one that sorts first.
+
+    The way back looks at one node's neighbours at a time; what comes to the driver is the path.
+    """
+    spark = nodes.sparkSession
+    steps = cut(_steps(edges), "steps")
+    costs = cut(path_costs(nodes, edges, start, until=end, steps=steps), "costs")
+    here = costs.where(F.lower("id") == end.lower()).orderBy("id").first()
+    path = [here] if here else []
+    while here and here["cost"] > 0:
+        before = steps.where(F.col("m") == here["id"]).select(F.col("n").alias("id"), "c").join(costs, "id")
+        before = before.where((F.abs(F.col("cost") + F.col("c") - here["cost"]) < 1e-6) & (F.col("cost") < here["cost"]))
+        here = before.select("id", "cost").orderBy("cost", "id").first()
+        path.append(here)
+    rows = [(i, r["id"], r["cost"]) for i, r in enumerate(reversed([r for r in path if r]))]
+    return spark.createDataFrame(rows, "step int, id string, cost double")
 
 
 def annotated(path: DataFrame, edges: DataFrame) -> DataFrame:

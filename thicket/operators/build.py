@@ -129,7 +129,8 @@ def degrees(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
 
 def build_graph(triples: DataFrame, tenant: str = DEFAULT_TENANT, isolated: DataFrame | None = None, proximity: bool = True, proximity_scope: str = "chunk", communities: str | None = None, keep_chunks: bool = True, max_nodes_per_chunk: int | None = None) -> Graph:
     """BLD-10 to BLD-12: a graph of triples. proximity_scope 'run' takes all triples as of one chunk; communities is
-    'sync' or 'async' (ALG-05), or None for none."""
+    'sync', 'async' or 'ordered' (ALG-05), or None for none. Scope 'run' lists every pair of nodes; complete.run_graph() is
+    the same graph without the list."""
     rows = normalised(triples)
     if proximity_scope == "run":
         rows = rows.withColumn("chunk_id", F.lit("document"))

@@ -9,10 +9,12 @@ task: votes are added up before they are shuffled.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.functions.persist import cut, numbered
+from thicket.functions.persist import cut, numbered, sent
 from thicket.operators.algorithms import undirected
 
 ROUNDS = 50
@@ -61,10 +63,61 @@ def settled(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFra
     return tags
 
 
+def levels(steps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, level): 0 for nodes without a neighbour before them by id, else one more than the greatest level of those. Of
+    two neighbours the one that comes first has the lower level, so the nodes of a level are no neighbours."""
+    before = cut(steps.where("m < n").select("n", "m"), "before")
+    found = cut(nodes.select("id").join(before.select(F.col("n").alias("id")).distinct(), "id", "left_anti").withColumn("level", F.lit(0)), "level")
+    done, level = [found], 0
+    waits = cut(before.groupBy("n").agg(F.count(F.lit(1)).alias("open")), "waits")
+    while waits.limit(1).count():
+        # A node is of the next level once all nodes before it have one.
+        less = before.join(sent(found.select(F.col("id").alias("m"))), "m", "left_semi").groupBy("n").agg(F.count(F.lit(1)).alias("less"))
+        waits = cut(waits.join(less, "n", "left").select("n", (F.col("open") - F.coalesce("less", F.lit(0))).alias("open")), "waits")
+        level += 1
+        found = cut(waits.where("open = 0").select(F.col("n").alias("id"), F.lit(level).alias("level")), "level")
+        waits = waits.where("open > 0")
+        done.append(found)
+    return reduce(DataFrame.unionByName, done)
+
+
+def visited(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(id, tag): what visiting the nodes one after the other by id gives, where each at once takes the tag that it asks
+    for; ends when a round changes none.
+
+    Nodes of one level (levels()) are no neighbours, so they can be visited at once, after all lower levels. A round is as
+    many steps as there are levels, and a step moves the votes for its level's nodes only. Tags are a log: a node's last
+    row holds.
+    """
+    steps = cut(undirected(edges), "steps")
+    own = cut(levels(steps, nodes), "levels")
+    votes = cut(steps.join(own.withColumnRenamed("id", "n"), "n"), "votes")
+    tags, last = cut(nodes.select("id", F.col("id").alias("tag")), "tags"), own.agg(F.max("level")).first()[0] or 0
+    for _ in range(rounds):
+        moves, stirred = [], False
+        for level in range(last + 1):
+            mine = votes.where(F.col("level") == level).drop("level")
+            known = tags
+            for m in moves:  # tags taken in this round
+                known = known.join(sent(m.select("id", F.col("tag").alias("taken"))), "id", "left").select("id", F.coalesce("taken", "tag").alias("tag"))
+            best = _best(mine, known).withColumnsRenamed({"n": "id", "best": "tag"})
+            moved = cut(best.join(known.withColumnRenamed("tag", "old"), "id").where("tag <> old").select("id", "tag"), "moved")
+            if moved.limit(1).count():
+                moves.append(moved)
+            if moves and (len(moves) >= 8 or level == last):
+                for m in moves:
+                    tags = tags.join(sent(m.select("id", F.col("tag").alias("taken"))), "id", "left").select("id", F.coalesce("taken", "tag").alias("tag"))
+                tags, stirred, moves = cut(tags, "tags"), True, []
+        if not stirred:
+            break
+    return tags
+
+
 def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, mode: str = "async") -> DataFrame:
     """ALG-05: (id, community): numbers from 0 in order of first appearance among the ids in order. mode: 'async'
-    (settled) or 'sync' (propagated). Isolated nodes keep their own tag."""
-    tags = cut((propagated if mode == "sync" else settled)(nodes, edges, rounds), "tags")
+    (settled), 'sync' (propagated) or 'ordered' (visited: as a single process that goes by id). Isolated nodes keep their
+    own tag."""
+    tags = cut({"sync": propagated, "ordered": visited, "async": settled}[mode](nodes, edges, rounds), "tags")
     ids = numbered(tags.groupBy("tag").agg(F.min("id").alias("first")), "community", "first").select("tag", "community")
     return tags.join(ids, "tag").select("id", "community")
 

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from thicket.functions import chunking, text
 from thicket.functions.persist import cut, shared_dir
-from thicket.operators import algorithms, communities, selection, sinks, store
+from thicket.operators import algorithms, communities, complete, selection, sinks, store
 from thicket.operators.answers import first_array, parse_answers, without_fence
 from thicket.operators.build import Graph, build_graph, degrees, edge_chunks, edges, incidence, nodes, normalised, rebuilt, shared_chunks
 from thicket.operators.extract import extract
-from thicket.operators.search import GraphSession, filter_labels, neighbours, search, search_depth
+from thicket.operators.search import GraphSession, filter_labels, neighbours, search, search_depth, search_depth_rows
 from thicket.plans import relations
 from thicket.plans.relations import table
 from thicket.schema import PROXIMITY
@@ -215,6 +215,60 @@ def kg_component_sizes(spark, sf_dir):
     return algorithms.components(g.nodes, g.edges).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
 
 
+def _chain_graph(spark, sf_dir) -> Graph:
+    """_order_chains(), with labels and relations, each step weighing the quarter of the order's number (0 to 3) and 1."""
+    g = _order_chains(spark, sf_dir)
+    weight = (F.substr("target", F.lit(7)).cast("long") % 4 + 1).cast("double")
+    return Graph(g.nodes.withColumn("label", F.col("id")), g.edges.withColumn("relation", F.lit("then")).withColumn("weight", weight))
+
+
+_LINKS = f"""c AS ({_CHAIN}), e AS (SELECT * FROM (SELECT lag(id) OVER (PARTITION BY o_custkey ORDER BY id) AS source, id AS target FROM c) WHERE source IS NOT NULL),
+w AS (SELECT source AS n, target AS m, target FROM e UNION ALL SELECT target, source, target FROM e)"""
+
+
+@query(f"""WITH RECURSIVE {_LINKS}, s AS (SELECT DISTINCT n AS seed FROM w ORDER BY n LIMIT 20), r(seed, id, h) AS (SELECT seed, seed, 0 FROM s UNION SELECT seed, w.m, h + 1 FROM r JOIN w ON r.id = w.n WHERE h < 9)
+SELECT DISTINCT seed AS concept, w.target AS related, 'then' AS edge FROM r JOIN w ON r.id = w.n""")
+def kg_search_common_term(spark, sf_dir):
+    """Ten steps deep, by a term that every label holds: only the first twenty concepts walk."""
+    return search_depth_rows(_chain_graph(spark, sf_dir), "order", 10)
+
+
+@query(f"""WITH RECURSIVE {_LINKS}, first AS (SELECT o_custkey FROM c GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+p AS (SELECT id, sum(CASE WHEN i = 0 THEN 0 ELSE 1.0 / (CAST(substr(id, 7) AS BIGINT) % 4 + 1) END) OVER (ORDER BY id) AS cost
+      FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM c WHERE o_custkey = (SELECT o_custkey FROM first)))
+SELECT id, round(cost, 9) AS cost FROM p""")
+def kg_sssp_chain(spark, sf_dir):
+    """Along the longest chain, from its first order."""
+    g = _chain_graph(spark, sf_dir)
+    orders = table(spark, sf_dir, "orders")
+    most = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first")).orderBy(F.desc("n"), "o_custkey").first()
+    return algorithms.path_costs(g.nodes, g.edges, f"order {most['first']:012d}").select("id", F.round("cost", 9).alias("cost"))
+
+
+_RUN = f"""t AS (SELECT DISTINCT {_KEY.format('s_name')} AS a, {_KEY.format('n_name')} AS b FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+v AS (SELECT a AS id FROM t UNION SELECT b FROM t), e AS (SELECT x.id AS source, y.id AS target FROM v x JOIN v y ON x.id < y.id)"""
+
+
+def _run_graph(spark, sf_dir) -> complete.CompleteGraph:
+    """Suppliers and nations as of one run: all are near to all."""
+    return complete.run_graph(relations.geo_triples(spark, sf_dir).where("node_1_type = 'supplier'"))
+
+
+@query(f"WITH {_RUN} SELECT id, count(*) AS degree FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY 1")
+def kg_run_degree(spark, sf_dir):
+    return complete.degrees(_run_graph(spark, sf_dir))
+
+
+@query(f"WITH {_RUN}, k AS (SELECT (SELECT count(*) FROM v) AS n, (SELECT count(*) FROM e) AS m) SELECT n AS n_nodes, m AS n_edges, m / (n * (n - 1)) AS density, 2 * m / n AS avg_degree, n - 1 AS max_degree, 1::BIGINT AS n_components FROM k")
+def kg_run_stats(spark, sf_dir):
+    return complete.stats(_run_graph(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_RUN}{_RANK} SELECT id, round(r, 9) AS rank FROM pr WHERE i = 30")
+def kg_run_pagerank(spark, sf_dir):
+    return complete.pagerank(_run_graph(spark, sf_dir)).select("id", F.round("rank", 9).alias("rank"))
+
+
 _COSTS = f"WITH RECURSIVE {_GEO}, r(i, id, c) AS (SELECT 0, id, 0.0::DOUBLE FROM v WHERE id = 'africa' UNION ALL SELECT i + 1, m, min(c) FROM (SELECT i, w.m, r.c + 1 / greatest(w.weight, 0.001) AS c FROM r JOIN w ON r.id = w.n UNION ALL SELECT i, id, c FROM r) WHERE i < 8 GROUP BY i, m)"
 
 

@@ -49,15 +49,19 @@ def documents_to_graph(docs: DataFrame, store: GraphStore, ledger_path: str, che
 def windowed_cooccurrence(events: DataFrame, length: str = "1 hour", slide: str | None = None, late: str | None = None) -> DataFrame:
     """(start, source, target, n): how often two event types occurred for one user in one window, source < target.
 
-    Works on a table or, with late (how long to wait for late events), on a stream. Types, not events, are paired: the
-    types of a user's window are few.
+    Works on a table or, with late (how long to wait for late events), on a stream in append mode: a window's counts come
+    once it is closed, and are those that the table gives. Types, not events, are paired: the types of a user's window are
+    few.
     """
     rows = events.withWatermark("ts", late) if late else events
     per_user = rows.groupBy(F.window("ts", length, slide).alias("w"), "user_id").agg(F.array_sort(F.collect_set("event_type")).alias("types"))
     each = F.transform("types", lambda a: F.transform("types", lambda b: F.struct(a.alias("source"), b.alias("target"))))
     pairs = F.filter(F.flatten(each), lambda p: p["source"] < p["target"])
-    rows = per_user.select(F.col("w.start").alias("start"), F.explode(pairs).alias("p")).select("start", "p.source", "p.target")
-    return rows if late else rows.groupBy("start", "source", "target").agg(F.count(F.lit(1)).alias("n"))
+    # On a stream the second aggregate needs an event time of its own: the moment at which a user's window ends.
+    ended = [F.window(F.window_time("w"), slide or length).alias("ended")] if late else []
+    rows = per_user.select(F.col("w.start").alias("start"), *ended, F.explode(pairs).alias("p"))
+    keys = ["start", F.col("p.source").alias("source"), F.col("p.target").alias("target")]
+    return rows.groupBy(*(["ended"] if late else []), *keys).agg(F.count(F.lit(1)).alias("n")).select("start", "source", "target", "n")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
