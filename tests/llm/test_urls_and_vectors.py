@@ -146,3 +146,21 @@ def test_calls_are_bounded(spark, monkeypatch):
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, slice int, block int")
     got, want = found(ann.neighbours(df, df.where("vec_id % 10 = 0"), share=1.0)), brute(rows, range(0, 500, 10))
     assert {q: [i for i, _ in g] for q, g in got.items()} == {q: [i for i, _ in w] for q, w in want.items()}
+
+
+def test_share_is_measured_on_clustered_vectors(spark):
+    """20,000 vectors in 400 clusters: a small share finds nine tenths of the neighbours and more."""
+    from thicket.llm import ann
+
+    rng = np.random.default_rng(5)
+    x = (rng.normal(0, 1, (400, 16))[rng.integers(0, 400, 20_000)] + rng.normal(0, 0.1, (20_000, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(8)
+    seen = []
+    real = ann.measured_share
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(ann, "LEAST", 100)
+        m.setattr(ann, "measured_share", lambda *a: seen.append(real(*a)) or seen[-1])
+        got = {(r.query_id, r.vec_id) for r in neighbours(df, df.where("vec_id % 100 = 0")).collect()}
+    wide = x.astype(float)
+    want = {(q, int(j)) for q in range(0, 20_000, 100) for j in [i for i in np.argsort(((wide - wide[q]) ** 2).sum(axis=1), kind="stable")[:11] if i != q][:10]}
+    assert seen[0] < 0.2 and len(got) == len(want) == 2000 and len(got & want) / len(want) >= 0.9

@@ -13,6 +13,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +21,9 @@ from thicket.llm._shared import staged
 
 #: Rows that the codebooks are fitted on at most (about; drawn by a hash of the id), rounds of fitting, centroids a half.
 SAMPLE_ROWS, ROUNDS, CENTROIDS = 20_000, 12, 64
-#: The share of the vectors whose cells a query visits, and how many it visits at least. Vectors without clusters need
-#: a large share (README has recall figures).
-SHARE, LEAST = 0.5, 2000
+#: The share of the vectors whose cells a query visits is measured: the one that finds RECALL of the nearest neighbours of
+#: TRIALS queries, or what is given. Vectors without clusters need a large one. Queries visit LEAST vectors at least.
+RECALL, TRIALS, LEAST = 0.97, 128, 2000
 #: A ranking call holds about BLOCK_ROWS vectors (up to twice as many) and QUERY_ROWS queries, whatever the tables' sizes.
 BLOCK_ROWS, QUERY_ROWS = 4096, 2048
 
@@ -70,6 +71,48 @@ def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, enough: int)
     return out
 
 
+def reached(first: np.ndarray, second: np.ndarray, counts: np.ndarray, cells: list[int]) -> list[int]:
+    """How many vectors a walk has met when it has met each of these cells."""
+    held = np.cumsum(counts[(order := np.array(walk(first, second, counts, int(counts.sum()))))])
+    at = {int(c): int(n) for c, n in zip(order, held)}
+    return [at[c] for c in cells]
+
+
+def measured_share(index: DataFrame, trials: DataFrame, books: list[np.ndarray], counts: np.ndarray, k: int, recall: float = RECALL) -> float:
+    """The least share of the vectors of index (v, ids, cell) with which this much of the k nearest neighbours of trials
+    (query_id, v: TRIALS rows at most) is found. All vectors are looked at, for these few queries; each task sends back the
+    k nearest of each query that it has."""
+    asked = trials.collect()
+    if not asked:
+        return 1.0
+    half, size = books[0].shape[1], len(asked[0]["v"])
+    ids, q = np.array([r["query_id"] for r in asked]), np.array([r["v"] for r in asked], float)
+    sent = index.sparkSession.sparkContext.broadcast((ids, q))
+
+    def near(batches):
+        own, x = sent.value
+        best: list[list[tuple]] = [[] for _ in own]
+        for b in batches:
+            v, cell, first = _matrix(pa.chunked_array([b.column(0)]), size), b.column(1).to_numpy(), b.column(2).to_pylist()
+            for at in range(0, len(v), 2048):
+                part = v[at : at + 2048]
+                far = (x**2).sum(axis=1)[:, None] - 2 * x @ part.T + (part**2).sum(axis=1)
+                for i in range(len(own)):
+                    for j in np.argpartition(far[i], min(k, len(part) - 1))[: k + 1].tolist():
+                        best[i] += [(float(far[i, j]), int(cell[at + j])) for d in first[at + j] if d != own[i]]
+                    best[i] = heapq.nsmallest(k, best[i])
+        rows = [(i, f, c) for i, found in enumerate(best) for f, c in found]
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int32(), pa.float64(), pa.int32()))], ["i", "far", "cell"])
+
+    found = index.select("v", "cell", "ids").mapInArrow(near, "i int, far double, cell int")
+    found = found.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("far", "cell"))).where(F.col("r") <= k).collect()
+    held: dict[int, list[int]] = {}
+    for r in found:
+        held.setdefault(r["i"], []).append(r["cell"])
+    needs = sorted(n for i, cells in held.items() for n in reached(((books[0] - q[i, :half]) ** 2).sum(axis=1), ((books[1] - q[i, half:]) ** 2).sum(axis=1), counts, cells))
+    return needs[min(len(needs) - 1, math.ceil(recall * len(needs)) - 1)] / counts.sum() if needs else 1.0
+
+
 def usable(vectors: DataFrame, id_col: str, vec_col: str, size: int | None = None) -> DataFrame:
     """(vec_id, v): ids and vectors that take part: not null, not empty, not zero, all components finite, of size
     components (None: as many as most vectors have, fewer on a tie). Repeated rows count once."""
@@ -88,9 +131,10 @@ def _matrix(column, size: int) -> np.ndarray:
     return np.asarray(column.combine_chunks().flatten(), float).reshape(-1, size)
 
 
-def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", share: float = SHARE, centroids: int = CENTROIDS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", share: float | None = None, centroids: int = CENTROIDS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(query_id, rank int, vec_id, score double): for each query its k nearest among the vectors of the cells it visits,
-    by Euclidean distance in double precision, its own id left out; ties go to the smaller id.
+    by Euclidean distance in double precision, its own id left out; ties go to the smaller id. share is that of the
+    vectors that a query visits (1: exact); by default it is measured on some of the queries.
 
     queries has rows of vectors' columns. Vectors that are null, zero, or hold null or non-finite components take no
     part, as queries or candidates; nor do those of another length than most of vectors have. Where many ids share one
@@ -124,7 +168,12 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
     counts = np.zeros(len(books[0]) * width, np.int64)
     for r in index.groupBy("cell").count().collect():  # at most as many as there are cells
         counts[r["cell"]] = r["count"]
-    enough = max(math.ceil(share * counts.sum()), LEAST)
+    asked = staged(usable(queries, id_col, vec_col, size).select(F.col("vec_id").alias("query_id"), "v"), "queries")
+    n_asked = asked.count()
+    if share is None and counts.sum() > LEAST:
+        trials = asked.where(F.pmod(F.xxhash64("query_id", "v"), F.lit(1_000_000)) < math.ceil(2e6 * TRIALS / max(1, n_asked))).orderBy(F.xxhash64("query_id", "v")).limit(TRIALS)
+        share = measured_share(index, trials, books, counts, k)
+    enough = max(math.ceil((share or 1) * counts.sum()), LEAST)
     blocks = max(1, math.ceil(counts.sum() / BLOCK_ROWS))
     block_of = np.searchsorted(np.cumsum(counts), np.arange(1, blocks) * (counts.sum() / blocks), "left")
 
@@ -151,8 +200,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
     def parts(block: pd.Series) -> pd.Series:
         return pd.Series([list(range(subs[b])) for b in block])
 
-    asked = staged(usable(queries, id_col, vec_col, size).select(F.col("vec_id").alias("query_id"), "v"), "queries")
-    slices = max(1, math.ceil(asked.count() / QUERY_ROWS))
+    slices = max(1, math.ceil(n_asked / QUERY_ROWS))
     # Vectors in blocks against queries in slices; a query goes to the blocks that it visits only.
     left = index.withColumn("at", dealt("cell", F.pmod(F.xxhash64("v"), F.lit(1 << 20))))
     left = left.select("at.block", "at.sub", "cell", "v", "ids", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
