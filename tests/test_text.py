@@ -101,3 +101,13 @@ def test_pdf():
     assert pdf_to_text(b"%PDF-1.4\n1 0 obj<<>>stream\n" + body + b"\nendstream") == "Hello (you)\nNext"
     with pytest.raises(ValueError):
         pdf_to_text(b"no")
+
+
+def test_windows_of_characters(spark):
+    from thicket.functions.chunking import char_windows, windows
+
+    texts = ["", None, "a", "é" * 10, "abcdefghij" * 7, "x" * 20]
+    docs = spark.createDataFrame(list(enumerate(texts)), "source int, text string")
+    for size, overlap in ((10, 3), (10, 0), (1, 5), (7, 20), (100, 10)):
+        got = sorted((r.source, r.chunk_index, r.text) for r in char_windows(docs, size, overlap).collect())
+        assert got == [(s, i, w) for s, t in enumerate(texts) for i, w in enumerate(windows(t or "", size, overlap))]

@@ -150,6 +150,14 @@ def token_chunks(docs: DataFrame, target: int, overlap: int | None = None, sourc
     ).select("source", "_piece.*")
 
 
+def char_windows(docs: DataFrame, size: int, overlap: int, source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """TXT-06: (source, chunk_index, text): windows() of each document's text, whatever is in it."""
+    step = max(1, size - max(0, min(overlap, size - 1)))
+    n = F.char_length(text_col)
+    rows = docs.where(n > 0).select(F.col(source_col).alias("source"), F.col(text_col).alias("_text"), F.explode(F.sequence(F.lit(0), F.ceil(F.greatest(n - size, F.lit(0)) / step).cast("int"))).alias("chunk_index"))
+    return rows.select("source", "chunk_index", F.substr("_text", F.col("chunk_index") * step + 1, F.lit(size)).alias("text"))
+
+
 def chunk_id(source: Column | str, index: Column | str) -> Column:
     return F.sha2(F.concat_ws("#", source, F.col(index).cast("string") if isinstance(index, str) else index.cast("string")), 256)
 

@@ -540,6 +540,24 @@ def kg_type_facet(spark, sf_dir):
     return sinks.type_facet(orders_graph(spark, sf_dir).nodes)
 
 
+_JSON_NODE = """'{"id":"' || id || '","label":"' || id || '","degree":' || degree || ',"entity_type":"' || entity_type || '","tenant":"default"}'"""
+_JSON_EDGE = """'{"source":"' || source || '","target":"' || target || '","relation":"' || relation || '","weight":' || """ + _NUM.format("weight") + """ || '.0}'"""
+
+
+@query(_SMALL + f""", j AS (SELECT 1 AS part, id AS a, 'default' AS b, '' AS c, {_JSON_NODE} AS line FROM sv UNION ALL SELECT 3, source, target, relation, {_JSON_EDGE} FROM e),
+f AS (VALUES (0, '', '', '', '{{"nodes": ['), (2, '', '', '', '], "edges": ['), (4, '', '', '', ']}}'))
+SELECT part, a, b, c, CASE WHEN row_number() OVER (PARTITION BY part ORDER BY a, b, c) = 1 THEN '' ELSE ',' END || line AS line FROM j UNION ALL SELECT * FROM f""")
+def kg_export_json(spark, sf_dir):
+    return sinks.json_document(orders_graph(spark, sf_dir))
+
+
+@query(f"""WITH {_GRAPH} SELECT '{{"id":"' || id || '","degree":' || degree || '}}' AS json FROM d""")
+def kg_rows_as_json(spark, sf_dir):
+    """A query's rows as JSON text."""
+    session = GraphSession(spark, orders_graph(spark, sf_dir))
+    return session.json(session.sql("SELECT id, degree FROM {nodes}"))
+
+
 # --- answers --------------------------------------------------------------------------------------------------------
 
 _PARSED = """SELECT l_orderkey AS "order", lower(c_name) AS node_1, lower(p_brand) AS node_2, o_orderpriority AS edge, count(*) AS n
@@ -820,3 +838,9 @@ expl AS (SELECT source, target, count(*) AS triples, arg_min(edge, seq) AS relat
 SELECT coalesce(expl.source, near.source) AS source, coalesce(expl.target, near.target) AS target, coalesce(relation, '""" + PROXIMITY + """') AS relation, CAST(4.0 * coalesce(triples, 0) + coalesce(shared, 0) AS DOUBLE) AS weight FROM expl FULL JOIN near ON expl.source = near.source AND expl.target = near.target""")
 def events_triples_graph(spark, sf_dir):
     return build_graph(relations.events_triples(spark, sf_dir), keep_chunks=False).edges.select("source", "target", "relation", "weight")
+
+
+@query("""SELECT doc_id AS source, CAST(i AS INTEGER) AS chunk_index, substr(text, i * 450 + 1, 500) AS text
+FROM documents, unnest(range(0, CAST(ceil(greatest(length(text) - 500, 0) / 450) AS BIGINT) + 1)) AS t(i) WHERE length(text) > 0""")
+def docs_char_windows(spark, sf_dir):
+    return chunking.char_windows(table(spark, sf_dir, "documents"), 500, 50, "doc_id")
