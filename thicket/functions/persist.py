@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -23,6 +23,13 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_and_told(df: DataFrame, label: str, *aggregates: Column) -> tuple[DataFrame, dict]:
+    """cut(), and these named aggregates over df's rows, taken in the same job as they are written."""
+    told = Observation()
+    out = cut(df.observe(told, *aggregates), label)
+    return out, told.get
+
+
 def sent(df: DataFrame, most: int = 100_000) -> DataFrame:
     """df (as cut() gives it: counting it is cheap) with a hint to send it to all tasks if it has so few rows; else as it
     is, and Spark shuffles."""

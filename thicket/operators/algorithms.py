@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.functions.persist import cut, sent
+from thicket.functions.persist import cut, cut_and_told, sent
 from thicket.operators.build import Graph
 from thicket.operators.search import both_ways
 
@@ -32,14 +32,16 @@ def pagerank(nodes: DataFrame | None, edges: DataFrame, damping: float = 0.85, i
     tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = pairs.repartition(tasks, "source").persist()
     ranks = ranks.select("id", F.lit(1.0 / n).alias("rank"), "out")
-    lost = ranks.where("out is null").agg(F.sum("rank")).first()[0] or 0.0
+    # What nodes without outgoing edges hold; of each round it is summed as the ranks are written.
+    held = F.sum(F.when(F.col("out").isNull(), F.col("rank"))).alias("lost")
+    lost = ranks.agg(held).first()[0] or 0.0
     for _ in range(iterations):
         given = ranks.where("out is not null").select(F.col("id").alias("source"), (F.col("rank") / F.col("out")).alias("share")).join(links, "source")
         both = given.select(F.col("target").alias("id"), "share").unionByName(ranks.select("id", "out"), allowMissingColumns=True)
         got = both.groupBy("id").agg(F.sum("share").alias("share"), F.max("out").alias("out"))
         ranks = got.select("id", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("share", F.lit(0.0))).alias("rank"), "out")
-        ranks = cut(ranks, "ranks")
-        lost = ranks.where("out is null").agg(F.sum("rank")).first()[0] or 0.0
+        ranks, told = cut_and_told(ranks, "ranks", held)
+        lost = told["lost"] or 0.0
     links.unpersist()
     return ranks.select("id", "rank")
 
@@ -49,17 +51,15 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Rounds of large-star and small-star: each hangs neighbours on the smallest one known, until only stars are left.
     """
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    e = cut(edges.where("source <> target").select(F.greatest("source", "target").alias("u"), F.least("source", "target").alias("v")).distinct(), "stars")
-    seen = state(e)
-    while seen[0]:
+    # A digest of the stars, taken as they are written, tells whether a round changed anything.
+    state = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("digest")
+    e, seen = cut_and_told(edges.where("source <> target").select(F.greatest("source", "target").alias("u"), F.least("source", "target").alias("v")).distinct(), "stars", *state)
+    while seen["n"]:
         least = e.union(e.select("v", "u")).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = e.union(e.select("v", "u")).where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        e = cut(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), "stars")
-        if (now := state(e)) == seen:
+        e, now = cut_and_told(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), "stars", *state)
+        if now == seen:
             break
         seen = now
     up = e.groupBy("u").agg(F.min("v").alias("v"))
@@ -106,8 +106,9 @@ def path_costs(nodes: DataFrame, edges: DataFrame, start: str, width: float | No
         while frontier is not None:
             met = sent(frontier).join(steps, F.col("id") == F.col("n")).groupBy(F.col("m").alias("id")).agg(F.min(F.col("cost") + F.col("c")).alias("cost"))
             met = cut(met, "met")
-            cheaper = cut(met.join(known(met), "id", "left").where("known IS NULL OR cost < known").select("id", "cost"), "costs")
-            near, far = cheaper.agg(F.count_if(F.col("cost") < end), F.count_if(F.col("cost") >= end)).first()
+            cheaper = met.join(known(met), "id", "left").where("known IS NULL OR cost < known").select("id", "cost")
+            cheaper, told = cut_and_told(cheaper, "costs", F.count_if(F.col("cost") < end).alias("near"), F.count_if(F.col("cost") >= end).alias("far"))
+            near, far = told["near"], told["far"]
             if near or far:
                 log.append(cheaper)
             if far:

@@ -14,14 +14,15 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.functions.persist import cut, numbered, sent
+from thicket.functions.persist import cut, cut_and_told, numbered, sent
 from thicket.operators.algorithms import undirected
 
 ROUNDS = 50
 
 
-def _state(tags: DataFrame) -> tuple:
-    return tuple(tags.agg(F.count(F.lit(1)), F.sum(F.xxhash64("id", "tag").cast("decimal(38,0)"))).first())
+def _digest():
+    """Of tags, taken as they are written."""
+    return F.sum(F.xxhash64("id", "tag").cast("decimal(38,0)")).alias("digest")
 
 
 def _best(steps: DataFrame, tags: DataFrame) -> DataFrame:
@@ -34,12 +35,12 @@ def propagated(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> Data
     """(id, tag): every round, each node takes the tag that it asks for. Where tags come back to those of two rounds
     before, the rest of the rounds is known."""
     steps = cut(undirected(edges), "steps")
-    tags = cut(nodes.select("id", F.col("id").alias("tag")), "tags")
-    past, states = [tags], [_state(tags)]
+    tags, told = cut_and_told(nodes.select("id", F.col("id").alias("tag")), "tags", _digest())
+    past, states = [tags], [told["digest"]]
     for k in range(1, rounds + 1):
         new = tags.join(_best(steps, tags), F.col("id") == F.col("n"), "left").select("id", F.coalesce("best", "tag").alias("tag"))
-        tags = cut(new, "tags")
-        past, states = [*past[-1:], tags], [*states[-2:], _state(tags)]
+        tags, told = cut_and_told(new, "tags", _digest())
+        past, states = [*past[-1:], tags], [*states[-2:], told["digest"]]
         if states[-1] == states[-2]:
             break
         if len(states) > 2 and states[-1] == states[-3]:
@@ -54,8 +55,8 @@ def settled(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFra
     tags = cut(nodes.select("id", F.col("id").alias("tag")), "tags")
     for _ in range(rounds):
         asking = tags.join(_best(steps, tags), F.col("id") == F.col("n")).where("best <> tag").select("n", "best")
-        asking = cut(asking, "asking")
-        if not asking.limit(1).count():
+        asking, told = cut_and_told(asking, "asking", F.count(F.lit(1)).alias("n"))
+        if not told["n"]:
             break
         others = steps.where("m_order < n_order").join(asking.select(F.col("n").alias("m")), "m", "left_semi").select("n").distinct()
         moving = asking.join(others, "n", "left_anti").withColumnRenamed("n", "id")
