@@ -13,32 +13,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
+from thicket.functions.persist import cut as staged  # noqa: F401
+from thicket.functions.persist import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; where that is unset (one machine), one of our own."""
-    place = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not place:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        place = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(place)
-    return place.rstrip("/")
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """df, written to the shared folder and read again: later stages don't depend on the executors that made it."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else. lower() is the same where every character is one byte, and faster."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
