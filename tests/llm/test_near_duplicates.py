@@ -226,3 +226,22 @@ def test_the_stage_without_ids_and_texts(spark):
     rows = [(3, a), (1, a), (2, b), (2, b), (None, a), (5, None), (4, "")]
     got = keep_one_alike(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(str(r.doc_id) for r in got) == ["1", "2", "4", "None"]
+
+
+def test_parts_of_long_texts_rule_out_no_pair(spark):
+    """Parts at different levels against whole sets: what is alike is never ruled out, what is far from it is."""
+    from thicket.llm.minhash import PART, _may_be_alike, _parts
+
+    rng, sets, alike = np.random.default_rng(5), [], []
+    for n in (1, 3, 300, 512, 513, 900, 1100, 5000, 40_000):
+        base = rng.integers(-(1 << 63), (1 << 63) - 1, n)
+        more = rng.integers(-(1 << 63), (1 << 63) - 1, n // 2)
+        sets += [base, np.concatenate([base, more[: n // 5]]), np.concatenate([base[n // 2 :], more])]
+    rows = [(i, [int(x) for x in s]) for i, s in enumerate(sets)]
+    got = {r.u: (np.unique(np.array(r.part, np.int32)), r.level) for r in _parts(spark.createDataFrame(rows, "u long, set array<long>")).collect()}
+    assert all(len(part) <= 1.3 * PART and (level or len(part) == len(sets[u])) for u, (part, level) in got.items())
+    assert len({level for _, level in got.values()}) > 3
+    for u in range(0, len(sets), 3):
+        judge = lambda v: _may_be_alike(got[u][0], got[v][0], got[u][1], got[v][1], 0.8)  # noqa: B023, E731
+        alike.append((judge(u + 1), judge(u + 2) and len(sets[u]) > 1))
+    assert alike == [(True, False)] * len(alike)
