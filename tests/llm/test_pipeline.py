@@ -5,7 +5,7 @@ from thicket.llm.queries import ORACLE, QUERIES
 
 
 def test_every_operator_has_a_query():
-    assert {n.split("_")[0] for n in QUERIES} == {*(f"op{i}" for i in range(1, 11)), "pipeline"} and set(ORACLE) <= set(QUERIES)
+    assert {n.split("_")[0] for n in QUERIES} == {*(f"op{i}" for i in range(1, 14)), "pipeline"} and set(ORACLE) <= set(QUERIES)
 
 
 def test_stages_take_effect(spark, sf):
