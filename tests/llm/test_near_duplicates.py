@@ -245,3 +245,22 @@ def test_parts_of_long_texts_rule_out_no_pair(spark):
         judge = lambda v: _may_be_alike(got[u][0], got[v][0], got[u][1], got[v][1], 0.8)  # noqa: B023, E731
         alike.append((judge(u + 1), judge(u + 2) and len(sets[u]) > 1))
     assert alike == [(True, False)] * len(alike)
+
+
+def test_simhash_proposes_pairs_of_the_pipelines_stage(spark, monkeypatch):
+    """Without any bucket of minima, near copies are found by their fingerprints, and held against their shingles."""
+    from pyspark.sql import functions as F
+
+    from thicket.llm import minhash
+
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+    one, near = " ".join(words), " ".join([*words[:300], "other", *words[301:]])
+    assert (fingerprint(one, 5) ^ fingerprint(near, 5)).bit_count() <= RADIUS
+    # Fingerprints of texts that repeat one shingle most of the time are the same, whatever else they hold.
+    loops = ["a b c d e " * 40 + " ".join(f"{x}{i}" for i in range(60)) for x in "xy"]
+    assert fingerprint(loops[0], 5) == fingerprint(loops[1], 5)
+    sketches = minhash._sketches
+    monkeypatch.setattr(minhash, "_sketches", lambda *x: sketches(*x).withColumn("keys", F.array("u")))
+    docs = spark.createDataFrame(list(enumerate([one, near, *loops, " ".join(words[::-1])])), "doc_id long, text string")
+    assert sorted(r.doc_id for r in minhash.keep_one_alike(docs).collect()) == [0, 2, 3, 4]

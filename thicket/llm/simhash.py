@@ -51,7 +51,11 @@ def word_shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """SimHash of the text's word shingles, as an unsigned integer. Null and texts without words: 0."""
-    hashes = word_shingles(text, shingle)
+    return fingerprint_of(word_shingles(text, shingle))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """SimHash of shingles' hashes: a bit is 1 if it is set in over half of them. Of none: 0."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)
