@@ -83,3 +83,14 @@ def test_stages_against_brute_force(spark, sf, tmp_path):
     t = Tokenizer.from_file(corpus_pipeline.tokenizer_path("word_bpe_49k.json"))
     want = sorted(hashlib.sha256(" ".join(map(str, t.encode(r.text, add_special_tokens=False).ids)).encode()).hexdigest() for r in kept.collect())
     assert sorted(r.ids_sha256 for r in got) == want
+
+
+def test_stages_read_and_write_in_small_pieces(spark, sf):
+    limits = {"spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20, "spark.sql.parquet.columnarReaderBatchSize": 256, "parquet.block.size": 16 << 20}
+    own = spark.newSession()
+    own.conf.set("spark.sql.parquet.columnarReaderBatchSize", "64")
+    for name in limits:
+        if not name.endswith("ReaderBatchSize"):
+            own.conf.unset(name)
+    corpus_pipeline.near_duplicates(own, own.read.parquet(f"{sf}/documents.parquet").limit(3), sf)
+    assert {name: int(own.conf.get(name)) for name in limits} == limits | {"spark.sql.parquet.columnarReaderBatchSize": 64}
