@@ -88,3 +88,22 @@ def test_accuracy_on_held_out_documents(spark):
     test = identify(docs.where(held_out()), model).where(F.col("lang").isNotNull())
     right, n = test.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count("*")).first()
     assert n > 100 and right / n >= 0.98
+
+
+def test_few_texts_are_walked_without_arrays(monkeypatch):
+    """The last texts of a walk go by lists: the paths are those of arrays."""
+    import numpy as np
+
+    from thicket.llm import langid
+
+    rng = np.random.default_rng(3)
+    lengths = [700, 3, 1, 400, 399, 50]
+    blocks = np.repeat(rng.integers(0, 4, sum(lengths) // 20 + 1), 20)[: sum(lengths)]
+    scores = rng.normal(0, 2, (sum(lengths), 4)).astype(np.float32)
+    scores[np.arange(len(scores)), blocks] += 3
+    scores -= scores.max(axis=1, keepdims=True)
+    paths = []
+    for few in (4, 12, 1000):
+        monkeypatch.setattr(langid, "FEW", few)
+        paths.append(langid.best_paths(scores, lengths).tolist())
+    assert paths[0] == paths[1] == paths[2] and len(set(paths[0])) == 4

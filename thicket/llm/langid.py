@@ -12,6 +12,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ TRAIN_DOCS_PER_LANG = 2000
 SWITCH_PENALTY = 12.0
 #: Words whose scores a Python worker remembers, and words that one Viterbi call holds.
 MEMO_WORDS, CALL_WORDS = 150_000, 100_000
+#: Scores of a step of best_paths() from which arrays are quicker than lists.
+FEW = 32
 
 # First code points of scripts' ranges and the script that holds from there on (Unicode blocks).
 SCRIPT_STARTS = [
@@ -62,6 +65,8 @@ class Model:
     def __post_init__(self):
         self.memo: dict[str, int] = {}
         self.rows = np.zeros((0, len(self.langs)), np.float32)
+        none = np.ones(len(self.langs), bool)
+        self.outside = np.array([np.where(self.scripts.get(s, none), 0.0, 1000.0) for _, s in SCRIPT_STARTS])
 
     def score(self, words: list[str]) -> np.ndarray:
         """A row of scores for each word: 0 for the likeliest language, negative for the others."""
@@ -73,13 +78,11 @@ class Model:
                 self.rows = self.rows[:0]
                 new = list(set(words))
             unseen, find = len(self.weights) - 1, self.index.get
-            lists = [[find(g, unseen) for g in grams(w)] for w in new]
-            at = np.cumsum([0, *map(len, lists[:-1])])
-            scores = np.add.reduceat(self.weights[np.fromiter((i for x in lists for i in x), np.int64)], at, axis=0)
-            for k, w in enumerate(new):
-                mask = self.scripts.get("Latin" if w.isascii() else script_of(w))
-                if mask is not None:
-                    scores[k, ~mask] -= 1000.0
+            ends = np.cumsum(np.fromiter(map(len, new), np.int64, len(new)) + 1)  # a word has a gram more than letters
+            every = map(find, chain.from_iterable(map(grams, new)), repeat(unseen))
+            scores = np.add.reduceat(self.weights[np.fromiter(every, np.int64, ends[-1])], np.concatenate(([0], ends[:-1])), axis=0)
+            firsts = np.fromiter((ord(w[0]) for w in new), np.int64, len(new))
+            scores -= self.outside[np.searchsorted(_STARTS, firsts, "right") - 1]
             scores -= scores.max(axis=1, keepdims=True)
             first = len(self.rows)
             self.rows = np.concatenate([self.rows, scores.astype(np.float32)])
@@ -149,13 +152,19 @@ def best_paths(scores: np.ndarray, lengths: list[int], penalty: float = SWITCH_P
     starts = ends - lengths
     kind = np.min_scalar_type(max(1, scores.shape[1] - 1))  # holds the number of any language
     path = np.zeros(len(scores), kind)
-    walk = []
-    for a, b in zip(starts.tolist(), ends.tolist()):
-        s = scores[a:b]
-        best = int(s.sum(axis=0).argmax())
-        path[a:b] = best
-        if s.shape[1] > 1:
-            gain = np.concatenate(([0.0], np.cumsum(np.delete(s, best, axis=1).max(axis=1) - s[:, best])))
+    walk: list[tuple[int, int]] = []
+    if not len(scores):
+        return path
+    path[:] = np.repeat(np.add.reduceat(scores, starts, axis=0).argmax(axis=1), lengths)
+    if scores.shape[1] > 1:
+        every, others = np.arange(len(scores)), scores.copy()
+        others[every, path] = -np.inf
+        more = others.max(axis=1) - scores[every, path]
+        # No stretch gains more than all words together that gain.
+        most = np.add.reduceat(np.maximum(more, 0), starts, dtype=np.float64)
+        for k in np.flatnonzero(most > penalty).tolist():
+            a, b = int(starts[k]), int(ends[k])
+            gain = np.concatenate(([0.0], np.cumsum(more[a:b])))
             if (gain - np.minimum.accumulate(gain)).max() > penalty:
                 walk.append((a, b))
     if not walk:
@@ -166,14 +175,30 @@ def best_paths(scores: np.ndarray, lengths: list[int], penalty: float = SWITCH_P
     came = np.zeros((int(length.sum()), scores.shape[1]), kind)
     value = scores[first].copy()
     own = np.arange(scores.shape[1], dtype=kind)
-    for t in range(1, int(length[0])):
-        n = int(np.searchsorted(-length, -t, "left"))
+    few = max(1, FEW // scores.shape[1])  # so few texts are left in the end that a step is quicker without arrays
+    alone = int(length[few]) if len(length) > few else 1
+    for t, n in zip(range(1, alone), np.searchsorted(-length, -np.arange(1, alone), "left").tolist()):
         v = value[:n]
         top = v.argmax(axis=1)
         switched = v[np.arange(n), top][:, None] - penalty
         stay = v >= switched
         came[at[:n] + t] = np.where(stay, own, top[:, None])
         value[:n] = np.where(stay, v, switched) + scores[first[:n] + t]
+    for i, ((a, b), k) in enumerate(zip(walk[:few], at.tolist())):
+        v, same = value[i].tolist(), own.tolist()
+        rows, froms = scores[a + alone : b].tolist(), []
+        for row in rows:
+            switched = max(v) - penalty
+            if min(v) >= switched:
+                froms.append(same)
+            else:
+                top = v.index(max(v))
+                froms.append([j if x >= switched else top for j, x in enumerate(v)])
+                v = [x if x >= switched else switched for x in v]
+            v = [x + y for x, y in zip(v, row)]
+        if froms:
+            came[k + alone : k + b - a] = froms
+            value[i] = v
     for (a, b), k, v in zip(walk, at.tolist(), value):
         label = int(v.argmax())
         back = came[k : k + b - a]
