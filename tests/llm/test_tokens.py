@@ -216,3 +216,19 @@ def test_files_and_back(spark, sf):
     first = shards.orderBy("shard").first()
     assert read_shard(first["path"]).ids_of(None).tolist() == want[None][0]
     assert read_token_files(write_token_files(docs.limit(0), token_folder(spark), BYTES, 2)).count() == 0
+
+
+def test_words_of_letters_are_encoded_together():
+    """One text for many words of letters, cut where a suffix ends them; the ids are those of each word alone."""
+    import public_tokenizers
+
+    from thicket.llm.bpe import ChunkEncoder
+
+    own = ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    alone, batch = [], own._batch
+    own._batch = lambda parts: alone.extend(parts) or batch(parts)
+    words = "plain Words é naïve don't a1 x. İstanbul Ångström क़a 中文 end".split()
+    own._learn_words({w.lower().encode() for w in words[:4]} | {b"none"})
+    assert not {b"plain", b"none"} & set(alone)
+    own._learn_words({w.encode() for w in words})
+    assert all(own.words[w.encode()] == own.raw(w.encode()) for w in words)

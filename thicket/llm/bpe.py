@@ -33,7 +33,7 @@ from thicket.llm._shared import for_python, no_cycles, with_fields
 
 WINDOW, MASK_BITS, LEAST, REACH = 32, 11, 256, 64
 #: Bytes of ids that a worker remembers (twice as many, just before it forgets), and of text that it works on at a time.
-MEMO_BYTES, SLICE_BYTES = 12_000_000, 500_000
+MEMO_BYTES, SLICE_BYTES = 12_000_000, 2_000_000
 #: Words and joints that a worker remembers.
 MEMO_WORDS, MEMO_JOINTS = 150_000, 20_000
 
@@ -116,6 +116,11 @@ def spaces(left: bytes, right: bytes) -> tuple[list[int], list[int]]:
 
 def around(left: bytes, right: bytes, k: int = 1, places: tuple[list[int], list[int]] | None = None) -> tuple[bytes, bytes]:
     """The last k words of left and the first k of right, by clean spaces; all, where there are fewer."""
+    if places is None and k == 1:  # as most often: only the last clean space of left and the first of right
+        near = [m.start() for m in _CLEAN.finditer(left[-REACH:])]
+        first = _CLEAN.search(right, 0, 8 * REACH)
+        if near and first:
+            return left[near[-1] - min(len(left), REACH) :], right[: first.start()]
     ends, starts = places or spaces(left, right)
     return left[ends[-k] :] if k <= len(ends) else left, right[: starts[k - 1]] if k <= len(starts) else right
 
@@ -142,6 +147,9 @@ class ChunkEncoder:
         self.spaces = chunked_kind(spec)
         self.folds = any(x["type"] == "Lowercase" for x in _steps(spec["normalizer"], "normalizers"))
         self.marks = frozenset(m for m in b".,;:!?" if self.spaces == "words" and self._stands_alone(chr(m)))
+        # Which tokens end a piece, where a suffix tells.
+        suffix = spec["model"].get("end_of_word_suffix") if self.spaces == "words" else None
+        self.last = np.array([(self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(size)]) if suffix else None
         # Without a decoder the library puts a space between tokens.
         self.tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)] if spec["decoder"] is None else None
 
@@ -192,10 +200,28 @@ class ChunkEncoder:
         plain = unseen.difference(marked)
         plain.update(w[:-1] for w in marked)
         plain.update(bytes([m]) for m in marks)
-        fresh = list(plain.difference(known))
+        plain.difference_update(known)
+        letters = [w for w in plain if w.isalpha() or not w.isascii() and w.decode("utf-8", "surrogatepass").isalpha()] if self.last is not None else []
+        known.update(zip(letters, self._apart(letters)))
+        fresh = list(plain.difference(letters))
         known.update(zip(fresh, self._batch(fresh)))
         known.update((w, known[w[:-1]] + known[w[-1:]]) for w in marked)
 
+    def _apart(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words of letters. Such a word is one piece, as a rule, and a token with the suffix ends it, so that
+        many can be encoded as one text; where not all of them are one piece, each is encoded alone."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode("utf-8", "surrogatepass")], add_special_tokens=False)[0].ids, np.int64)
+            stops = np.flatnonzero(self.last[ids]) + 1
+            if len(stops) == len(some) and stops[-1] == len(ids):
+                raw, cut = ids.astype(self.kind).tobytes(), (stops * self.kind.itemsize).tolist()
+                out += [raw[x:y] for x, y in zip([0, *cut], cut)]
+            else:
+                out += self._batch(some)
+        return out
+
     def _batch(self, parts: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(parts), 4096):  # encodings are large while they last
