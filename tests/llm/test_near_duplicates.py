@@ -264,3 +264,51 @@ def test_simhash_proposes_pairs_of_the_pipelines_stage(spark, monkeypatch):
     monkeypatch.setattr(minhash, "_sketches", lambda *x: sketches(*x).withColumn("keys", F.array("u")))
     docs = spark.createDataFrame(list(enumerate([one, near, *loops, " ".join(words[::-1])])), "doc_id long, text string")
     assert sorted(r.doc_id for r in minhash.keep_one_alike(docs).collect()) == [0, 2, 3, 4]
+
+
+def test_components_take_few_tasks(spark):
+    """Graphs with stars, chains, rings and scattered links, against brute force; what the driver keeps of a run is a few
+    rounds' tasks."""
+    from thicket.llm import simhash
+
+    rng = random.Random(11)
+    star, chain = [(5, 1000 + i) for i in range(500)], [(2000 + i, 2001 + i) for i in range(300)]
+    ring = [(3000 + i, 3000 + (i + 1) % 97) for i in range(97)]
+    loose = [tuple(rng.sample(range(5000, 6000), 2)) for _ in range(700)]
+    edges = star + [(b, a) for a, b in chain] + ring + loose + [(7, 7), (1003, 2100), (1003, 2100)]
+    rng.shuffle(edges)
+    up = {n: n for e in edges for n in e if e[0] != e[1]}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((top(a), top(b)))
+            up[y] = x
+    want = {n: top(n) for n in up}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    sc, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    for at_once in (simhash.AT_ONCE, 1):  # whole tasks, and batch by batch
+        sc.setJobGroup(f"components {at_once}", "")
+        try:
+            simhash.AT_ONCE, usual = at_once, simhash.AT_ONCE
+            rows = connected(df).collect()
+        finally:
+            simhash.AT_ONCE = usual
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        assert len(rows) == len(want) and {r.node: r.comp for r in rows} == want
+        jobs = tracker.getJobIdsForGroup(f"components {at_once}")
+        assert len(jobs) <= 20
+    assert connected(df.limit(0)).collect() == []
+
+
+def test_staged_rows_leave_no_mark(spark):
+    from pathlib import Path
+
+    from thicket.functions.persist import cut
+
+    out = cut(spark.range(10).repartition(2), "mark")
+    assert out.count() == 10 and not list(Path(out.inputFiles()[0].removeprefix("file:")).parent.glob("*SUCCESS*"))

@@ -20,12 +20,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thicket.functions.persist import cut_and_told
 from thicket.llm._shared import broadcast_if, staged
 
 RADIUS, BLOCKS, SHINGLE, SEED = 4, 6, 4, 42
 #: Fingerprints that one comparing step holds at a time.
 BLOCK_ROWS = 2048
 LEAF = 96
+#: Edges that a task holds at a time where it makes stars of them.
+AT_ONCE = 1 << 18
+#: Nodes whose minima are broadcast at most, some megabytes.
+BROADCAST_NODES = 50_000
 #: Shards with more rows than HOT_ROWS are hot: what is known of them goes to their rows by a broadcast, of at most
 #: BROADCAST_ROWS hot shards, so that no task gets all rows of one. Beyond that, Spark shuffles, and splits what is skewed.
 HOT_ROWS, BROADCAST_ROWS = 256, 500_000
@@ -88,28 +93,54 @@ def _apart(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def _stars(batches):
+    """Edges (u, v) to stars: of AT_ONCE edges at a time, each node that has a smaller one in reach, with the smallest."""
+    def star(part: list) -> pa.RecordBatch:
+        nodes, at = np.unique(np.concatenate([x for b in part for x in (b.column(0), b.column(1))]), return_inverse=True)
+        ends = np.split(at, np.cumsum([b.num_rows for b in part for _ in range(2)])[:-1])
+        a, b = np.concatenate(ends[::2]), np.concatenate(ends[1::2])
+        up = np.arange(len(nodes))
+        while ((x := up[a]) != (y := up[b])).any():
+            np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+            while (up != up[up]).any():
+                up = up[up]
+        below = np.flatnonzero(up < np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[below]), pa.array(nodes[up[below]])], ["u", "v"])
+
+    held: list = []
+    for b in batches:
+        held += [b] if b.num_rows else []
+        if sum(x.num_rows for x in held) >= AT_ONCE:
+            yield star(held)
+            held = []
+    if held:
+        yield star(held)
+
+
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, comp): comp is the smallest node reachable. Rounds of large-star and small-star until nothing changes.
+    """(node, comp): comp is the smallest node reachable. Rounds of large-star and small-star until only stars are left;
+    each task makes stars of the edges that it has at hand before they are dealt out.
 
-    Only minima are taken at a node, never a list of its neighbours, so a node with many links needs no large row.
+    Only minima and maxima are taken at a node, never a list of its neighbours, so a node with many links needs no large
+    row. In stars all nodes have either larger neighbours only, or one neighbour, a smaller one; how many don't is told as
+    the minima are written, which in the last round are the result. Minima of up to BROADCAST_NODES nodes are broadcast.
     """
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def dealt(e: DataFrame) -> DataFrame:
+        return staged(e.mapInArrow(_stars, "u bigint, v bigint").distinct(), "links")
 
-    edges = staged(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
-    seen = state(edges)
-    while seen[0]:
+    edges = dealt(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")))
+    while True:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        ends = both.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+        open_ = (F.col("lo") < F.col("u")) & (F.col("lo") != F.col("hi"))
+        least, told = cut_and_told(ends.select("u", F.least("lo", "u").alias("m"), open_.alias("open")), "least", F.count(F.lit(1)).alias("nodes"), F.count_if("open").alias("open"))
+        if not told["open"]:
+            return least.select(F.col("u").alias("node"), F.col("m").alias("comp"))
+        large = both.where("v > u").join(broadcast_if(least, told["nodes"], BROADCAST_NODES), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
-        edges = staged(small, "links")
-        now = state(edges)
-        if now == seen:
-            break
-        seen = now
-    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+        small = large.join(broadcast_if(least, told["nodes"], BROADCAST_NODES), "u")
+        small = small.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
+        edges = dealt(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v"))
 
 
 class _Union:
@@ -186,8 +217,8 @@ def _compare(radius: int):
 
 def _with_facts(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
     """rows joined with facts, which has a row for each of keys and its number of rows n. Hot keys are not dealt by key."""
-    hot = staged(facts.where(F.col("n") > HOT_ROWS), "hot")
-    if not 0 < hot.count() <= BROADCAST_ROWS:
+    hot, told = cut_and_told(facts.where(F.col("n") > HOT_ROWS), "hot", F.count(F.lit(1)).alias("rows"))
+    if not 0 < told["rows"] <= BROADCAST_ROWS:
         return rows.join(facts, keys)
     cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(facts.where(F.col("n") <= HOT_ROWS), keys)
     return cold.unionByName(rows.join(F.broadcast(hot), keys))
@@ -207,8 +238,8 @@ def near_links(uniq: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> D
     open_ = rows.where("n > 2 and fp <> root").join(comps, F.col("fp") == F.col("node"), "left")
     open_ = staged(open_.select("combo", "val", "fp", "n", "r", F.coalesce("comp", "fp").alias("comp")), "members")
     apart = open_.groupBy("combo", "val").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y")
-    open_ = staged(_with_facts(open_.drop("n"), apart.select("combo", "val", "n"), ["combo", "val"]), "open")
-    if not (left := open_.count()):
+    open_, told = cut_and_told(_with_facts(open_.drop("n"), apart.select("combo", "val", "n"), ["combo", "val"]), "open", F.count(F.lit(1)).alias("rows"), F.max("n").alias("most"))
+    if not (left := told["rows"]):
         return links
     # Small shards are compared whole; they share a call, so that a call has some thousands of rows.
     shard = F.xxhash64("combo", "val")
@@ -216,7 +247,8 @@ def near_links(uniq: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> D
     small = open_.where(F.col("n") <= BLOCK_ROWS).select(
         shard.alias("shard"), none.alias("left"), none.alias("right"), F.lit(0).alias("side"), "fp", "comp", F.pmod(shard, F.lit(max(16, left // 20_000))).alias("call")
     )
-    more = small.unionByName(_large_shards(open_.where(F.col("n") > BLOCK_ROWS), radius)).groupBy("call").applyInPandas(_compare(radius), "a bigint, b bigint")
+    work = small.unionByName(_large_shards(open_.where(F.col("n") > BLOCK_ROWS), radius)) if told["most"] > BLOCK_ROWS else small
+    more = work.groupBy("call").applyInPandas(_compare(radius), "a bigint, b bigint")
     return links.union(staged(more, "treelinks"))
 
 
@@ -226,7 +258,7 @@ def _large_shards(members: DataFrame, radius: int) -> DataFrame:
     A ring holds the members at one distance r from the root; it is cut to blocks of about BLOCK_ROWS. Rings whose
     distances differ by more than the radius hold no pair within it.
     """
-    rings = staged(members.groupBy("combo", "val", "r").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("subs")), "rings")
+    rings, n_rings = cut_and_told(members.groupBy("combo", "val", "r").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("subs")), "rings", F.count(F.lit(1)).alias("rows"))
     parts = rings.select("combo", "val", "r", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
     parts = parts.select("combo", "val", F.struct("r", "sub").alias("part"))
     one, two = parts.withColumnRenamed("part", "left"), parts.withColumnRenamed("part", "right")
@@ -234,10 +266,10 @@ def _large_shards(members: DataFrame, radius: int) -> DataFrame:
     side = lambda part, n: F.struct(F.col(part).alias("part"), F.lit(n).alias("side"))
     sides = F.when(F.col("left") == F.col("right"), F.array(side("left", 0))).otherwise(F.array(side("left", 1), side("right", 2)))
     pairs = pairs.select("combo", "val", "left", "right", F.explode(sides).alias("s")).select("combo", "val", F.xxhash64("left").alias("left"), F.xxhash64("right").alias("right"), "s.part", "s.side")
-    pairs = staged(pairs, "pairs")
-    member = members.join(broadcast_if(rings, rings.count(), BROADCAST_ROWS), ["combo", "val", "r"])
+    pairs, n_pairs = cut_and_told(pairs, "pairs", F.count(F.lit(1)).alias("rows"))
+    member = members.join(broadcast_if(rings, n_rings["rows"], BROADCAST_ROWS), ["combo", "val", "r"])
     member = member.select("combo", "val", "fp", "comp", F.struct("r", F.pmod(F.xxhash64("fp"), F.col("subs")).cast("int").alias("sub")).alias("part"))
-    work = member.join(broadcast_if(pairs, pairs.count(), BROADCAST_ROWS), ["combo", "val", "part"])
+    work = member.join(broadcast_if(pairs, n_pairs["rows"], BROADCAST_ROWS), ["combo", "val", "part"])
     shard = F.xxhash64("combo", "val")
     return work.select(shard.alias("shard"), "left", "right", "side", "fp", "comp", F.xxhash64(shard, "left", "right").alias("call"))
 
@@ -252,7 +284,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     fps = staged(fingerprints(docs, id_col, text_col), "simhash")
     uniq = staged(fps.groupBy("fp").agg(F.min("id").alias("first")), "uniq")
-    comps = staged(connected(near_links(uniq, radius, blocks)), "comps")
+    comps = connected(near_links(uniq, radius, blocks))
     groups = uniq.join(comps, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("comp", "fp").alias("comp"))
     names = groups.groupBy("comp").agg(F.min("first").alias("component_id"))
     # What a fingerprint's group is called is joined by fingerprint; AQE splits the one that many copies share.
