@@ -149,6 +149,32 @@ def test_unit_encoder_is_exact():
             assert np.frombuffer(got, own.kind).tolist() == [*t.encode(text or "", add_special_tokens=False).ids, 2]
 
 
+def test_units_end_at_line_ends(monkeypatch):
+    """Known words stay known where they stand at other lines' ends; what is one piece in the text stays one."""
+    own, t = UnitEncoder(BYTES, 2), Tokenizer.from_file(BYTES)
+    words = "Plain words, of été straße and İstanbul a1. don't ſo x² 中文, end.".split()
+    some = [" ".join(words), "\n".join(["", *words]), "\n".join(words[::-1] + [""]), "a " + "\n\n".join(words)]
+    tails = ["a b\n\n", "a b\n\n\nc d", "a b\n\n<|endoftext|>\nc", "\n", "\n\n\na b", "a\n\nb c\n"]
+    for _ in range(2):
+        for text, got in zip(some + tails, own.encode_all(some + tails)):
+            assert np.frombuffer(got, own.kind).tolist() == [*t.encode(text, add_special_tokens=False).ids, 2]
+    learnt, learn = [], own._learn
+    monkeypatch.setattr(own, "_learn", lambda new: learnt.extend(new) or learn(new))
+    shuffled = words[3:] + words[:3]
+    for text in ("a " + " ".join(shuffled), "a\n" + "\n".join(shuffled), f"a {words[1]}\n{words[4]} {words[0]}\n\n{words[2]}"):
+        assert np.frombuffer(own.encode_all([text])[0], own.kind).tolist() == [*t.encode(text, add_special_tokens=False).ids, 2]
+    assert learnt == []
+
+
+def test_forgetting_encoder_stays_exact(monkeypatch):
+    from thicket.llm import token_files as module
+
+    monkeypatch.setattr(module, "MEMO_UNITS", 5)
+    own, t = UnitEncoder(BYTES, 2), Tokenizer.from_file(BYTES)
+    for text in [*texts(30, 6), "a\nb c\n\nd e.\n"] * 2:
+        assert np.frombuffer(own.encode_all([text])[0], own.kind).tolist() == [*t.encode(text, add_special_tokens=False).ids, 2]
+
+
 def test_minimal_perfect_hash():
     h = np.unique(np.random.default_rng(0).integers(0, 2**64, 20_000, dtype=np.uint64))
     levels = build_levels(h)

@@ -15,14 +15,13 @@ the size of the shard. A foreign key is told with all but a chance of 2**-32. To
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import uuid
 import zlib
 from bisect import bisect_left, bisect_right
-from collections import Counter
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +41,6 @@ GAMMA, LEVELS = 1.5, 64
 BLOCK = 512
 #: The manifest's name in its folder; shards that a TokenFolder holds open.
 MANIFEST, OPEN_SHARDS = "_manifest", 64
-#: Frequent units that are looked up first, and the calls in which they are counted.
-HOT_UNITS, HOT_CALLS = 60_000, 12
 
 
 # --- minimal perfect hash -------------------------------------------------------------------------------------------
@@ -250,14 +247,20 @@ class TokenFolder:
 #: White space next to a space, or other than a space and a line end: such texts are encoded as a whole.
 _ASCII_UNEVEN = ["  ", "\n ", " \n", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"]
 _UNEVEN = re.compile(r"[\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+#: Latin letters; what is at the end of a unit of them, one mark, is a piece of its own.
+_LETTERS = r"[A-Za-zªµºÀ-ÖØ-öø-\u024f]"
+_WORD, _MARKED = re.compile(rf"\n?{_LETTERS}+").fullmatch, re.compile(r"[0-9A-Za-zªµºÀ-ÖØ-öø-\u024f][.,;:!?]")
+#: Byte-level tokenizers write these bytes as other characters; the rest of Latin-1 as itself. A space stays, here.
+_AS_CHARS = {b: chr(256 + i) for i, b in enumerate([*range(33), *range(127, 161), 173]) if b != 32}
 
 
 class UnitEncoder:
-    """Encodes texts with a byte-level tokenizer of the tokenizers library, each distinct unit once.
+    """Encodes texts with a byte-level tokenizer of the tokenizers library, each distinct unit once a slice.
 
-    A unit is a space and what follows it up to the next space. Byte-level tokenizers begin a new piece at a space that
-    stands before anything but white space, so units have the ids they have in the text. Texts where white space
-    stands together, or is of a rarer kind, are encoded as a whole.
+    A unit is a space and what follows it up to the next space or line end, or a line end and what follows it. Byte-level
+    tokenizers begin a new piece at a space that stands before anything but white space, and a lone line end is a piece, so
+    units have the ids they have in the text. Texts where line ends stand together as one piece are cut at spaces only; texts
+    where white space stands together otherwise, or is of a rarer kind, are encoded as a whole.
     """
 
     def __init__(self, path: str, end_id: int | None):
@@ -271,35 +274,44 @@ class UnitEncoder:
         self.kind = "<u2" if self.width == 2 else "<u4"
         self.lengths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
         self.end = b"" if end_id is None else np.array([end_id], self.kind).tobytes()
-        self.memo: dict[str, bytes] = {}  # of units without their space
-        self.hot: dict[str, bytes] = {}  # those that most texts need, in a small table that stays in the processor's cache
-        self.calls, self.counts = 0, Counter()
         self.met = np.zeros(1 << 25, bool)  # hashes of the units met so far
-        # For units of plain letters, which are one piece each: the same tokenizer, cutting at spaces alone.
+        # For units of plain letters, which are one piece each: the same model, given the pieces as it writes them.
         self.simple = Tokenizer(self.tokenizer.model)
-        self.simple.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.simple.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         one = lambda text: self.whole([text])[0]
         self.marks = {m: one(m) for m in ".,;:!?" if one(f" ab{m}") == one(" ab") + one(m) and one(f" a1{m}") == one(" a1") + one(m)}
+        self.line = one("\n")
+        self.memo: dict[str, bytes] = {"": b"", "\n": self.line}  # of units without their space
         spec = json.loads(self.tokenizer.to_str())
-        before = spec.get("pre_tokenizer") or {}
+        before, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
         self.by_units = before.get("type") == "ByteLevel" and bool(before.get("use_regex")) and not before.get("add_prefix_space") and spec.get("normalizer") is None
+        # Two line ends or more are one piece before the end, an added token or another line end.
+        self.by_lines = len(self.line) == self.width and not any("\n" in a["content"] or a["lstrip"] or a["rstrip"] or a["single_word"] for a in added)
+        self.joined_lines = ["\n\n\n", *("\n\n" + a["content"] for a in added)]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _together(self, tokenizer, units: list[str], out: dict[str, bytes]) -> None:
-        """Adds the units' ids to out: one call for many units, whose bytes tell where each ends."""
+    def _together(self, units: list[str], out: dict[str, bytes], letters: bool, lines: bool) -> None:
+        """Adds the units' ids to out: one call for many units, whose bytes tell where each ends. letters: units of letters
+        only; lines: units that begin with a line end, not with a space that is left out here."""
         for at in range(0, len(units), 5000):
             some = units[at : at + 5000]
-            ids = np.array(tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.int64)
-            ends = np.cumsum(self.lengths[ids])
-            stops = np.cumsum(np.fromiter(map(len, map(str.encode, some)), np.int64, len(some)) + 1)
+            text = "".join(some) if lines else " " + " ".join(some)
+            sizes = np.fromiter(map(len, some if text.isascii() else map(str.encode, some)), np.int64, len(some)) + (not lines)
+            if letters:
+                text = (text[1:] if text.isascii() else text[1:].encode().decode("latin-1")).replace("\n", " ")
+                text = text.translate(_AS_CHARS) if not text.isascii() else text
+                text = text if lines else "Ġ" + text.replace(" ", " Ġ")
+            ids = np.array((self.simple if letters else self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+            ends, stops = np.cumsum(self.lengths[ids]), np.cumsum(sizes - (letters and lines))
             cut = np.searchsorted(ends, stops)
             if cut[-1] < len(ends) and (ends[cut] == stops).all():
                 raw, cut = ids.astype(self.kind).tobytes(), ((cut + 1) * self.width).tolist()
-                out.update(zip(some, [raw[a:b] for a, b in zip([0, *cut], cut)]))
+                head = self.line if letters and lines else b""
+                out.update(zip(some, [head + raw[a:b] for a, b in zip([0, *cut], cut)]))
             else:
-                out.update(zip(some, self.whole([" " + u for u in some])))
+                out.update(zip(some, self.whole(some if lines else [" " + u for u in some])))
 
     def _learn(self, new: set[str]) -> dict[str, bytes]:
         """The ids of units (without their space) that aren't known. Those met for the second time are remembered: most
@@ -307,18 +319,22 @@ class UnitEncoder:
         memo, marks, out = self.memo, self.marks, {}
         if len(memo) > MEMO_UNITS:
             memo.clear()
+            memo.update({"": b"", "\n": self.line})
             if self.met.mean() > 0.5:
                 self.met[:] = False
-        marked = [u for u in new if u[-1] in marks and u[-2:-1].isalnum() and u.isascii()]
+        marked = [u for u in new if u[-1] in marks and _MARKED.fullmatch(u, max(0, len(u) - 2))]
         new.difference_update(marked)
         for u in marked:
             if (base := memo.get(u[:-1])) is not None:
                 out[u] = base + marks[u[-1]]
             else:
                 new.add(u[:-1])
-        simple = [u for u in new if u.isalpha() and u.isascii()]
-        self._together(self.simple, simple, out)
-        self._together(self.tokenizer, list(new.difference(simple)), out)
+        words = set(filter(_WORD, new))
+        plain = set(filter(str.isascii, words))
+        for some, letters in ((plain, True), (words - plain, True), (new - words, False)):
+            lines = [u for u in some if u[0] == "\n"]
+            self._together(lines, out, letters, True)
+            self._together(list(some.difference(lines)), out, letters, False)
         for u in marked:
             if u not in out:
                 out[u] = out[u[:-1]] + marks[u[-1]]
@@ -328,50 +344,51 @@ class UnitEncoder:
         self.met[places] = True
         return out
 
+    def _by_units(self, rests: list[str]) -> tuple[memoryview, list[int]]:
+        """The ids of all units of texts, and the bytes where each text's begin (one more for the end)."""
+        split = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
+        distinct = split.values.dictionary_encode()
+        units, at = distinct.dictionary.to_numpy(zero_copy_only=False).tolist(), distinct.indices.to_numpy()
+        found = list(map(self.memo.get, units))
+        if new := {u for u, x in zip(units, found) if x is None}:
+            fresh = self._learn(new)
+            found = [fresh[u] if x is None else x for u, x in zip(units, found)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.width
+        ends = np.concatenate(([0], np.cumsum(sizes[at])))
+        begins = np.cumsum(sizes) - sizes
+        places = np.repeat(begins[at] - ends[:-1], sizes[at])
+        places += np.arange(ends[-1])
+        ids = np.frombuffer(b"".join(found), self.kind)[places]
+        return memoryview(ids.tobytes()), (ends[split.offsets.to_numpy()] * self.width).tolist()
+
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, with the end id, as raw bytes. Null is the empty text."""
-        often, known, out, waiting = self.hot.get, self.memo.get, [], []
-        uneven, firsts, new, seen = [], [], set(), []
+        kinds, uneven, firsts, rests = [], [], [], []
         for t in texts:
             if not t:
-                out.append([])
+                kinds.append(None)
             elif not self.by_units or t[0] == " " or t[-1] == " " or any(map(t.__contains__, _ASCII_UNEVEN)) or not t.isascii() and _UNEVEN.search(t):
-                out.append(None)
+                kinds.append(False)
                 uneven.append(t)
             else:
-                first, *parts = t.split(" ")
+                if self.by_lines and "\n" in t and not ("\n\n" in t and (t.endswith("\n\n") or any(map(t.__contains__, self.joined_lines)))):
+                    t = t.replace("\n", " \n")
+                first, _, rest = t.partition(" ")
+                kinds.append(True)
                 firsts.append(first)
-                got = [b"", *map(often, parts)]
-                if None in got:
-                    gaps = [i for i, g in enumerate(got) if g is None]
-                    need = [parts[i - 1] for i in gaps]
-                    found = list(map(known, need))
-                    if None in found:
-                        new.update([u for u, g in zip(need, found) if g is None])
-                    waiting.append((got, gaps, need, found))
-                out.append(got)
-                seen.append(parts)
-        if waiting:
-            fresh = self._learn(new)
-            ids = fresh.__getitem__
-            for got, gaps, need, found in waiting:
-                for i, u, x in zip(gaps, need, found):
-                    got[i] = ids(u) if x is None else x
-        if self.calls < HOT_CALLS:
-            self.calls += 1
-            self.counts.update(chain.from_iterable(seen))
-            if self.calls in (1, HOT_CALLS):
-                known = self.memo | self.hot | (fresh if waiting else {})
-                self.hot = {u: known[u] for u, _ in self.counts.most_common(HOT_UNITS) if u in known}
-        elif self.counts:
-            self.counts = Counter()
-        whole, begin = iter(self.whole(uneven)), iter(self.whole(firsts))
-        return [(next(whole) if got is None else next(begin) + b"".join(got) if got else b"") + self.end for got in out]
+                rests.append(rest)
+        whole = iter(self.whole(uneven))
+        if rests:
+            ids, ends = self._by_units(rests)
+            units = (b"".join((first, ids[a:b], self.end)) for first, a, b in zip(self.whole(firsts), ends, ends[1:]))
+        return [self.end if k is None else next(units) if k else next(whole) + self.end for k in kinds]
 
 
 @lru_cache(maxsize=1)
 def encoder(path: str, end_id: int | None) -> UnitEncoder:
-    """A worker's encoder: what it has learnt serves its next task, too."""
+    """A worker's encoder: what it has learnt serves its next task, too. A task has one core, so the library's own threads
+    would only wait for work on the cores of others."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return UnitEncoder(path, end_id)
 
 
