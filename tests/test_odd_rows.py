@@ -23,7 +23,7 @@ def documents(texts):
     return "doc_id long, text string, lang string, source string, n_chars long", [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("name", ["docs_batch_payload", "docs_batches", "docs_extract_fallback", "docs_hierarchy"])
+@pytest.mark.parametrize("name", ["docs_batch_payload", "docs_batches", "docs_extract_fallback", "docs_hierarchy", "docs_rejoin"])
 def test_pieces(spark, tmp_path, name):
     got, want = both(spark, tmp_path, name, documents=documents(TEXTS))
     assert got == want
