@@ -2,6 +2,7 @@
 
 import pytest
 
+from thicket.functions.markup import markdown_to_text
 from thicket.plans.catalogue import ORACLE, QUERIES
 
 #: No text, blank ones, and lengths about the cuts.
@@ -27,3 +28,18 @@ def documents(texts):
 def test_pieces(spark, tmp_path, name):
     got, want = both(spark, tmp_path, name, documents=documents(TEXTS))
     assert got == want
+
+
+#: What Markdown would read as more than text.
+MARKED = ["a\n\n\nb", "\n\nlead", "trail\n\n", "a\r\n\r\nb\rc", "  a\n    b \n", "    code", "a *em* **s** ***x***\nb*** c***", "_u_ w_o_r_d `c` ``d``", "# h\n## h #", "- i\n* j\n+ k", "1. i\n2) j\n3.", "> q", "---\n***\n===", "a\n---\nb\n===",
+          "[t](u) ![i](j) [r][s]", "<b>x</b> <http://a.b> 3 < 4", "\\*b \\_ \\\\ a\\", "```\ncode\n```\n~~~", "&amp; &lt;", "zero\0nul \0001\0", "٣. x"]
+
+
+def test_markdown(spark, tmp_path):
+    got, want = both(spark, tmp_path, "markdown_text", documents=documents(TEXTS + MARKED))
+    assert got == want
+
+
+@pytest.mark.parametrize("source,want", [("\\*a\\* \\`b\\` \\[t\\](u)", "*a* `b` [t](u)"), ("`\\*` *\\**", "\\* *"), ("\\# a\n1\\. b", "# a\n1. b")])
+def test_escaped_marks_stand_for_themselves(source, want):
+    assert markdown_to_text(source) == want

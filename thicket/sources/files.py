@@ -29,7 +29,7 @@ def scan(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
 
 @F.pandas_udf(StringType())
 def _markdown(s):
-    return s.map(markdown_to_text)
+    return s.map(markdown_to_text, na_action="ignore")
 
 
 @F.pandas_udf(StringType())
