@@ -34,7 +34,7 @@ def _markdown(s):
 
 @F.pandas_udf(StringType())
 def _html(s):
-    return s.map(html_to_text)
+    return s.map(html_to_text, na_action="ignore")
 
 
 @F.pandas_udf(StringType())
