@@ -303,3 +303,22 @@ def test_commands(spark, tmp_path, capsys):
     assert "summary" in run("stats")[1] and "members" in run("communities")[1]
     assert run("export", "--format", "csv", "--output", str(tmp_path / "out"))[0] == 0 and run("viz", "--output", str(tmp_path / "v.html"))[0] == 0
     assert run("doctor")[0] == 0 and (tmp_path / "v.html").read_text().startswith("<!doctype")
+
+
+def test_graphml_parts_are_read_by_element(spark, tmp_path, monkeypatch):
+    """No row of text is more than an element: a part file of edges isn't one row to the reader of nodes, nor the reverse."""
+    from pyspark.sql import DataFrameReader
+
+    nodes = spark.range(3000).select(F.concat(F.lit("n <&> "), F.col("id").cast("string")).alias("id"), F.lit("label\n    x").alias("label"), F.lit(2).alias("degree"))
+    edges = nodes.select(F.col("id").alias("source"), F.concat(F.lit("m"), "id").alias("target"), F.lit("r\n    </edge>").alias("relation"), F.lit(1.5).alias("weight"))
+    sinks.export(Graph(nodes, edges), "graphml", str(tmp_path / "g"))
+    seen, text = [], DataFrameReader.text
+    monkeypatch.setattr(DataFrameReader, "text", lambda self, *a, **b: seen.append(text(self, *a, **b)) or seen[-1])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50k")  # elements lie across splits, too
+    try:
+        back = read_graphml(spark, str(tmp_path / "g/*"), parts=True)
+        assert {(r.id, r.degree) for r in back.nodes.collect()} == {(r.id, 2) for r in nodes.collect()} and back.nodes.count() == 3000
+        assert {tuple(r)[:4] for r in back.edges.collect()} == {tuple(r) for r in edges.collect()} and back.edges.count() == 3000
+        assert max(df.agg(F.max(F.length("value"))).first()[0] for df in seen) < 1000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

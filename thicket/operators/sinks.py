@@ -57,6 +57,8 @@ GRAPHML_HEAD = """<?xml version="1.0" encoding="UTF-8"?>
   <key id="weight" for="edge" attr.name="weight" attr.type="double"/>
   <graph id="G" edgedefault="directed">"""
 GRAPHML_FOOT = "  </graph>\n</graphml>"
+#: Stands before the tag that closes a node's or an edge's element, and nowhere else, as texts have no bare <.
+GRAPHML_END = "\n    </"
 CYPHER_HEAD = "// Concept graph as statements for a property-graph database\nCREATE INDEX concept_id IF NOT EXISTS FOR (n:Concept) ON (n.id);"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from thicket.operators.build import Graph
 from thicket.operators.selection import ledger_upsert
+from thicket.operators.sinks import GRAPHML_END
 from thicket.schema import DEFAULT_TENANT, LEDGER, LEDGER_COLUMNS, MANUAL
 
 
@@ -55,9 +56,9 @@ def read_graphml(spark: SparkSession, path: str, tenant: str = DEFAULT_TENANT, p
     def xml(tag: str, schema: str) -> DataFrame:
         if not parts:
             return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
-        end = f"</{tag}>"
-        rows = spark.read.option("lineSep", end).text(path).select(F.regexp_extract("value", rf"(?s)(<{tag} .*)", 1).alias("x")).where("x <> ''")
-        return rows.select(F.from_xml(F.concat("x", F.lit(end)), schema).alias("x")).select("x.*")
+        # Cut where any element ends: files of the other kind, cut at this one's tag, would be one row each.
+        rows = spark.read.option("lineSep", GRAPHML_END).text(path).select(F.regexp_extract("value", rf"(?s)(<{tag} .*)", 1).alias("x")).where("x <> ''")
+        return rows.select(F.from_xml(F.concat("x", F.lit(f"{GRAPHML_END}{tag}>")), schema).alias("x")).select("x.*")
 
     get = lambda k: F.element_at(F.filter("data", lambda d: d["_key"] == k), 1)["_VALUE"]
     n = xml("node", node).select(
