@@ -312,3 +312,41 @@ def test_staged_rows_leave_no_mark(spark):
 
     out = cut(spark.range(10).repartition(2), "mark")
     assert out.count() == 10 and not list(Path(out.inputFiles()[0].removeprefix("file:")).parent.glob("*SUCCESS*"))
+
+
+#: Texts of 9 shingles, 8 of 10 in common, that agree in no band of minima and whose fingerprints are 9 bits apart.
+MISSED = [" ".join([*(f"w0x{i}" for i in range(12)), last]) for last in ("v2914", "v1881")]
+
+
+def test_pairs_that_sketches_miss_are_found(spark):
+    from thicket.llm import minhash
+
+    a, b = (minhash.shingles(t) for t in MISSED)
+    assert (len(np.intersect1d(a, b)), len(np.union1d(a, b))) == (8, 10) and (fingerprint(MISSED[0], 5) ^ fingerprint(MISSED[1], 5)).bit_count() > RADIUS
+    assert not (minhash.minima(a) == minhash.minima(b)).reshape(minhash.BANDS, minhash.ROWS).all(axis=1).any()
+    docs = spark.createDataFrame([(1, MISSED[0]), (2, MISSED[1]), (3, "nothing like them in any of its words"), (4, MISSED[1])], "doc_id long, text string")
+    assert sorted(r.doc_id for r in minhash.keep_one_alike(docs).collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("common", [0, 3, 60])
+def test_without_sketches_the_first_shingles_find_every_pair(spark, monkeypatch, common):
+    """Texts of 1 to 400 words, copies of which up to a third of the words are changed, one passage in all of them, against
+    brute force; whatever the order of the shingles."""
+    from pyspark.sql import functions as F
+
+    from thicket.llm import minhash
+
+    rng = random.Random(common)
+    passage, texts = [f"p{i}" for i in range(common)], []
+    for n in (1, 4, 5, 6, 9, 14, 30, 31, 36, 60, 150, 400):
+        base = [f"b{rng.randrange(10**6)}" for _ in range(n)]
+        for share in (0, 0.01, 0.02, 0.03, 0.05, 0.3):
+            at = rng.randrange(n + 1)
+            words = [w if rng.random() >= share else f"c{rng.randrange(10**6)}" for w in base]
+            texts.append(" ".join([*words[:at], *passage, *words[at:]]))
+            texts.append(" ".join([*words, *passage][rng.randrange(3) :]))
+    sketches = minhash._sketches
+    monkeypatch.setattr(minhash, "_sketches", lambda *x: sketches(*x).withColumns({"keys": F.array("u"), "fp": F.xxhash64("u")}))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(r.doc_id for r in minhash.keep_one_alike(docs).collect())
+    assert got == sorted(set(five_word_groups(texts))) and len(got) < len(texts) - 12
